@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, saved, table
+from .common import components, discard, saved, table
 from .kernels import mix, shingle_sets
 
 COORDS, ROWS = 96, 4
@@ -119,10 +119,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     # the same id may come with several texts: the one of its class's head is enough, as all rows of an id are one document
     texts = saved(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
 
-    tried, labels = None, members.select(F.col("rep").alias("id"), F.col("rep").alias("component")).distinct()
-    for turn in range(STARS + 1):
+    tried, labels = None, saved(members.select(F.col("rep").alias("id"), F.col("rep").alias("component")).distinct(), "labels")
+    for turn in range(STARS + 1):  # the last turn has the centres of the first, whose distances are known
         m = members.join(labels.withColumnRenamed("id", "rep"), "rep")
-        mixed = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("centre")).filter("lo < hi")
+        mixed = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(turn % STARS)), "rep")).alias("centre")).filter("lo < hi")
         m = m.join(mixed.select("key", "centre"), "key")
         home = labels.select(F.col("id").alias("centre"), F.col("component").alias("home"))
         m = m.join(home, "centre")
@@ -138,7 +138,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         if tried is not None:
             done = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
+        pairs = saved(pairs, "pairs")  # few: those of different components only
         if not pairs.limit(1).count():
             if turn < STARS and tried is not None:
                 continue
@@ -148,6 +148,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         labels = members.select(F.col("rep").alias("id")).distinct().join(components(tried.filter("linked")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
         labels = saved(labels, "labels")
 
+    discard(members, texts)
     out = sk.join(reps, "digest", "left").join(labels.select(F.col("id").alias("rep"), F.col("component").alias("linked")), "rep", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("linked", "rep", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import discard, saved, table
 from .kernels import Words, chunks, windows
 
 WIDTH = 35
@@ -111,7 +111,6 @@ def _full(width: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            row0 = 0
             for i, j, off, data in chunks(b["text"]):
                 w = Words(off, data)
                 starts, at, _ = _anchors(w, width)
@@ -126,7 +125,6 @@ def _full(width: int):
                 doc = w.doc()[keep]
                 ids = b["row"].slice(i, j - i).take(pa.array(doc, pa.int64()))
                 yield pa.RecordBatch.from_arrays([ids, pa.array(keep - w.off[doc], pa.int32()), pa.array(full.view(np.int64), pa.int64())], ["row", "at", "h"])
-                row0 = j
 
     return run
 
@@ -167,17 +165,21 @@ def _cleaned(docs: DataFrame, width: int) -> tuple[DataFrame, DataFrame]:
     docs = docs.select(F.xxhash64(F.lit(35), "doc_id", "text").alias("row"), "doc_id", "text")
     anchors = saved(docs.mapInArrow(_first(width), "row long, at int, h long, r long, l long"), "anchors")
     one = saved(_repeated(anchors, "h").drop("h"), "level1")
+    discard(anchors)
     right = _repeated(one.select("row", "at", "r"), "r").select("row", "at", F.lit(0).alias("side"))
     left = _repeated(one.select("row", "at", "l"), "l").select("row", "at", F.lit(1).alias("side"))
     two = right.union(left).groupBy("row").agg(F.collect_set(F.when(F.col("side") == 0, F.col("at"))).alias("right"), F.collect_set(F.when(F.col("side") == 1, F.col("at"))).alias("left"))
     two = saved(docs.join(two, "row").dropDuplicates(["row"]).select("row", "text", "right", "left", F.lit(1).alias("one")), "level2")
+    discard(one)
     # a row that stands in the table twice counts twice
     times = docs.groupBy("row").agg(F.count("*").alias("n")).filter("n > 1").join(two.select("row"), "row", "left_semi")
     three = saved(two.select("row", "text", "right", "left").mapInArrow(_full(width), "row long, at int, h long"), "level3")
     again = three.join(times, "row").select("row", "at", "h")
     found = _repeated(three, "h").union(again)
-    spans = found.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("starts"))
+    spans = saved(found.groupBy("row").agg(F.sort_array(F.collect_set("at")).alias("starts")), "spans")
+    discard(three)
     cut = saved(two.select("row", "text").join(spans, "row").mapInArrow(_cut(width), "row long, n_removed long, sha string, text string"), "cut")
+    discard(two, spans)
     plain = docs.mapInArrow(_plain, f"row long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_words long, sha string")
     return plain, cut
 
