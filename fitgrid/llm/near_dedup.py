@@ -8,10 +8,12 @@ Documents that agree on a band meet in a bucket, and every link is confirmed on
 full shingle sets.
 
 Hot groups. Equal shingle sets are collapsed first. In a bucket the members are
-compared with a centre only (a star), and what then still lies in different
-components is compared pair by pair, where the triangle inequality of the Jaccard
-distance does not already rule it out: links inside a component add nothing, so no
-component that all pairs of all buckets would give is lost.
+compared with a centre only (a star), a few times with other centres. Links inside a
+component add nothing, so what remains are the documents of buckets that still hold
+several components. Among those every pair of different components that can link is
+found exactly by prefix filtering: of n shingles ordered by how few of these documents
+have them, two sets that link share one of the first n - ceil(n * percent / 100) + 1.
+A passage that thousands of texts share is never among these unless they consist of it.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, discard, saved, table
@@ -98,6 +100,35 @@ def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFram
     return got.select("a", "b", (1 - F.col("common") / union).alias("d"), (100 * F.col("common") >= percent * union).alias("linked"))
 
 
+def _shingled(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = list(shingle_sets(b["text"], k))
+            rows = np.repeat(np.arange(len(sets)), [len(u) for u in sets])
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(rows, pa.int64())), pa.array(flat.view(np.int64), pa.int64())], ["rep", "shingle"])
+
+    return run
+
+
+def _prefix_pairs(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of rows (rep, n, component) of different components that share a prefix shingle."""
+    left = saved(left, "left")
+    every = saved(texts.join(left.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_shingled(k), "rep long, shingle long"), "shingles")
+    common = every.groupBy("shingle").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = every.join(common, "shingle").join(left, "rep")
+    # shingles of one document alone come first in its order and meet nothing
+    own = Window.partitionBy("rep")
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.count("*").over(own))
+    first = shared.withColumns({"place": F.row_number().over(own.orderBy("m", "shingle")), "room": prefix}).filter("place <= room").select("rep", "n", "component", "shingle")
+    first = saved(first, "prefixes")
+    mixed = first.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("shingle")
+    first = first.join(mixed, "shingle")
+    x, y = (first.select("shingle", *(F.col(c).alias(p + c) for c in ("rep", "n", "component"))) for p in "xy")
+    near = (F.col("xrep") < F.col("yrep")) & (F.col("xcomponent") != F.col("ycomponent")) & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
+    return x.join(y, "shingle").filter(near).select(F.col("xrep").alias("a"), F.col("yrep").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs`` (doc_id long, text): doc_id, n_shingles, component_id, kept.
 
@@ -120,21 +151,16 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     texts = saved(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
 
     tried, labels = None, saved(members.select(F.col("rep").alias("id"), F.col("rep").alias("component")).distinct(), "labels")
-    for turn in range(STARS + 1):  # the last turn has the centres of the first, whose distances are known
+    for turn in range(STARS + 1):
         m = members.join(labels.withColumnRenamed("id", "rep"), "rep")
-        mixed = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(turn % STARS)), "rep")).alias("centre")).filter("lo < hi")
+        mixed = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("centre")).filter("lo < hi")
         m = m.join(mixed.select("key", "centre"), "key")
         home = labels.select(F.col("id").alias("centre"), F.col("component").alias("home"))
         m = m.join(home, "centre")
         if turn < STARS:
             pairs = m.filter("component <> home").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
         else:
-            known = tried.select(F.col("a").alias("centre"), F.col("b").alias("rep"), "d").dropDuplicates(["centre", "rep"])
-            m = m.join(known, ["centre", "rep"], "left")
-            x = m.filter("component <> home").select("key", F.col("rep").alias("xr"), F.col("n").alias("xn"), F.col("component").alias("xc"), F.col("d").alias("xd"))
-            y = m.select("key", F.col("rep").alias("yr"), F.col("n").alias("yn"), F.col("component").alias("yc"), F.col("d").alias("yd"), "home")
-            near = (F.col("xc") != F.col("yc")) & ((F.col("yc") == F.col("home")) | (F.col("xr") < F.col("yr"))) & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn")) & F.coalesce(F.abs(F.col("xd") - F.col("yd")) <= 1 - percent / 100 + 1e-9, F.lit(True))
-            pairs = x.join(y, "key").filter(near).select(F.col("xr").alias("a"), F.col("yr").alias("b")).distinct()
+            pairs = _prefix_pairs(m.select("rep", "n", "component").distinct(), texts, k, percent)
         if tried is not None:
             done = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(done, ["a", "b"], "left_anti")
