@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from .plans import evaluation, ranking, records
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+for _area in (ranking, records, evaluation):
+    QUERIES |= _area.QUERIES
+    ORACLES |= _area.ORACLES
 FLAGSHIP = "fit_ranking"
