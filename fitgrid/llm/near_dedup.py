@@ -120,12 +120,15 @@ def _prefix_pairs(left: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
     # shingles of one document alone come first in its order and meet nothing
     own = Window.partitionBy("rep")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.count("*").over(own))
-    first = shared.withColumns({"place": F.row_number().over(own.orderBy("m", "shingle")), "room": prefix}).filter("place <= room").select("rep", "n", "component", "shingle")
+    placed = shared.withColumns({"place": F.row_number().over(own.orderBy("m", "shingle")), "room": prefix, "alone": F.col("n") - F.count("*").over(own)})
+    first = placed.filter("place <= room").select("rep", "n", "component", "shingle", (F.col("n") - F.col("alone") - F.col("place")).alias("after"))
     first = saved(first, "prefixes")
     mixed = first.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("shingle")
     first = first.join(mixed, "shingle")
-    x, y = (first.select("shingle", *(F.col(c).alias(p + c) for c in ("rep", "n", "component"))) for p in "xy")
-    near = (F.col("xrep") < F.col("yrep")) & (F.col("xcomponent") != F.col("ycomponent")) & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
+    x, y = (first.select("shingle", *(F.col(c).alias(p + c) for c in ("rep", "n", "component", "after"))) for p in "xy")
+    # of the first shingle that two sets share: they can share it and what comes after it, no more
+    enough = (100 + percent) * (1 + F.least("xafter", "yafter")) >= percent * (F.col("xn") + F.col("yn"))
+    near = enough & (F.col("xrep") < F.col("yrep")) & (F.col("xcomponent") != F.col("ycomponent")) & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
     return x.join(y, "shingle").filter(near).select(F.col("xrep").alias("a"), F.col("yrep").alias("b")).distinct()
 
 
