@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 from .common import saved, table
 
 SIZE, GROUPS = 2048, 64
-#: Lengths over SIZE / SMALL are grouped; the rest are small.
-SMALL = 3
+#: Lengths over SIZE divided by one of these are large and grouped, the rest small; the plan of fewest sequences is taken.
+SMALL = (2, 3, 4, 6)
 #: Pieces of one length and bucket that a task ranks, about.
 BUCKET_ROWS = 20_000
 #: Texts outside this set, and those that name a special token, take the slower library.
@@ -149,9 +149,13 @@ def _grouped(counts: dict[int, int], groups: int) -> list[list[list[int]]]:
 
 def plan(counts: dict[int, int], size: int = SIZE, groups: int = GROUPS) -> list[tuple[tuple[int, ...], int]]:
     """Runs (lengths, times) that hold ``counts`` pieces of each length, no run longer than ``size``."""
+    return min((_plan(counts, size, groups, small) for small in SMALL), key=lambda runs: sum(times for _, times in runs))
+
+
+def _plan(counts: dict[int, int], size: int, groups: int, small: int) -> list[tuple[tuple[int, ...], int]]:
     runs = [((size,), counts[size])] if counts.get(size) else []
     rest = {k: v for k, v in counts.items() if v and k < size}
-    large = {k: v for k, v in rest.items() if k * SMALL > size}
+    large = {k: v for k, v in rest.items() if k * small > size}
     open_runs: dict[int, list[list]] = defaultdict(list)  # by room left: [lengths, times]
     rooms: list[int] = []
 
