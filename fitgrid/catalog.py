@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, ranking, records
+from .plans import evaluation, ranking, records, texts
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _area in (ranking, records, evaluation):
+for _area in (ranking, records, evaluation, texts):
     QUERIES |= _area.QUERIES
     ORACLES |= _area.ORACLES
 FLAGSHIP = "fit_ranking"
