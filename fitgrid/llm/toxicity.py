@@ -9,6 +9,7 @@ of least hash of the id; every text is scored whole.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -64,20 +65,22 @@ def fit(rows: list[tuple[int, np.ndarray]], rounds: int = 120, penalty: float =
         share = (sum(y for y, _ in rows) + 0.5) / (len(rows) + 1)
         return np.zeros(0, np.int32), np.zeros(0), float(np.log(share / (1 - share)) if rows else -1.0)
     y = np.array([r[0] for r in rows], float)
-    lens = np.array([len(r[1]) for r in rows])
-    cols = np.concatenate([r[1] for r in rows])
     size = 1 << BITS
-    pos = np.bincount(cols, np.repeat(y, lens), size)
-    neg = np.bincount(cols, minlength=size) - pos
+    pos, both = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    for label, f in rows:  # row by row, which holds no second copy of all features
+        both[f] += 1
+        if label:
+            pos[f] += 1
+    neg = both - pos
     ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / ((1 - y).sum() + 2))
     error = np.sqrt(1 / (pos + 1) + 1 / (neg + 1))
-    chosen = np.flatnonzero((np.abs(ratio) > 2.5 * error) & (pos + neg >= 3))
+    chosen = np.flatnonzero((np.abs(ratio) > 2.5 * error) & (both >= 3))
     if not len(chosen):
         return np.zeros(0, np.int32), np.zeros(0), float(np.log(y.mean() / (1 - y.mean())))
-    new = np.full(size, -1)
+    new = np.full(size, -1, np.int32)
     new[chosen] = np.arange(len(chosen))
-    at = np.flatnonzero(new[cols] >= 0)
-    doc, col, r = np.repeat(np.arange(len(y)), lens)[at], new[cols[at]], ratio[chosen]
+    picked = [(k := new[f])[k >= 0] for _, f in rows]
+    doc, col, r = np.repeat(np.arange(len(y)), [len(k) for k in picked]), np.concatenate(picked), ratio[chosen]
     w, bias, past, vel = np.zeros(len(chosen)), float(np.log(y.mean() / (1 - y.mean()))), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, rounds + 1):  # Adam on the full gradient
         z = np.bincount(doc, (w * r)[col], len(y)) + bias
@@ -95,8 +98,8 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[n
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").dropDuplicates(["doc_id"])
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     got = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(known), "doc_id").select("toxic", "text").mapInArrow(_features, "toxic int, features binary").toArrow()
-    rows = [(y, np.frombuffer(f, np.int32)) for y, f in zip(got["toxic"].to_pylist(), got["features"].to_pylist(), strict=True)]
-    return fit(sorted(rows, key=lambda r: (r[0], r[1].tobytes())))
+    rows = [(y.as_py(), np.frombuffer(f.as_buffer(), np.int32)) for y, f in zip(got["toxic"], got["features"], strict=True)]
+    return fit(sorted(rows, key=lambda r: (r[0], len(r[1]), zlib.crc32(r[1]))))
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
