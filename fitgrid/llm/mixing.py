@@ -13,12 +13,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, saved, table
 
 POINTS, PASSES = 32, 5
+#: So many sources are measured on the driver, eight bytes each.
+FEW_SOURCES = 10_000
 #: Texts of a source that one task orders, about.
 BUCKET_ROWS = 20_000
 BLOCKS = 64
@@ -43,6 +46,14 @@ def _measures(sources: DataFrame, points: list[float]) -> list[tuple[float, floa
     return [(math.log(row[f"z{i}"]) - row[f"l{i}"] / row[f"z{i}"], row[f"a{i}"] / row[f"b{i}"]) for i in range(len(points))]
 
 
+def _local_measures(p: np.ndarray, points: list[float]) -> list[tuple[float, float]]:
+    out = []
+    for t in points:
+        w = p**t
+        out.append((float(np.log(w.sum()) - (w * np.log(w)).sum() / w.sum()), float((w / p).max() / (w / p).min())))
+    return out
+
+
 def exponent(sources: DataFrame, entropy: float | None = None, repeats: float | None = None) -> float:
     """The least t in [0, 1] whose weights need at most ``repeats`` passes over a source while no source is
     passed less than once; with ``entropy`` (of its maximum, 0 to 1), the greatest t that still reaches it.
@@ -50,14 +61,18 @@ def exponent(sources: DataFrame, entropy: float | None = None, repeats: float |
     n = sources.count()
     if n < 2:
         return 1.0
+    measure = _measures
+    if n <= FEW_SOURCES:  # as many fit on the driver; more are measured where they are
+        tokens = np.array([r[0] for r in sources.select("tokens").collect()], float)
+        measure = lambda _, points: _local_measures(tokens / tokens.sum(), points)
 
     def search(fits) -> float:
         lo, hi = 0.0, 1.0  # fits(hi) holds
-        if fits(_measures(sources, [0.0])[0]):
+        if fits(measure(sources, [0.0])[0]):
             return 0.0
         for _ in range(PASSES):
             points = [lo + (hi - lo) * k / POINTS for k in range(POINTS + 1)]
-            ok = [fits(m) for m in _measures(sources, points)]
+            ok = [fits(m) for m in measure(sources, points)]
             k = next((k for k in range(1, POINTS + 1) if ok[k]), POINTS)
             lo, hi = points[k - 1], points[k]
         return hi
@@ -67,7 +82,7 @@ def exponent(sources: DataFrame, entropy: float | None = None, repeats: float |
         found.append(search(lambda m: m[1] <= repeats))
     if entropy is not None:
         goal = entropy * math.log(n)
-        lo = search(lambda m: m[0] < goal) if _measures(sources, [1.0])[0][0] < goal else 1.0
+        lo = search(lambda m: m[0] < goal) if measure(sources, [1.0])[0][0] < goal else 1.0
         found.append(lo)
     return max(found, default=1.0)
 

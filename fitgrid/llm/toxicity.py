@@ -53,34 +53,45 @@ def _runs(texts: list[str | None]) -> Iterator[list[str]]:
         yield run
 
 
+def _packed(features: np.ndarray) -> bytes:
+    """Sorted distinct features as compressed differences: what the driver collects stays small."""
+    return zlib.compress(np.diff(features, prepend=np.uint32(0)).astype("<u4").tobytes(), 1)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(blob), "<u4"), dtype=np.int32)
+
+
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        blobs = [np.unique(np.concatenate([f for _, f in _grams([t or ""])] or [np.zeros(0, np.uint32)])).astype(np.int32).tobytes() for t in b["text"].to_pylist()]
+        blobs = [_packed(np.unique(np.concatenate([f for _, f in _grams([t or ""])] or [np.zeros(0, np.uint32)]))) for t in b["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([b["toxic"], pa.array(blobs, pa.binary())], ["toxic", "features"])
 
 
-def fit(rows: list[tuple[int, np.ndarray]], rounds: int = 120, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
-    """(features, weights, intercept) from (label, distinct features) rows."""
+def fit(rows: list[tuple[int, bytes]], rounds: int = 120, penalty: float = 1.0) -> tuple[np.ndarray, np.ndarray, float]:
+    """(features, weights, intercept) from (label, packed features) rows, unpacked one at a time."""
     if not rows or len({y for y, _ in rows}) < 2:  # one class or none: its share decides
         share = (sum(y for y, _ in rows) + 0.5) / (len(rows) + 1)
         return np.zeros(0, np.int32), np.zeros(0), float(np.log(share / (1 - share)) if rows else -1.0)
     y = np.array([r[0] for r in rows], float)
     size = 1 << BITS
     pos, both = np.zeros(size, np.int32), np.zeros(size, np.int32)
-    for label, f in rows:  # row by row, which holds no second copy of all features
+    for label, blob in rows:
+        f = _unpacked(blob)
         both[f] += 1
         if label:
             pos[f] += 1
-    neg = both - pos
+    chosen = np.flatnonzero(both >= 3)
+    pos, neg = pos[chosen], (both - pos)[chosen]
     ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / ((1 - y).sum() + 2))
-    error = np.sqrt(1 / (pos + 1) + 1 / (neg + 1))
-    chosen = np.flatnonzero((np.abs(ratio) > 2.5 * error) & (both >= 3))
+    sure = np.abs(ratio) > 2.5 * np.sqrt(1 / (pos + 1) + 1 / (neg + 1))
+    chosen, ratio = chosen[sure], ratio[sure]
     if not len(chosen):
         return np.zeros(0, np.int32), np.zeros(0), float(np.log(y.mean() / (1 - y.mean())))
     new = np.full(size, -1, np.int32)
     new[chosen] = np.arange(len(chosen))
-    picked = [(k := new[f])[k >= 0] for _, f in rows]
-    doc, col, r = np.repeat(np.arange(len(y)), [len(k) for k in picked]), np.concatenate(picked), ratio[chosen]
+    picked = [(k := new[_unpacked(blob)])[k >= 0] for _, blob in rows]
+    doc, col, r = np.repeat(np.arange(len(y)), [len(k) for k in picked]), np.concatenate(picked), ratio
     w, bias, past, vel = np.zeros(len(chosen)), float(np.log(y.mean() / (1 - y.mean()))), np.zeros(len(chosen) + 1), np.zeros(len(chosen) + 1)
     for t in range(1, rounds + 1):  # Adam on the full gradient
         z = np.bincount(doc, (w * r)[col], len(y)) + bias
@@ -98,8 +109,7 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[n
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter("doc_id IS NOT NULL AND toxic IN (0, 1)").dropDuplicates(["doc_id"])
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     got = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(known), "doc_id").select("toxic", "text").mapInArrow(_features, "toxic int, features binary").toArrow()
-    rows = [(y.as_py(), np.frombuffer(f.as_buffer(), np.int32)) for y, f in zip(got["toxic"], got["features"], strict=True)]
-    return fit(sorted(rows, key=lambda r: (r[0], len(r[1]), zlib.crc32(r[1]))))
+    return fit(sorted(zip(got["toxic"].to_pylist(), got["features"].to_pylist(), strict=True)))
 
 
 def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
