@@ -156,12 +156,13 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     tried, labels = None, saved(members.select(F.col("rep").alias("id"), F.col("rep").alias("component")).distinct(), "labels")
     for turn in range(STARS + 1):
         m = members.join(labels.withColumnRenamed("id", "rep"), "rep")
-        mixed = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("centre")).filter("lo < hi")
-        m = m.join(mixed.select("key", "centre"), "key")
+        mixed = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("centre"), F.min_by("n", F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("centre_n")).filter("lo < hi")
+        m = m.join(mixed.select("key", "centre", "centre_n"), "key")
         home = labels.select(F.col("id").alias("centre"), F.col("component").alias("home"))
         m = m.join(home, "centre")
         if turn < STARS:
-            pairs = m.filter("component <> home").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
+            near = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")  # sets of other sizes cannot link
+            pairs = m.filter("component <> home").filter(near).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
         else:
             pairs = _prefix_pairs(m.select("rep", "n", "component").distinct(), texts, k, percent)
         if tried is not None:
@@ -169,7 +170,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             pairs = pairs.join(done, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")  # few: those of different components only
         if not pairs.limit(1).count():
-            if turn < STARS and tried is not None:
+            if turn < STARS:
                 continue
             break
         new = saved(verify(pairs, texts, k, percent), "checked")
