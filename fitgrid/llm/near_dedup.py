@@ -14,6 +14,11 @@ several components. Among those every pair of different components that can link
 found exactly by prefix filtering: of n shingles ordered by how few of these documents
 have them, two sets that link share one of the first n - ceil(n * percent / 100) + 1.
 A passage that thousands of texts share is never among these unless they consist of it.
+
+Before texts are fetched for a pair, a bitmap filter bounds it: each set keeps the
+parity of its hashes in 512 bins, common hashes cancel in the exclusive or of two such
+bitmaps, and so its ones are no more than the hashes that only one of the sets has.
+It never drops a link.
 """
 
 from __future__ import annotations
@@ -23,7 +28,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import components, discard, saved, table
@@ -32,6 +37,8 @@ from .kernels import mix, shingle_sets
 COORDS, ROWS = 96, 4
 #: Rounds of stars before the rest is compared pair by pair.
 STARS = 3
+#: 64-bit words of a set's parity bitmap.
+WORDS = 8
 
 
 def sketch(u: np.ndarray, coords: int = COORDS) -> np.ndarray:
@@ -58,15 +65,30 @@ def bands(s: np.ndarray, rows: int = ROWS) -> np.ndarray:
     return h.view(np.int64)
 
 
+def parities(u: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """Whether each of 64 * words bins holds an odd number of the hashes, as bits."""
+    at = mix(u ^ np.uint64(0xA0761D6478BD642F)) % np.uint64(64 * words)
+    odd = (np.bincount(at.astype(np.intp), minlength=64 * words) & 1).astype(np.uint8)
+    return np.packbits(odd).view(np.int64)
+
+
+def may_link(n: Column, bits: Column, other_n: Column, other_bits: Column, percent: int) -> Column:
+    """False only for two sets that cannot link, by their sizes and parity bitmaps."""
+    apart = sum((F.bit_count(bits[i].bitwiseXOR(other_bits[i])) for i in range(1, WORDS)), F.bit_count(bits[0].bitwiseXOR(other_bits[0])))
+    sizes = 100 * F.least(n, other_n) >= percent * F.greatest(n, other_n)
+    return sizes & ((100 + percent) * apart <= (100 - percent) * (n + other_n))
+
+
 def _sketched(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            n, digest, band = [], [], []
+            n, digest, band, bits = [], [], [], []
             for u in shingle_sets(b["text"], k):
                 n.append(len(u))
                 digest.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
                 band.append(bands(sketch(u)) if len(u) else None)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands"])
+                bits.append(parities(u) if len(u) else None)
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands", "bits"])
 
     return run
 
@@ -112,11 +134,11 @@ def _shingled(k: int):
 
 
 def _prefix_pairs(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of rows (rep, n, component) of different components that share a prefix shingle."""
+    """Pairs (a, b) of rows (rep, n, component, bits) of different components that share a prefix shingle and may link."""
     left = saved(left, "left")
     every = saved(texts.join(left.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_shingled(k), "rep long, shingle long"), "shingles")
     common = every.groupBy("shingle").agg(F.count("*").alias("m")).filter("m > 1")
-    shared = every.join(common, "shingle").join(left, "rep")
+    shared = every.join(common, "shingle").join(left.drop("bits"), "rep")
     # shingles of one document alone come first in its order and meet nothing
     own = Window.partitionBy("rep")
     prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.count("*").over(own))
@@ -124,11 +146,11 @@ def _prefix_pairs(left: DataFrame, texts: DataFrame, k: int, percent: int) -> Da
     first = placed.filter("place <= room").select("rep", "n", "component", "shingle", (F.col("n") - F.col("alone") - F.col("place")).alias("after"))
     first = saved(first, "prefixes")
     mixed = first.groupBy("shingle").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo < hi").select("shingle")
-    first = first.join(mixed, "shingle")
-    x, y = (first.select("shingle", *(F.col(c).alias(p + c) for c in ("rep", "n", "component", "after"))) for p in "xy")
+    first = first.join(mixed, "shingle").join(left.select("rep", "bits"), "rep")
+    x, y = (first.select("shingle", *(F.col(c).alias(p + c) for c in ("rep", "n", "component", "after", "bits"))) for p in "xy")
     # of the first shingle that two sets share: they can share it and what comes after it, no more
     enough = (100 + percent) * (1 + F.least("xafter", "yafter")) >= percent * (F.col("xn") + F.col("yn"))
-    near = enough & (F.col("xrep") < F.col("yrep")) & (F.col("xcomponent") != F.col("ycomponent")) & (100 * F.least("xn", "yn") >= percent * F.greatest("xn", "yn"))
+    near = enough & (F.col("xrep") < F.col("yrep")) & (F.col("xcomponent") != F.col("ycomponent")) & may_link(F.col("xn"), F.col("xbits"), F.col("yn"), F.col("ybits"), percent)
     return x.join(y, "shingle").filter(near).select(F.col("xrep").alias("a"), F.col("yrep").alias("b")).distinct()
 
 
@@ -142,11 +164,11 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sk = saved(docs.mapInArrow(_sketched(k), "doc_id long, n_shingles long, digest binary, bands array<long>"), "sketches")
+    sk = saved(docs.mapInArrow(_sketched(k), "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "sketches")
     full = sk.filter("doc_id IS NOT NULL AND n_shingles > 0")
     reps = saved(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     heads = full.join(reps, (full.digest == reps.digest) & (full.doc_id == reps.rep), "left_semi")
-    rows = heads.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), F.explode("bands").alias("key")).distinct()
+    rows = heads.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits", F.explode("bands").alias("key")).dropDuplicates(["rep", "key"])
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     members = saved(rows.join(shared, "key"), "members")
     ids = members.select(F.col("rep").alias("doc_id")).distinct()
@@ -156,15 +178,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     tried, labels = None, saved(members.select(F.col("rep").alias("id"), F.col("rep").alias("component")).distinct(), "labels")
     for turn in range(STARS + 1):
         m = members.join(labels.withColumnRenamed("id", "rep"), "rep")
-        mixed = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("centre"), F.min_by("n", F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("centre_n")).filter("lo < hi")
-        m = m.join(mixed.select("key", "centre", "centre_n"), "key")
+        mixed = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("centre"), F.min_by(F.struct("n", "bits"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("of")).filter("lo < hi")
+        m = m.join(mixed.select("key", "centre", "of"), "key")
         home = labels.select(F.col("id").alias("centre"), F.col("component").alias("home"))
         m = m.join(home, "centre")
         if turn < STARS:
-            near = 100 * F.least("n", "centre_n") >= percent * F.greatest("n", "centre_n")  # sets of other sizes cannot link
+            near = may_link(F.col("n"), F.col("bits"), F.col("of.n"), F.col("of.bits"), percent)
             pairs = m.filter("component <> home").filter(near).select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
         else:
-            pairs = _prefix_pairs(m.select("rep", "n", "component").distinct(), texts, k, percent)
+            pairs = _prefix_pairs(m.select("rep", "n", "component", "bits").dropDuplicates(["rep"]), texts, k, percent)
         if tried is not None:
             done = tried.select("a", "b").union(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
             pairs = pairs.join(done, ["a", "b"], "left_anti")
