@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, ranking, records, texts
+from .plans import evaluation, ranking, records, texts, understanding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _area in (ranking, records, evaluation, texts):
+for _area in (ranking, records, evaluation, texts, understanding):
     QUERIES |= _area.QUERIES
     ORACLES |= _area.ORACLES
 FLAGSHIP = "fit_ranking"
