@@ -8,9 +8,12 @@ class. A class is valid if it is found on enough pages, has enough tokens and it
 tokens come in one order, round by round, on every page. Valid classes nest: one may
 lie between two neighbouring tokens of another, or apart from it, but not across;
 of classes that cross the one on fewer pages is dropped. The tokens of the classes that remain
-are the template, and the text between them are its slots. Words inside an article are
-one slot of the template and never made part of it, so copies of an article on one
-host, or a passage common to many, stay whole.
+are the template, and the text between them are its slots. Classes are deduced over the
+tokens outside articles, and by themselves over those inside. Inside, a class must be on
+``ARTICLE_SUPPORT`` of the pages with an article, which must be ``ARTICLE_PAGES`` at least,
+and all classes together may be ``ARTICLE_SHARE`` of the articles' words at most: so copies
+of an article on one host, or a passage common to many of its pages, stay whole. A line of an
+article loses its template words if they are ``LEAST_TOKENS`` at least or the whole line.
 
 Slots in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
 and reader comments are left out, by element and by the words of class, id and role.
@@ -32,6 +35,7 @@ from pyspark.sql import functions as F
 from .common import table
 
 BLOCK, LEAST_PAGES, LEAST_TOKENS = 64, 3, 3
+ARTICLE_PAGES, ARTICLE_SUPPORT, ARTICLE_SHARE = 8, 0.8, 0.25
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-Z][^>]*>|<[!?][^>]*>"
     r"|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|object|xmp)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -130,22 +134,38 @@ def deduce_template(pages: list[list[tuple]]) -> set[tuple[int, str]]:
     """The roles and tokens that make up the template of pages (as ``_parse`` gives them)."""
     if len(pages) < LEAST_PAGES:
         return set()
+    template = _classes([_keys(t, False) for t in pages], max(LEAST_PAGES, 0.5 * len(pages)))
+    articles = [_keys(t, True) for t in pages if any(x[3] and not x[4] and x[2] is not None and x[2].strip() for x in t)]
+    if len(articles) >= ARTICLE_PAGES:
+        inside = _classes(articles, ARTICLE_SUPPORT * len(articles))
+        words = [k for sequence in articles for k in sequence if k[1][0] != "<"]
+        if sum(k in inside for k in words) <= ARTICLE_SHARE * len(words):
+            template |= inside
+    return template
+
+
+def _keys(tokens: list[tuple], inside: bool) -> list[tuple[int, str]]:
+    """Roles and tokens of a page, in its order: those inside an article, or those outside."""
+    out = []
+    for role, token, text, article, outside, _ in tokens:
+        if article != inside or (inside and outside):
+            continue
+        if text is None:
+            out.append((role, token))
+        else:
+            out += [(role, w) for w in text.split()]
+    return out
+
+
+def _classes(sequences: list[list[tuple[int, str]]], least: float) -> set[tuple[int, str]]:
+    """The tokens of the valid classes that are on ``least`` pages or more and do not cross."""
     vectors: dict[tuple[int, str], dict[int, int]] = defaultdict(lambda: defaultdict(int))
-    sequences = []
-    for p, tokens in enumerate(pages):
-        sequence = []
-        for role, token, text, article, _, _ in tokens:
-            if text is None:
-                keys = [(role, token)] if not article else []
-            else:
-                keys = [] if article else [(role, w) for w in text.split()]
-            for k in keys:
-                vectors[k][p] += 1
-                sequence.append(k)
-        sequences.append(sequence)
+    for p, sequence in enumerate(sequences):
+        for k in sequence:
+            vectors[k][p] += 1
     by_vector: dict[tuple, list[tuple[int, str]]] = defaultdict(list)
     for k, v in vectors.items():
-        if len(v) >= max(LEAST_PAGES, 0.5 * len(pages)):
+        if len(v) >= least:
             by_vector[tuple(sorted(v.items()))].append(k)
     large = {v: set(keys) for v, keys in by_vector.items() if len(keys) >= LEAST_TOKENS}
     of = {k: v for v, keys in large.items() for k in keys}
@@ -191,29 +211,36 @@ def _nests(inner: list, n: int, outer: list, m: int) -> bool:
 def slots_text(tokens: list[tuple], template: set[tuple[int, str]]) -> str:
     """The article in the slots of a page."""
     only = any(t[3] and not t[4] and t[2] is not None and t[2].strip() for t in tokens)
-    blocks, run = [], []
+    roles = {role for role, _ in template}
+    blocks, run, whole = [], [], []  # of a line: its text without template words, and an article's with them
+    count = [0, 0]  # words of an article's line, and those of the template
 
     def close():
-        line = " ".join(html.unescape("".join(run)).split())
+        kept = run if count[1] >= LEAST_TOKENS or count[0] == count[1] else whole
+        line = " ".join(html.unescape("".join(kept)).split())
         if line:
             blocks.append(line)
         run.clear()
+        whole.clear()
+        count[:] = 0, 0
 
     for role, token, text, article, outside, breaks in tokens:
         if text is None:
-            if breaks:
-                if token.startswith("<br "):
-                    run.append(" ")
-                else:
-                    close()
-            elif token.startswith(("<td", "<th", "</td", "</th")):
+            if breaks and not token.startswith("<br "):
+                close()
+            elif breaks or token.startswith(("<td", "<th", "</td", "</th")):
                 run.append(" ")
+                whole.append(" ")
         elif not outside and (article or not only):
-            if article or not template:
-                run.append(text)
-            else:
-                kept = [w for w in re.split(r"(\s+)", text) if (role, w) not in template]
-                run.append("".join(kept))
+            kept = text
+            if role in roles:
+                kept = "".join(w for w in re.split(r"(\s+)", text) if (role, w) not in template)
+            if article:
+                n = len(text.split())
+                count[0] += n
+                count[1] += n - len(kept.split()) if role in roles else 0
+            run.append(kept)
+            whole.append(text if article else kept)
     close()
     return "\n".join(blocks)
 

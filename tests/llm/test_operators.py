@@ -255,6 +255,24 @@ def test_template_words_go_where_no_article_is_named():
     assert html_extraction.slots_text(pages[1], template) == "blue sea waits long"
 
 
+def test_template_words_go_inside_articles_and_copies_stay():
+    def texts(articles):
+        pages = [html_extraction._parse(f"<body><div>Site</div><article>{a}</article></body>") for a in articles]
+        template = html_extraction.deduce_template(pages)
+        return [html_extraction.slots_text(p, template) for p in pages]
+
+    body = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(12)]
+    row = '<div class="tools">Share this story now</div><div class="by">Written by A{i} on day D{i}</div>'
+    got = texts([f"<h1>Review {i}</h1>{row.replace('{i}', str(i))}<p>{b}</p>" for i, b in enumerate(body)])
+    assert got == [f"Review {i}\nA{i} D{i}\n{b}" for i, b in enumerate(body)]
+    # copies of one article, a passage on fewer pages than a template's, and few pages
+    assert texts([f"<p>{body[0]}</p>"] * 12) == [body[0]] * 12
+    shared = [f"<p>{b}</p>" + ("<p>One passage that many share</p>" if i < 8 else "") for i, b in enumerate(body)]
+    assert texts(shared) == [s.replace("<p>", "").replace("</p>", "\n").strip() for s in shared]
+    few = [f"<p>{b}</p><p>Share this story now</p>" for b in body[:5]]
+    assert texts(few) == [f"{b}\nShare this story now" for b in body[:5]]
+
+
 def test_mixing_budgets(spark):
     rows = [(d, " ".join(["w"] * 10)) for d in range(300)]
     df = spark.createDataFrame([(d, t, "big" if d >= 60 else f"s{d % 3}", "") for d, t in rows] + [(999, None, None, ""), (998, "", "big", "")], "doc_id long, text string, source string, lang string")
