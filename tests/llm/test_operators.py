@@ -153,6 +153,63 @@ def test_class_lm_base_and_gain(spark):
     assert held[1] > held[0]
 
 
+def test_class_lm_clusters_words_beyond_the_most_frequent(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    common = [[f"{p}{i}" for i in range(550)] for p in ("u", "v")]  # more than CORE words, each more often than the rare
+    rare = [[f"{p}{i}end" for i in range(20)] for p in ("r", "s")]  # one bucket, two contexts
+    rows = []
+    for d in range(600):
+        side = d % 2
+        text = [str(x) for x in rng.choice(common[side], 200)]
+        for at in range(0, 200, 10):
+            text[at] = str(rng.choice(rare[side]))
+        rows.append((d, " ".join(text)))
+    seen, real = [], class_lm.own_classes
+
+    def spy(train, head, kind, own, of, n):
+        seen.append((head, own, *real(train, head, kind, own, of, n), n))
+        return seen[-1][2:4]
+
+    monkeypatch.setattr(class_lm, "own_classes", spy)
+    got = class_lm.class_lm_scores(frame(spark, rows))
+    assert got.filter("score IS NULL OR isnan(score)").count() == 0
+    head, own, kind, n, before = seen[0]
+    at = {w: int(i) for side in (*common, *rare) for w in side for i in np.flatnonzero(head == _hash(w))}
+    assert own.sum() == sum(len(w) for w in (*common, *rare)) - class_lm.CORE
+    mids = [{w for w in (*c, *r) if own[at[w]]} for c, r in zip(common, rare, strict=True)]
+    assert all(len(m) >= 20 for m in mids) and not {kind[at[w]] for w in mids[0]} & {kind[at[w]] for w in mids[1]}
+    assert n.sum() == before.sum() == sum(201 for d, _ in rows if zlib.crc32(str(d).encode()) % 10)
+    xlogx = class_lm._xlogx
+    likelihood = [xlogx(m).sum() - xlogx(m.sum(0)).sum() - xlogx(m.sum(1)).sum() for m in (before, n)]
+    assert likelihood[1] > likelihood[0]
+
+
+def test_best_class_has_the_greatest_likelihood():
+    rng = np.random.default_rng(7)
+    units, k = 12, 4
+    pairs = rng.integers(0, 9, (units, units)).astype(float)
+    of = np.append(rng.integers(0, k - 1, units - 1), k - 1)
+    one = np.eye(k)[of]
+    xlogx = class_lm._xlogx
+
+    def likelihood(of):
+        m = np.eye(k)[of].T @ pairs @ np.eye(k)[of]
+        return xlogx(m).sum() - xlogx(m.sum(0)).sum() - xlogx(m.sum(1)).sum()
+
+    to, come, own = pairs @ one, (one.T @ pairs).T, np.diagonal(pairs)
+    own_class = one * own[:, None]
+    got = class_lm.best_classes(one.T @ pairs @ one, to - own_class, come - own_class, own, of)
+    for u in range(units - 1):
+        by = [likelihood(np.where(np.arange(units) == u, c, of)) for c in range(k - 1)]
+        assert by[got[u]] == pytest.approx(max(by))
+
+
+def _hash(word):
+    from fitgrid.llm.kernels import Words
+
+    return Words(np.array([0, len(word)]), np.frombuffer(word.encode(), np.uint8), lower=True).hash[0]
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
     rows = QUERIES["op6_toxicity"](spark, "/root/testdata/sf0.01").join(labels, "doc_id").filter("held_out").collect()
