@@ -101,7 +101,7 @@ def event_counters(spark, sf_dir):
     e = _t(spark, sf_dir, "events").withColumn("key", F.get_json_object("props", "$.k"))
     per = e.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("ts", "event_id")).alias("seen"))
     per = per.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seen")))
-    return per.groupBy(F.when(F.col("place") <= 50, F.col("key")).otherwise(F.lit("other")).alias("key")).agg(F.sum("n").alias("n"))
+    return per.groupBy(F.when(F.col("place") <= 100, F.col("key")).otherwise(F.lit("other")).alias("key")).agg(F.sum("n").alias("n"))
 
 
 def experience_months(spark, sf_dir):

@@ -46,3 +46,15 @@ def test_batch_and_stream_agree(spark, tmp_path):
     key = lambda r: (r[0], r[1], str(r[2:]))
     assert sorted(map(tuple, batch.collect()), key=key) == sorted(want, key=key)
     assert sorted(map(tuple, spark.table("verdicts").collect()), key=key) == sorted(want, key=key)
+
+
+def test_counters_keep_a_hundred_keys(spark, tmp_path):
+    from datetime import datetime, timedelta
+
+    from fitgrid.plans.records import event_counters
+
+    day = datetime(2024, 1, 1)
+    rows = [(i, day + timedelta(seconds=i), '{"k": "key%d"}' % (i % 103)) for i in range(206)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["key"]: r["n"] for r in event_counters(spark, str(tmp_path)).collect()}
+    assert got == {f"key{i}": 2 for i in range(100)} | {"other": 6}
