@@ -80,7 +80,7 @@ def balance_sign_test(spark, sf_dir):
 
 
 def balance_intervals(spark, sf_dir):
-    return A.bootstrap_mean(_t(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", "s_acctbal", samples=500)
+    return A.bootstrap_mean(_t(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", "s_acctbal")
 
 
 def tracked_alerts(spark, sf_dir):

@@ -75,3 +75,12 @@ def test_interval_holds_the_mean(spark):
     assert low < 4.5 < high and 0.4 < high - low < 0.8
     p = A.sign_test(spark.createDataFrame([("a", 1.0)] * 5 + [("a", -1.0), ("a", 0.0), ("b", 0.0)], "g string, d double"), "g", "d").orderBy("g").collect()
     assert abs(p[0]["p"] - 14 / 64) < 1e-9 and p[1]["p"] is None
+
+
+def test_intervals_run_with_the_default_samples(spark, monkeypatch):
+    from fitgrid.plans import understanding
+
+    seen = []
+    monkeypatch.setattr(understanding.A, "bootstrap_mean", lambda *a, **how: seen.append(how))
+    understanding.balance_intervals(spark, "/root/testdata/sf0.001")
+    assert seen == [{}]
