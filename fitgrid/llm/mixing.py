@@ -104,6 +104,8 @@ def mix(docs: DataFrame, entropy: float | None = 0.95, repeats: float | None = 2
     z, least, whole, most_rows = sources.agg(F.sum(w), F.min(F.when(F.col("tokens") > 0, w / F.col("tokens"))), F.sum("tokens"), F.max("n")).collect()[0]
     scale = 0.0 if not z or not least else (1 / least if budget is None else budget / z)
     weights = sources.select("__source", (w / (z or 1.0)).alias("__weight"), F.when(F.col("tokens") > 0, w * scale / F.col("tokens")).otherwise(1.0).alias("__passes"), "tokens")
+    near = F.round("__passes")
+    weights = weights.withColumn("__passes", F.when(F.abs(F.col("__passes") - near) <= 1e-9, near).otherwise(F.col("__passes")))
     buckets = 1 + int((most_rows or 0) // BUCKET_ROWS)
 
     # the part of a pass: texts in the order of a hash, up to the budget; sums first by bucket of that order, then within
@@ -125,7 +127,10 @@ def mix(docs: DataFrame, entropy: float | None = 0.95, repeats: float | None = 2
     ranges = placed.groupBy("__source", "__pass", "__weight", block.alias("block")).agg(F.min(_rank("__order")).alias("lo"), F.max(_rank("__order")).alias("hi"))
     ranges = saved(ranges.groupBy("__source", "__pass", "__weight").agg(F.sort_array(F.collect_list(F.struct("block", "lo", "hi"))).alias("__ranges")), "ranges")
     here = _rank(order)
-    out = rows.join(ranges, "__source").withColumn("__block", F.get(F.filter("__ranges", lambda r: (r["lo"] <= here) & (here <= r["hi"])), 0)["block"])
+    # texts without words behind the last text drawn cost nothing: they go to the block before them
+    before = F.coalesce(F.get(F.reverse(F.filter("__ranges", lambda r: r["lo"] <= here)), F.lit(0)), F.get("__ranges", F.lit(0)))["block"]
+    drawn_in = F.get(F.filter("__ranges", lambda r: (r["lo"] <= here) & (here <= r["hi"])), 0)["block"]
+    out = rows.join(ranges, "__source").withColumn("__block", F.coalesce(drawn_in, F.when(F.col("__tokens") == 0, before)))
     return out.filter("__block IS NOT NULL").withColumn("__place", F.xxhash64(F.lit(seed + 1), "__id", "__pass")).select(*docs.columns, "__source", "__pass", "__block", "__place", "__tokens", "__weight")
 
 

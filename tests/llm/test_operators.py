@@ -341,6 +341,15 @@ def test_mixing_budgets(spark):
         assert d.doc_id.is_unique
 
 
+def test_mixing_draws_wordless_texts_in_every_pass_begun(spark):
+    rows = [(d, " ".join(["w"] * 10), "a") for d in range(40)] + [(100 + d, "", "a") for d in range(40)]
+    df = spark.createDataFrame([(d, t, s, "") for d, t, s in rows], "doc_id long, text string, source string, lang string")
+    out = mixing.mix(df, entropy=None, repeats=None, budget=500.0).toPandas()
+    for p, full in ((0, 40), (1, 10)):
+        got = out[out["__pass"] == p]
+        assert got.doc_id.is_unique and (got.doc_id < 100).sum() == full and (got.doc_id >= 100).sum() == 40
+
+
 def test_exponent_meets_entropy(spark):
     s = spark.createDataFrame([("a", 900), ("b", 90), ("c", 10)], "source string, tokens long")
     t = mixing.exponent(s, entropy=0.8)
