@@ -166,8 +166,8 @@ def test_class_lm_clusters_words_beyond_the_most_frequent(spark, monkeypatch):
         rows.append((d, " ".join(text)))
     seen, real = [], class_lm.own_classes
 
-    def spy(train, head, kind, own, of, n):
-        seen.append((head, own, *real(train, head, kind, own, of, n), n))
+    def spy(train, head, kind, own, often, of, n):
+        seen.append((head, own, *real(train, head, kind, own, often, of, n), n))
         return seen[-1][2:4]
 
     monkeypatch.setattr(class_lm, "own_classes", spy)
@@ -179,9 +179,9 @@ def test_class_lm_clusters_words_beyond_the_most_frequent(spark, monkeypatch):
     mids = [{w for w in (*c, *r) if own[at[w]]} for c, r in zip(common, rare, strict=True)]
     assert all(len(m) >= 20 for m in mids) and not {kind[at[w]] for w in mids[0]} & {kind[at[w]] for w in mids[1]}
     assert n.sum() == before.sum() == sum(201 for d, _ in rows if zlib.crc32(str(d).encode()) % 10)
-    xlogx = class_lm._xlogx
-    likelihood = [xlogx(m).sum() - xlogx(m.sum(0)).sum() - xlogx(m.sum(1)).sum() for m in (before, n)]
-    assert likelihood[1] > likelihood[0]
+    assert class_lm.likelihood(n) > class_lm.likelihood(before)
+    # the second round is over all words, the most frequent included, and never lowers the likelihood that is used
+    assert seen[1][1].sum() == own.sum() + class_lm.CORE and seen[1][4] is n
 
 
 def test_best_class_has_the_greatest_likelihood():
