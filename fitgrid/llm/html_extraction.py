@@ -1,173 +1,245 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of a host are taken in blocks of at most ``BLOCK`` (a host of any size is many
-blocks, so no task holds a whole host). A page is a sequence of tokens, tags and
-words, each with its role: the path of elements above it. Over the pages of a block
-every token has an occurrence vector; tokens with equal vectors are one equivalence
-class. A class is valid if it is found on enough pages, has enough tokens and its
-tokens come in one order, round by round, on every page. Valid classes nest: one may
-lie between two neighbouring tokens of another, or apart from it, but not across;
-of classes that cross the one on fewer pages is dropped. The tokens of the classes that remain
-are the template, and the text between them are its slots. Classes are deduced over the
-tokens outside articles, and by themselves over those inside. Inside, a class must be on
-``ARTICLE_SUPPORT`` of the pages with an article, which must be ``ARTICLE_PAGES`` at least,
-and all classes together may be ``ARTICLE_SHARE`` of the articles' words at most: so copies
-of an article on one host, or a passage common to many of its pages, stay whole. A line of an
-article loses its template words if they are ``LEAST_TOKENS`` at least or the whole line.
-
-Slots in menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles
-and reader comments are left out, by element and by the words of class, id and role.
-If a page has an article (article, main, role=main) only the slots in it remain;
-otherwise all slots that remain. Blocks: see ``BREAKS``; a br is white space.
+Pages of a host are dealt to blocks of about ``BLOCK`` (a host of any size is many blocks,
+so no task holds a whole host; a page's block follows from its host's size and its own key,
+not from partitions). A page is a sequence of tokens, tags and words, each with its role:
+the path of elements above it. Over the distinct pages of a block every token has an
+occurrence vector; tokens with equal vectors are one equivalence class. Of a class, the
+tokens that come in one order on every page are valid; a class with too few of them, or on
+too few pages, is dropped. Then tokens that occur more often are told apart by the template token
+before them, and classes are found again. Valid classes nest: one may lie between two neighbouring tokens
+of another, or apart from it, but not across; of classes that cross the one on fewer pages
+is dropped. The tokens of the classes that remain are the template; a class of a host's
+``SUPPORT`` of pages may hold words, one of tags alone needs ``LEAST_PAGES``, so that every layout counts.
+
+The template's elements are frames, and what is not template inside a frame is its slot. The
+slots decide what is extracted: on each page the one with the most words (over the block's pages
+that have it, links' words and template words not counted) is the article's, and the
+article reaches from there to the nearest element above that holds a heading, unless that
+element is the whole page or holds a slot of links or an element that is never an article.
+Menus, adverts and footers thereby go without being named. Names break ties only: an element
+of ``OUTSIDE``, or a container all of whose class, id or role is made of ``NAMES``, is never
+the article; of the rest, inside an article, nothing goes for its name but such elements.
+Template words outside an article element go; inside, a class must be on ``ARTICLE_SUPPORT``
+of the pages, which must be ``ARTICLE_PAGES`` at least, and all classes together may be
+``ARTICLE_SHARE`` of the articles' words at most: so copies of an article on one host, or a passage
+common to many of its pages, stay whole. A line of an article loses its template words if
+they are ``LEAST_TOKENS`` at least or the whole line.
+
+A page that no class covers, as in a block of fewer than ``LEAST_PAGES`` distinct pages, has
+its own elements for frames. Blocks of text: see ``BREAKS``; a br is white space.
 """
 
 from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+import zlib
+from bisect import bisect, bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import saved, table
 
 BLOCK, LEAST_PAGES, LEAST_TOKENS = 64, 3, 3
-ARTICLE_PAGES, ARTICLE_SUPPORT, ARTICLE_SHARE = 8, 0.8, 0.25
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?/][^a-zA-Z][^>]*>|<[!?][^>]*>"
-    r"|<(?P<raw>script|style|noscript|template|textarea|svg|math|iframe|object|xmp)\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*>.*?(?:</(?P=raw)\s*>|\Z)"
-    r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<rest>(?:\"[^\"]*\"|'[^']*'|[^'\">])*)>"
-    r"|(?P<text>[^<]+|<)",
-    re.S | re.I,
-)
+ARTICLE_PAGES, ARTICLE_SUPPORT, ARTICLE_SHARE, SUPPORT = 8, 0.8, 0.25, 0.5
+#: Hosts of more than BLOCK pages whose sizes are broadcast at most; beyond that they are joined by host.
+MOST_BROADCAST = 100_000
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)")
 _NAMED = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
+RAW = {n: re.compile(rf"</{n}\s*>", re.I) for n in "script style noscript template textarea svg math iframe object xmp".split()}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+FLOW = frozenset("blockquote dd dl dt figure figcaption h1 h2 h3 h4 h5 h6 li ol p pre table tbody td tfoot th thead tr ul a abbr b cite code em i mark q s small span strong sub sup u".split())
+HEADINGS = frozenset("h1 h2 h3".split())
 BREAKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
-#: Elements whose text is never part of an article.
+#: Elements that are never an article's text.
 OUTSIDE = frozenset("head nav footer aside form button select menu dialog title label input canvas audio video".split())
-#: Words of class, id or role that say the same.
-NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer form gdpr menu modal nav navbar navigation navigator newsletter notice notices pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets".split())
-HEADERS = frozenset(("header", "masthead", "topbar", "banner"))
+#: Words that say the same of a container if its class, id or role is made of them and of ``PLAIN`` alone.
+NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer form gdpr menu modal nav navbar navigation navigator newsletter notice notices pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets header masthead topbar".split())
+PLAIN = frozenset("area bar block blocks body bottom box button buttons container content global group inner item items js left link links list main outer page post posts right row section site strip the top wrap wrapper".split())
+CONTAINERS = frozenset("div section ul ol table header article details figure".split())
 _CLOSES_P = BREAKS - {"html", "body"}
+_PAGE = frozenset(("", "html", "body"))
 
 
-def _parse(page: str) -> list[tuple]:
-    """Tokens of a page: (role, token, text, in_article, outside, breaks).
+def _stable(above: int, what: str) -> int:
+    """A 62-bit number for a path, the same in every process."""
+    raw = what.encode("utf-8", "replace")
+    return ((above * 1000003) ^ (zlib.crc32(raw) << 30) ^ zlib.adler32(raw)) & 0x3FFFFFFFFFFFFFFF
+
 
-    Tags have text None. ``outside``: in an element that is never article text.
+def _named_outside(name: str, named: str) -> bool:
+    """Whether an element is never an article's by its name, or a container by each word of a class, id or role."""
+    if name in OUTSIDE:
+        return True
+    if name not in CONTAINERS or not named:
+        return False
+    for token in named.split():
+        parts = set(_PART.findall(token))
+        if parts & NAMES and parts <= NAMES | PLAIN:
+            return True
+    return False
+
+
+class Roles:
+    """The paths of a block's pages: element above, name, what its attributes say, and whether it is outside."""
+
+    def __init__(self):
+        self.of: dict[tuple[int, str], int] = {}
+        self.above: dict[int, int] = {0: 0}
+        self.name: dict[int, str] = {0: ""}
+        self.out: dict[int, bool] = {0: False}
+        self.article: dict[int, bool] = {0: False}
+        self.link: dict[int, bool] = {0: False}
+        self.within: dict[int, list[int]] = defaultdict(list)
+
+    def enter(self, above: int, name: str, named: str) -> int:
+        what = f"{name} {named}"
+        role = self.of.get((above, what))
+        if role is None:
+            role = self.of[above, what] = _stable(above, what)
+            if role not in self.above:
+                self.above[role], self.name[role] = above, name
+                article = self.article[above] or name in ("article", "main") or "main" in named.split()
+                out = name not in _PAGE and _named_outside(name, named)
+                if name == "header":
+                    out = not article
+                self.out[role] = self.out[above] or out
+                self.article[role] = article and not self.out[role]
+                self.link[role] = self.link[above] or name == "a"
+                self.within[above].append(role)
+        return role
+
+
+def parse(page: str, roles: Roles) -> list[tuple]:
+    """Tokens of a page in one pass over it: (role, tag, text, breaks); the tag is "" for text, else its element's.
+
+    A tag that never ends has no closing bracket for its quotes: from there on quotes are not heeded, so that
+    malformed pages take linear time; without any bracket the rest of the page is dropped.
     """
     out: list[tuple] = []
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # name, role, article, outside
-    seen: dict[tuple[int, str], int] = {}
-
-    def enter(name: str, named: str) -> tuple[int, bool, bool]:
-        _, above, article, outside = stack[-1]
-        parts = set(_PART.findall(named)) if named else set()
-        if name in OUTSIDE or parts & NAMES or (not article and (name == "header" or parts & HEADERS)):
-            if name not in ("html", "body"):
-                outside = True
-        if not outside and (name in ("article", "main") or ("main" in parts and "role" in named)):
-            article = True
-        role = hash_of(above, name + " " + named)
-        return role, article, outside
-
-    def hash_of(above: int, what: str) -> int:
-        key = (above, what)
-        if key not in seen:
-            seen[key] = _stable(above, what)
-        return seen[key]
-
-    for m in _TOKEN.finditer(page):
-        text = m["text"]
-        _, role, article, outside = stack[-1]
-        if text is not None:
-            out.append((role, "", text, article, outside, False))
+    stack: list[tuple[str, int]] = [("", 0)]
+    open_: Counter = Counter()
+    at, n, quotes = 0, len(page), True
+
+    def cut(depth: int) -> None:
+        for name, _ in stack[depth:]:
+            open_[name] -= 1
+        del stack[depth:]
+
+    while at < n:
+        if page[at] != "<":
+            to = page.find("<", at)
+            to = n if to < 0 else to
+            out.append((stack[-1][1], "", page[at:to], False))
+            at = to
             continue
-        name = m["name"]
-        if not name:
-            continue
-        name = name.lower()
-        breaks = name in BREAKS
-        if m["end"]:
-            if name == "p" and all(s[0] != "p" for s in stack):
-                out.append((role, "</p>", None, article, outside, True))
-                continue
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at][0] == name:
-                    del stack[at:]
+        nxt = page[at + 1 : at + 2]
+        if nxt in ("!", "?") or (nxt == "/" and not page[at + 2 : at + 3].isalpha()):
+            for start, end in (("<!--", "-->"), ("<![CDATA[", "]]>"), ("<", ">")):
+                if page.startswith(start, at):
+                    to = page.find(end, at + len(start))
+                    at = n if to < 0 else to + len(end)
                     break
-            else:
+            continue
+        m = _TAG.match(page, at) if quotes and (nxt == "/" or nxt.isascii() and nxt.isalpha()) else None
+        if m and page[m.end() : m.end() + 1] == ">":
+            closing, name, rest, at = m[1], m[2].lower(), m[3], m.end() + 1
+        elif nxt == "/" or nxt.isascii() and nxt.isalpha():
+            quotes = quotes and m is not None and m.end() < n
+            to = page.find(">", at)
+            if to < 0:
+                break
+            m = re.match(r"<(/?)([a-zA-Z][^\s/>]*)", page[at:to])
+            closing, name, rest, at = m[1] if m else "", (m[2] if m else "").lower(), page[at + m.end() : to] if m else "", to + 1
+            if not m:
                 continue
-            out.append((stack[-1][1], "</" + name + ">", None, stack[-1][2], stack[-1][3], breaks))
+        else:
+            out.append((stack[-1][1], "", "<", False))
+            at += 1
+            continue
+        breaks = name in BREAKS
+        if closing:
+            if name == "p" and not open_["p"]:
+                out.append((stack[-1][1], "/p", None, True))
+            elif open_[name]:
+                depth = len(stack) - 1
+                while stack[depth][0] != name:
+                    depth -= 1
+                role = stack[depth][1]
+                cut(depth)
+                out.append((role, "/" + name, None, breaks))
+            continue
+        if name in RAW:
+            if not rest.rstrip().endswith("/"):
+                end = RAW[name].search(page, at)
+                at = n if end is None else end.end()
             continue
-        if name in _CLOSES_P or name == "li":
-            what = ("li",) if name == "li" else ()
-            for at in range(len(stack) - 1, 0, -1):
-                if stack[at][0] == "p" or stack[at][0] in what:
-                    del stack[at:]
+        if (name in _CLOSES_P or name == "li") and (open_["p"] or (name == "li" and open_["li"])):
+            for depth in range(len(stack) - 1, 0, -1):
+                if stack[depth][0] == "p" or (name == "li" and stack[depth][0] == "li"):
+                    cut(depth)
                     break
-                if stack[at][0] in BREAKS:
+                if stack[depth][0] in BREAKS:
                     break
         named = ""
-        if "=" in m["rest"]:
-            named = " ".join(k.lower() + " " + (a or b or c).lower() for k, a, b, c in _NAMED.findall(m["rest"]))
-        role, article, outside = enter(name, named)
-        out.append((stack[-1][1], "<" + name + " " + named + ">", None, article, outside, breaks or name == "br"))
-        if name not in VOID and not m["rest"].rstrip().endswith("/"):
-            stack.append((name, role, article, outside))
+        if "=" in rest:
+            named = " ".join((k.lower() + " " if k.lower() == "role" else "") + (a or b or c).lower() for k, a, b, c in _NAMED.findall(rest))
+        role = roles.enter(stack[-1][1], name, named)
+        out.append((role, name, None, breaks or name == "br"))
+        if name not in VOID and not rest.rstrip().endswith("/"):
+            stack.append((name, role))
+            open_[name] += 1
     return out
 
 
-def _stable(above: int, what: str) -> int:
-    """A 62-bit number for a path, the same in every process."""
-    import zlib
-
-    raw = what.encode("utf-8", "replace")
-    return ((above * 1000003) ^ (zlib.crc32(raw) << 30) ^ zlib.adler32(raw)) & 0x3FFFFFFFFFFFFFFF
-
-
-def deduce_template(pages: list[list[tuple]]) -> set[tuple[int, str]]:
-    """The roles and tokens that make up the template of pages (as ``_parse`` gives them)."""
-    if len(pages) < LEAST_PAGES:
-        return set()
-    template = _classes([_keys(t, False) for t in pages], max(LEAST_PAGES, 0.5 * len(pages)))
-    articles = [_keys(t, True) for t in pages if any(x[3] and not x[4] and x[2] is not None and x[2].strip() for x in t)]
-    if len(articles) >= ARTICLE_PAGES:
-        inside = _classes(articles, ARTICLE_SUPPORT * len(articles))
-        words = [k for sequence in articles for k in sequence if k[1][0] != "<"]
-        if sum(k in inside for k in words) <= ARTICLE_SHARE * len(words):
-            template |= inside
-    return template
-
-
-def _keys(tokens: list[tuple], inside: bool) -> list[tuple[int, str]]:
-    """Roles and tokens of a page, in its order: those inside an article, or those outside."""
+def _keys(tokens: list[tuple], roles: Roles) -> list[tuple[int, str]]:
+    """Roles and tokens of a page in its order, a tag's with a bracket."""
     out = []
-    for role, token, text, article, outside, _ in tokens:
-        if article != inside or (inside and outside):
-            continue
+    for role, tag, text, _ in tokens:
         if text is None:
-            out.append((role, token))
+            out.append((role, "<" + tag))
         else:
             out += [(role, w) for w in text.split()]
     return out
 
 
-def _classes(sequences: list[list[tuple[int, str]]], least: float) -> set[tuple[int, str]]:
+def _in_order(lines: list[list[int]]) -> list[int]:
+    """The tokens that come in one order on all lines (each has every token once): increasing runs, line by line."""
+    kept = lines[0]
+    for line in lines[1:]:
+        place = {t: i for i, t in enumerate(line)}
+        tails: list[int] = []
+        last: list[int] = []
+        back: dict[int, int | None] = {}
+        for t in kept:
+            i = bisect_left(tails, place[t])
+            back[t] = last[i - 1] if i else None
+            tails[i:], last[i:] = [place[t], *tails[i + 1 :]], [t, *last[i + 1 :]]
+        t, run = last[-1] if last else None, []
+        while t is not None:
+            run.append(t)
+            t = back[t]
+        kept = run[::-1]
+    return kept
+
+
+def classes(sequences: list[list[tuple[int, str]]], least: float) -> set[tuple[int, str]]:
     """The tokens of the valid classes that are on ``least`` pages or more and do not cross."""
-    vectors: dict[tuple[int, str], dict[int, int]] = defaultdict(lambda: defaultdict(int))
-    for p, sequence in enumerate(sequences):
-        for k in sequence:
-            vectors[k][p] += 1
+    counts = [Counter(s) for s in sequences]
+    pages: Counter = Counter()
+    for c in counts:
+        pages.update(c.keys())
     by_vector: dict[tuple, list[tuple[int, str]]] = defaultdict(list)
-    for k, v in vectors.items():
-        if len(v) >= least:
-            by_vector[tuple(sorted(v.items()))].append(k)
-    large = {v: set(keys) for v, keys in by_vector.items() if len(keys) >= LEAST_TOKENS}
+    for k, n in pages.items():
+        if n >= least:
+            by_vector[tuple(c.get(k, 0) for c in counts)].append(k)
+    large = {v: keys for v, keys in by_vector.items() if len(keys) >= LEAST_TOKENS}
     of = {k: v for v, keys in large.items() for k in keys}
     found: dict[tuple, list[list[tuple[int, tuple[int, str]]]]] = {v: [] for v in large}
     for sequence in sequences:
@@ -177,45 +249,193 @@ def _classes(sequences: list[list[tuple[int, str]]], least: float) -> set[tuple[
                 here[of[k]].append((at, k))
         for v in large:
             found[v].append(here.get(v, []))
-    order = {}
-    for v, keys in large.items():  # one order, round by round, on every page
-        first = next(x for x in found[v] if x)
-        line = [k for _, k in first[: len(keys)]]
-        if len(set(line)) == len(keys) and all([k for _, k in x] == line * (len(x) // len(keys)) for x in found[v]):
-            order[v] = len(keys)
+    order: dict[tuple, list[tuple[int, str]]] = {}
+    for v, keys in large.items():
+        lines = [[k for _, k in x] for x in found[v] if x]
+        if max(v) == 1:
+            line = _in_order(lines)
+        else:  # several rounds on a page: all in one order, or the class is none
+            line = lines[0][: len(keys)]
+            if len(set(line)) < len(keys) or any(x != line * (len(x) // len(keys)) for x in lines):
+                continue
+        if len(line) >= LEAST_TOKENS:
+            order[v] = line
+            if len(line) < len(keys):
+                valid = set(line)
+                found[v] = [[x for x in places if x[1] in valid] for places in found[v]]
     kept: list[tuple] = []
-    for v in sorted(order, key=lambda v: (-len(v), -order[v], v)):
-        if all(_nests(found[v], order[v], found[w], order[w]) for w in kept):
+    for v in sorted(order, key=lambda v: (-sum(map(bool, v)), -len(order[v]), v)):
+        if all(_nests(found[v], len(order[v]), found[w], len(order[w])) for w in kept):
             kept.append(v)
-    return {k for v in kept for k in large[v]}
+    return {k for v in kept for k in order[v]}
 
 
 def _nests(inner: list, n: int, outer: list, m: int) -> bool:
     """Whether each round of the one lies between two tokens of the other, or apart from it, on every page."""
-    from bisect import bisect
-
     for x, y in zip(inner, outer, strict=True):
         if not x or not y:
             continue
         places = [at for at, _ in y]
-        rounds = [(x[i][0], x[i + n - 1][0]) for i in range(0, len(x), n)]
-        if all(bisect(places, a) == bisect(places, b) for a, b in rounds):
+        if all(bisect(places, x[i][0]) == bisect(places, x[i + n - 1][0]) for i in range(0, len(x), n)):
             continue
         places = [at for at, _ in x]
-        rounds = [(y[i][0], y[i + m - 1][0]) for i in range(0, len(y), m)]
-        if not all(bisect(places, a) == bisect(places, b) for a, b in rounds):
+        if not all(bisect(places, y[i][0]) == bisect(places, y[i + m - 1][0]) for i in range(0, len(y), m)):
             return False
     return True
 
 
-def slots_text(tokens: list[tuple], template: set[tuple[int, str]]) -> str:
-    """The article in the slots of a page."""
-    only = any(t[3] and not t[4] and t[2] is not None and t[2].strip() for t in tokens)
-    roles = {role for role, _ in template}
-    blocks, run, whole = [], [], []  # of a line: its text without template words, and an article's with them
+def deduce(sequences: list[list[tuple[int, str]]], least: float) -> tuple[set, set]:
+    """The template's tokens, and those that are template only behind one of them: a token that occurs more often
+    than others of its class is told apart by the template token before it, and classes are found again."""
+    first = classes(sequences, least)
+    if not first:
+        return first, set()
+    again = []
+    for s in sequences:
+        gap, line = None, []
+        for k in s:
+            if k in first:
+                gap = k
+            line.append(k if k in first else (k, gap))
+        again.append(line)
+    return first, classes(again, least) - first
+
+
+def marks(sequence: list[tuple[int, str]], found: tuple[set, set]) -> bytearray:
+    """1 for each token of a page that is template."""
+    first, second = found
+    out, gap = bytearray(len(sequence)), None
+    for i, k in enumerate(sequence):
+        if k in first:
+            gap = k
+            out[i] = 1
+        elif (k, gap) in second:
+            out[i] = 1
+    return out
+
+
+class Template:
+    """What a block's pages share, and where their articles are.
+
+    For each page ``general`` marks its tokens (as ``_keys`` gives them) that are template, ``strict`` those that go
+    inside articles too. ``frames`` are roles, ``score`` the words of a page's slot of each, ``links`` frames of links.
+    """
+
+    def __init__(self, roles: Roles, pages: list[list[tuple]]):
+        self.roles = roles
+        sequences = [_keys(p, roles) for p in pages]
+        distinct = list({tuple(s): s for s in sequences}.values())
+        found, tags = (set(), set()), set()
+        if len(distinct) >= LEAST_PAGES:
+            found = deduce(distinct, max(LEAST_PAGES, SUPPORT * len(distinct)))
+            tags = classes([[k for k in s if k[1][0] == "<"] for s in distinct], LEAST_PAGES)
+        self.general = [marks(s, found) for s in sequences]
+        self.strict = [bytearray(len(s)) for s in sequences]
+        articles = [x for x in ([k for k in s if roles.article[k[0]]] for s in distinct) if any(w[0] != "<" for _, w in x)]
+        if len(articles) >= ARTICLE_PAGES:
+            inside = deduce(articles, ARTICLE_SUPPORT * len(articles))
+            gone = sum(m for x in articles for m, k in zip(marks(x, inside), x, strict=True) if k[1][0] != "<")
+            if gone <= ARTICLE_SHARE * sum(k[1][0] != "<" for x in articles for k in x):
+                for s, out in zip(sequences, self.strict, strict=True):
+                    at = [i for i, k in enumerate(s) if roles.article[k[0]]]
+                    for i, m in zip(at, marks([s[i] for i in at], inside), strict=True):
+                        out[i] = m
+        self.tokens = found[0] | tags
+        self.frames = {0} | {r for r, t in self.tokens if t == "<" + roles.name[r]}
+        self.framed: dict[int, int] = {}
+        alone = [s for s in distinct if all(roles.name[self.frame(r)] in _PAGE or roles.out[r] for r, w in s if w[0] != "<")]
+        self.frames.update(r for s in alone for r, _ in s if roles.name[r] in BREAKS)  # a page of a layout of its own
+        self.framed.clear()
+        self.headed: set[int] = set()  # elements that hold a heading, at any depth
+        for r, name in roles.name.items():
+            while name in HEADINGS and not roles.out[r] and r not in self.headed:
+                self.headed.add(r)
+                r = roles.above[r]
+        self._weigh(sequences, self.general)
+        if not any(self.score.values()):  # all is template, as on near copies of one page
+            self._weigh(sequences, [bytearray(len(s)) for s in sequences])
+
+    def frame(self, role: int) -> int:
+        """The frame that a role stands in. Paths are walked once, as pages may nest without end."""
+        path = []
+        while role not in self.frames and role not in self.framed:
+            path.append(role)
+            role = self.roles.above[role]
+        found = role if role in self.frames else self.framed[role]
+        self.framed.update(dict.fromkeys(path, found))
+        return found
+
+    def _weigh(self, sequences: list[list[tuple[int, str]]], marked: list[bytearray]) -> None:
+        roles = self.roles
+        words: Counter = Counter()
+        linked: Counter = Counter()
+        on: Counter = Counter()
+        for s, gone in zip(sequences, marked, strict=True):
+            here = Counter(role for (role, w), m in zip(s, gone, strict=True) if w[0] != "<" and not m)
+            seen = set()
+            for role, n in here.items():
+                f = self.frame(role)
+                if roles.out[role] and not roles.out[f]:
+                    continue
+                seen.add(f)
+                (linked if roles.link[role] else words)[f] += n
+            on.update(seen)
+        self.links = {f for f, n in linked.items() if n > words[f]}
+        self.score = {f: words[f] / on[f] for f in on if f not in self.links and not roles.out[f]}
+
+    def region(self, frame: int) -> int:
+        """The element that the article of a slot reaches up to."""
+        roles, role = self.roles, frame
+        while roles.name[role] in FLOW and roles.above[role] != role:
+            role = roles.above[role]
+        up = role
+        while up not in self.headed:
+            up = roles.above[up]
+            if roles.name[up] in _PAGE or self._mixed(up):
+                return role
+        return up
+
+    def _mixed(self, role: int) -> bool:
+        return any(self.roles.out[r] or r in self.links for r in self.roles.within.get(role, ()))
+
+
+def slots_text(tokens: list[tuple], template: Template, page: int) -> str:
+    """The article in the slots of a page, the block's ``page``-th."""
+    roles = template.roles
+    frames = {template.frame(role) for role, _, text, _ in tokens if text is not None and not roles.out[role] and not text.isspace()}
+    ranked = sorted((f for f in frames if f in template.score), key=lambda f: (-template.score[f], f))
+    for f in ranked or sorted(frames):  # where all is template words or links, whatever there is
+        text = _text_in(tokens, template, page, template.region(f))
+        if text:
+            return text
+    return ""
+
+
+def _text_in(tokens: list[tuple], template: Template, page: int, region: int) -> str:
+    roles = template.roles
+    page_wide = roles.name[region] in ("html", "body") or (region and template._mixed(region))
+    wanted: dict[int, bool] = {region: True}
+
+    def want(role: int) -> bool:
+        path = []
+        while role not in wanted:
+            path.append(role)
+            if role == roles.above[role] or roles.out[role] or (role in template.links and roles.name[role] not in FLOW):
+                wanted[role] = False
+            role = roles.above[role]
+        found = wanted[role]
+        for r in reversed(path):
+            # of a whole page, or a part with a menu in it, only the text elements next to the article
+            found = wanted.setdefault(r, found and (not page_wide or roles.above[r] != region or roles.name[r] in FLOW))
+        return found
+
+    blocks: list[str] = []
+    run: list[str] = []  # of a line: its text without template words
+    whole: list[str] = []  # and with those of an article
     count = [0, 0]  # words of an article's line, and those of the template
+    general, strict, at = template.general[page], template.strict[page], 0
 
-    def close():
+    def close() -> None:
         kept = run if count[1] >= LEAST_TOKENS or count[0] == count[1] else whole
         line = " ".join(html.unescape("".join(kept)).split())
         if line:
@@ -224,63 +444,81 @@ def slots_text(tokens: list[tuple], template: set[tuple[int, str]]) -> str:
         whole.clear()
         count[:] = 0, 0
 
-    for role, token, text, article, outside, breaks in tokens:
+    for role, tag, text, breaks in tokens:
         if text is None:
-            if breaks and not token.startswith("<br "):
+            at += 1
+            if breaks and tag != "br":
                 close()
-            elif breaks or token.startswith(("<td", "<th", "</td", "</th")):
+            elif breaks or tag in ("td", "th", "/td", "/th"):
                 run.append(" ")
                 whole.append(" ")
-        elif not outside and (article or not only):
+            continue
+        words = text.split()
+        start, at = at, at + len(words)
+        if want(role):
+            article = roles.article[role] or roles.name[role] in FLOW
+            gone = (strict if article else general)[start:at]
             kept = text
-            if role in roles:
-                kept = "".join(w for w in re.split(r"(\s+)", text) if (role, w) not in template)
+            if any(gone):
+                left = iter(gone)
+                kept = "".join(w for w in re.split(r"(\s+)", text) if not w or w.isspace() or not next(left))
             if article:
-                n = len(text.split())
-                count[0] += n
-                count[1] += n - len(kept.split()) if role in roles else 0
+                count[0] += len(words)
+                count[1] += sum(gone)
             run.append(kept)
             whole.append(text if article else kept)
     close()
     return "\n".join(blocks)
 
 
+def extract(pages: list[str | None]) -> list[str]:
+    """The main texts of a block's pages."""
+    roles = Roles()
+    parsed = [parse(p or "", roles) for p in pages]
+    template = Template(roles, parsed)
+    return [slots_text(t, template, i) for i, t in enumerate(parsed)]
+
+
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held: list[tuple] = []
+    kinds, now = [], None
 
-    def done() -> pa.RecordBatch:
-        parsed = [_parse(page or "") for *_, page in held]
-        template = deduce_template(parsed)
-        texts = [slots_text(t, template) for t in parsed]
-        cols = [[h[0] for h in held], [h[1] for h in held], texts, [len(t) for t in texts]]
-        held.clear()
-        return pa.RecordBatch.from_arrays([pa.array(cols[0], kinds[0]), pa.array(cols[1], pa.string()), pa.array(texts, pa.string()), pa.array(cols[3], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    def done(rows: list[tuple]) -> pa.RecordBatch:
+        texts = extract([page for *_, page in rows])
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kinds[0]), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    host, kinds = None, None
     for b in batches:
         kinds = [b["page_id"].type]
+        host, block = b["host"], b["block"].to_pylist()
         for i in range(b.num_rows):
-            h = b["host"][i].as_py()
-            if held and (h != host or len(held) == BLOCK):
-                yield done()
-            host = h
+            key = (host[i].as_py(), block[i])
+            # repeated rows share a block, however many: it is cut where a whole one is left over
+            if held and (key != now or len(held) == 4 * BLOCK):
+                yield done(held[: 2 * BLOCK] if key == now else held)
+                held = held[2 * BLOCK :] if key == now else []
+            now = key
             held.append((b["page_id"][i].as_py(), b["url"][i].as_py(), b["html"][i].as_py()))
     if held:
-        yield done()
+        yield done(held)
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars (code points).
 
     Null or empty html gives an empty text; null urls are one host; repeated rows are
-    pages of their own; an empty table gives an empty result.
+    pages of their own with equal texts, and count once for the template; pages of any length are
+    taken whole, in time linear in it; ties between slots go to the smaller path number; other
+    columns, whatever their names, are not read; an empty table gives an empty result.
     """
     host = F.lower(F.regexp_extract(F.coalesce(F.col("url").cast("string"), F.lit("")), r"://([^/?#]*)", 1))
     kind = pages.schema["page_id"].dataType.simpleString()
+    sizes = saved(pages.groupBy(host.alias("host")).count().filter(F.col("count") > BLOCK).select("host", F.ceil(F.col("count") / BLOCK).alias("blocks")), "hosts")
+    few = sizes.count() <= MOST_BROADCAST
     rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"), F.xxhash64("page_id", "url").alias("deal"))
-    # by range, so that a host of any size spreads over partitions and pages of a host stay neighbours
-    rows = rows.repartitionByRange("host", "deal").sortWithinPartitions("host", "deal")
-    return rows.select("page_id", "url", "html", "host").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
+    rows = rows.join(F.broadcast(sizes) if few else sizes.hint("merge"), "host", "left")
+    rows = rows.withColumn("block", F.pmod("deal", F.coalesce("blocks", F.lit(1))))
+    rows = rows.repartition("host", "block").sortWithinPartitions("host", "block", "deal")
+    return rows.select("page_id", "url", "html", "host", "block").mapInArrow(_extract, f"page_id {kind}, url string, text string, n_chars long")
 
 
 def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -165,6 +165,7 @@ def test_class_lm_clusters_words_beyond_the_most_frequent(spark, monkeypatch):
             text[at] = str(rng.choice(rare[side]))
         rows.append((d, " ".join(text)))
     seen, real = [], class_lm.own_classes
+    monkeypatch.setattr(class_lm, "ROUNDS", 2)
 
     def spy(train, head, kind, own, often, of, n):
         seen.append((head, own, *real(train, head, kind, own, often, of, n), n))
@@ -307,16 +308,94 @@ def test_pages(spark):
 
 
 def test_template_words_go_where_no_article_is_named():
-    pages = [html_extraction._parse(f"<body><div>Welcome to our daily site</div><div><p>{w}</p></div><div>Call us any time now</div></body>") for w in ("red fox runs", "blue sea waits long", "old tree stands", "new day breaks again")]
-    template = html_extraction.deduce_template(pages)
-    assert html_extraction.slots_text(pages[1], template) == "blue sea waits long"
+    pages = [f"<body><div>Welcome to our daily site</div><div><p>{w}</p></div><div>Call us any time now</div></body>" for w in ("red fox runs", "blue sea waits long", "old tree stands", "new day breaks again")]
+    assert html_extraction.extract(pages)[1] == "blue sea waits long"
+
+
+def foreign_pages(n=12):
+    """Pages whose classes say nothing: a bar of links, an advert and a footer that differ from page to page, and long rules that do not."""
+    pages, texts, rules = [], [], " ".join(f"rule{k} says" for k in range(100))
+    for i in range(n):
+        body = [" ".join(f"w{i}x{k}x{j}" for j in range(10 + 7 * k)) for k in range(2 + i % 3)]
+        links = "".join(f"<a href=/{j}>go{i}x{j}</a> " for j in range(5))
+        shared = '<p class="share-price">The price of a share fell</p>' if i == 3 else ""
+        pages.append(f"<body><div class=q1>{links}</div><div class=q2>buy thing{i} now or never</div><div class=q3><div class=q4><h1>Head {i}</h1></div><div class=q5><p>{'<p>'.join(body)}{shared}</div></div><div class=q6>page {i} of our site, made by us</div><div class=q7>{rules}</div></body>")
+        texts.append("\n".join([f"Head {i}", *body] + (["The price of a share fell"] if shared else [])))
+    return pages, texts
+
+
+def test_classes_decide_where_names_say_nothing():
+    pages, texts = foreign_pages()
+    assert html_extraction.extract(pages) == texts
+    roles = html_extraction.Roles()
+    parsed = [html_extraction.parse(p, roles) for p in pages]
+    template = html_extraction.Template(roles, parsed)
+    assert all((r, "<" + n) in template.tokens for r, n in roles.name.items() if n == "div")
+    # without the classes there are no slots: a page alone gives its longest part, which is template here
+    assert html_extraction.extract(pages[:1])[0].startswith("rule0 says") and html_extraction.extract(pages[:3]) == texts[:3]
+
+
+def brute_classes(sequences, least):
+    """Tokens once on a page with equal occurrences, in the order that most of them keep, by trying subsets."""
+    import itertools
+
+    vectors = collections.defaultdict(list)
+    for k in {k for s in sequences for k in s}:
+        vectors[tuple(s.count(k) for s in sequences)].append(k)
+    best = {}
+    for v, keys in vectors.items():
+        if sum(map(bool, v)) < least or max(v) > 1:
+            continue
+        for size in range(len(keys), 2, -1):
+            found = [set(c) for c in itertools.combinations(keys, size) if len({tuple(k for k in s if k in c) for s in sequences if any(k in c for k in s)}) == 1]
+            if found:
+                best[v] = found
+                break
+    return best
+
+
+def test_classes_against_brute_force():
+    rng = np.random.default_rng(8)
+    for _ in range(30):
+        fixed = [(0, f"t{i}") for i in range(6)]
+        sequences = []
+        for p in range(5):
+            own = [(0, f"p{p}x{i}") for i in range(4)] + [(0, "loose")]
+            s = [*fixed, *own]
+            for k in own:  # own words, and one that all pages have, lie anywhere
+                s.remove(k)
+                s.insert(int(rng.integers(0, len(s) + 1)), k)
+            sequences.append(s)
+        got = html_extraction.classes(sequences, 3)
+        want = brute_classes(sequences, 3)
+        assert any(got == w for w in want[(1,) * 5]) and set(fixed) <= got
+
+
+def test_malformed_and_long_pages_take_linear_time():
+    import time
+
+    for unit in ("<div x='", "<div x='>'", "<a \"'>", "<", "</x>", "<!--", "<script>", "<p>", "class ", "<b><div>"):
+        began = time.perf_counter()
+        assert isinstance(html_extraction.extract([unit * (1_000_000 // len(unit))])[0], str)
+        assert time.perf_counter() - began < 10, unit
+    deep = "<div>" * 50_000 + "deep text"
+    assert html_extraction.extract([deep, deep, None, ""]) == ["deep text", "deep text", "", ""]
+    long = "<article><p>" + "word " * 300_000 + "</article>"
+    assert html_extraction.extract([long])[0].count("word") == 300_000
+
+
+def test_pages_do_not_depend_on_partitions(spark):
+    pages, texts = foreign_pages(150)
+    rows = [(i, f"http://one.example/{i}", p) for i, p in enumerate(pages)] + [(0, "http://one.example/0", pages[0])] * 300
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for n in (1, 7):
+        got = [(r["page_id"], r["text"]) for r in html_extraction.extract_main_text(df.repartition(n)).collect()]
+        assert sorted(got) == sorted((i, texts[i]) for i, *_ in rows)
 
 
 def test_template_words_go_inside_articles_and_copies_stay():
     def texts(articles):
-        pages = [html_extraction._parse(f"<body><div>Site</div><article>{a}</article></body>") for a in articles]
-        template = html_extraction.deduce_template(pages)
-        return [html_extraction.slots_text(p, template) for p in pages]
+        return html_extraction.extract([f"<body><div>Site</div><article>{a}</article></body>" for a in articles])
 
     body = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(12)]
     row = '<div class="tools">Share this story now</div><div class="by">Written by A{i} on day D{i}</div>'
