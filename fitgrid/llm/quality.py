@@ -2,7 +2,11 @@
 
 Each rule votes good (1), bad (-1) or abstains (0) on a text. Expectation
 maximisation over the counts of vote patterns estimates how often each rule casts
-each vote on good and on bad texts, and the share of good texts; no label is read.
+each vote on good texts and on bad ones, and the share of good texts; no label is read.
+Bad texts are of several kinds (wrong characters, repetition, wrong form, hardly any
+text), as a text with one fault seldom has another: each kind is a class of its own, and
+a rule's votes only say at the start which kind it looks for. So a rule that fires on texts
+that are otherwise like the good ones is outvoted, however it is named.
 A text is kept if the posterior probability that it is good is at least a half.
 Eight rules have at most 3**8 patterns, so what goes to the driver is bounded.
 """
@@ -21,9 +25,10 @@ from .kernels import Words, chunks, mix, windows
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
-#: A rule's bad vote is held to be this many times as likely on bad texts as on good ones, at least: without
-#: it the two classes may become two kinds of fault, and the rarer kind counts as good.
-BETTER = 200
+#: The kind of fault that each rule looks for, in the order of ``rules``.
+CHARACTERS, REPETITION, FORM, LENGTH = range(4)
+KINDS = (LENGTH, CHARACTERS, CHARACTERS, REPETITION, REPETITION, FORM, FORM, REPETITION)
+ROUNDS = 1000
 _STATS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct", "n_shout"]
 
 
@@ -85,50 +90,54 @@ def _ratio(a: str, b: str) -> Column:
     return F.col(a) / F.greatest(F.col(b), F.lit(1))
 
 
-def _vote(bad: Column, good: Column | None = None) -> Column:
-    return F.when(bad, -1).when(F.lit(False) if good is None else good, 1).otherwise(0)
+def _vote(bad: Column, good: Column) -> Column:
+    return F.when(bad, -1).when(good, 1).otherwise(0)
 
 
 def rules() -> dict[str, Column]:
-    """The votes by name. Most only ever vote bad: that a text has no fault of one kind says little for it."""
+    """The votes by name: bad, good, and between the two nothing."""
     mean = _ratio("word_chars", "n_words")
     symbols, dup, repeat = _ratio("n_symbols", "n_words"), _ratio("n_dup_lines", "n_lines"), _ratio("n_repeat_words", "n_words")
     upper, shout, distinct = _ratio("n_upper", "n_letters"), _ratio("n_shout", "n_words"), _ratio("n_distinct", "n_words")
     words = F.col("n_words")
     return {
-        "length": _vote(words < 20),
-        "word_length": _vote((mean < 2) | (mean > 15), mean.between(3, 10)),
-        "symbols": _vote(symbols > 0.1),
-        "duplicate_lines": _vote(dup > 0.3),
-        "repeated_words": _vote(repeat > 0.4),
+        "length": _vote(words < 20, words >= 100),
+        "word_length": _vote((mean < 3.5) | (mean > 7), mean.between(4, 6.5)),
+        "symbols": _vote(symbols > 0.1, symbols < 0.02),
+        "duplicate_lines": _vote(dup > 0.3, dup < 0.1),
+        "repeated_words": _vote(repeat > 0.4, repeat < 0.1),
         "capitals": _vote(upper > 0.5, upper < 0.2),
-        "shouting": _vote(shout > 0.2),
+        "shouting": _vote(shout > 0.2, shout < 0.02),
         "variety": _vote((distinct < 0.15) & (words < 2000), distinct > 0.35),
     }
 
 
-def fit_votes(votes: np.ndarray, counts: np.ndarray, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
-    """EM over vote patterns (rows of -1, 0, 1) and their counts.
+def fit_votes(votes: np.ndarray, counts: np.ndarray, kinds: tuple[int, ...] | None = None, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
+    """EM over vote patterns (rows of -1, 0, 1) and their counts, with a class of good texts and one of each kind of bad ones.
 
-    Gives P(vote | class) as (rules, 2, 3) and each pattern's posterior of good. It
-    starts from "bad where any rule says so"; one of smoothing keeps every probability positive.
+    Gives P(vote | class) as (rules, classes, 3), the good class first, and each pattern's posterior of good. It starts
+    from nine in ten for good where no rule says bad, else from one in ten and the rest by the kinds of the rules that
+    do; one of smoothing keeps every probability positive. The good class is the one whose texts get the fewest bad
+    votes, on which the rules are thus right more often than not.
     """
     m = votes.shape[1]
-    good = np.where((votes == -1).any(1), 0.1, 0.9)
-    p = np.zeros((m, 2, 3))
+    kinds = np.array(kinds if kinds is not None else [0] * m)
+    many = kinds.max() + 1
+    bad = np.stack([(votes[:, kinds == k] == -1).sum(1) for k in range(many)], 1).astype(float)
+    total = bad.sum(1, keepdims=True)
+    worse = np.where(total > 0, 0.9 * bad / np.maximum(total, 1), 0.1 / many)
+    post = np.concatenate([1 - worse.sum(1, keepdims=True), worse], 1)
     for _ in range(rounds):
-        old = good
-        weight = np.stack([counts * (1 - good), counts * good])
-        for v in (-1, 0, 1):
-            p[:, :, v + 1] = ((votes == v).T @ weight.T) + 1.0
+        old, weight = post, post * counts[:, None]
+        p = np.stack([(votes == v).T @ weight + 1.0 for v in (-1, 0, 1)], 2)
         p /= p.sum(2, keepdims=True)
-        p[:, 1, 0] = np.minimum(p[:, 1, 0], p[:, 0, 0] / BETTER)
-        p /= p.sum(2, keepdims=True)
-        log = np.log((weight.sum(1) + 1) / (counts.sum() + 2))[None, :] + sum(np.log(p[r][:, votes[:, r] + 1]).T for r in range(m))
-        good = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -700, 700)))
-        if np.abs(good - old).max() < 1e-9:
+        log = np.log((weight.sum(0) + 1) / (counts.sum() + many + 1)) + sum(np.log(p[r][:, votes[:, r] + 1]).T for r in range(m))
+        post = np.exp(log - log.max(1, keepdims=True))
+        post /= post.sum(1, keepdims=True)
+        if np.abs(post - old).max() < 1e-9:
             break
-    return p, good
+    order = np.argsort(p[:, :, 0].sum(0), kind="stable")
+    return p[:, order], post[:, order[0]]
 
 
 def quality_posteriors(stats: DataFrame) -> DataFrame:
@@ -145,7 +154,7 @@ def quality_posteriors(stats: DataFrame) -> DataFrame:
     pattern, counts = np.array([r[0] for r in rows]), np.array([float(r[1]) for r in rows])
     m = len(votes)
     table = np.stack([pattern // 3 ** (m - 1 - r) % 3 - 1 for r in range(m)], 1)
-    _, good = fit_votes(table, counts)
+    _, good = fit_votes(table, counts, KINDS)
     known = stats.sparkSession.createDataFrame([(int(a), float(b)) for a, b in zip(pattern, good, strict=True)], "pattern int, quality double")
     return coded.join(F.broadcast(known), "pattern")
 
@@ -154,7 +163,9 @@ def quality_filter(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs``: doc_id, the counts, base_failed, kept and the posterior ``quality``.
 
     base_failed: n_words < 50, or 100 * n_repeat_words > 50 * n_words. Null and empty
-    texts have no words and fail. An empty table gives an empty result.
+    texts have no words and fail. Repeated rows each count and each get the same result, texts of any length are
+    read whole, a posterior of exactly a half is kept, and other columns, whatever their names, are not read.
+    An empty table gives an empty result.
     """
     stats = saved(text_statistics(docs), "quality")
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))

@@ -126,6 +126,66 @@ def test_votes_give_the_planted_classes():
     assert ((good >= 0.5) == truth).mean() > 0.95
 
 
+def brute_quality(rows):
+    """Posteriors text by text, from Python's own words and lines; no patterns, no arrays."""
+    kinds = quality.KINDS
+    votes = []
+    for t in rows:
+        w, text = words(t), t or ""
+        lines, seen, dup = [x for x in text.split("\n") if x.split()], set(), 0
+        for x in lines:
+            dup += x in seen
+            seen.add(x)
+        three = [tuple(w[i : i + 3]) for i in range(len(w) - 2)]
+        many = collections.Counter(three)
+        again = {i + k for i, x in enumerate(three) if many[x] > 1 for k in range(3)}
+        n = max(len(w), 1)
+        mean, symbols, share, repeat = sum(len(x.decode()) for x in w) / n, sum(c in "#*$%&|<>" for c in text) / n, dup / max(len(lines), 1), len(again) / n
+        letters = [c for c in text if c.isascii() and c.isalpha()]
+        upper, shout, distinct = sum(c.isupper() for c in letters) / max(len(letters), 1), sum(x.endswith(b"!") for x in w) / n, len(set(w)) / n
+        both = [(len(w) < 20, len(w) >= 100), (mean < 3.5 or mean > 7, 4 <= mean <= 6.5), (symbols > 0.1, symbols < 0.02), (share > 0.3, share < 0.1), (repeat > 0.4, repeat < 0.1), (upper > 0.5, upper < 0.2), (shout > 0.2, shout < 0.02), (distinct < 0.15 and len(w) < 2000, distinct > 0.35)]
+        votes.append([-1 if bad else int(good) for bad, good in both])
+    post = []
+    for v in votes:
+        fired = [kinds[r] for r, x in enumerate(v) if x == -1]
+        post.append([0.1] + [0.9 * fired.count(k) / len(fired) for k in range(4)] if fired else [0.9] + [0.025] * 4)
+    for _ in range(quality.ROUNDS):
+        size = [sum(p[c] for p in post) for c in range(5)]
+        cast = [[{x: (sum(p[c] for p, v in zip(post, votes) if v[r] == x) + 1) / (size[c] + 3) for x in (-1, 0, 1)} for c in range(5)] for r in range(8)]
+        new = []
+        for v in votes:
+            like = [math.log((size[c] + 1) / (len(votes) + 5)) + sum(math.log(cast[r][c][x]) for r, x in enumerate(v)) for c in range(5)]
+            odds = [math.exp(x - max(like)) for x in like]
+            new.append([x / sum(odds) for x in odds])
+        done = max(abs(a - b) for p, q in zip(post, new) for a, b in zip(p, q)) < 1e-9
+        post = new
+        if done:
+            break
+    good = min(range(5), key=lambda c: sum(cast[r][c][-1] for r in range(8)))
+    return [p[good] for p in post]
+
+
+def test_quality_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()
+    rows = [(r[0], r[1]) for r in docs] + [(d, t) for d, t in odd_texts() if d not in (9, 10, None)]
+    rows = [(i, t) for i, (_, t) in enumerate(rows)]
+    got = {r["doc_id"]: r for r in quality.quality_filter(frame(spark, rows)).collect()}
+    want = brute_quality([t for _, t in rows])
+    assert all(got[i]["quality"] == pytest.approx(q, abs=1e-6) for i, q in enumerate(want))
+    assert all(got[i]["kept"] == (q >= 0.5 and not got[i]["base_failed"]) for i, q in enumerate(want) if abs(q - 0.5) > 1e-6)
+
+
+def test_quality_verdicts_are_not_any_bad_vote(spark):
+    from fitgrid.llm.common import table
+
+    sf = "/root/testdata/sf0.1"
+    rows = quality.quality_filter(table(spark, sf, "documents")).join(table(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id", "left").collect()
+    any_bad = [any(r["pattern"] // 3**k % 3 == 0 for k in range(8)) for r in rows]
+    assert sum(b and r["quality"] >= 0.5 for b, r in zip(any_bad, rows)) > 100
+    labelled = [(r["quality"] >= 0.5) == bool(r["label"]) for r in rows if r["label"] is not None]
+    assert np.mean(labelled) > 0.98
+
+
 def test_class_lm_base_and_gain(spark):
     rng = np.random.default_rng(2)
     tongues = [[f"{p}{i}" for i in range(60)] for p in ("aa", "bb", "cc")]
