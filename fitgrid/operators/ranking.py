@@ -2,8 +2,12 @@
 
 Input tables: ``vacancies`` (vacancy_id, posted_at, years, mode, country, niches,
 required, preferred: arrays of keys, embedding) and ``candidates`` (candidate_id, keys,
-months, home, avoid, embedding). Candidates are broadcast if they are at most
-``MOST_BROADCAST``; a larger set is dealt in as many rounds of pairs as the join gives.
+months, home, avoid, embedding).
+
+Skills are compared as bits. The candidates' keys are numbered, vacancies' skills are joined
+to those numbers once per vacancy (an equi-join, whatever the number of candidates), and a pair
+then tests a few bits of the candidate's bitmap. Candidates are broadcast if their rows take
+``MOST_BYTES`` at most; a larger set is dealt in as many rounds of pairs as the product gives.
 """
 
 from __future__ import annotations
@@ -13,25 +17,74 @@ from pyspark.sql import functions as F
 
 from . import scoring as S
 
-MOST_BROADCAST = 10_000
+MOST_BYTES = 256 << 20
 TOP, REACH, LEARN, DEMAND = 50, 3, 4, 5
 REASONS = ("on_site_abroad", "remote_outside_region", "experience_short", "risky_niche")
+OVERLAP_WARNINGS = ("empty_skill", "duplicate_requirement", "no_vacancy_skills", "no_candidate_skills")
+
+
+def cleaned(vacancies: DataFrame, empty: str | None = None) -> DataFrame:
+    """Skills once per key, one that is both counted as required, empty ones (``empty``, or NULL) left out; with
+    what was found in ``skill_warnings``."""
+    blank = F.lit(empty) if empty is not None else F.lit(None)
+
+    def real(k: Column) -> Column:
+        return k.isNotNull() & ~k.eqNullSafe(blank)
+
+    required, preferred = F.array_distinct(F.filter("required", real)), F.filter("preferred", real)
+    left_out = F.exists("required", lambda k: ~real(k)) | F.exists("preferred", lambda k: ~real(k))
+    df = vacancies.withColumns({"__r": required, "__p": F.array_except(preferred, required), "__empty": left_out, "__both": F.arrays_overlap(required, preferred)})
+    none = (F.size("__r") == 0) & (F.size("__p") == 0)
+    found = (F.col("__empty"), F.coalesce(F.col("__both"), F.lit(False)), none)
+    codes = F.array_compact(F.array(*(F.when(f, F.lit(w)) for f, w in zip(found, OVERLAP_WARNINGS, strict=False))))
+    return df.withColumns({"required": F.col("__r"), "preferred": F.col("__p"), "skill_warnings": codes}).drop("__r", "__p", "__empty", "__both")
+
+
+def _numbered(candidates: DataFrame) -> DataFrame:
+    """The candidates' distinct keys (key, bit), bit from 0 without gaps."""
+    every = candidates.select(F.explode("keys").alias("key")).distinct().agg(F.array_sort(F.collect_list("key")).alias("all"))
+    return every.select(F.posexplode("all").alias("bit", "key"))
+
+
+def _with_bits(candidates: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``bits``: 64 keys of a candidate to a number."""
+    words = numbers.select(F.shiftright("bit", 6).alias("word")).distinct()
+    own = candidates.select("candidate_id", F.explode(F.array_distinct("keys")).alias("key")).join(F.broadcast(numbers), "key")
+    own = own.select("candidate_id", F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, bit & 63)").alias("b"))
+    all_ = candidates.select("candidate_id").crossJoin(F.broadcast(words)).withColumn("b", F.lit(0).cast("long"))
+    dense = own.unionByName(all_).groupBy("candidate_id", "word").agg(F.bit_or("b").alias("b"))
+    bits = dense.groupBy("candidate_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "b"))), lambda x: x["b"]).alias("bits"))
+    return candidates.join(bits, "candidate_id", "left").withColumn("bits", F.coalesce("bits", F.array().cast("array<bigint>")))
+
+
+def _with_numbers(vacancies: DataFrame, numbers: DataFrame) -> DataFrame:
+    """``required_bits`` and ``preferred_bits``: the numbers of those skills that any candidate has."""
+    skills = vacancies.select("vacancy_id", F.explode(F.concat(F.transform("required", lambda k: F.struct(k.alias("key"), F.lit(True).alias("must"))), F.transform("preferred", lambda k: F.struct(k.alias("key"), F.lit(False).alias("must"))))).alias("s")).select("vacancy_id", "s.*")
+    found = skills.join(F.broadcast(numbers), "key").groupBy("vacancy_id").agg(F.collect_list(F.when(F.col("must"), F.col("bit"))).alias("required_bits"), F.collect_list(F.when(~F.col("must"), F.col("bit"))).alias("preferred_bits"))
+    none = F.array().cast("array<int>")
+    return vacancies.join(found, "vacancy_id", "left").withColumns({c: F.coalesce(c, none) for c in ("required_bits", "preferred_bits")})
 
 
 def pairs(vacancies: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Every candidate with every vacancy: that is the operator, so no key can narrow it. The smaller side is
-    broadcast only after its size is checked; beyond that the product runs partition by partition."""
-    few = candidates.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    return vacancies.crossJoin(F.broadcast(candidates) if few else candidates)
+    """Every candidate with every vacancy: that is the operator, so no key can narrow it. The candidates are broadcast
+    only after the bytes of their rows are checked; beyond that the product runs partition by partition."""
+    vacancies = cleaned(vacancies)
+    numbers = _numbered(candidates)
+    vectors = F.coalesce(F.max(F.size("c_embedding")), F.lit(0)) if "c_embedding" in candidates.columns else F.lit(0)
+    n, keys, dims = candidates.agg(F.count("*"), F.coalesce(F.sum(F.size("keys")), F.lit(0)), vectors).collect()[0]
+    few = n * (200 + 8 * dims) + 24 * keys <= MOST_BYTES
+    candidates = _with_bits(candidates, numbers)
+    return _with_numbers(vacancies, numbers).crossJoin(F.broadcast(candidates) if few else candidates)
 
 
-def _matched(skills: str) -> Column:
-    return F.size(F.array_intersect(skills, "keys"))
+def _matched(bits: str) -> Column:
+    """How many of a vacancy's numbered skills the candidate has."""
+    return F.aggregate(bits, F.lit(0), lambda acc, i: acc + F.getbit(F.get("bits", F.shiftright(i, 6)), i.bitwiseAND(F.lit(63))).cast("int"))
 
 
 def scored(paired: DataFrame, weights: S.Weights = S.Weights(), floor: float | None = None, ceil: float | None = None) -> DataFrame:
     """Counts, parts, fit and band of each pair, with the rules of eligibility as columns."""
-    df = paired.withColumns({"n_required": F.size("required"), "n_preferred": F.size("preferred"), "required_matched": _matched("required"), "preferred_matched": _matched("preferred"), "semantic_raw": S.dot(F.col("embedding"), F.col("c_embedding"))})
+    df = paired.withColumns({"n_required": F.size("required"), "n_preferred": F.size("preferred"), "required_matched": _matched("required_bits"), "preferred_matched": _matched("preferred_bits"), "semantic_raw": S.dot(F.col("embedding"), F.col("c_embedding"))})
     df = df.withColumns({
         "skill": S.overlap_score(F.col("required_matched"), F.col("n_required"), F.col("preferred_matched"), F.col("n_preferred")),
         "required_coverage": S.coverage(F.col("required_matched"), F.col("n_required")),
@@ -50,9 +103,13 @@ def scored(paired: DataFrame, weights: S.Weights = S.Weights(), floor: float | N
     return df.withColumn("band_rank", S.capped(F.col("before_cap"), F.when(short, 1)))
 
 
+def _order() -> list[Column]:
+    return [F.col("band_rank"), F.desc_nulls_last("fit"), F.desc_nulls_last("posted_at"), F.col("vacancy_id")]
+
+
 def ranked(df: DataFrame) -> DataFrame:
     """``rank`` among the visible pairs of a candidate: band, fit, newest, id; unknown last."""
-    order = Window.partitionBy("candidate_id", "hidden").orderBy("band_rank", F.desc_nulls_last("fit"), F.desc_nulls_last("posted_at"), "vacancy_id")
+    order = Window.partitionBy("candidate_id", "hidden").orderBy(*_order())
     return df.withColumn("rank", F.when(~F.col("hidden"), F.row_number().over(order)))
 
 
@@ -63,8 +120,25 @@ def band_counts(df: DataFrame) -> DataFrame:
 
 
 def working_set(df: DataFrame, top: int = TOP) -> DataFrame:
-    """The first visible pairs that have a fit, in ranking order."""
-    return df.filter(F.col("rank").isNotNull() & F.col("fit").isNotNull() & (F.col("rank") <= top))
+    """The first visible pairs that have a fit, in ranking order, from scored pairs. Pairs without a fit come last in
+    that order, so they can go first, and each task keeps ``top`` pairs of a candidate before any are shuffled."""
+    visible = df.filter(~F.col("hidden") & F.col("fit").isNotNull())
+    return visible.withColumn("rank", F.row_number().over(Window.partitionBy("candidate_id").orderBy(*_order()))).filter(F.col("rank") <= top)
+
+
+def page(df: DataFrame, number: int, size: int | None = None) -> DataFrame:
+    """A page of the ranking, from 1; all of it without a size, nothing past its end."""
+    if number < 1 or (size is not None and size < 1):
+        raise ValueError("pages and their sizes start at 1")
+    first = (number - 1) * (size or 0)
+    found = df.filter(F.col("rank").isNotNull())
+    return found.filter(F.col("rank").between(first + 1, first + size)) if size else found.filter(F.lit(number == 1))
+
+
+def hidden_unexplained(df: DataFrame, explained: tuple[str, ...]) -> DataFrame:
+    """Hidden pairs of a candidate none of whose reasons is one that can be explained."""
+    unsaid = F.col("hidden") & ~F.arrays_overlap("reasons", F.array(*map(F.lit, explained)))
+    return df.groupBy("candidate_id").agg(F.count_if(unsaid).alias("hidden_unexplained"))
 
 
 def _band_with(df: DataFrame, more: Column, weights: S.Weights = S.Weights()) -> tuple[Column, Column]:

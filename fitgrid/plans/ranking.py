@@ -52,8 +52,12 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.scored(R.pairs(vacancies(spark, sf_dir), candidates(spark, sf_dir)), floor=FLOOR, ceil=CEIL)
+
+
 def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return R.ranked(R.scored(R.pairs(vacancies(spark, sf_dir), candidates(spark, sf_dir)), floor=FLOOR, ceil=CEIL))
+    return R.ranked(scored(spark, sf_dir))
 
 
 def fit_ranking(spark, sf_dir):
@@ -62,40 +66,61 @@ def fit_ranking(spark, sf_dir):
 
 
 def skill_overlap(spark, sf_dir):
-    df = R.scored(R.pairs(vacancies(spark, sf_dir), candidates(spark, sf_dir)), floor=FLOOR, ceil=CEIL)
+    df = scored(spark, sf_dir)
     return df.select("candidate_id", "vacancy_id", "required_matched", "n_required", "preferred_matched", "n_preferred", F.round("skill", 6).alias("skill"), F.round("required_coverage", 6).alias("required_coverage"))
 
 
 def semantic_scores(spark, sf_dir):
-    df = R.scored(R.pairs(vacancies(spark, sf_dir), candidates(spark, sf_dir)), floor=FLOOR, ceil=CEIL)
+    df = scored(spark, sf_dir)
     return df.groupBy("candidate_id").agg(F.round(F.min("semantic_raw"), 6).alias("lowest"), F.round(F.max("semantic_raw"), 6).alias("highest"), F.round(F.avg("semantic"), 6).alias("mean_calibrated"), F.count("semantic").alias("n"))
 
 
 def band_counts(spark, sf_dir):
-    return R.band_counts(ranking(spark, sf_dir))
+    return R.band_counts(scored(spark, sf_dir))
 
 
 def hidden_reasons(spark, sf_dir):
-    df = ranking(spark, sf_dir)
+    """Why hidden pairs are hidden: each reason once a pair; visible pairs with a reason do not count."""
+    df = scored(spark, sf_dir).filter("hidden")
     return df.select("candidate_id", F.explode("reasons").alias("reason")).groupBy("candidate_id", "reason").agg(F.count("*").alias("n"))
 
 
+def ranking_page(spark, sf_dir):
+    """The third page of ten of each candidate's ranking."""
+    df = R.page(ranking(spark, sf_dir), 3, 10)
+    return df.select("candidate_id", "rank", "vacancy_id", F.round("fit", 6).alias("fit"))
+
+
+def unexplained_hidden(spark, sf_dir):
+    """Hidden pairs without a reason of place or experience, that is for their niche alone."""
+    return R.hidden_unexplained(scored(spark, sf_dir), R.REASONS[:3])
+
+
+def overlap_warnings(spark, sf_dir):
+    """What is odd in vacancies' skills when lines of tax 0 have no key and a line's skill is wanted and required."""
+    ln = _t(spark, sf_dir, "lineitem")
+    key = F.when(F.col("l_tax") > 0, F.col("l_partkey") % 1000)
+    v = ln.groupBy(F.col("l_orderkey").alias("vacancy_id")).agg(F.collect_list(F.coalesce(F.when(F.col("l_linenumber") <= 3, key.cast("string")), F.when(F.col("l_linenumber") <= 3, F.lit("")))).alias("required"), F.collect_list(F.when((F.col("l_linenumber") == 1) | (F.col("l_linenumber") > 3), F.coalesce(key.cast("string"), F.lit("")))).alias("preferred"))
+    df = R.cleaned(v, "")
+    return df.select("vacancy_id", F.size("required").alias("n_required"), F.size("preferred").alias("n_preferred"), F.array_join("skill_warnings", ",").alias("warnings"))
+
+
 def missing_skills(spark, sf_dir):
-    df = R.working_set(ranking(spark, sf_dir))
+    df = R.working_set(scored(spark, sf_dir))
     return df.select("candidate_id", "vacancy_id", F.explode(F.array_except("required", "keys")).alias("key"))
 
 
 def within_reach(spark, sf_dir):
-    df = R.within_reach(R.working_set(ranking(spark, sf_dir)))
+    df = R.within_reach(R.working_set(scored(spark, sf_dir)))
     return df.select("candidate_id", "place", "vacancy_id", "n_added", F.array_join(F.col("added").cast("array<string>"), ",").alias("added"), F.round("fit", 6).alias("fit_now"), F.round("fit_after", 6).alias("fit_after"))
 
 
 def worth_learning(spark, sf_dir):
-    return R.worth_learning(R.working_set(ranking(spark, sf_dir)))
+    return R.worth_learning(R.working_set(scored(spark, sf_dir)))
 
 
 def in_demand(spark, sf_dir):
-    return R.in_demand(R.working_set(ranking(spark, sf_dir)))
+    return R.in_demand(R.working_set(scored(spark, sf_dir)))
 
 
 _BASE = f"""
@@ -134,7 +159,13 @@ ORACLES = {
     "skill_overlap": _BASE + "SELECT candidate_id, vacancy_id, required_matched, n_required, preferred_matched, n_preferred, round(skill, 6) AS skill, round(required_coverage, 6) AS required_coverage FROM r",
     "semantic_scores": _BASE + "SELECT candidate_id, round(min(semantic_raw), 6) AS lowest, round(max(semantic_raw), 6) AS highest, round(avg(semantic), 6) AS mean_calibrated, count(semantic) AS n FROM r GROUP BY candidate_id",
     "band_counts": _BASE + "SELECT candidate_id, count(*) FILTER (NOT hidden AND band_rank = 0) AS strong, count(*) FILTER (NOT hidden AND band_rank = 1) AS partial, count(*) FILTER (NOT hidden AND band_rank = 2) AS weak, count(*) FILTER (NOT hidden AND band_rank = 3) AS unscored, count(*) FILTER (hidden) AS hidden_count FROM r GROUP BY candidate_id",
-    "hidden_reasons": _BASE + "SELECT candidate_id, reason, count(*) AS n FROM (SELECT candidate_id, 'on_site_abroad' AS reason FROM r WHERE abroad UNION ALL SELECT candidate_id, 'risky_niche' FROM r WHERE risky UNION ALL SELECT candidate_id, 'experience_short' FROM r WHERE short) GROUP BY 1, 2",
+    "hidden_reasons": _BASE + "SELECT candidate_id, reason, count(*) AS n FROM (SELECT candidate_id, 'on_site_abroad' AS reason FROM r WHERE abroad UNION ALL SELECT candidate_id, 'risky_niche' FROM r WHERE risky UNION ALL SELECT candidate_id, 'experience_short' FROM r WHERE short AND hidden) GROUP BY 1, 2",
+    "ranking_page": _BASE + "SELECT candidate_id, rank, vacancy_id, round(fit, 6) AS fit FROM r WHERE rank BETWEEN 21 AND 30",
+    "unexplained_hidden": _BASE + "SELECT candidate_id, count(*) FILTER (hidden AND NOT abroad AND NOT short) AS hidden_unexplained FROM r GROUP BY 1",
+    "overlap_warnings": """WITH k AS (SELECT l_orderkey AS vacancy_id, l_linenumber AS line, CASE WHEN l_tax > 0 THEN l_partkey % 1000 END AS key FROM lineitem),
+v AS (SELECT vacancy_id, count(DISTINCT key) FILTER (line <= 3) AS n_required, bool_or(key IS NULL) AS e, list(DISTINCT key) FILTER (line <= 3 AND key IS NOT NULL) AS r, list(DISTINCT key) FILTER ((line = 1 OR line > 3) AND key IS NOT NULL) AS p FROM k GROUP BY 1),
+w AS (SELECT vacancy_id, n_required, len(list_filter(coalesce(p, []), lambda x: NOT list_contains(coalesce(r, []), x))) AS n_preferred, e, list_has_any(coalesce(r, []), coalesce(p, [])) AS d FROM v)
+SELECT vacancy_id, n_required, n_preferred, concat_ws(',', CASE WHEN e THEN 'empty_skill' END, CASE WHEN d THEN 'duplicate_requirement' END, CASE WHEN n_required = 0 AND n_preferred = 0 THEN 'no_vacancy_skills' END) AS warnings FROM w""",
     "missing_skills": _BASE + "SELECT candidate_id, vacancy_id, key FROM ms",
     "within_reach": _BASE + """, m AS (SELECT candidate_id, vacancy_id, list(key ORDER BY key) AS missing FROM ms GROUP BY 1, 2),
 t AS (SELECT w.candidate_id, w.vacancy_id, w.fit, CASE WHEN len(missing) >= 1 AND a.ok THEN 1 WHEN len(missing) >= 2 AND b.ok THEN 2 END AS n_added, a.fit2 AS fa, b.fit2 AS fb, missing
@@ -146,4 +177,4 @@ o AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY gain DESC,
     "in_demand": _BASE + """, d AS (SELECT w.candidate_id, sk.key, count(*) AS n FROM w JOIN sk ON sk.vacancy_id = w.vacancy_id AND must JOIN ck ON ck.candidate_id = w.candidate_id AND ck.key = sk.key GROUP BY 1, 2),
 o AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY n DESC, key) AS place FROM d) SELECT candidate_id, key, n, place FROM o WHERE place <= 5""",
 }
-QUERIES = {f.__name__: f for f in (fit_ranking, skill_overlap, semantic_scores, band_counts, hidden_reasons, missing_skills, within_reach, worth_learning, in_demand)}
+QUERIES = {f.__name__: f for f in (fit_ranking, skill_overlap, semantic_scores, band_counts, hidden_reasons, ranking_page, unexplained_hidden, overlap_warnings, missing_skills, within_reach, worth_learning, in_demand)}
