@@ -39,6 +39,7 @@ from bisect import bisect, bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -97,6 +98,7 @@ class Roles:
         self.article: dict[int, bool] = {0: False}
         self.link: dict[int, bool] = {0: False}
         self.within: dict[int, list[int]] = defaultdict(list)
+        self.ids: dict[tuple[int, str], int] = {}  # tokens with their roles, numbered
 
     def enter(self, above: int, name: str, named: str) -> int:
         what = f"{name} {named}"
@@ -198,76 +200,99 @@ def parse(page: str, roles: Roles) -> list[tuple]:
     return out
 
 
-def _keys(tokens: list[tuple], roles: Roles) -> list[tuple[int, str]]:
-    """Roles and tokens of a page in its order, a tag's with a bracket."""
-    out = []
+def _keys(tokens: list[tuple], roles: Roles) -> np.ndarray:
+    """The numbers of a page's tokens in its order; a tag's token has a bracket."""
+    out, ids = [], roles.ids
     for role, tag, text, _ in tokens:
-        if text is None:
-            out.append((role, "<" + tag))
+        for k in [(role, "<" + tag)] if text is None else [(role, w) for w in text.split()]:
+            found = ids.get(k)
+            if found is None:
+                found = ids[k] = len(ids)
+            out.append(found)
+    return np.array(out, np.int64)
+
+
+def _increasing(order: list[int], line: list[int]) -> list[int]:
+    """The longest run of tokens of ``order`` that ``line`` has in the same order."""
+    place = {t: i for i, t in enumerate(line)}
+    tails: list[int] = []
+    last: list[int] = []
+    back: dict[int, int | None] = {}
+    for t in order:
+        i = bisect_left(tails, place[t])
+        back[t] = last[i - 1] if i else None
+        if i == len(tails):
+            tails.append(place[t])
+            last.append(t)
         else:
-            out += [(role, w) for w in text.split()]
-    return out
+            tails[i], last[i] = place[t], t
+    t, run = last[-1] if last else None, []
+    while t is not None:
+        run.append(t)
+        t = back[t]
+    return run[::-1]
 
 
-def _in_order(lines: list[list[int]]) -> list[int]:
-    """The tokens that come in one order on all lines (each has every token once): increasing runs, line by line."""
+def _in_order(lines: list[list[int]], turns: int = 16) -> list[int]:
+    """The tokens that come in one order on all lines (each has every token once): turn by turn those go that are out
+    of order on the most lines; what is then left out of order goes line by line."""
     kept = lines[0]
+    for _ in range(turns):
+        off: Counter = Counter()
+        for line in lines[1:]:
+            if line != kept:
+                off.update(set(kept).difference(_increasing(kept, line)))
+        if not off:
+            return kept
+        most = max(off.values())
+        gone = {t for t, n in off.items() if n == most}
+        lines = [[t for t in line if t not in gone] for line in lines]
+        kept = lines[0]
     for line in lines[1:]:
-        place = {t: i for i, t in enumerate(line)}
-        tails: list[int] = []
-        last: list[int] = []
-        back: dict[int, int | None] = {}
-        for t in kept:
-            i = bisect_left(tails, place[t])
-            back[t] = last[i - 1] if i else None
-            tails[i:], last[i:] = [place[t], *tails[i + 1 :]], [t, *last[i + 1 :]]
-        t, run = last[-1] if last else None, []
-        while t is not None:
-            run.append(t)
-            t = back[t]
-        kept = run[::-1]
+        kept = _increasing(kept, line)
     return kept
 
 
-def classes(sequences: list[list[tuple[int, str]]], least: float) -> set[tuple[int, str]]:
+def classes(sequences: list[np.ndarray], least: float) -> set[int]:
     """The tokens of the valid classes that are on ``least`` pages or more and do not cross."""
-    counts = [Counter(s) for s in sequences]
-    pages: Counter = Counter()
-    for c in counts:
-        pages.update(c.keys())
-    by_vector: dict[tuple, list[tuple[int, str]]] = defaultdict(list)
-    for k, n in pages.items():
-        if n >= least:
-            by_vector[tuple(c.get(k, 0) for c in counts)].append(k)
-    large = {v: keys for v, keys in by_vector.items() if len(keys) >= LEAST_TOKENS}
-    of = {k: v for v, keys in large.items() for k in keys}
-    found: dict[tuple, list[list[tuple[int, tuple[int, str]]]]] = {v: [] for v in large}
-    for sequence in sequences:
-        here: dict[tuple, list[tuple[int, tuple[int, str]]]] = defaultdict(list)
-        for at, k in enumerate(sequence):
-            if k in of:
-                here[of[k]].append((at, k))
-        for v in large:
-            found[v].append(here.get(v, []))
-    order: dict[tuple, list[tuple[int, str]]] = {}
-    for v, keys in large.items():
-        lines = [[k for _, k in x] for x in found[v] if x]
-        if max(v) == 1:
+    many, lengths = len(sequences), [len(s) for s in sequences]
+    token, which = np.unique(np.concatenate(sequences), return_inverse=True)
+    page = np.repeat(np.arange(many), lengths)
+    cell, times = np.unique(which * many + page, return_counts=True)
+    starts = np.flatnonzero(np.diff(cell // many, prepend=-1))
+    ends = np.append(starts[1:], len(cell))
+    by_vector: dict[tuple, list[int]] = defaultdict(list)
+    for t in np.flatnonzero(ends - starts >= least).tolist():
+        at = slice(starts[t], ends[t])
+        by_vector[(cell[at] % many).tobytes(), times[at].tobytes()].append(t)
+    large = [(v, keys) for v, keys in by_vector.items() if len(keys) >= LEAST_TOKENS]
+    of = np.full(len(token), -1)
+    for c, (_, keys) in enumerate(large):
+        of[keys] = c
+    first = np.cumsum([0, *lengths])
+    found: list[list[list[tuple[int, int]]]] = [[[] for _ in range(many)] for _ in large]
+    at = np.flatnonzero(of[which] >= 0)
+    for c, p, place, t in zip(of[which[at]].tolist(), page[at].tolist(), (at - first[page[at]]).tolist(), which[at].tolist(), strict=True):
+        found[c][p].append((place, t))
+    order: dict[int, list[int]] = {}
+    for c, (_, keys) in enumerate(large):
+        lines = [[t for _, t in x] for x in found[c] if x]
+        if max(map(len, lines)) == len(keys) == len(set(lines[0])):
             line = _in_order(lines)
         else:  # several rounds on a page: all in one order, or the class is none
             line = lines[0][: len(keys)]
             if len(set(line)) < len(keys) or any(x != line * (len(x) // len(keys)) for x in lines):
                 continue
         if len(line) >= LEAST_TOKENS:
-            order[v] = line
+            order[c] = line
             if len(line) < len(keys):
                 valid = set(line)
-                found[v] = [[x for x in places if x[1] in valid] for places in found[v]]
-    kept: list[tuple] = []
-    for v in sorted(order, key=lambda v: (-sum(map(bool, v)), -len(order[v]), v)):
-        if all(_nests(found[v], len(order[v]), found[w], len(order[w])) for w in kept):
-            kept.append(v)
-    return {k for v in kept for k in order[v]}
+                found[c] = [[x for x in places if x[1] in valid] for places in found[c]]
+    kept: list[int] = []
+    for c in sorted(order, key=lambda c: (-len(large[c][0][0]), -len(order[c]), large[c][0])):
+        if all(_nests(found[c], len(order[c]), found[k], len(order[k])) for k in kept):
+            kept.append(c)
+    return {int(token[t]) for c in kept for t in order[c]}
 
 
 def _nests(inner: list, n: int, outer: list, m: int) -> bool:
@@ -284,34 +309,30 @@ def _nests(inner: list, n: int, outer: list, m: int) -> bool:
     return True
 
 
-def deduce(sequences: list[list[tuple[int, str]]], least: float) -> tuple[set, set]:
-    """The template's tokens, and those that are template only behind one of them: a token that occurs more often
-    than others of its class is told apart by the template token before it, and classes are found again."""
-    first = classes(sequences, least)
-    if not first:
-        return first, set()
-    again = []
-    for s in sequences:
-        gap, line = None, []
-        for k in s:
-            if k in first:
-                gap = k
-            line.append(k if k in first else (k, gap))
-        again.append(line)
-    return first, classes(again, least) - first
-
-
-def marks(sequence: list[tuple[int, str]], found: tuple[set, set]) -> bytearray:
-    """1 for each token of a page that is template."""
+def _with_gaps(sequence: np.ndarray, first: np.ndarray, tokens: int) -> np.ndarray:
+    """Each token's number with that of the template token before it; template tokens as they are."""
+    own = first[sequence]
+    last = np.maximum.accumulate(np.where(own, np.arange(len(sequence)), -1)) if len(sequence) else sequence
+    return np.where(own, sequence, (1 + np.where(last >= 0, sequence[last], -1)) * tokens + tokens + sequence)
+
+
+def deduce(sequences: list[np.ndarray], least: float, tokens: int) -> tuple[np.ndarray, np.ndarray]:
+    """Which of ``tokens`` are the template's, and (sorted) which are that only behind one of them: a token that occurs
+    more often than others of its class is told apart by the template token before it, and classes are found again."""
+    first = np.zeros(tokens, bool)
+    first[list(classes(sequences, least))] = True
+    if not first.any():
+        return first, np.zeros(0, np.int64)
+    pages = np.bincount(np.concatenate([np.unique(s) for s in sequences]), minlength=tokens)
+    again = classes([_with_gaps(s, first, tokens)[pages[s] >= least] for s in sequences], least)
+    return first, np.array(sorted(k for k in again if k >= tokens), np.int64)
+
+
+def marks(sequence: np.ndarray, found: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """Which tokens of a page are template."""
     first, second = found
-    out, gap = bytearray(len(sequence)), None
-    for i, k in enumerate(sequence):
-        if k in first:
-            gap = k
-            out[i] = 1
-        elif (k, gap) in second:
-            out[i] = 1
-    return out
+    out = first[sequence]
+    return out | np.isin(_with_gaps(sequence, first, len(first)), second) if len(second) else out
 
 
 class Template:
@@ -324,36 +345,44 @@ class Template:
     def __init__(self, roles: Roles, pages: list[list[tuple]]):
         self.roles = roles
         sequences = [_keys(p, roles) for p in pages]
-        distinct = list({tuple(s): s for s in sequences}.values())
-        found, tags = (set(), set()), set()
+        distinct = list({s.tobytes(): s for s in sequences}.values())
+        keys = list(roles.ids)
+        n = len(keys)
+        tag = np.array([t[0] == "<" for _, t in keys], bool)
+        every = list(roles.above)
+        at_role = {r: i for i, r in enumerate(every)}
+        of = np.array([at_role[r] for r, _ in keys], np.int64)
+        article = np.array([roles.article[r] for r in every], bool)[of]
+        found, tags = (np.zeros(n, bool), np.zeros(0, np.int64)), set()
         if len(distinct) >= LEAST_PAGES:
-            found = deduce(distinct, max(LEAST_PAGES, SUPPORT * len(distinct)))
-            tags = classes([[k for k in s if k[1][0] == "<"] for s in distinct], LEAST_PAGES)
+            found = deduce(distinct, max(LEAST_PAGES, SUPPORT * len(distinct)), n)
+            tags = classes([s[tag[s]] for s in distinct], LEAST_PAGES)
         self.general = [marks(s, found) for s in sequences]
-        self.strict = [bytearray(len(s)) for s in sequences]
-        articles = [x for x in ([k for k in s if roles.article[k[0]]] for s in distinct) if any(w[0] != "<" for _, w in x)]
+        self.strict = [np.zeros(len(s), bool) for s in sequences]
+        articles = [x for x in (s[article[s]] for s in distinct) if not tag[x].all()]
         if len(articles) >= ARTICLE_PAGES:
-            inside = deduce(articles, ARTICLE_SUPPORT * len(articles))
-            gone = sum(m for x in articles for m, k in zip(marks(x, inside), x, strict=True) if k[1][0] != "<")
-            if gone <= ARTICLE_SHARE * sum(k[1][0] != "<" for x in articles for k in x):
+            inside = deduce(articles, ARTICLE_SUPPORT * len(articles), n)
+            gone = sum(int((marks(x, inside) & ~tag[x]).sum()) for x in articles)
+            if gone <= ARTICLE_SHARE * sum(int((~tag[x]).sum()) for x in articles):
                 for s, out in zip(sequences, self.strict, strict=True):
-                    at = [i for i, k in enumerate(s) if roles.article[k[0]]]
-                    for i, m in zip(at, marks([s[i] for i in at], inside), strict=True):
-                        out[i] = m
-        self.tokens = found[0] | tags
+                    at = np.flatnonzero(article[s])
+                    out[at] = marks(s[at], inside)
+        self.tokens = {keys[i] for i in (*np.flatnonzero(found[0]).tolist(), *tags)}
         self.frames = {0} | {r for r, t in self.tokens if t == "<" + roles.name[r]}
         self.framed: dict[int, int] = {}
-        alone = [s for s in distinct if all(roles.name[self.frame(r)] in _PAGE or roles.out[r] for r, w in s if w[0] != "<")]
-        self.frames.update(r for s in alone for r, _ in s if roles.name[r] in BREAKS)  # a page of a layout of its own
+        unframed = np.array([roles.name[self.frame(r)] in _PAGE or roles.out[r] for r in every], bool)[of] | tag
+        for s in distinct:
+            if unframed[s].all():  # a page of a layout of its own
+                self.frames.update(r for r in (every[i] for i in np.unique(of[s]).tolist()) if roles.name[r] in BREAKS)
         self.framed.clear()
         self.headed: set[int] = set()  # elements that hold a heading, at any depth
         for r, name in roles.name.items():
             while name in HEADINGS and not roles.out[r] and r not in self.headed:
                 self.headed.add(r)
                 r = roles.above[r]
-        self._weigh(sequences, self.general)
+        self._weigh(every, [of[s[~tag[s] & ~m]] for s, m in zip(sequences, self.general, strict=True)])
         if not any(self.score.values()):  # all is template, as on near copies of one page
-            self._weigh(sequences, [bytearray(len(s)) for s in sequences])
+            self._weigh(every, [of[s[~tag[s]]] for s in sequences])
 
     def frame(self, role: int) -> int:
         """The frame that a role stands in. Paths are walked once, as pages may nest without end."""
@@ -365,15 +394,16 @@ class Template:
         self.framed.update(dict.fromkeys(path, found))
         return found
 
-    def _weigh(self, sequences: list[list[tuple[int, str]]], marked: list[bytearray]) -> None:
+    def _weigh(self, every: list[int], pages: list[np.ndarray]) -> None:
+        """Scores of frames, from the roles (places in ``every``) of each page's words that count."""
         roles = self.roles
         words: Counter = Counter()
         linked: Counter = Counter()
         on: Counter = Counter()
-        for s, gone in zip(sequences, marked, strict=True):
-            here = Counter(role for (role, w), m in zip(s, gone, strict=True) if w[0] != "<" and not m)
+        for page in pages:
             seen = set()
-            for role, n in here.items():
+            for i, n in zip(*(x.tolist() for x in np.unique(page, return_counts=True)), strict=True):
+                role = every[i]
                 f = self.frame(role)
                 if roles.out[role] and not roles.out[f]:
                     continue
@@ -459,12 +489,13 @@ def _text_in(tokens: list[tuple], template: Template, page: int, region: int) ->
             article = roles.article[role] or roles.name[role] in FLOW
             gone = (strict if article else general)[start:at]
             kept = text
-            if any(gone):
-                left = iter(gone)
+            n_gone = int(gone.sum())
+            if n_gone:
+                left = iter(gone.tolist())
                 kept = "".join(w for w in re.split(r"(\s+)", text) if not w or w.isspace() or not next(left))
             if article:
                 count[0] += len(words)
-                count[1] += sum(gone)
+                count[1] += n_gone
             run.append(kept)
             whole.append(text if article else kept)
     close()
