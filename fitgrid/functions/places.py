@@ -15,33 +15,188 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-# ISO codes with names, other spellings after a slash.
-COUNTRIES = """AL Albania;DZ Algeria;AR Argentina;AM Armenia;AU Australia;AT Austria/österreich;AZ Azerbaijan;BH Bahrain;BD Bangladesh;BY Belarus;BE Belgium/belgique;
-BA Bosnia and Herzegovina/bosnia;BR Brazil/brasil;BG Bulgaria;CA Canada;CL Chile;CN China;CO Colombia;CR Costa Rica;HR Croatia/hrvatska;CY Cyprus;CZ Czechia/czech republic;
-DK Denmark/danmark;DO Dominican Republic;EC Ecuador;EG Egypt;EE Estonia/eesti;ET Ethiopia;FI Finland/suomi;FR France;GE Georgia;DE Germany/deutschland/німеччина;GR Greece;HK Hong Kong;HU Hungary;
-IS Iceland;IN India;ID Indonesia;IR Iran;IQ Iraq;IE Ireland;IL Israel;IT Italy/italia;JP Japan;JO Jordan;KZ Kazakhstan;KE Kenya;KR South Korea/korea;KW Kuwait;LV Latvia;LB Lebanon;LT Lithuania;LU Luxembourg;
-MY Malaysia;MT Malta;MX Mexico;MD Moldova;ME Montenegro;MA Morocco;MZ Mozambique;NL Netherlands/the netherlands/holland;NZ New Zealand;NG Nigeria;MK North Macedonia;NO Norway/norge;OM Oman;PK Pakistan;PA Panama;
-PE Peru;PH Philippines;PL Poland/polska;PT Portugal;QA Qatar;RO Romania;RU Russia;SA Saudi Arabia;RS Serbia;SG Singapore;SK Slovakia;SI Slovenia;ZA South Africa;ES Spain/españa;LK Sri Lanka;SE Sweden/sverige;
-CH Switzerland/schweiz/suisse;TW Taiwan;TH Thailand;TN Tunisia;TR Turkey;UA Ukraine/україна;AE United Arab Emirates/uae;GB United Kingdom/uk/great britain/england;US United States/usa/united states of america;UY Uruguay;VE Venezuela;VN Vietnam"""
-US_STATES = """AL Alabama;AK Alaska;AZ Arizona;AR Arkansas;CA California;CO Colorado;CT Connecticut;DE Delaware;DC District of Columbia;FL Florida;GA Georgia;HI Hawaii;ID Idaho;IL Illinois;IN Indiana;IA Iowa;KS Kansas;KY Kentucky;LA Louisiana;
-ME Maine;MD Maryland;MA Massachusetts;MI Michigan;MN Minnesota;MS Mississippi;MO Missouri;MT Montana;NE Nebraska;NV Nevada;NH New Hampshire;NJ New Jersey;NM New Mexico;NY New York;NC North Carolina;ND North Dakota;OH Ohio;OK Oklahoma;OR Oregon;
-PA Pennsylvania;RI Rhode Island;SC South Carolina;SD South Dakota;TN Tennessee;TX Texas;UT Utah;VT Vermont;VA Virginia;WA Washington;WV West Virginia;WI Wisconsin;WY Wyoming"""
-CA_PROVINCES = "AB Alberta;BC British Columbia;MB Manitoba;NB New Brunswick;NL Newfoundland and Labrador;NS Nova Scotia;NT Northwest Territories;NU Nunavut;ON Ontario;PE Prince Edward Island;QC Quebec;SK Saskatchewan;YT Yukon"
-EU = "AT BE BG HR CY CZ DK EE FI FR DE GR HU IE IT LV LT LU MT NL PL PT RO SK SI ES SE"
-EUROPE = EU + " AL BA BY CH GB IS MD ME MK NO RS RU UA"
-LATAM = "AR BR CL CO CR DO EC MX PA PE UY VE"
-APAC = "AU BD CN HK ID IN JP KR LK MY NZ PH PK SG TH TW VN"
+# ISO codes with names, the English one first.
+COUNTRIES = {
+    "AL": ("Albania",),
+    "DZ": ("Algeria",),
+    "AR": ("Argentina",),
+    "AM": ("Armenia",),
+    "AU": ("Australia",),
+    "AT": ("Austria", "österreich"),
+    "AZ": ("Azerbaijan",),
+    "BH": ("Bahrain",),
+    "BD": ("Bangladesh",),
+    "BY": ("Belarus",),
+    "BE": ("Belgium", "belgique"),
+    "BA": ("Bosnia and Herzegovina", "bosnia"),
+    "BR": ("Brazil", "brasil"),
+    "BG": ("Bulgaria",),
+    "CA": ("Canada",),
+    "CL": ("Chile",),
+    "CN": ("China",),
+    "CO": ("Colombia",),
+    "CR": ("Costa Rica",),
+    "HR": ("Croatia", "hrvatska"),
+    "CY": ("Cyprus",),
+    "CZ": ("Czechia", "czech republic"),
+    "DK": ("Denmark", "danmark"),
+    "DO": ("Dominican Republic",),
+    "EC": ("Ecuador",),
+    "EG": ("Egypt",),
+    "EE": ("Estonia", "eesti"),
+    "ET": ("Ethiopia",),
+    "FI": ("Finland", "suomi"),
+    "FR": ("France",),
+    "GE": ("Georgia",),
+    "DE": ("Germany", "deutschland", "німеччина"),
+    "GR": ("Greece",),
+    "HK": ("Hong Kong",),
+    "HU": ("Hungary",),
+    "IS": ("Iceland",),
+    "IN": ("India",),
+    "ID": ("Indonesia",),
+    "IR": ("Iran",),
+    "IQ": ("Iraq",),
+    "IE": ("Ireland",),
+    "IL": ("Israel",),
+    "IT": ("Italy", "italia"),
+    "JP": ("Japan",),
+    "JO": ("Jordan",),
+    "KZ": ("Kazakhstan",),
+    "KE": ("Kenya",),
+    "KR": ("South Korea", "korea"),
+    "KW": ("Kuwait",),
+    "LV": ("Latvia",),
+    "LB": ("Lebanon",),
+    "LT": ("Lithuania",),
+    "LU": ("Luxembourg",),
+    "MY": ("Malaysia",),
+    "MT": ("Malta",),
+    "MX": ("Mexico",),
+    "MD": ("Moldova",),
+    "ME": ("Montenegro",),
+    "MA": ("Morocco",),
+    "MZ": ("Mozambique",),
+    "NL": ("Netherlands", "the netherlands", "holland"),
+    "NZ": ("New Zealand",),
+    "NG": ("Nigeria",),
+    "MK": ("North Macedonia",),
+    "NO": ("Norway", "norge"),
+    "OM": ("Oman",),
+    "PK": ("Pakistan",),
+    "PA": ("Panama",),
+    "PE": ("Peru",),
+    "PH": ("Philippines",),
+    "PL": ("Poland", "polska"),
+    "PT": ("Portugal",),
+    "QA": ("Qatar",),
+    "RO": ("Romania",),
+    "RU": ("Russia",),
+    "SA": ("Saudi Arabia",),
+    "RS": ("Serbia",),
+    "SG": ("Singapore",),
+    "SK": ("Slovakia",),
+    "SI": ("Slovenia",),
+    "ZA": ("South Africa",),
+    "ES": ("Spain", "españa"),
+    "LK": ("Sri Lanka",),
+    "SE": ("Sweden", "sverige"),
+    "CH": ("Switzerland", "schweiz", "suisse"),
+    "TW": ("Taiwan",),
+    "TH": ("Thailand",),
+    "TN": ("Tunisia",),
+    "TR": ("Turkey",),
+    "UA": ("Ukraine", "україна"),
+    "AE": ("United Arab Emirates", "uae"),
+    "GB": ("United Kingdom", "uk", "great britain", "england"),
+    "US": ("United States", "usa", "united states of america"),
+    "UY": ("Uruguay",),
+    "VE": ("Venezuela",),
+    "VN": ("Vietnam",),
+}
+US_STATES = {
+    "AL": ("Alabama",),
+    "AK": ("Alaska",),
+    "AZ": ("Arizona",),
+    "AR": ("Arkansas",),
+    "CA": ("California",),
+    "CO": ("Colorado",),
+    "CT": ("Connecticut",),
+    "DE": ("Delaware",),
+    "DC": ("District of Columbia",),
+    "FL": ("Florida",),
+    "GA": ("Georgia",),
+    "HI": ("Hawaii",),
+    "ID": ("Idaho",),
+    "IL": ("Illinois",),
+    "IN": ("Indiana",),
+    "IA": ("Iowa",),
+    "KS": ("Kansas",),
+    "KY": ("Kentucky",),
+    "LA": ("Louisiana",),
+    "ME": ("Maine",),
+    "MD": ("Maryland",),
+    "MA": ("Massachusetts",),
+    "MI": ("Michigan",),
+    "MN": ("Minnesota",),
+    "MS": ("Mississippi",),
+    "MO": ("Missouri",),
+    "MT": ("Montana",),
+    "NE": ("Nebraska",),
+    "NV": ("Nevada",),
+    "NH": ("New Hampshire",),
+    "NJ": ("New Jersey",),
+    "NM": ("New Mexico",),
+    "NY": ("New York",),
+    "NC": ("North Carolina",),
+    "ND": ("North Dakota",),
+    "OH": ("Ohio",),
+    "OK": ("Oklahoma",),
+    "OR": ("Oregon",),
+    "PA": ("Pennsylvania",),
+    "RI": ("Rhode Island",),
+    "SC": ("South Carolina",),
+    "SD": ("South Dakota",),
+    "TN": ("Tennessee",),
+    "TX": ("Texas",),
+    "UT": ("Utah",),
+    "VT": ("Vermont",),
+    "VA": ("Virginia",),
+    "WA": ("Washington",),
+    "WV": ("West Virginia",),
+    "WI": ("Wisconsin",),
+    "WY": ("Wyoming",),
+}
+CA_PROVINCES = {
+    "AB": ("Alberta",),
+    "BC": ("British Columbia",),
+    "MB": ("Manitoba",),
+    "NB": ("New Brunswick",),
+    "NL": ("Newfoundland and Labrador",),
+    "NS": ("Nova Scotia",),
+    "NT": ("Northwest Territories",),
+    "NU": ("Nunavut",),
+    "ON": ("Ontario",),
+    "PE": ("Prince Edward Island",),
+    "QC": ("Quebec",),
+    "SK": ("Saskatchewan",),
+    "YT": ("Yukon",),
+}
+EU = ("AT", "BE", "BG", "HR", "CY", "CZ", "DK", "EE", "FI", "FR", "DE", "GR", "HU", "IE", "IT", "LV", "LT", "LU", "MT", "NL", "PL", "PT", "RO", "SK", "SI", "ES", "SE")
+EUROPE = (*EU, "AL", "BA", "BY", "CH", "GB", "IS", "MD", "ME", "MK", "NO", "RS", "RU", "UA")
+LATAM = ("AR", "BR", "CL", "CO", "CR", "DO", "EC", "MX", "PA", "PE", "UY", "VE")
+APAC = ("AU", "BD", "CN", "HK", "ID", "IN", "JP", "KR", "LK", "MY", "NZ", "PH", "PK", "SG", "TH", "TW", "VN")
 REGIONS = {
     "europe": EUROPE,
     "eu": EU,
     "european union": EU,
-    "eea": EU + " IS NO",
-    "emea": EUROPE + " AE AM AZ BH DZ EG GE GH IL JO KE KW LB MA NG OM QA SA TN TR ZA",
-    "north america": "US CA MX",
+    "eea": (*EU, "IS", "NO"),
+    "emea": (*EUROPE, "AE", "AM", "AZ", "BH", "DZ", "EG", "GE", "GH", "IL", "JO", "KE", "KW", "LB", "MA", "NG", "OM", "QA", "SA", "TN", "TR", "ZA"),
+    "north america": ("US", "CA", "MX"),
     "latam": LATAM,
     "latin america": LATAM,
-    "south america": "AR BR CL CO EC PE UY VE",
-    "americas": "US CA " + LATAM,
+    "south america": ("AR", "BR", "CL", "CO", "EC", "PE", "UY", "VE"),
+    "americas": ("US", "CA", *LATAM),
     "apac": APAC,
     "asia pacific": APAC,
 }
@@ -54,12 +209,8 @@ def fold(text: str) -> str:
     return " ".join("".join(c for c in plain if not unicodedata.combining(c)).split())
 
 
-def _coded(table: str) -> dict[str, str]:
-    out = {}
-    for entry in table.replace("\n", "").split(";"):
-        code, names = entry.split(" ", 1)
-        out |= {fold(name): code for name in names.split("/")}
-    return out
+def _coded(table: dict[str, tuple[str, ...]]) -> dict[str, str]:
+    return {fold(name): code for code, names in table.items() for name in names}
 
 
 @dataclass(frozen=True)
@@ -125,7 +276,7 @@ def resolve_country(text: Column, places: Gazetteer = DEFAULT) -> Column:
 def allowed_countries(text: Column, places: Gazetteer = DEFAULT) -> Column:
     """Sorted codes that a remote posting is limited to; NULL if open, empty, or a part is unknown."""
     parts = F.transform(F.split(text, SEPARATOR), lambda p: F.trim(F.regexp_replace(p, r"(?i)\b(?:only|based)\b", " "), F.lit(" -")))
-    regions = F.create_map(*(x for w, codes in REGIONS.items() for x in (F.lit(w), F.array(*map(F.lit, codes.split())))))
+    regions = F.create_map(*(x for w, codes in REGIONS.items() for x in (F.lit(w), F.array(*map(F.lit, codes)))))
 
     def codes(part: Column, folded: Column) -> Column:
         nothing = F.array().cast("array<string>")
@@ -138,8 +289,5 @@ def allowed_countries(text: Column, places: Gazetteer = DEFAULT) -> Column:
 
 
 def country_name(code: Column) -> Column:
-    names = {}
-    for entry in COUNTRIES.replace("\n", "").split(";"):
-        c, spelled = entry.split(" ", 1)
-        names[c] = spelled.split("/")[0]
+    names = {c: spelled[0] for c, spelled in COUNTRIES.items()}
     return _lookup(names, F.upper(code))

@@ -9,7 +9,7 @@ from pyspark.sql.types import StringType
 
 # What counts as a mention of each industry.
 NICHES = {
-    "gambling": r"casino\w*|kasino\w*|казино\b|gambl(?:ing|ers?)\b|sports?[- ]?books?\b|(?:sports?|online) betting\b|betting (?:site|app|company|platform|operator|market)\w*|bookmak(?:er|ers|ing)\b|wagering\b|i-?gaming\b|poker\b|slot (?:machine|game)s?\b|online slots\b|bingo\b|gl(?:ü|u|ue)cksspiel\w*|sportwetten\b|wettanbieter\w*|букмекер\w*|гемблінг\w*|азартн\w+ гр\w+|ставки на спорт\w*",
+    "gambling": r"casino\w*|kasino\w*|казино\b|gambl(?:ing|ers?)\b|sports?[- ]?books?\b|(?:sports?|online) betting\b|betting (?:site|app|compan|platform|operator|market)\w*|bookmak(?:er|ers|ing)\b|wagering\b|i-?gaming\b|poker\b|slot (?:machine|game)s?\b|online slots\b|bingo\b|gl(?:ü|u|ue)cksspiel\w*|sportwetten\b|wettanbieter\w*|букмекер\w*|гемблінг\w*|азартн\w+ гр\w+|ставки на спорт\w*",
     "crypto": r"crypto-?currenc(?:y|ies)\b|crypto\b|cryptos\b|bitcoin\w*|ethereum\b|blockchain\w*|web ?3\b|defi\b|nfts?\b|stablecoins?\b|altcoins?\b|smart contracts?\b|solidity\b|kryptow(?:ä|ae|a)hrung\w*|krypto\b|криптовалют\w*|блокчейн\w*|біткоїн\w*|крипто(?:біржа\w*|\b)",
     "forex": r"forex\b|binary options?\b|cfd trading\b|contracts? for difference\b|spread betting\b|форекс\w*|бінарн\w+ опціон\w*",
     "adult": r"porn\w*|adult (?:content|entertainment|industry|videos?|sites?|platform)\b|onlyfans\b|nsfw\b|sex toys?\b|erotic\w*|cam (?:sites?|models?)\b|erotik\b|порно\w*|еротичн\w*",

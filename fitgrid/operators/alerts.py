@@ -41,8 +41,9 @@ def step(state: tuple, severity: str | None, now: float, delivered: bool, confir
 
 
 def _told(code: str, rows: pd.DataFrame, state: tuple) -> tuple[list[tuple], tuple]:
+    """What is said in cycles that are in order of time, and the state after them."""
     out = []
-    for now, severity, delivered in sorted(zip(rows["now"], rows["severity"], rows["delivered"], strict=True), key=lambda r: r[0]):
+    for now, severity, delivered in zip(rows["now"], rows["severity"], rows["delivered"], strict=True):
         severity = severity if isinstance(severity, str) else None
         state, said = step(state, severity, float(now), bool(delivered))
         if said:
@@ -55,19 +56,24 @@ _SCHEMA = "code string, now double, change string, severity string"
 
 
 def tracked(cycles: DataFrame) -> DataFrame:
-    """What was said in each cycle, code by code, in order of time."""
+    """What was said in each cycle, code by code, in order of time. A task holds one Arrow batch and one state."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(_told(key[0], rows, START)[0], columns=_COLUMNS)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code, state = None, START
+        for b in batches:
+            for c, rows in b.groupby("code", sort=False, dropna=False):
+                code, state = c, state if c == code else START
+                out, state = _told(c, rows, state)
+                yield pd.DataFrame(out, columns=_COLUMNS)
 
-    return cycles.select("code", "now", "severity", "delivered").groupBy("code").applyInPandas(run, _SCHEMA)
+    return cycles.select("code", "now", "severity", "delivered").repartition("code").sortWithinPartitions("code", "now").mapInPandas(run, _SCHEMA)
 
 
 def tracked_stream(cycles: DataFrame) -> DataFrame:
     """The same of a stream, whose batches bring each code's cycles in order."""
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches))
+        rows = pd.concat(list(batches)).sort_values("now", kind="stable")
         out, after = _told(key[0], rows, state.get if state.exists else START)
         state.update(after)
         yield pd.DataFrame(out, columns=_COLUMNS)
@@ -96,11 +102,26 @@ def sign_test(df: DataFrame, by: str, difference: str) -> DataFrame:
 
 
 def bootstrap_mean(df: DataFrame, by: str, key: str, value: str, samples: int = 2000, seed: int = 25) -> DataFrame:
-    """95% percentile interval of each group's mean. Rows are drawn Poisson(1) times per
-    sample by a hash of their key, so that partial sums are all that is shuffled."""
-    drawn = df.filter(F.col(value).isNotNull()).select(by, F.col(value).alias("v"), F.col(key).alias("k")).withColumn("s", F.explode(F.sequence(F.lit(1), F.lit(samples))))
-    u = F.shiftrightunsigned(F.xxhash64("k", "s", F.lit(seed)), 11) / F.lit(float(1 << 53))
+    """95% percentile interval of each group's mean. Rows are drawn Poisson(1) times per sample by a hash of their
+    key; a task sums each group's draws over a batch, so no row is written once a sample."""
     ends = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(12)])
-    times = sum((F.when(u >= float(e), 1).otherwise(0) for e in ends), F.lit(0))
-    means = drawn.withColumn("n", times).groupBy(by, "s").agg(F.try_divide(F.sum(F.col("n") * F.col("v")), F.sum("n")).alias("m"))
+    kind = df.schema[by].dataType.simpleString()
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        s = np.arange(samples, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for b in batches:
+            for group, rows in b.groupby("g", dropna=False):
+                top, n = np.zeros(samples), np.zeros(samples, np.int64)
+                for h, v in zip(rows["h"].to_numpy().view(np.uint64), rows["v"], strict=True):
+                    x = h + s
+                    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+                    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+                    times = np.searchsorted(ends, ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53), "right")
+                    n += times
+                    top += times * v
+                yield pd.DataFrame({"g": group, "s": np.arange(samples), "top": top, "n": n})
+
+    drawn = df.filter(F.col(value).isNotNull()).select(F.col(by).alias("g"), F.xxhash64(key, F.lit(seed)).alias("h"), F.col(value).cast("double").alias("v"))
+    summed = drawn.mapInPandas(sums, f"g {kind}, s int, top double, n long")
+    means = summed.groupBy(F.col("g").alias(by), "s").agg(F.try_divide(F.sum("top"), F.sum("n")).alias("m"))
     return means.groupBy(by).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))

@@ -62,6 +62,19 @@ def nearest_rank(df: DataFrame, by: str, value: str, order: list[str], last: int
     return df.groupBy(by).agg(F.count("*").alias("n"), at(0.5).alias("p50"), at(0.95).alias("p95"), F.max(value).alias("highest"))
 
 
+#: What is a key, and how many are counted by themselves.
+KEY, MAX_KEYS = r"^[a-z0-9_.:-]{1,64}$", 100
+
+
+def counters(df: DataFrame, key: Column, seen: Column, most: int = MAX_KEYS) -> DataFrame:
+    """Counts by key. What is no key counts as other, and so do keys beyond the first ``most`` by when they were seen."""
+    safe = F.when(key.rlike(KEY), key).otherwise(F.lit("other"))
+    per = df.groupBy(safe.alias("key")).agg(F.count("*").alias("n"), F.min(seen).alias("__seen"))
+    first = per.orderBy("__seen").limit(most).select("key", F.lit(True).alias("__own"))  # at most ``most`` rows
+    own = per.join(F.broadcast(first), "key", "left")
+    return own.groupBy(F.when(F.col("__own"), F.col("key")).otherwise(F.lit("other")).alias("key")).agg(F.sum("n").alias("n"))
+
+
 def covered_months(spans: DataFrame, by: str) -> DataFrame:
     """Months in the union of the intervals (first, last; both inclusive, months as integers) of each group."""
     order = Window.partitionBy(by).orderBy("first", "last")

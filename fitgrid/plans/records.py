@@ -98,10 +98,12 @@ def stage_alerts(spark, sf_dir):
 
 def event_counters(spark, sf_dir):
     """Counts by key; beyond the first hundred keys seen, a key counts as other."""
-    e = _t(spark, sf_dir, "events").withColumn("key", F.get_json_object("props", "$.k"))
-    per = e.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("ts", "event_id")).alias("seen"))
-    per = per.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seen")))
-    return per.groupBy(F.when(F.col("place") <= 100, F.col("key")).otherwise(F.lit("other")).alias("key")).agg(F.sum("n").alias("n"))
+    return R.counters(_t(spark, sf_dir, "events"), F.get_json_object("props", "$.k"), F.struct("ts", "event_id"))
+
+
+def user_counters(spark, sf_dir):
+    """The same over many more keys: user and type, of which some are no keys."""
+    return R.counters(_t(spark, sf_dir, "events"), F.concat(F.when(F.col("user_id") % 10 == 0, F.lit("User ")).otherwise(F.lit("user:")), "user_id", F.lit("."), "event_type"), F.struct("ts", "event_id"))
 
 
 def experience_months(spark, sf_dir):
@@ -130,7 +132,7 @@ def ambiguous_aliases(spark, sf_dir):
     return df.select("alias", F.size("c").alias("n"), F.array_join("c", ",").alias("concepts"))
 
 
-QUERIES = {f.__name__: f for f in (classify_postings, classify_summary, guarded_upsert, touch_seen, sources_summary, load_newest, ingest_plan, rate_limit, request_ledger, stage_percentiles, stage_alerts, event_counters, experience_months, top_tags, ambiguous_aliases)}
+QUERIES = {f.__name__: f for f in (classify_postings, classify_summary, guarded_upsert, touch_seen, sources_summary, load_newest, ingest_plan, rate_limit, request_ledger, stage_percentiles, stage_alerts, event_counters, user_counters, experience_months, top_tags, ambiguous_aliases)}
 
 _POST = f"""
 WITH p AS (SELECT o_orderkey AS source_id, o_orderpriority AS source, sha256(concat_ws('|', CAST(o_custkey AS VARCHAR), coalesce(o_orderpriority, ''), coalesce(o_orderstatus, ''))) AS content_hash, o_orderdate AS posted_at, o_orderstatus FROM orders),
@@ -158,7 +160,9 @@ SELECT subject, seq, window_start, n <= 3 AS allowed, CASE WHEN n > 3 THEN CAST(
     "request_ledger": "SELECT user_id AS subject, event_id AS seq, count(*) OVER (PARTITION BY user_id ORDER BY epoch_us(ts) RANGE BETWEEN 86400000000 PRECEDING AND CURRENT ROW) AS n FROM events",
     "stage_percentiles": _PCT + "SELECT * FROM q",
     "stage_alerts": _PCT + "SELECT stage, round(p95, 6) AS p95, CASE WHEN p95 > 40 THEN 'critical' ELSE 'warning' END AS severity FROM q WHERE n >= 10 AND p95 > 20",
-    "event_counters": "WITH k AS (SELECT json_extract_string(props, '$.k') AS key, count(*) AS n, min((ts, event_id)) AS seen FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY seen) AS place FROM k) SELECT CASE WHEN place <= 50 THEN key ELSE 'other' END AS key, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1",
+    "event_counters": "WITH k AS (SELECT json_extract_string(props, '$.k') AS key, count(*) AS n, min((ts, event_id)) AS seen FROM events GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY seen) AS place FROM k) SELECT CASE WHEN place <= 100 THEN key ELSE 'other' END AS key, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1",
+    "user_counters": """WITH u AS (SELECT CASE WHEN user_id % 10 = 0 THEN 'other' ELSE 'user:' || user_id || '.' || event_type END AS key, ts, event_id FROM events),
+k AS (SELECT key, count(*) AS n, min((ts, event_id)) AS seen FROM u GROUP BY 1), r AS (SELECT *, row_number() OVER (ORDER BY seen) AS place FROM k) SELECT CASE WHEN place <= 100 THEN key ELSE 'other' END AS key, CAST(sum(n) AS BIGINT) AS n FROM r GROUP BY 1""",
     "experience_months": """WITH s AS (SELECT o_custkey AS candidate_id, year(o_orderdate) * 12 + month(o_orderdate) - 1 AS a, year(greatest(max(l_shipdate), o_orderdate)) * 12 + month(greatest(max(l_shipdate), o_orderdate)) - 1 AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey, o_custkey, o_orderdate)
 SELECT candidate_id, count(DISTINCT m) AS months FROM (SELECT candidate_id, unnest(range(a, b + 1)) AS m FROM s) GROUP BY 1""",
     "top_tags": "WITH t AS (SELECT lower(trim(p_type)) AS tag, p_type AS spelling, count(*) AS n, min(p_partkey) AS first FROM part GROUP BY 1, 2) SELECT tag, CAST(sum(n) AS BIGINT) AS n, arg_max(spelling, (n, -first)) AS spelling FROM t GROUP BY tag",

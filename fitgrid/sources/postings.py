@@ -19,7 +19,10 @@ COLUMNS = ("source", "source_id", "url", "title", "company", "location_raw", "re
 def parse_time(col: Column) -> Column:
     """ISO text (a date without a zone is UTC) or seconds since 1970; NULL if unreadable."""
     number = F.try_to_number(col, F.lit("9999999999")).cast("long")
-    return F.coalesce(F.when(col.rlike(r"^\d{1,10}$"), F.timestamp_seconds(number)), F.try_to_timestamp(F.regexp_replace(col, r"(\.\d{6})\d+", "$1")))
+    iso = F.regexp_replace(F.regexp_replace(F.trim(col), r"(\.\d{6})\d+", "$1"), r"(?<=:\d\d)(\.\d+)?([+-]\d\d)(\d\d)$", "$1$2:$3")
+    day, clock = iso.rlike(r"^\d{4}-\d{2}-\d{2}$"), iso.rlike(r"(?:Z|[+-]\d{2}(?::?\d{2})?)$")
+    zoned = F.when(day, F.concat(iso, F.lit("T00:00:00Z"))).when(clock, iso).otherwise(F.concat(iso, F.lit("Z")))
+    return F.coalesce(F.when(col.rlike(r"^\d{1,10}$"), F.timestamp_seconds(number)), F.try_to_timestamp(zoned))
 
 
 def _items(pages: DataFrame, path: str, item: str) -> DataFrame:

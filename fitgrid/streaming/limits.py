@@ -2,7 +2,9 @@
 
 A hit of a subject is allowed if every rule's fixed window is under its limit; a refused
 hit counts in none. Several rules depend on each other through refusals, so hits are
-taken in order per subject with a small state: a counter per rule.
+taken in order per subject with a small state: a counter per rule. The seconds to wait are those
+of the first rule, in their order, that refuses. A stream's state of a subject ends an hour after
+the longest window without hits; a batch carries it from one Arrow batch to the next.
 """
 
 from __future__ import annotations
@@ -27,11 +29,12 @@ def decide(ts: list[float], starts: list[int], counts: list[int], rules=RULES) -
             start = math.floor(t / seconds) * seconds
             if start != starts[r]:
                 starts[r], counts[r] = start, 0
-        over = [starts[r] + seconds - t for r, (seconds, limit) in enumerate(rules) if counts[r] >= limit]
-        if not over:
-            for r in range(len(rules)):
-                counts[r] += 1
-        out.append((not over, math.ceil(max(over)) if over else None))
+        refusing = next((r for r, (_, limit) in enumerate(rules) if counts[r] >= limit), None)
+        if refusing is None:
+            counts[:] = [n + 1 for n in counts]
+            out.append((True, None))
+        else:
+            out.append((False, max(1, math.ceil(starts[refusing] + rules[refusing][0] - t))))
     return out
 
 
@@ -44,17 +47,28 @@ def limited_stream(hits: DataFrame, rules=RULES) -> DataFrame:
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         starts, counts = (list(x) for x in state.get) if state.exists else ([-1] * len(rules), [0] * len(rules))
+        if state.hasTimedOut:
+            state.remove()
+            return
         ts = sorted(float(x) for b in batches for x in b["ts"])
         verdicts = decide(ts, starts, counts, rules)
         state.update((starts, counts))
+        state.setTimeoutDuration(1000 * (3600 + max(seconds for seconds, _ in rules)))
         yield _frame(key[0], ts, verdicts)
 
-    return hits.groupBy("subject").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    return hits.groupBy("subject").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def limited_batch(hits: DataFrame, rules=RULES) -> DataFrame:
-    def whole(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        ts = sorted(float(x) for x in rows["ts"])
-        return _frame(key[0], ts, decide(ts, [-1] * len(rules), [0] * len(rules), rules))
-
-    return hits.groupBy("subject").applyInPandas(whole, OUT)
+    """Verdicts of hits. A task holds one Arrow batch and a counter per rule, however many hits a subject has."""
+
+    def ordered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        subject, starts, counts = None, [], []
+        for b in batches:
+            for who, rows in b.groupby("subject", sort=False, dropna=False):
+                if who != subject or not starts:
+                    subject, starts, counts = who, [-1] * len(rules), [0] * len(rules)
+                ts = rows["ts"].astype(float).tolist()
+                yield _frame(who, ts, decide(ts, starts, counts, rules))
+
+    return hits.select("subject", "ts").repartition("subject").sortWithinPartitions("subject", "ts").mapInPandas(ordered, OUT)
