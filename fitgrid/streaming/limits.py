@@ -42,8 +42,9 @@ def _frame(subject: str, ts: list[float], verdicts) -> pd.DataFrame:
     return pd.DataFrame({"subject": subject, "ts": ts, "allowed": [v[0] for v in verdicts], "retry_after": pd.array([v[1] for v in verdicts], dtype="Int64")})
 
 
-def limited_stream(hits: DataFrame, rules=RULES) -> DataFrame:
-    """Verdicts of a stream of hits (subject string, ts double); within a batch hits are taken by time."""
+def limited_stream(hits: DataFrame, rules=RULES, expire: bool = True) -> DataFrame:
+    """Verdicts of a stream of hits (subject string, ts double); within a batch hits are taken by time. A stream that
+    is to end by itself (availableNow) must not ``expire`` its state: Spark would wait for the timeouts without end."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         starts, counts = (list(x) for x in state.get) if state.exists else ([-1] * len(rules), [0] * len(rules))
@@ -53,10 +54,11 @@ def limited_stream(hits: DataFrame, rules=RULES) -> DataFrame:
         ts = sorted(float(x) for b in batches for x in b["ts"])
         verdicts = decide(ts, starts, counts, rules)
         state.update((starts, counts))
-        state.setTimeoutDuration(1000 * (3600 + max(seconds for seconds, _ in rules)))
+        if expire:
+            state.setTimeoutDuration(1000 * (3600 + max(seconds for seconds, _ in rules)))
         yield _frame(key[0], ts, verdicts)
 
-    return hits.groupBy("subject").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return hits.groupBy("subject").applyInPandasWithState(step, OUT, STATE, "append", GroupStateTimeout.ProcessingTimeTimeout if expire else GroupStateTimeout.NoTimeout)
 
 
 def limited_batch(hits: DataFrame, rules=RULES) -> DataFrame:

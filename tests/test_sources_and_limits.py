@@ -36,7 +36,7 @@ def test_batch_and_stream_agree(spark, tmp_path):
     for part in range(3):
         spark.createDataFrame(hits[part * 30 : part * 30 + 30], "subject string, ts double").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("subject string, ts double").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    q = limits.limited_stream(stream, rules).writeStream.format("memory").queryName("verdicts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q = limits.limited_stream(stream, rules, expire=False).writeStream.format("memory").queryName("verdicts").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     want = []
     for who in ("u0", "u1", "u2"):
