@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import evaluation, ranking, records, taxonomy, texts, understanding
+from .plans import comparison, evaluation, profiles, ranking, records, taxonomy, texts, understanding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _area in (ranking, records, evaluation, texts, understanding, taxonomy):
+for _area in (ranking, records, evaluation, texts, understanding, taxonomy, profiles, comparison):
     QUERIES |= _area.QUERIES
     ORACLES |= _area.ORACLES
 FLAGSHIP = "fit_ranking"
