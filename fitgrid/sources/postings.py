@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import stable_id, text_or_none
 
-COLUMNS = ("source", "source_id", "url", "title", "company", "location_raw", "remote", "posted_at", "description", "description_is_excerpt", "tags", "category", "employment_type", "salary_raw")
+COLUMNS = ("source", "source_id", "url", "title", "company", "location_raw", "remote", "country", "posted_at", "description", "description_is_excerpt", "tags", "category", "employment_type", "salary_raw")
 
 
 def parse_time(col: Column) -> Column:
@@ -59,13 +59,55 @@ def jooble(pages: DataFrame) -> DataFrame:
     return _shaped(df, "jooble", source_id=F.coalesce(text_or_none(i["id"]), stable_id(i["link"])), url=i["link"], title=i["title"], company=text_or_none(i["company"]), location_raw=text_or_none(i["location"]), posted_at=parse_time(i["updated"]), description=text_or_none(i["snippet"]), description_is_excerpt=F.lit(True), employment_type=text_or_none(i["type"]), salary_raw=text_or_none(i["salary"]))
 
 
-ADAPTERS: dict[str, Callable[..., DataFrame]] = {"arbeitnow": arbeitnow, "themuse": themuse, "jooble": jooble}
+def salary_range(low: Column, high: Column, estimated: Column) -> Column:
+    """The known ends in whole numbers with thousands, once where they are equal, and whether they are an estimate."""
+    ends = F.array_distinct(F.array_compact(F.array(low, high)))
+    text = F.array_join(F.transform(ends, lambda x: F.format_number(x, 0)), " - ")
+    return F.when(F.size(ends) > 0, F.concat(text, F.when(estimated == "1", " (estimated)").otherwise("")))
+
+
+def adzuna(pages: DataFrame, country: str = "gb") -> DataFrame:
+    """Every result of a search is a posting of the searched country."""
+    i = F.col("i")
+    df = _items(pages, "results", "id STRING, redirect_url STRING, title STRING, company STRUCT<display_name: STRING>, location STRUCT<display_name: STRING>, created STRING, description STRING, category STRUCT<label: STRING>, contract_time STRING, salary_min DOUBLE, salary_max DOUBLE, salary_is_predicted STRING")
+    return _shaped(df, "adzuna", source_id=i["id"], url=i["redirect_url"], title=i["title"], company=text_or_none(i["company"]["display_name"]), location_raw=text_or_none(i["location"]["display_name"]), country=F.lit(country.upper()), posted_at=parse_time(i["created"]), description=text_or_none(i["description"]), description_is_excerpt=F.lit(True), category=text_or_none(i["category"]["label"]), employment_type=text_or_none(i["contract_time"]), salary_raw=salary_range(i["salary_min"], i["salary_max"], i["salary_is_predicted"]))
+
+
+def remotive(pages: DataFrame) -> DataFrame:
+    """A feed of remote jobs only; the id is a number, the address http(s)."""
+    i = F.col("i")
+    df = _items(pages, "jobs", "id STRING, url STRING, title STRING, company_name STRING, category STRING, tags ARRAY<STRING>, job_type STRING, publication_date STRING, candidate_required_location STRING, salary STRING, description STRING")
+    number = F.when(F.trim(i["id"]).rlike(r"^[+-]?\d+$"), F.trim(i["id"]).try_cast("bigint").cast("string"))
+    return _shaped(df, "remotive", source_id=number, url=F.when(i["url"].rlike("^https?://"), i["url"]), title=i["title"], company=i["company_name"], location_raw=i["candidate_required_location"], remote=F.lit(True), posted_at=parse_time(i["publication_date"]), description=i["description"], tags=F.coalesce(i["tags"], F.array().cast("array<string>")), category=i["category"], employment_type=i["job_type"], salary_raw=F.nullif(i["salary"], F.lit("")))
+
+
+ADAPTERS: dict[str, Callable[..., DataFrame]] = {"arbeitnow": arbeitnow, "themuse": themuse, "jooble": jooble, "adzuna": adzuna, "remotive": remotive}
+#: Where a page of each feed holds its postings.
+ITEMS = {"arbeitnow": "data", "themuse": "results", "jooble": "jobs", "adzuna": "results", "remotive": "jobs"}
+INVALID, NONE = "invalid_response", "no_postings"
+
+
+def usable_pages(pages: DataFrame, source: str) -> DataFrame:
+    """The pages up to the first that is no page of the feed: not JSON, or without a list of postings."""
+    listed = F.get_json_object("body", f"$.{ITEMS[source]}").rlike(r"^\s*\[")
+    bad = pages.filter(~F.coalesce(listed, F.lit(False))).agg(F.min("page").alias("__bad"))  # one row
+    return pages.crossJoin(F.broadcast(bad)).filter(F.col("__bad").isNull() | (F.col("page") < F.col("__bad"))).drop("__bad")
 
 
 def parsed_run(pages: DataFrame, source: str) -> tuple[DataFrame, DataFrame]:
-    """The kept postings of a run, the first of an id winning in feed order, and one row of counts."""
-    rows = ADAPTERS[source](pages)
+    """The kept postings of a run, the first of an id winning in feed order, and one row of counts.
+
+    A page that is none ends the run. ``error`` is NULL, or why the run gives nothing: its first page is none or no
+    posting was usable (invalid_response), or there were none, or none wanted (no_postings). A repeated id is skipped.
+    """
+    used = usable_pages(pages, source)
+    rows = ADAPTERS[source](used)
     first = Window.partitionBy("source_id").orderBy("page", "at")
-    kept = rows.filter("status = 'kept'").withColumn("__n", F.row_number().over(first)).filter("__n = 1").select(*COLUMNS)
-    counts = rows.agg(*(F.count_if(F.col("status") == s).alias(s) for s in ("kept", "filtered", "skipped")), F.count("*").alias("raw_count"))
-    return kept, counts
+    wanted = rows.filter("status = 'kept'").withColumn("__n", F.row_number().over(first))
+    kept = wanted.filter("__n = 1").select(*COLUMNS)
+    repeated = F.when(F.col("status") == "kept", F.row_number().over(Window.partitionBy("source_id", "status").orderBy("page", "at")) > 1).otherwise(False)
+    found = F.when(repeated, "skipped").otherwise(F.col("status"))
+    counts = rows.withColumn("__s", found).agg(*(F.count_if(F.col("__s") == s).alias(s) for s in ("kept", "filtered", "skipped")), F.count("*").alias("raw_count"))
+    n = used.agg(F.count("*").alias("__pages"))
+    error = F.when(F.col("kept") > 0, F.lit(None)).when(F.col("__pages") == 0, INVALID).when((F.col("raw_count") == 0) | (F.col("filtered") > 0), NONE).otherwise(INVALID)
+    return kept, counts.crossJoin(F.broadcast(n)).withColumn("error", error).drop("__pages")
