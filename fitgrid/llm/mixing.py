@@ -66,24 +66,24 @@ def exponent(sources: DataFrame, entropy: float | None = None, repeats: float |
         tokens = np.array([r[0] for r in sources.select("tokens").collect()], float)
         measure = lambda _, points: _local_measures(tokens / tokens.sum(), points)
 
-    def search(fits) -> float:
-        lo, hi = 0.0, 1.0  # fits(hi) holds
+    def search(fits) -> tuple[float, float]:
+        """Two neighbouring exponents: up to the first ``fits`` fails, from the second on it holds."""
+        lo, hi = 0.0, 1.0
         if fits(measure(sources, [0.0])[0]):
-            return 0.0
+            return 0.0, 0.0
         for _ in range(PASSES):
             points = [lo + (hi - lo) * k / POINTS for k in range(POINTS + 1)]
             ok = [fits(m) for m in measure(sources, points)]
             k = next((k for k in range(1, POINTS + 1) if ok[k]), POINTS)
             lo, hi = points[k - 1], points[k]
-        return hi
+        return lo, hi
 
     found = []
     if repeats is not None:
-        found.append(search(lambda m: m[1] <= repeats))
+        found.append(search(lambda m: m[1] <= repeats)[1])
     if entropy is not None:
         goal = entropy * math.log(n)
-        lo = search(lambda m: m[0] < goal) if measure(sources, [1.0])[0][0] < goal else 1.0
-        found.append(lo)
+        found.append(search(lambda m: m[0] < goal)[0] if measure(sources, [1.0])[0][0] < goal else 1.0)
     return max(found, default=1.0)
 
 
@@ -93,7 +93,8 @@ def mix(docs: DataFrame, entropy: float | None = 0.95, repeats: float | None = 2
     ``budget`` is the number of tokens to draw; by default the least for which every
     source is passed once, so no text is lost. Null sources are one source of their
     own; texts without words cost nothing and are drawn in every pass begun;
-    repeated rows are drawn as often as they stand; an empty table gives no rows.
+    repeated rows are drawn as often as they stand; texts of any length are whole; ties of
+    the order go by a hash of id and text; columns of other names are carried; an empty table gives no rows.
     """
     rows = docs.withColumns({"__tokens": _n_tokens(F.col("text")), "__source": F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("null"))})
     rows = rows.withColumn("__id", F.xxhash64(F.lit(seed), "doc_id", "text"))

@@ -246,11 +246,12 @@ def _places(runs: list[tuple[tuple[int, ...], int]]) -> list[tuple[int, int, int
 
 
 def pack(docs: DataFrame, size: int = SIZE, vocabulary: str = "byte_bpe_50k.json", ranks: str | None = "byte_bpe_50k.tiktoken") -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, copy.
 
     A text is its ids and then id 0; null and empty texts are the 0 alone. Only texts
     of more than ``size`` ids are cut, the first piece taking the remainder. Repeated
-    rows are packed once each; null ids are carried; an empty table gives no rows.
+    rows are packed once each and numbered by ``copy`` from 0; texts of any length are taken whole; ties go by a hash of
+    id, piece and ids; other columns, whatever their names, are not read; null ids are carried; an empty table gives no rows.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -263,11 +264,12 @@ def pack(docs: DataFrame, size: int = SIZE, vocabulary: str = "byte_bpe_50k.json
     dealt = pieces.withColumns({"__key": key, "__bucket": F.pmod(key, F.lit(buckets))})
     before = dealt.groupBy("length", "__bucket").count().withColumn("before", F.sum("count").over(Window.partitionBy("length").orderBy("__bucket")) - F.col("count")).drop("count")
     within = Window.partitionBy("length", "__bucket").orderBy("__key", "doc_id", "piece", "ids_crc32")
-    ranked = dealt.withColumn("__rank", F.row_number().over(within) - 1).join(before, ["length", "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("before"))
+    same = Window.partitionBy("length", "__bucket", "__key", "doc_id", "piece", "ids_crc32").orderBy("start")
+    ranked = dealt.withColumn("__rank", F.row_number().over(within) - 1).withColumn("copy", F.row_number().over(same) - 1).join(before, ["length", "__bucket"]).withColumn("__rank", F.col("__rank") + F.col("before"))
     # a few places a length, however many pieces: the plan is made of runs
     out = ranked.join(F.broadcast(places), (F.col("length") == F.col("p_length")) & (F.col("__rank") >= F.col("lo")) & (F.col("__rank") < F.col("hi")))
     turn = F.col("__rank") - F.col("lo")
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.floor(turn / F.col("m"))).cast("long").alias("sequence_id"), (F.col("at") + turn % F.col("m") * F.col("length")).cast("long").alias("offset"))
+    return out.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("sequence") + F.floor(turn / F.col("m"))).cast("long").alias("sequence_id"), (F.col("at") + turn % F.col("m") * F.col("length")).cast("long").alias("offset"), "copy")
 
 
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

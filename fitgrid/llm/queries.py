@@ -15,7 +15,8 @@ from .url_filter import op7_url_filters
 
 QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_mixing_sources, op4_class_lm, op5_substring_dedup, op6_toxicity, op7_url_filters, op8_minhash_near_dedup, op9_embedding_near_dedup, op10_best_fit_packing)}
 
-#: Models, templates, approximate search and packing have no SQL of their own; op5 and op9 do.
+#: op5, op8 and op9 are fixed by what they return. The others hang on a model, a template, a permutation or a plan, which
+#: SQL does not have; tests hold them to brute force, round trips or held-out accuracy.
 ORACLES = {
     "op5_substring_dedup": r"""
 WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
@@ -27,6 +28,18 @@ word AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS
 kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t, count(*) AS n FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
 SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(len(words) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op8_minhash_near_dedup": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, sha256(array_to_string(w[i:i + 3], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+f AS (SELECT h, count(*) AS f FROM s GROUP BY 1),
+o AS (SELECT doc_id, h, row_number() OVER (PARTITION BY doc_id ORDER BY f, h) AS place FROM s JOIN f USING (h)),
+p AS (SELECT doc_id, h, n FROM o JOIN n USING (doc_id) WHERE 100 * (place - 2) <= 20 * n),
+c AS (SELECT DISTINCT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb FROM p a JOIN p b ON a.h = b.h AND a.doc_id < b.doc_id WHERE 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
+i AS (SELECT c.a, c.b, na, nb, count(*) AS k FROM c JOIN s x ON x.doc_id = c.a JOIN s y ON y.doc_id = c.b AND y.h = x.h GROUP BY 1, 2, 3, 4),
+l AS (SELECT a, b FROM i WHERE 100 * k >= 80 * (na + nb - k)), e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(doc_id, r) AS (SELECT doc_id, doc_id FROM documents UNION SELECT reach.doc_id, e.b FROM reach JOIN e ON e.a = reach.r)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, min(r) AS component_id, doc_id = min(r) AS kept FROM reach LEFT JOIN n USING (doc_id) GROUP BY doc_id, n""",
     "op9_embedding_near_dedup": r"""
 WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
 u AS (SELECT vec_id, label, e, sqrt(list_dot_product(e, e)) AS norm FROM v

@@ -112,34 +112,57 @@ def train(docs: DataFrame, labels: DataFrame, most: int = TRAIN_ROWS) -> tuple[n
     return fit(sorted(zip(got["toxic"].to_pylist(), got["features"].to_pylist(), strict=True)))
 
 
-def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
-    """(doc_id, score) of every row; null and empty texts get the intercept's score."""
+def _scorer(model: tuple[np.ndarray, np.ndarray, float]):
+    """A function from a column of texts to their scores; null and empty texts get the intercept's score."""
     features, weights, bias = model
+    wanted = np.zeros(1 << BITS, bool)
+    wanted[features] = True
+    weight = np.zeros(1 << BITS)
+    weight[features] = weights
+
+    def scores(column: pa.Array) -> np.ndarray:
+        out = [np.zeros(0)]
+        for texts in _runs(column.to_pylist()):
+            hits = []
+            for doc, f in _grams(texts):
+                at = np.flatnonzero(wanted[f])
+                hits.append((doc[at].astype(np.int64) << BITS) | f[at])
+            one = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
+            z = np.bincount(one >> BITS, weight[one & ((1 << BITS) - 1)], len(texts)) + bias
+            out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
+        return np.concatenate(out)
+
+    return scores
+
+
+def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> DataFrame:
+    """(doc_id, score) of every row.
+
+    Null and empty texts get the intercept's score, texts of any length are read whole, repeated rows get equal
+    scores, other columns, whatever their names, are not read, and an empty table gives no rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.zeros(1 << BITS, bool)
-        wanted[features] = True
-        weight = np.zeros(1 << BITS)
-        weight[features] = weights
+        scores = _scorer(model)
         for b in batches:
-            out = []
-            for texts in _runs(b["text"].to_pylist()):
-                hits = []
-                for doc, f in _grams(texts):
-                    at = np.flatnonzero(wanted[f])
-                    hits.append((doc[at].astype(np.int64) << BITS) | f[at])
-                one = np.unique(np.concatenate(hits)) if hits else np.zeros(0, np.int64)
-                z = np.bincount(one >> BITS, weight[one & ((1 << BITS) - 1)], len(texts)) + bias
-                out.append(1 / (1 + np.exp(-np.clip(z, -500, 500))))
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(np.concatenate(out) if out else [], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(scores(b["text"]), pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
 
 def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], limit: float = 0.5) -> DataFrame:
-    """Rows of ``docs`` (all columns) whose id has no text scored at ``limit`` or more; null ids stay."""
-    bad = scored(docs, model).filter(F.col("score") >= limit).select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Rows of ``docs`` (all columns) whose text scores below ``limit``: one pass, and no row is shuffled.
+
+    Every row is judged by its own text, whatever its id (null ids, and ids with several texts, too).
+    """
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _scorer(model)
+        for b in batches:
+            yield b.filter(pa.array(scores(b.column(at)) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

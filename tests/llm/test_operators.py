@@ -528,3 +528,99 @@ def test_pipeline(spark):
         kept = stage(spark, kept, DATA)
         assert kept.columns == docs.columns
     assert corpus_pipeline.run(spark, DATA).count() > 0
+
+
+def doubled(spark):
+    """Odd rows, each twice, with columns whose names clash with those inside the operators."""
+    extra = "__tokens long, score double, component long, bucket int, host string, lo long, pattern int, tile int"
+    rows = [(d, t, "en", f"s{(d or 0) % 3}", len(t or ""), "clash", 1, True, 7, 0.5, 1, 2, "h", 3, 4, 5) for d, t in odd_texts() * 2]
+    return spark.createDataFrame(rows, SCHEMA + ", " + extra)
+
+
+def test_toxicity_on_odd_rows(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.001/{n}.parquet") for n in ("documents", "labels"))
+    model = toxicity.train(docs, labels)
+    df = doubled(spark)
+    got = collections.defaultdict(set)
+    for r in toxicity.scored(df, model).collect():
+        got[r["doc_id"]].add(r["score"])
+    assert all(len(v) == 1 for d, v in got.items()) and toxicity.scored(df, model).count() == df.count()
+    assert toxicity.scored(docs.limit(0), model).count() == 0
+    kept = toxicity.drop_toxic(df, model)
+    assert kept.schema == df.schema
+    low = [r["doc_id"] for r in toxicity.scored(df, model).filter("score < 0.5").collect()]
+    assert collections.Counter(r["doc_id"] for r in kept.collect()) == collections.Counter(low)
+
+
+def test_toxic_rows_go_whatever_their_id(spark):
+    model = (np.zeros(0, np.int32), np.zeros(0), 3.0)  # every text is toxic
+    assert toxicity.drop_toxic(frame(spark, odd_texts()), model).count() == 0
+
+
+def test_urls_on_odd_rows(spark):
+    long = "http://a.example.org/" + "x/" * 50_000
+    rows = [(1, long), (1, long), (2, "://"), (3, "://?"), (4, ""), (5, "HTTP://ÄB.COM/en/%F0?=&&=#"), (None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string").withColumns({c: F.lit(1) for c in ("host", "path", "rule", "depth", "p")})
+    model = url_filter.train_url_trees(spark.createDataFrame([("http://a.com/", 0), (long, 1), (None, 1)] * 30, "url string, label int"))
+    got = url_filter.filter_urls(df, model).collect()
+    assert len(got) == len(rows) and all(r["verdict"] in ("allow", "block") for r in got)
+    by = {r["page_id"]: (r["host"], r["path"]) for r in got}
+    assert by[2] == by[3] == by[4] == by[None] == ("", "") and by[1][0] == "a.example.org" and len(by[1][1]) == 100_001
+    assert by[5] == ("Äb.com", "/en/%F0")
+    assert url_filter.filter_urls(df.limit(0), model).count() == 0
+
+
+@pytest.mark.parametrize("rows", ["odd", "none"])
+def test_stages_on_odd_rows(spark, rows):
+    """Nulls, empty, long and repeated rows, ties and clashing names through every stage; and empty tables."""
+    import corpus_pipeline
+
+    docs = doubled(spark)
+    docs = docs.limit(0) if rows == "none" else docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DATA)
+        assert out.columns == docs.columns, name
+        n = out.count()
+        assert n == 0 if rows == "none" else n > 0, name
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
+    assert {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"} <= set(packed.columns)
+    keys = packed.groupBy("doc_id", "piece", "ids_crc32", "copy").count().filter("count > 1")
+    assert keys.count() == 0 and (rows == "none") == (packed.count() == 0)
+
+
+def test_near_duplicates_stage_keeps_one_row_an_id_and_one_document_a_group(spark):
+    import corpus_pipeline
+
+    out = [(r["doc_id"], r["text"]) for r in corpus_pipeline.minhash_near_dedup(spark, frame(spark, odd_texts()), DATA).collect()]
+    ids = [d for d, _ in out if d is not None]
+    assert len(ids) == len(set(ids)) and 0 in ids and not {1, 2} & set(ids) and (None, odd_texts()[0][1]) in out
+
+
+def test_whole_mixture_is_brute_forced(spark):
+    """Weights, passes and what is drawn, against plain sums over the same documents."""
+    rows = [(d, " ".join(["w"] * (1 + d % 7)), "abc"[min(d // 40, 2)]) for d in range(100)]
+    df = spark.createDataFrame([(d, t, s, "") for d, t, s in rows], "doc_id long, text string, source string, lang string")
+    out = mixing.mix(df, entropy=0.99, repeats=None).toPandas()
+    tokens = collections.Counter()
+    for d, t, s in rows:
+        tokens[s] += 1 + d % 7
+    share = np.array([tokens[s] / sum(tokens.values()) for s in "abc"])
+
+    def entropy(t):
+        p = share**t / (share**t).sum()
+        return -(p * np.log(p)).sum() / np.log(3)
+
+    lo, hi = 0.0, 1.0  # entropy falls with the exponent: the greatest that still reaches the goal
+    for _ in range(60):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if entropy(mid) >= 0.99 else (lo, mid)
+    weight = dict(zip("abc", share**lo / (share**lo).sum()))
+    passes = {s: weight[s] / tokens[s] for s in "abc"}
+    passes = {s: p / min(passes.values()) for s, p in passes.items()}
+    for s in "abc":
+        own = out[out.source == s]
+        assert own.__weight.iloc[0] == pytest.approx(weight[s], abs=1e-6)
+        assert set(own.doc_id) == {d for d, _, x in rows if x == s}
+        assert abs(own.__tokens.sum() - passes[s] * tokens[s]) <= 7
+        assert own.groupby("doc_id").size().max() == math.ceil(passes[s] - 1e-6)
+    assert entropy(mixing.exponent(spark.createDataFrame([(s, n) for s, n in tokens.items()], "source string, tokens long"), entropy=0.99)) >= 0.99
