@@ -23,11 +23,14 @@ REPEATS = 2.0
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text scores as toxic go, each by its own text, null ids too; null and empty texts get the model's
+    intercept, repeated rows one verdict. An empty table gives none. Columns of any names are carried."""
     return drop_toxic(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
 def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows that are not their group's smallest doc_id go; of rows with one doc_id one stays; null ids stay."""
+    """Rows that are not their group's smallest doc_id go; of rows with one doc_id one stays; null ids stay, and so do
+    texts without words, which are like nothing. Texts of any length count whole. An empty table gives none."""
     found = saved(near_duplicates(docs), "near")
     gone = found.filter(~F.col("kept")).select("doc_id").distinct()
     out = docs.join(gone, "doc_id", "left_anti")
@@ -38,14 +41,19 @@ def minhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Words of passages that stand elsewhere too are cut; every row stays, with null and empty texts as they are."""
     return remove_repeats(docs)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every row is drawn once at least, those of small sources up to REPEATS times; null sources are one source, texts
+    without words are drawn in every pass begun, repeated rows as often as they stand. An empty table gives none."""
     return mixed_documents(docs, repeats=REPEATS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows, those drawn twice told apart by ``copy``; null and empty texts are one id. Which sequence a
+    piece is in follows from its length and a hash: the mixture's order is that of documents, not of sequences."""
     return pack(docs)
 
 
