@@ -66,6 +66,13 @@ def chunks(col: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, n
         i = j
 
 
+def parts(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of ``rows`` rows, for kernels that make Python objects of them."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 class Words:
     """Words of a run of texts: ``starts``/``ends`` in bytes, ``off`` the words before each text, ``hash``."""
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import discard, saved, table
-from .kernels import Words, chunks, windows
+from .kernels import chunks, parts, windows, Words
 
 WIDTH = 35
 _LOW = np.uint64((1 << 22) - 1)
@@ -96,7 +96,7 @@ def _first(width: int):
 
 
 def _plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in parts(batches):
         n, sha = [], []
         for t in b["text"].to_pylist():
             words = (t or "").encode().split()
@@ -133,7 +133,7 @@ def _cut(width: int):
     """Texts without the words that their repeated windows cover."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in parts(batches):
             out = []
             for text, starts in zip(b["text"].to_pylist(), b["starts"], strict=True):
                 words = (text or "").encode().split()

@@ -18,11 +18,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import in_fold, table
+from .kernels import parts
 
 BITS, ORDERS = 20, (3, 4, 5)
 #: The most labelled rows that a fit takes.
 TRAIN_ROWS = 4000
-_CHARS = 1 << 20
+_CHARS = 1 << 18
 
 
 def _grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -63,7 +64,7 @@ def _unpacked(blob: bytes) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in parts(batches):
         blobs = [_packed(np.unique(np.concatenate([f for _, f in _grams([t or ""])] or [np.zeros(0, np.uint32)]))) for t in b["text"].to_pylist()]
         yield pa.RecordBatch.from_arrays([b["toxic"], pa.array(blobs, pa.binary())], ["toxic", "features"])
 
@@ -144,7 +145,7 @@ def scored(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _scorer(model)
-        for b in batches:
+        for b in parts(batches):
             yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(scores(b["text"]), pa.float64())], ["doc_id", "score"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
@@ -159,7 +160,7 @@ def drop_toxic(docs: DataFrame, model: tuple[np.ndarray, np.ndarray, float], lim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _scorer(model)
-        for b in batches:
+        for b in parts(batches):
             yield b.filter(pa.array(scores(b.column(at)) < limit))
 
     return docs.mapInArrow(run, docs.schema)
