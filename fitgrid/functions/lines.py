@@ -130,16 +130,16 @@ def skill_hits(lines: DataFrame, keys: list[str], vocabulary: DataFrame, most_wo
     pass over a text's hits.
     """
     words = lines.select(*keys, tokens(F.col("text")).alias("w"))
-    runs = words.select(*keys, "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))).alias("at")).filter(F.size("w") > 0)
-    runs = runs.select(*keys, "at", F.explode(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda k: F.struct(k.alias("k"), F.slice("w", F.col("at"), k).alias("run")))).alias("r")).filter("size(r.run) = r.k")
-    runs = runs.select(*keys, "at", F.col("r.k").alias("k"), F.array_join("r.run", " ").alias("skill")).withColumn("norm", normalize(F.col("skill")))
+    runs = words.select(*keys, "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))).alias("__at")).filter(F.size("w") > 0)
+    runs = runs.select(*keys, "__at", F.explode(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda k: F.struct(k.alias("k"), F.slice("w", F.col("__at"), k).alias("run")))).alias("r")).filter("size(r.run) = r.k")
+    runs = runs.select(*keys, "__at", F.col("r.k").alias("k"), F.array_join("r.run", " ").alias("skill")).withColumn("norm", normalize(F.col("skill")))
     met = runs.join(vocabulary.select(F.col("alias_norm").alias("norm"), "weak").dropDuplicates(["norm"]), "norm")
-    longest = met.groupBy(*keys, "at").agg(F.max_by(F.struct("k", "skill", "norm", "weak"), "k").alias("h"))
-    per = longest.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "h"))).alias("hits"))
+    longest = met.groupBy(*keys, "__at").agg(F.max_by(F.struct("k", "skill", "norm", "weak"), "k").alias("h"))
+    per = longest.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__at", "h"))).alias("hits"))
     start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("taken"))
-    chosen = F.aggregate("hits", start, lambda acc, x: F.when(x["at"] >= acc["next"], F.struct((x["at"] + x["h"]["k"]).alias("next"), F.concat(acc["taken"], F.array(x["at"])).alias("taken"))).otherwise(acc))["taken"]
-    kept = per.select(*keys, F.explode(F.filter("hits", lambda x: F.array_contains(chosen, x["at"]))).alias("x"))
-    return kept.select(*keys, F.col("x.at").alias("place"), F.col("x.h.skill").alias("skill"), F.col("x.h.norm").alias("norm"), F.col("x.h.weak").alias("weak"))
+    chosen = F.aggregate("hits", start, lambda acc, x: F.when(x["__at"] >= acc["next"], F.struct((x["__at"] + x["h"]["k"]).alias("next"), F.concat(acc["taken"], F.array(x["__at"])).alias("taken"))).otherwise(acc))["taken"]
+    kept = per.select(*keys, F.explode(F.filter("hits", lambda x: F.array_contains(chosen, x["__at"]))).alias("x"))
+    return kept.select(*keys, F.col("x.__at").alias("place"), F.col("x.h.skill").alias("skill"), F.col("x.h.norm").alias("norm"), F.col("x.h.weak").alias("weak"))
 
 
 def posting_head(title: Column, company: Column, tags: Column, category: Column) -> Column:

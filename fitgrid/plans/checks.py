@@ -6,8 +6,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import lines as L
+from ..functions import text as T
 from ..operators import checks as K
 from ..operators import records as R
+from ..operators import requirements as N
 from ..operators import scoring as S
 from ..sources import postings as G
 from . import ranking
@@ -150,6 +152,23 @@ def skill_mentions(spark, sf_dir):
     return L.skill_hits(p.select("p_partkey", text.alias("text")), ["p_partkey"], v)
 
 
+def posting_requirements(spark, sf_dir):
+    """Pages as postings, the long words of benchmark items as skills; words that end in -ing count only where they are asked."""
+    words = _t(spark, sf_dir, "benchmark").select(F.explode(F.split(F.lower("text"), r"[^a-z]+")).alias("alias_norm")).filter("length(alias_norm) > 7").distinct()
+    vocabulary = words.withColumn("weak", F.col("alias_norm").endswith("ing"))
+    p = _t(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("description"), F.split(F.regexp_replace("url", "^.*://", ""), "[./-]").alias("tags"))
+    df = N.extracted(p, vocabulary)
+    return df.select("id", *(F.array_join(c, ",").alias(c) for c in ("required", "preferred", "warnings")), F.size("responsibilities").alias("n_responsibilities"), "min_years")
+
+
+def posting_niches(spark, sf_dir):
+    """Industries of postings made of customers' segments, from their heads alone or from two mentions."""
+    c, k = _t(spark, sf_dir, "customer"), F.col("c_custkey")
+    said = F.element_at(F.array(*map(F.lit, ("poker", "a blockchain", "forex desk", "nothing", "bingo and slot machines", "cfd trading"))), (k % 6 + 1).cast("int"))
+    head = L.posting_head(F.concat(F.lit("Clerk "), F.when(k % 4 == 0, said).otherwise("")), F.when(k % 3 == 0, F.col("c_name")), F.array(F.lit("tag"), F.lower("c_mktsegment")), F.when(k % 5 == 0, "Online betting"))
+    return c.select("c_custkey", F.array_join(T.niches(head, F.concat_ws(" ", said, F.when(k % 7 < 3, said))), ",").alias("niches"))
+
+
 def _adzuna_pages(spark, sf_dir):
     """Pages of up to fifty orders as a search gives them; some without an address, and ids that come again on a later page."""
     o = _t(spark, sf_dir, "orders")
@@ -178,7 +197,7 @@ def remotive_counts(spark, sf_dir):
     return both[0].unionByName(both[1]).unionByName(both[2])
 
 
-QUERIES = {f.__name__: f for f in (health_alerts, site_health, metric_alerts, warning_counts, failing_runs, judged_fields, held_intervals, matched_headings, file_hashes, content_hashes, first_deliveries, duplicate_ids, fit_warnings, percentiles_by_correctness, calibration_export, document_lines, page_lines, skill_mentions, adzuna_postings, adzuna_counts, remotive_counts)}
+QUERIES = {f.__name__: f for f in (health_alerts, site_health, metric_alerts, warning_counts, failing_runs, judged_fields, held_intervals, matched_headings, file_hashes, content_hashes, first_deliveries, duplicate_ids, fit_warnings, percentiles_by_correctness, calibration_export, document_lines, page_lines, skill_mentions, posting_requirements, posting_niches, adzuna_postings, adzuna_counts, remotive_counts)}
 
 _C = """WITH c AS (SELECT user_id % 50 AS site, upper(event_type[1:1]) || event_type[2:] || ' ' || (user_id % 3) AS name, CASE WHEN event_type = 'error' AND value > 100 THEN 'down' WHEN value > 60 THEN 'degraded' ELSE 'ok' END AS status, 'K/' || CAST(trunc(value / 40) AS INT) AS code FROM events)
 """
@@ -187,7 +206,7 @@ s AS (SELECT *, CASE WHEN o_orderkey % 3 > 0 THEN p END AS lo, CASE WHEN o_order
 """
 _RC = """WITH c AS (SELECT *, c_custkey % 3 AS page, c_custkey % 13 > 0 AND c_custkey % 7 > 0 AND c_custkey % 5 > 0 AS ok FROM customer)
 """
-#: page_lines and skill_mentions are held to brute force in tests: SQL has neither a parser of HTML nor runs that exclude each other.
+#: page_lines, skill_mentions and posting_requirements are held to brute force in tests: SQL has neither a parser of HTML nor runs that exclude each other.
 ORACLES = {
     "health_alerts": _C + "SELECT site, 'check.' || regexp_replace(lower(name), '[^a-z0-9_.:-]', '_', 'g') || '.' || regexp_replace(lower(code), '[^a-z0-9_.:-]', '_', 'g') AS alert, CASE WHEN bool_or(status = 'down') THEN 'critical' ELSE 'warning' END AS severity FROM c WHERE status <> 'ok' GROUP BY 1, 2",
     "site_health": _C + "SELECT site, CASE WHEN bool_or(status = 'down') THEN 'down' WHEN bool_or(status = 'degraded') THEN 'degraded' ELSE 'ok' END AS status, count(*) AS checks, CASE WHEN bool_or(status = 'down') THEN 503 ELSE 200 END AS answer FROM c GROUP BY 1",
@@ -220,6 +239,9 @@ w AS (SELECT doc_id, bullet, t, string_split(t, ' ') AS w FROM b WHERE t <> ''),
 k AS (SELECT *, NOT heading AND NOT bullet AND len(w) BETWEEN 3 AND 6 AND NOT regexp_matches(t, '[.!?,;)]$') AND len(list_filter(w, lambda x: length(x) > 3 AND NOT regexp_matches(x, '^\p{Lu}'))) = 0 AS title FROM h),
 c AS (SELECT doc_id, count(*) AS n, count(*) FILTER (heading) AS h, count(*) FILTER (bullet) AS b, count(*) FILTER (title) AS t, sum(length(t)) AS chars FROM k GROUP BY 1)
 SELECT d.doc_id, coalesce(n, 0)::INT AS n_lines, coalesce(h, 0)::INT AS headings, coalesce(b, 0)::INT AS bullets, coalesce(t, 0)::INT AS titles, coalesce(chars, 0) >= 200 AS usable FROM documents d LEFT JOIN c USING (doc_id)""",
+    "posting_niches": """WITH c AS (SELECT c_custkey AS k, ['gambling', 'crypto', 'forex', '', 'gambling', 'forex'][c_custkey % 6 + 1] AS code, ['poker', 'a blockchain', 'forex desk', 'nothing', 'bingo and slot machines', 'cfd trading'][c_custkey % 6 + 1] AS said FROM customer),
+n AS (SELECT *, CASE said WHEN 'nothing' THEN 0 WHEN 'bingo and slot machines' THEN 2 ELSE 1 END * (1 + CAST(k % 7 < 3 AS INT) + CAST(k % 4 = 0 AS INT)) AS times, k % 5 = 0 AS bets FROM c)
+SELECT k AS c_custkey, array_to_string(list_filter(['gambling', 'crypto', 'forex'], lambda x: (x = code AND (times >= 2 OR (k % 4 = 0 AND times > 0))) OR (x = 'gambling' AND bets)), ',') AS niches FROM n""",
     "adzuna_postings": _AD + """SELECT CAST(id AS VARCHAR) AS source_id, 'https://a.example/' || o_orderkey AS url, o_orderpriority AS title, CASE WHEN o_custkey % 4 > 0 THEN 'c' || o_custkey END AS company, 'GB' AS country, CAST(epoch(o_orderdate) AS BIGINT) AS posted,
 CASE WHEN lo IS NOT NULL OR hi IS NOT NULL THEN concat_ws(' - ', format('{:,.0f}', lo), CASE WHEN hi IS DISTINCT FROM lo THEN format('{:,.0f}', hi) END) || CASE WHEN o_orderkey % 2 = 1 THEN ' (estimated)' ELSE '' END END AS salary_raw, true AS description_is_excerpt FROM s WHERE o_orderkey % 11 > 0 AND n = 1""",
     "adzuna_counts": _AD + "SELECT count(*) FILTER (o_orderkey % 11 > 0 AND n = 1) AS kept, 0 AS filtered, count(*) FILTER (o_orderkey % 11 = 0 OR n > 1) AS skipped, count(*) AS raw_count, NULL::VARCHAR AS error FROM s",
