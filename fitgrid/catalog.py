@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import checks, comparison, evaluation, matching, profiles, ranking, records, taxonomy, texts, understanding
+from .plans import checks, comparison, evaluation, feeds, matching, profiles, ranking, records, taxonomy, texts, understanding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _area in (ranking, records, evaluation, texts, understanding, taxonomy, profiles, comparison, checks, matching):
+for _area in (ranking, records, evaluation, texts, understanding, taxonomy, profiles, comparison, checks, matching, feeds):
     QUERIES |= _area.QUERIES
     ORACLES |= _area.ORACLES
 FLAGSHIP = "fit_ranking"

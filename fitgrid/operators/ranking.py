@@ -176,3 +176,24 @@ def in_demand(work: DataFrame, most: int = DEMAND) -> DataFrame:
     """The candidate's skills by how many vacancies require them."""
     df = work.select("candidate_id", F.explode(F.array_intersect("required", "keys")).alias("key")).groupBy("candidate_id", "key").agg(F.count("*").alias("n"))
     return df.withColumn("place", F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("n"), "key"))).filter(F.col("place") <= most)
+
+
+def weighted_overlap(skills: DataFrame, keys: DataFrame, weights: DataFrame) -> DataFrame:
+    """Overlap of the pairs that share a skill, with a weight a key: skills (vacancy_id, key, must), keys (candidate_id,
+    key), weights (key, w; 1 where a key has none). All other pairs overlap by nothing. A weight that is no positive
+    finite number is an error of whoever gave it."""
+    w = F.coalesce("w", F.lit(1.0))
+    checked = F.when((w > 0) & (w < float("inf")), w).otherwise(F.raise_error(F.lit("weights must be positive and finite")).cast("double"))
+    df = skills.join(weights.select("key", "w"), "key", "left").withColumn("__w", checked * F.when(F.col("must"), S.REQUIRED).otherwise(S.PREFERRED))
+    total = df.groupBy("vacancy_id").agg(F.sum("__w").alias("__all"))
+    hit = df.join(keys.select("candidate_id", "key"), "key").groupBy("vacancy_id", "candidate_id").agg(F.sum("__w").alias("__hit"))
+    return hit.join(total, "vacancy_id").select("candidate_id", "vacancy_id", F.least(F.lit(1.0), F.col("__hit") / F.col("__all")).alias("score"))
+
+
+def merged_adjustments(df: DataFrame, given: DataFrame, by: list[str]) -> DataFrame:
+    """Pairs (hidden, band_rank, reasons) with a caller's own adjustments (by, hidden, cap, reason): hidden by any, the worst
+    cap, reasons in the order of the rules and then of the caller's, each once."""
+    more = given.groupBy(*by).agg(F.bool_or("hidden").alias("__hidden"), F.max("cap").alias("__cap"), F.array_sort(F.collect_set("reason")).alias("__reasons"))
+    df = df.join(more, by, "left")
+    reasons = F.array_distinct(F.concat("reasons", F.coalesce("__reasons", F.array().cast("array<string>"))))
+    return df.withColumns({"hidden": F.col("hidden") | F.coalesce("__hidden", F.lit(False)), "band_rank": S.capped(F.col("band_rank"), F.col("__cap")), "reasons": reasons}).drop("__hidden", "__cap", "__reasons")
