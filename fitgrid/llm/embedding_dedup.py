@@ -1,7 +1,10 @@
 """Near-duplicate embeddings by tiled comparison in PCA order.
 
 Vectors are rotated onto their principal axes, so that the first few dimensions hold
-most of a product. Within a label, vectors are dealt to tiles and each pair of tiles is
+most of a product. Within a label, vectors are dealt to bands of their angles to the first two
+axes, a band as wide as the angle of the threshold: angles to an axis differ by no more than the
+vectors' own angle, so only neighbouring bands can hold pairs that link, and tiles of all others
+never meet. Each pair of tiles (parts of a band) that may link is
 one task: products of the leading dimensions first, and a pair is given up as soon as
 what it has plus the product of the two suffix norms (Cauchy-Schwarz) stays under the
 threshold. The cosine of the pairs that remain is taken from the vectors as they
@@ -50,6 +53,30 @@ def rotation(x: np.ndarray) -> np.ndarray:
     return axes[:, ::-1]
 
 
+def band_width(limit: float) -> float:
+    """The angle of the threshold and a margin for rounding; not so narrow that bands outnumber vectors."""
+    return max(float(np.arccos(np.clip(limit, -1, 1))), 0.02) + 1e-6
+
+
+def _bands(limit: float, axes: dict[int, np.ndarray]):
+    """Adds the bands of a vector's angles to the first two axes of its dimension."""
+    width = band_width(limit)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            dims = b["dim"].to_numpy()
+            bands = np.zeros((2, len(dims)), np.int32)
+            blobs = b["v"]
+            for d in np.unique(dims).tolist():
+                at = np.flatnonzero(dims == d)
+                x = np.frombuffer(b"".join(blobs.take(pa.array(at)).to_pylist()), "<f8").reshape(len(at), d)
+                lead = (x / np.sqrt((x * x).sum(1, keepdims=True))) @ axes.get(d, np.eye(d))[:, :2]
+                bands[: lead.shape[1], at] = np.floor(np.arccos(np.clip(lead, -1, 1)) / width).T
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(bands[0]), pa.array(bands[1])], [*b.schema.names, "p", "q"])
+
+    return run
+
+
 def close_pairs(a: np.ndarray, b: np.ndarray, limit: float, axes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Index pairs (i of a, j of b) of cosine >= limit, a strip of ``a`` at a time."""
     na, nb = np.sqrt((a * a).sum(1)), np.sqrt((b * b).sum(1))
@@ -140,11 +167,21 @@ def embedding_duplicates(vectors: DataFrame, limit: float = 0.93, tile: int = TI
     for d, vs in by.items():
         x = np.frombuffer(b"".join(vs), "<f8").reshape(-1, d)
         axes[d] = rotation(x / np.sqrt((x * x).sum(1, keepdims=True)))
-    sizes = classes.groupBy("label", "dim").agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles"))
-    dealt = heads.join(sizes, ["label", "dim"]).withColumn("tile", F.pmod(F.xxhash64("mark"), F.col("tiles")).cast("int"))
-    # tile t meets tiles 0..t as the second and t..tiles-1 as the first
-    other = F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))
-    paired = dealt.select("label", "dim", "rep", "copies", "v", "tile", other.alias("o"))
+    heads = heads.select("label", "dim", "mark", "rep", "copies", "v")
+    placed = saved(heads.mapInArrow(_bands(limit, axes), f"label {kind}, dim int, mark binary, rep long, copies long, v binary, p int, q int"), "bands")
+    cell = ["label", "dim", "p", "q"]
+    sizes = saved(placed.groupBy(*cell).agg(F.ceil(F.count("*") / tile).cast("int").alias("tiles")), "cells")
+    step = F.explode(F.array(*(F.struct(F.lit(i).alias("dp"), F.lit(j).alias("dq")) for i in (-1, 0, 1) for j in (-1, 0, 1))))
+    near = sizes.select(*cell, F.col("tiles").alias("other_tiles"), step.alias("s"))
+    near = near.select("label", "dim", (F.col("p") + F.col("s.dp")).alias("p"), (F.col("q") + F.col("s.dq")).alias("q"), F.col("p").alias("op"), F.col("q").alias("oq"), "other_tiles")
+
+    def code(p, q, t):  # bands are fewer than 256, tiles fewer than 2 ** 40
+        return F.shiftleft(F.col(p).cast("long"), 52).bitwiseOR(F.shiftleft(F.col(q).cast("long"), 42)).bitwiseOR(t.cast("long"))
+
+    dealt = placed.join(sizes, cell).withColumn("tile", code("p", "q", F.pmod(F.xxhash64("mark"), F.col("tiles"))))
+    # a tile meets each tile of its cell and of the cells around it, as the first of the two or the second
+    paired = dealt.join(near, cell).select("label", "dim", "rep", "copies", "v", "tile", "op", "oq", F.explode(F.sequence(F.lit(0), F.col("other_tiles") - 1)).alias("t"))
+    paired = paired.withColumn("o", code("op", "oq", F.col("t")))
     paired = paired.select("label", "dim", F.least("tile", "o").alias("i"), F.greatest("tile", "o").alias("j"), "rep", "copies", "v", "tile")
     found = saved(paired.groupBy("label", "dim", "i", "j").applyInArrow(_tiles(limit, axes), "rep long, links long, root long"), "tiles")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))

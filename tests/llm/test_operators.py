@@ -322,6 +322,18 @@ def test_embeddings(spark):
     assert got == {i: (n[i], comp[i], comp[i] == i) for i in ids} | {None: (0, None, True)}
 
 
+def test_bands_lose_no_link():
+    rng = np.random.default_rng(9)
+    for limit in (0.5, 0.93, 0.999, 1.0):
+        x = rng.normal(size=(400, 6))
+        x = np.concatenate([x, x + rng.normal(size=x.shape) * 0.05 * (1 - limit + 0.01), x])
+        u = x / np.sqrt((x * x).sum(1, keepdims=True))
+        axes = embedding_dedup.rotation(u)
+        bands = np.floor(np.arccos(np.clip(u @ axes[:, :2], -1, 1)) / embedding_dedup.band_width(limit))
+        i, j = np.nonzero(u @ u.T >= limit)
+        assert len(i) > len(x) and (np.abs(bands[i] - bands[j]) <= 1).all()
+
+
 def test_packing(spark):
     from tokenizers import Tokenizer
     import public_tokenizers
