@@ -15,7 +15,24 @@ def test_feed_pages(spark):
     kept, counts = postings.parsed_run(pages, "arbeitnow")
     rows = kept.collect()
     assert [(r["source_id"], r["url"], r["employment_type"]) for r in rows] == [("a", "https://x/a", "full, part")]
-    assert tuple(counts.collect()[0]) == (2, 1, 1, 4)
+    # the id that comes again is skipped, as the survey has it, and no longer counted as kept
+    assert tuple(counts.collect()[0]) == (1, 1, 2, 4, None)
+
+
+def test_runs_end_at_a_page_that_is_none(spark):
+    good = json.dumps({"data": [{"slug": "a", "url": "https://x/a", "title": "A", "remote": True}]})
+    unwanted = json.dumps({"data": [{"slug": "a", "url": "https://x/a", "title": "A", "remote": False}]})
+    broken = json.dumps({"data": [{"slug": "a", "remote": True}]})
+
+    def run(*bodies):
+        kept, counts = postings.parsed_run(spark.createDataFrame(list(enumerate(bodies)), "page int, body string"), "arbeitnow")
+        r = counts.collect()[0]
+        assert kept.count() == r["kept"]
+        return r["kept"], r["error"]
+
+    assert run(good, "<html>", good.replace('"a"', '"b"')) == (1, None)
+    assert run("<html>", good) == run('{"data": 3}') == run(broken) == (0, "invalid_response")
+    assert run(unwanted) == run('{"data": []}') == (0, "no_postings")
 
 
 def test_feed_without_ids(spark):
