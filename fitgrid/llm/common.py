@@ -66,12 +66,14 @@ def components(edges: DataFrame) -> DataFrame:
     label (pointer jumping), so long chains halve; labels live in the shared folder.
     """
     both = saved(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
+    held = labels = saved(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("id"), F.least("a", "m").alias("component")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("m"))
         hooked = labels.join(near, "id").select("id", F.col("component").alias("old"), F.least("component", "m").alias("new"))
         root = labels.select(F.col("id").alias("new"), F.col("component").alias("up"))
         step = saved(hooked.join(root, "new").select("id", F.least("new", "up").alias("component"), (F.least("new", "up") != F.col("old")).alias("moved")), "labels")
-        labels = step.select("id", "component")
+        discard(held)  # the step has all that is needed of the labels before it
+        held, labels = step, step.select("id", "component")
         if not step.filter("moved").limit(1).count():
+            discard(both)
             return labels
