@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fitgrid.llm.common import saved, table
+from fitgrid.llm.common import discard, saved, table
 from fitgrid.llm.mixing import mixed_documents
 from fitgrid.llm.near_dedup import near_duplicates
 from fitgrid.llm.packing import pack
@@ -66,5 +66,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        if name != STAGES[0][0]:
+            discard(before)  # written whole by the stage after it
     return STAGES[-1][1](spark, docs, sf_dir)
