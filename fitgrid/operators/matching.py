@@ -4,7 +4,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from ..functions.text import normalize
 MOST_CANDIDATES = 5
 UNCACHEABLE = ("empty_skill", "no_candidates", "llm_unavailable", "index_unavailable", "llm_choice_not_in_candidates", "llm_item_missing", "llm_invalid_output")
 VERSION_KEYS = ("model", "build", "taxonomy", "thresholds")
+#: Products that are held at once, and values of queries and labels that a task holds before it gives them on.
+PRODUCTS, HELD = 1 << 21, 1 << 22
 
 
 def matched(asked: DataFrame, aliases: DataFrame, nearest: DataFrame, threshold: float | None = None, cache: DataFrame | None = None) -> DataFrame:
@@ -72,6 +78,113 @@ def index_version(meta: dict) -> str:
     return hashlib.sha256(text.encode()).hexdigest()[:16]
 
 
+def _by_dimension(lists: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows of each dimension and their vectors; null vectors and such with null components are in none."""
+    off, values = lists.offsets.to_numpy(), lists.values
+    holes = np.concatenate([[0], np.cumsum(values.is_null().to_numpy(zero_copy_only=False))])
+    dims = np.where(lists.is_valid().to_numpy(zero_copy_only=False) & (holes[off[1:]] == holes[off[:-1]]), np.diff(off), -1)
+    flat = values.to_numpy(zero_copy_only=False)
+    return {int(d): (at := np.flatnonzero(dims == d), flat[off[at][:, None] + np.arange(d)]) for d in np.unique(dims[dims >= 0])}
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, summed in the order of the components as ``scoring.dot`` sums them."""
+    out = np.zeros(np.broadcast_shapes(a.shape, b.shape)[0])
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
+
+
+def best_products(q: np.ndarray, x: np.ndarray, own: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """For each row of ``q`` the largest ``_dots`` with a row of ``x``, pairs in ``own`` (row of q, row of x) left out.
+
+    A matrix product tells which pairs are within its rounding of the largest; those are summed again in order. NaN
+    counts as the largest; -inf where no pair is left.
+    """
+    out, d = np.full(len(q), -np.inf), q.shape[1]
+    small_q, small_x = (np.abs(m).max(1, initial=0) < 1e150 for m in (q, x))  # others take no part in the matrix product
+    plain, q0 = np.flatnonzero(small_x), np.where(small_q[:, None], q, 0)
+    slack = 4 * (d + 2) * np.finfo(float).eps * np.sqrt((q0 * q0).sum(1)) * np.sqrt((x[plain] ** 2).sum(1)).max(initial=0)
+    place = np.full(len(x), -1)
+    place[plain] = np.arange(len(plain))
+    strip, part = max(1, PRODUCTS // max(len(plain), 1)), max(1, PRODUCTS // max(d, 1))
+    for lo in range(0, len(q) if len(plain) else 0, strip):
+        p = q0[lo : lo + strip] @ x[plain].T
+        p[~small_q[lo : lo + strip]] = -np.inf
+        here = (own[0] >= lo) & (own[0] < lo + strip) & small_x[own[1]]
+        p[own[0][here] - lo, place[own[1][here]]] = -np.inf
+        most = p.max(1)
+        some = np.flatnonzero(most > -np.inf)
+        i, j = np.nonzero(p[some] >= (most - slack[lo : lo + strip])[some, None])
+        for s in range(0, len(i), part):
+            a, b = lo + some[i[s : s + part]], plain[j[s : s + part]]
+            np.maximum.at(out, a, _dots(q[a], x[b]))
+    if not (small_q.all() and small_x.all()):
+        with np.errstate(all="ignore"):
+            for j in range(len(x)):
+                rest = np.ones(len(q), bool) if not small_x[j] else ~small_q
+                rest[own[0][own[1] == j]] = False
+                out[rest] = np.maximum(out[rest], _dots(q[rest], x[j : j + 1]))
+    return out
+
+
+def _best_of_labels(queries: pa.Table):
+    ids, dims = queries["query"].to_numpy(), _by_dimension(queries["q"].combine_chunks())
+    many = len(ids)
+    order = np.argsort(ids, kind="stable")
+
+    def own(vec: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        lo, hi = (np.searchsorted(ids, vec, side, sorter=order) for side in ("left", "right"))
+        n = hi - lo
+        return order[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())], np.repeat(np.arange(len(vec)), n)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[object, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+        def out(kind: pa.DataType) -> Iterator[pa.RecordBatch]:
+            for label, (pairs, known, best) in held.items():
+                at = np.flatnonzero(pairs)
+                rows = pa.array(at)
+                yield pa.RecordBatch.from_arrays([queries["query"].combine_chunks().take(rows), queries["expected"].combine_chunks().take(rows), pa.repeat(pa.scalar(label, kind), len(at)), pa.array(best[at], pa.float64(), mask=known[at] == 0)], ["query", "expected", "label", "s"])
+            held.clear()
+
+        for b in batches if many else ():
+            codes = pc.dictionary_encode(b["label"], null_encoding="encode")
+            vec, by, label_of = b["vec_id"].to_numpy(), _by_dimension(b["v"]), codes.indices.to_numpy()
+            for code, label in enumerate(codes.dictionary.to_pylist()):
+                pairs, known, best = held.setdefault(label, (np.zeros(many, np.int64), np.zeros(many, np.int64), np.full(many, -np.inf)))
+                rows = np.flatnonzero(label_of == code)
+                pairs += len(rows) - np.bincount(own(vec[rows])[0], minlength=many)
+                for d in dims.keys() & by.keys():
+                    (mine, q), (at, x) = dims[d], by[d]
+                    pick = label_of[at] == code
+                    place = np.full(many, -1)
+                    place[mine] = np.arange(len(mine))
+                    i, j = own(vec[at[pick]])
+                    i, j = place[i[place[i] >= 0]], j[place[i] >= 0]
+                    known[mine] += np.count_nonzero(pick) - np.bincount(i, minlength=len(mine))
+                    best[mine] = np.maximum(best[mine], best_products(q, x[pick], (i, j)))
+                if len(held) * many > HELD:
+                    yield from out(b["label"].type)
+        if held:
+            yield from out(b["label"].type)
+
+    return run
+
+
+def best_of_labels(vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """The largest product of each query (query, expected, q) with a vector (vec_id, label, v) of each label, itself left
+    out: query, expected, label, s. Every pair counts. Products are NULL where a vector or a component is, or where
+    dimensions differ. Queries go to every executor.
+    """
+    schema = queries.schema
+    kind = {f.name: f.dataType.simpleString() for f in [*schema, *vectors.schema]}
+    found = queries.select("query", "expected", F.col("q").cast("array<double>")).filter("query IS NOT NULL").toArrow()
+    vectors = vectors.select("vec_id", "label", F.col("v").cast("array<double>")).filter("vec_id IS NOT NULL").repartition(2 * vectors.sparkSession.sparkContext.defaultParallelism)
+    best = vectors.mapInArrow(_best_of_labels(found), f"query {kind['query']}, expected {kind['expected']}, label {kind['label']}, s double")
+    return best.groupBy("query", "expected", "label").agg(F.max("s").alias("s"))
+
+
 def recall_at(outcomes: DataFrame, k: int) -> Column:
     """Share of queries (place of the expected answer, NULL if it is not there) answered among the first ``k``."""
     return F.try_divide(F.count_if(F.col("place") <= k).cast("double"), F.count("*"))
