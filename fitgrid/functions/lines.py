@@ -24,6 +24,8 @@ BOLD, SKIPPED = frozenset(("b", "strong")), frozenset(("script", "style", "noscr
 SOFT_HYPHEN = "­"
 TOKEN = r"(?U)[\w][\w+#./\-']*[\w+#]|[\w][+#]*|\.[\w]+"
 MAX_ALIAS_WORDS = 5
+#: Bytes of a vocabulary up to which it goes to every executor.
+MOST_BYTES = 8 << 20
 
 
 def clean_text(text: str) -> str:
@@ -126,20 +128,23 @@ def skill_hits(lines: DataFrame, keys: list[str], vocabulary: DataFrame, most_wo
     """The skills (vocabulary: alias_norm, weak) that texts name: from the left the longest run of words that is one,
     no word in two. Rows of ``keys``, place (word, from 1), skill as written, norm, weak.
 
-    Runs of up to ``most_words`` words meet the vocabulary in an equi-join; the choice among overlapping ones is made in one
+    Runs of up to ``most_words`` words meet the vocabulary in an equi-join, without a shuffle where it is small; the choice among overlapping ones is made in one
     pass over a text's hits.
     """
     words = lines.select(*keys, tokens(F.col("text")).alias("w"))
     runs = words.select(*keys, "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))).alias("__at")).filter(F.size("w") > 0)
     runs = runs.select(*keys, "__at", F.explode(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda k: F.struct(k.alias("k"), F.slice("w", F.col("__at"), k).alias("run")))).alias("r")).filter("size(r.run) = r.k")
     runs = runs.select(*keys, "__at", F.col("r.k").alias("k"), F.array_join("r.run", " ").alias("skill")).withColumn("norm", normalize(F.col("skill")))
-    met = runs.join(vocabulary.select(F.col("alias_norm").alias("norm"), "weak").dropDuplicates(["norm"]), "norm")
-    longest = met.groupBy(*keys, "__at").agg(F.max_by(F.struct("k", "skill", "norm", "weak"), "k").alias("h"))
-    per = longest.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__at", "h"))).alias("hits"))
+    known = vocabulary.select(F.col("alias_norm").alias("norm"), "weak").dropDuplicates(["norm"])
+    n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("norm")), F.lit(0))).collect()[0]
+    # by their size at the source, which knows nothing of the runs, the planner would take these for the smaller side
+    met = runs.join(F.broadcast(known), "norm") if 200 * n + size <= MOST_BYTES else runs.hint("merge").join(known, "norm")
+    hit = F.struct("__at", (-F.col("k")).alias("less"), "skill", "norm", "weak")
+    per = met.groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("hits"))  # of a place the longest first
     start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("taken"))
-    chosen = F.aggregate("hits", start, lambda acc, x: F.when(x["__at"] >= acc["next"], F.struct((x["__at"] + x["h"]["k"]).alias("next"), F.concat(acc["taken"], F.array(x["__at"])).alias("taken"))).otherwise(acc))["taken"]
-    kept = per.select(*keys, F.explode(F.filter("hits", lambda x: F.array_contains(chosen, x["__at"]))).alias("x"))
-    return kept.select(*keys, F.col("x.__at").alias("place"), F.col("x.h.skill").alias("skill"), F.col("x.h.norm").alias("norm"), F.col("x.h.weak").alias("weak"))
+    chosen = F.aggregate(F.transform("hits", lambda x, i: F.struct(x["__at"], x["less"], i.alias("i"))), start, lambda acc, x: F.when(x["__at"] >= acc["next"], F.struct((x["__at"] - x["less"]).alias("next"), F.concat(acc["taken"], F.array(x["i"])).alias("taken"))).otherwise(acc))["taken"]
+    kept = per.select(*keys, F.explode(F.transform(chosen, lambda i: F.get("hits", i))).alias("x"))
+    return kept.select(*keys, F.col("x.__at").alias("place"), "x.skill", "x.norm", "x.weak")
 
 
 def posting_head(title: Column, company: Column, tags: Column, category: Column) -> Column:

@@ -149,7 +149,9 @@ def skill_mentions(spark, sf_dir):
     text = F.concat_ws(" ", "p_name", F.lower("p_type"), "p_name", F.lit("and"), F.lower("p_brand"))
     v = p.filter("p_size % 3 = 0").select(F.lower("p_name").alias("alias_norm"), F.lit(False).alias("weak")).union(p.select(F.lower("p_type"), F.lit(True))).union(p.select(F.element_at(F.split(F.lower("p_name"), " "), -1), F.lit(True)))
     v = v.groupBy("alias_norm").agg(F.bool_and("weak").alias("weak"))
-    return L.skill_hits(p.select("p_partkey", text.alias("text")), ["p_partkey"], v)
+    texts = p.select("p_partkey", text.alias("text")).distinct()
+    hits = L.skill_hits(texts.select("text").distinct(), ["text"], v)  # each text is read once, however many parts have it
+    return texts.hint("merge").join(hits, "text").select("p_partkey", "place", "skill", "norm", "weak")
 
 
 def posting_requirements(spark, sf_dir):

@@ -6,7 +6,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from conftest import DATA
+from fitgrid.functions import lines as L
 from fitgrid.operators import matching as M
+from fitgrid.plans import checks
 from fitgrid.plans import matching as plans
 
 
@@ -46,3 +48,18 @@ def test_best_of_labels_on_odd_vectors(spark):
                 want[key] = None if not known else math.nan if any(map(math.isnan, known)) else max(known)
     got = {(r["query"], r["expected"], r["label"]): r["s"] for r in M.best_of_labels(v, q).collect()}
     assert {k: repr(x and x + 0.0) for k, x in got.items()} == {k: repr(x and x + 0.0) for k, x in want.items()}
+
+
+def test_runs_of_texts_are_never_broadcast(spark):
+    text = checks.skill_mentions(spark, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" in text and "BuildLeft" not in text
+
+
+def test_mentions_with_a_large_vocabulary_and_repeated_texts(spark, monkeypatch):
+    lines = spark.createDataFrame([(i, ("a b c B", "b  c a", "", "Ä b c.")[i % 4]) for i in range(16)] + [(99, None)], "id int, text string")
+    v = spark.createDataFrame([("a b", False), ("b c", True), ("b", False), ("ä", True)], "alias_norm string, weak boolean")
+    small = sorted(map(tuple, L.skill_hits(lines, ["id"], v).collect()))
+    monkeypatch.setattr(L, "MOST_BYTES", -1)
+    assert sorted(map(tuple, L.skill_hits(lines, ["id"], v).collect())) == small
+    want = {0: [(1, "a b", "a b", False), (4, "B", "b", False)], 1: [(1, "b c", "b c", True)], 2: [], 3: [(1, "Ä", "ä", True), (2, "b c", "b c", True)]}
+    assert small == sorted((i, *hit) for i in range(16) for hit in want[i % 4])
