@@ -6,13 +6,15 @@ The units that are clustered first are the most frequent words, and for every ot
 the bucket of its last letters. Units move between classes (exchange) as long as the
 likelihood of the class bigrams rises. The counts of units' bigrams cover all training
 texts; there are at most UNITS squared of them, however large the corpus. That only seeds
-the exchange of all words: in each of ROUNDS rounds every word with LEAST occurrences (and a
-share RARE of all tokens), the most frequent included from the second round on, goes to the
-class that is best for its own bigrams with the classes, all such words at once, and the class
-bigrams are counted again; a round that lowers the likelihood is undone and ends it. Only rarer
-and unknown words keep the class of their bucket. The emission counts of all
-words are exact: those of words with a class of their own, and of the HEAD most frequent,
-go to every executor (RARE bounds their number), the rest are joined. Emission takes DISCOUNT off each known word for one
+the exchange of all words: in each of ROUNDS rounds every word of the head, the most frequent
+included from the second round on, goes to the class that is best for its own bigrams with the
+classes, all such words at once, and the class bigrams are counted again; a round that lowers the
+likelihood is undone and ends it. Then all other words of the training texts, down to those that
+occur once, go to theirs in the same way; only unknown words have the class of their bucket.
+The head are the words with LEAST occurrences (and a share RARE of all tokens), or the HEAD most
+frequent if they are more: their counts and classes go to every executor (RARE bounds their
+number). Those of the others, the tail, are joined: by their bigrams with each other, and with the head's
+classes. Emission takes DISCOUNT off each known word for one
 unknown word of its class; transitions are interpolated with the class frequencies.
 """
 
@@ -22,20 +24,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import in_fold, saved, table
+from .common import discard, in_fold, saved, table
 from .kernels import Words, chunks, mix
 
 CORE, BUCKETS, CLASSES = 1000, 256, 48
 #: Words whose counts every executor holds at least (17 bytes each).
 HEAD = 1 << 17
-#: Occurrences, and share of all tokens, from which a word has a class of its own.
+#: Occurrences, and share of all tokens, from which every executor holds a word's counts.
 LEAST, RARE = 10, 1e-7
-#: Such words that one task assigns, about.
-TASK_WORDS = 8192
-DISCOUNT, BACKOFF, SWEEPS, ROUNDS = 0.5, 20.0, 8, 1
+#: Such words that one task assigns, about; and others, whose bigrams are few.
+TASK_WORDS, TASK_TAIL = 8192, 65536
+DISCOUNT, BACKOFF, ROUNDS = 0.5, 20.0, 1
 #: Entries that a task holds before it sums them up, or gives them on.
 HELD = 500_000
 END = np.uint64(1)
@@ -112,8 +114,9 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
     return x * np.log(np.maximum(x, 1e-300))
 
 
-def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """Class of each unit from their bigram counts (square); the last unit, the end, keeps a class of its own."""
+def exchange(pairs: np.ndarray, classes: int = CLASSES) -> np.ndarray:
+    """Class of each unit from their bigram counts (square); the last unit, the end, keeps a class of its own. Sweeps go
+    on until no unit moves: each move raises the likelihood by more than its rounding, so that they end."""
     units = len(pairs)
     total = pairs.sum(0) + pairs.sum(1)
     of = np.full(units, classes)
@@ -125,7 +128,8 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
     one[np.arange(units), of] = 1
     n = one.T @ pairs @ one
     to, come = pairs @ one, (one.T @ pairs).T  # per unit: counts towards and from each class
-    for _ in range(sweeps):
+    least, moved = 1e-9 + 1e-12 * float(total.sum()), 1
+    while moved:
         moved = 0
         for u in order:
             if not total[u]:
@@ -137,14 +141,14 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
             n[a] -= r
             n[:, a] -= c
             n[a, a] -= self_n
-            rows, cols = n.sum(1), n.sum(0)
+            rows, cols = n.sum(1) + c, n.sum(0) + r  # the classes' own totals keep the unit's bigrams with them
             base = _xlogx(n)
             gain = (_xlogx(n + r[None, :]) - base).sum(1) + (_xlogx(n + c[:, None]) - base).sum(0)
             diag = np.diagonal(n)
             gain += _xlogx(diag + r + c + self_n) - _xlogx(diag) - (_xlogx(diag + r) - _xlogx(diag)) - (_xlogx(diag + c) - _xlogx(diag))
             gain -= _xlogx(rows + r.sum() + self_n) - _xlogx(rows) + _xlogx(cols + c.sum() + self_n) - _xlogx(cols)
             b = int(np.argmax(gain[:classes]))
-            if gain[b] <= gain[a] + 1e-9:
+            if gain[b] <= gain[a] + least:
                 b = a
             n[b] += r
             n[:, b] += c
@@ -156,26 +160,31 @@ def exchange(pairs: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) ->
                 to[:, b] += pairs[:, u]
                 come[:, a] -= pairs[u]
                 come[:, b] += pairs[u]
-        if not moved:
-            break
     return of
 
 
 def best_classes(n: np.ndarray, to: np.ndarray, come: np.ndarray, own: np.ndarray, now: np.ndarray) -> np.ndarray:
     """Class of each word by the gain of ``exchange``, while all others stay: from the class bigrams ``n``, the
     word's bigrams towards and from each class without those with itself, the latter, and its class in ``n``."""
-    i, d = np.arange(len(now)), np.arange(len(n))
-    left = np.repeat(n[None], len(now), 0)
-    left[i, now] -= to
-    left[i, :, now] -= come
-    left[i, now, now] -= own
+    at_now = np.arange(len(n)) == now[:, None]
+    lost = at_now * (to.sum(1) + own)[:, None], at_now * (come.sum(1) + own)[:, None]
     # the classes' own totals keep the word's bigrams with them, wherever it goes
-    rows, cols, diag = left.sum(2) + come, left.sum(1) + to, left[:, d, d]
+    rows, cols = n.sum(1) - lost[0], n.sum(0) - lost[1]
+    diag = np.diagonal(n) - at_now * (to + come + own[:, None])
     own = own[:, None]
-    base = _xlogx(left)
-    gain = (_xlogx(left + to[:, None, :]) - base).sum(2) + (_xlogx(left + come[:, :, None]) - base).sum(1)
-    gain += _xlogx(diag + to + come + own) - _xlogx(diag + to) - _xlogx(diag + come) + _xlogx(diag)
+    gain = _xlogx(diag + to + come + own) - _xlogx(diag + to) - _xlogx(diag + come) + _xlogx(diag)
     gain -= _xlogx(rows + to.sum(1, keepdims=True) + own) - _xlogx(rows) + _xlogx(cols + come.sum(1, keepdims=True) + own) - _xlogx(cols)
+    for mine, other, table in ((to, come, n.T), (come, to, n)):  # only cells that the word has bigrams in change
+        w, c = np.nonzero(mine)
+        left = table[c]
+        left[np.arange(len(w)), now[w]] -= mine[w, c]
+        same = np.flatnonzero(c == now[w])
+        left[same] -= other[w[same]]
+        left[same, now[w[same]]] -= own[w[same], 0]
+        change = _xlogx(left + mine[w, c][:, None]) - _xlogx(left)
+        if len(w):
+            starts = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            gain[w[starts]] += np.add.reduceat(change, starts)
     return np.argmax(gain[:, :-1], 1)
 
 
@@ -302,7 +311,108 @@ def own_classes(train: DataFrame, head: np.ndarray, kind: np.ndarray, own: np.nd
     return kind, n.reshape(K, K)
 
 
+def _tail_contexts(head, kind, of):
+    """For each word that is not in ``head``: its hash, class, and bigrams, a byte for each: the class after, K + the class
+    before, 2 K more if that word is not in the head either, 4 K with itself. And pairs of such words that meet."""
+
+    def out(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        word, now, cell = (np.concatenate(c) for c in zip(*held, strict=True))
+        order = np.argsort(word, kind="stable")
+        word, now, cell = word[order], now[order], cell[order]
+        starts = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+        cells = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(word)).astype(np.int32)), pa.py_buffer(cell)])
+        return pa.RecordBatch.from_arrays([pa.array(word[starts].view(np.int64)), pa.nulls(len(starts), pa.int64()), pa.array(now[starts]), cells], ["h", "other", "old", "cells"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        for b in batches:
+            for _, _, off, data in chunks(b["text"]):
+                w = Words(off, data, lower=True)
+                classes, lost, word = _tail_of(w, *_look_up(w, head), kind, of)
+                here = np.flatnonzero(lost)  # an end stands after each text, and so before each
+                me, now = word[here], classes[here].astype(np.int8)
+                twice, again = lost[here + 1] & (word[here + 1] == me), lost[here - 1] & (word[here - 1] == me)
+                after = np.where(twice, 4 * K, classes[here + 1] + 2 * K * lost[here + 1])
+                before = (K + classes[here - 1] + 2 * K * lost[here - 1])[~again]
+                held.append((np.concatenate([me, me[~again]]), np.concatenate([now, now[~again]]), np.concatenate([after, before]).astype(np.uint8)))
+                met = here[lost[here + 1]]
+                if len(met):
+                    yield pa.RecordBatch.from_arrays([pa.array(word[met].view(np.int64)), pa.array(word[met + 1].view(np.int64)), pa.nulls(len(met), pa.int8()), pa.nulls(len(met), pa.binary())], ["h", "other", "old", "cells"])
+                if sum(len(p[0]) for p in held) > HELD:
+                    yield out(held)
+                    held = []
+        if sum(len(p[0]) for p in held):
+            yield out(held)
+
+    return run
+
+
+def _tail_of(w: Words, at: np.ndarray, found: np.ndarray, kind: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each token, ends included: its class, whether it is a word that is not in the head, and its hash."""
+    classes, _ = _with_ends(_kinds(w, at, found, kind, of), w, K - 1)
+    place = np.arange(len(w.hash)) + w.doc()
+    lost, word = np.zeros(len(classes), bool), np.zeros(len(classes), np.uint64)
+    lost[place], word[place] = ~found, w.hash
+    return classes, lost, word
+
+
+def _tail_assigned(n: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = []
+        for b in batches:
+            if b.num_rows:
+                cells = b["cells"]
+                ends = np.frombuffer(cells.buffers()[1], np.int32)[cells.offset : cells.offset + len(cells) + 1]
+                flat = np.frombuffer(cells.buffers()[2], np.uint8)[ends[0] : ends[-1]].copy()
+                parts.append((b["h"].to_numpy().copy(), b["old"].to_numpy().copy(), np.diff(ends), flat))
+        if not parts:
+            return
+        h, old, many, flat = (np.concatenate(c) for c in zip(*parts, strict=True))
+        words, first, at = np.unique(h, return_index=True, return_inverse=True)
+        old, row = old[first].astype(np.int64), np.repeat(at, many)
+        order = np.argsort(row, kind="stable")
+        row, flat = row[order], flat[order]
+        change, step, wide = np.zeros((K, K)), 1024, 4 * K + 1
+        for lo in range(0, len(words), step):
+            hi = min(lo + step, len(words))
+            s, e = np.searchsorted(row, [lo, hi])
+            c = np.bincount((row[s:e] - lo) * wide + flat[s:e], minlength=(hi - lo) * wide).reshape(hi - lo, wide).astype(float)
+            after, before = c[:, :K], c[:, K : 2 * K]
+            now = old[lo:hi]
+            best = best_classes(n, after + c[:, 2 * K : 3 * K], before + c[:, 3 * K : 4 * K], c[:, 4 * K], now)
+            for to, sign in ((best, 1), (now, -1)):  # bigrams with the head; those in the tail are counted by pairs
+                np.add.at(change, to, sign * after)
+                np.add.at(change.T, to, sign * before)
+            z = hi - lo
+            yield pa.RecordBatch.from_arrays([pa.array(words[lo:hi]), pa.array(now, pa.int8()), pa.array(best, pa.int8()), pa.nulls(z, pa.int32()), pa.nulls(z, pa.float64())], ["h", "old", "kind", "cell", "change"])
+        z = K * K
+        yield pa.RecordBatch.from_arrays([pa.nulls(z, pa.int64()), pa.nulls(z, pa.int8()), pa.nulls(z, pa.int8()), pa.array(np.arange(z), pa.int32()), pa.array(change.ravel())], ["h", "old", "kind", "cell", "change"])
+
+    return run
+
+
+def tail_classes(train: DataFrame, head: np.ndarray, kind: np.ndarray, of: np.ndarray, n: np.ndarray, words: int) -> tuple[DataFrame, np.ndarray]:
+    """Of the ``words`` words of the training texts that are not in ``head``: hash and best class (h, kind), all moved at
+    once, and the class bigrams that follow; the class of their bucket if that would lower the likelihood."""
+    found = saved(train.mapInArrow(_tail_contexts(head, kind, of), "h long, other long, old tinyint, cells binary"), "contexts")
+    own = found.filter("cells IS NOT NULL").select("h", "old", "cells").repartition(1 + words // TASK_TAIL, "h")
+    moved = saved(own.mapInArrow(_tail_assigned(n), "h long, old tinyint, kind tinyint, cell int, change double"), "moved")
+    kinds = moved.filter("h IS NOT NULL").select("h", "old", "kind")
+    pairs = found.filter("other IS NOT NULL").select("h", "other").join(kinds, "h").select("other", F.col("old").alias("a"), F.col("kind").alias("x"))
+    pairs = pairs.join(kinds.withColumnRenamed("h", "other"), "other")
+    cells = F.array(*(F.struct((F.col(p).cast("int") * K + F.col(q)).alias("cell"), F.lit(c).alias("change")) for p, q, c in (("a", "old", -1.0), ("x", "kind", 1.0))))
+    cells = pairs.select(F.explode(cells).alias("c")).select("c.*").union(moved.filter("cell IS NOT NULL").select("cell", "change"))
+    got = cells.groupBy("cell").agg(F.sum("change").alias("change")).toArrow()
+    discard(found)
+    new = n.copy()
+    new.ravel()[got["cell"].to_numpy()] += got["change"].to_numpy()
+    better = likelihood(new) > likelihood(n)
+    return kinds.select("h", F.col("kind" if better else "old").alias("kind")), new if better else n
+
+
 def _scored(head, head_kind, of, log_t, log_size, head_n, total, distinct):
+    """Of each text the sums over what the head decides; of its other words, once for each context, how often they stand
+    between which classes (-1: a word that is not in the head either, counted as a pair with ``other``)."""
     scale = np.log10(total + 0.1 * (distinct + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,33 +420,38 @@ def _scored(head, head_kind, of, log_t, log_size, head_n, total, distinct):
             for i, j, off, data in chunks(b["text"]):
                 w = Words(off, data, lower=True)
                 at, found = _look_up(w, head)
-                kind, starts = _with_ends(_kinds(w, at, found, head_kind, of), w, len(log_t) - 1)
-                before = np.concatenate([[len(log_t) - 1], kind[:-1]])
-                before[starts[:-1]] = len(log_t) - 1
-                value = log_t[before, kind] - log_size[kind]
+                kind, lost, word = _tail_of(w, at, found, head_kind, of)
+                starts = w.off + np.arange(len(w.off))
+                doc = np.repeat(np.arange(j - i), np.diff(starts))
+                value = np.where(lost | lost[np.arange(len(lost)) - 1], 0.0, log_t[kind[np.arange(len(kind)) - 1], kind]) - np.where(lost, 0.0, log_size[kind])
                 base = np.full(len(kind), -scale)
                 place = np.arange(len(w.hash)) + w.doc()
                 n = np.where(found, head_n[at] if len(head) else 0, 1).astype(float)
                 value[place] += np.where(found, np.log10(np.maximum(n - DISCOUNT, 1e-9)), 0)
                 base[place] += np.where(found, np.log10(n + 0.1), 0)
-                known = np.ones(len(kind), np.int64)
-                known[place] = found
                 rows = b["row"].slice(i, j - i)
-                sums = [np.add.reduceat(x, starts[:-1]) for x in (value, base, known)]
-                lost = np.flatnonzero(~found)
-                key = mix(w.hash[lost] + w.doc()[lost].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-                _, first, m = np.unique(key, return_index=True, return_counts=True)
-                pick = lost[first]
-                z = len(pick)
-                yield pa.RecordBatch.from_arrays([rows.take(pa.array(w.doc()[pick], pa.int64())), pa.array(w.hash[pick].view(np.int64)), pa.array(kind[place[pick]], pa.int8()), pa.array(m, pa.int32()), *(pa.nulls(z, t) for t in (pa.int64(), pa.float64(), pa.float64(), pa.int64()))], _COLS)
+                sums = [np.add.reduceat(x, starts[:-1]) for x in (value, base, (~lost).astype(np.int64))]
+                here = np.flatnonzero(lost)
+                before, after = (np.where(lost[here + s], -1, kind[here + s]) for s in (-1, 1))
+                met = here[lost[here + 1]]
+                for at_, a, c, other in ((here, before, after, None), (met, kind[met], kind[met + 1], word[met + 1])):
+                    key = mix(word[at_] + doc[at_].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+                    key = mix(key + ((a + 1) * 256 + c + 1).astype(np.uint64)) if other is None else mix(key + mix(other))
+                    _, first, m = np.unique(key, return_index=True, return_counts=True)
+                    pick, z = at_[first], len(first)
+                    yield pa.RecordBatch.from_arrays([rows.take(pa.array(doc[pick], pa.int64())), pa.array(word[pick].view(np.int64)), pa.nulls(z, pa.int64()) if other is None else pa.array(other[first].view(np.int64)), *(pa.array(x, pa.int8()) for x in (kind[pick], a[first], c[first])), pa.array(m, pa.int32()), *(pa.nulls(z, t) for t in (pa.int64(), pa.float64(), pa.float64(), pa.int64()))], _COLS)
                 z = j - i
-                yield pa.RecordBatch.from_arrays([rows, *(pa.nulls(z, t) for t in (pa.int64(), pa.int8(), pa.int32())), pa.array(w.n + 1, pa.int64()), *(pa.array(x, t) for x, t in zip(sums, (pa.float64(), pa.float64(), pa.int64()), strict=True))], _COLS)
+                yield pa.RecordBatch.from_arrays([rows, *(pa.nulls(z, t) for t in (pa.int64(), pa.int64(), pa.int8(), pa.int8(), pa.int8(), pa.int32())), pa.array(w.n + 1, pa.int64()), *(pa.array(x, t) for x, t in zip(sums, (pa.float64(), pa.float64(), pa.int64()), strict=True))], _COLS)
 
     return run
 
 
-_COLS = ["row", "h", "kind", "m", "n_tokens", "score", "base", "known"]
-_SCHEMA = "row long, h long, kind tinyint, m int, n_tokens long, score double, base double, known long"
+_COLS = ["row", "h", "other", "kind", "before", "after", "m", "n_tokens", "score", "base", "known"]
+_SCHEMA = "row long, h long, other long, kind tinyint, before tinyint, after tinyint, m int, n_tokens long, score double, base double, known long"
+
+
+def _listed(values: np.ndarray) -> Column:
+    return F.expr("array(" + ", ".join(f"{float(x)!r}D" for x in values.ravel()) + ")")
 
 
 def class_lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
@@ -372,8 +487,7 @@ def class_lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
 
     head_kind = of[CORE + bucket].astype(np.int8)
     head_kind[: len(ids)] = of[: len(ids)]
-    own = head_n >= least
-    own[: len(ids)] = False
+    own = np.arange(len(head)) >= len(ids)
     order = np.argsort(head)
     head, head_n, bucket, head_kind, own, in_core = head[order], head_n[order], bucket[order], head_kind[order], own[order], order < len(ids)
     one = np.zeros((UNITS, K))
@@ -384,17 +498,20 @@ def class_lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
         if likelihood(new_n) <= likelihood(n):
             break
         head_kind, n = new_kind, new_n
+    tail_words = distinct - (ends > 0) - len(head)
+    if tail_words:
+        kinds, n = tail_classes(train, head, head_kind, of, n, tail_words)
+    else:
+        kinds = spark.createDataFrame([], "h long, kind tinyint")
+    tail = saved(counts.select("h", "n").join(kinds.withColumnRenamed("kind", "own"), "h"), "tail")
     k = K
     size = n.sum(0)
     unigram = (size + 0.1) / (size.sum() + 0.1 * k)
     log_t = np.log10((n + BACKOFF * unigram) / (n.sum(1, keepdims=True) + BACKOFF))
-    types = np.zeros(k)
-    own = all_own
-    np.add.at(types, head_kind[own], 1)
+    types = np.bincount(head_kind, minlength=k).astype(float)
+    for c, m in tail.groupBy("own").count().collect():
+        types[c] += m
     types[CLASSES] = 1
-    taken = np.bincount(bucket[own], minlength=BUCKETS)
-    for b, c in counts.filter(F.col("bucket") >= 0).groupBy("bucket").count().collect():
-        types[of[CORE + b]] += c - taken[b]
     # a class without known words: its unknown word has all of it
     unknown = np.where(types > 0, DISCOUNT * types, 1.0)
     log_size = np.log10(np.where(types > 0, np.maximum(size, 1), 1.0))
@@ -403,10 +520,16 @@ def class_lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
 
     rows = docs.select(F.xxhash64(F.lit(4), "doc_id", "text").alias("row"), "doc_id", "text")
     out = saved(rows.select("row", "text").mapInArrow(_scored(head, head_kind, of, log_t, log_size, head_n, total, distinct), _SCHEMA), "tokens")
-    tail = out.filter("h IS NOT NULL").join(counts.select("h", "n"), "h", "left")
-    lost = F.element_at(F.array(*(F.lit(float(np.log10(x))) for x in unknown)), F.col("kind").cast("int") + 1)
+    own = F.coalesce("own", "kind").cast("int")
+    # the first word of a pair becomes a class before the second
+    pairs = out.filter("other IS NOT NULL").join(tail.select("h", "own"), "h", "left").select("row", F.col("other").alias("h"), F.col("after").alias("kind"), own.cast("tinyint").alias("before"), F.lit(-1).cast("tinyint").alias("after"), "m", F.lit(0).alias("words"))
+    alone = out.filter("h IS NOT NULL AND other IS NULL").select("row", "h", "kind", "before", "after", "m", F.col("m").alias("words"))
+    tail = alone.union(pairs).join(tail, "h", "left").withColumn("own", own)
+    moves, none = _listed(log_t), F.lit(0.0)
+    step = F.when(F.col("before") >= 0, F.get(moves, F.col("before") * K + F.col("own"))).otherwise(none) + F.when(F.col("after") >= 0, F.get(moves, F.col("own") * K + F.col("after"))).otherwise(none)
     seen = F.col("n").isNotNull()
-    tail = tail.select("row", (F.col("m") * F.when(seen, F.log10(F.col("n") - DISCOUNT)).otherwise(lost)).alias("score"), (F.col("m") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("base"), F.when(seen, F.col("m")).otherwise(0).alias("known"))
+    emitted = F.when(seen, F.log10(F.col("n") - DISCOUNT)).otherwise(F.get(_listed(np.log10(unknown)), F.col("own"))) - F.get(_listed(log_size), F.col("own"))
+    tail = tail.select("row", (F.col("m") * step + F.col("words") * emitted).alias("score"), (F.col("words") * F.log10(F.coalesce("n", F.lit(0)) + 0.1)).alias("base"), F.when(seen, F.col("words")).otherwise(0).alias("known"))
     tail = tail.groupBy("row").agg(F.sum("score").alias("tail_score"), F.sum("base").alias("tail_base"), F.sum("known").alias("tail_known"))
     whole = out.filter("n_tokens IS NOT NULL").groupBy("row").agg(F.count("*").alias("copies"), F.max("n_tokens").alias("n_tokens"), F.max("score").alias("score"), F.max("base").alias("base"), F.max("known").alias("known"))
     whole = whole.join(tail, "row", "left")
