@@ -10,10 +10,11 @@ from .near_dedup import op8_minhash_near_dedup
 from .packing import op10_best_fit_packing
 from .quality import op2_quality_rules
 from .substring_dedup import op5_substring_dedup
+from .token_alignment import op11_token_alignment
 from .toxicity import op6_toxicity
 from .url_filter import op7_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_mixing_sources, op4_class_lm, op5_substring_dedup, op6_toxicity, op7_url_filters, op8_minhash_near_dedup, op9_embedding_near_dedup, op10_best_fit_packing)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_mixing_sources, op4_class_lm, op5_substring_dedup, op6_toxicity, op7_url_filters, op8_minhash_near_dedup, op9_embedding_near_dedup, op10_best_fit_packing, op11_token_alignment)}
 
 #: op5, op8 and op9 are fixed by what they return. The others hang on a model, a template, a permutation or a plan, which
 #: SQL does not have; tests hold them to brute force, round trips or held-out accuracy.
