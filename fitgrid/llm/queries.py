@@ -8,13 +8,14 @@ from .html_extraction import op1_html_extraction
 from .mixing import op3_mixing_sources
 from .near_dedup import op8_minhash_near_dedup
 from .packing import op10_best_fit_packing
+from .prefix_trie import op12_prefix_trie
 from .quality import op2_quality_rules
 from .substring_dedup import op5_substring_dedup
 from .token_alignment import op11_token_alignment
 from .toxicity import op6_toxicity
 from .url_filter import op7_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_mixing_sources, op4_class_lm, op5_substring_dedup, op6_toxicity, op7_url_filters, op8_minhash_near_dedup, op9_embedding_near_dedup, op10_best_fit_packing, op11_token_alignment)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_mixing_sources, op4_class_lm, op5_substring_dedup, op6_toxicity, op7_url_filters, op8_minhash_near_dedup, op9_embedding_near_dedup, op10_best_fit_packing, op11_token_alignment, op12_prefix_trie)}
 
 #: op5, op8 and op9 are fixed by what they return. The others hang on a model, a template, a permutation or a plan, which
 #: SQL does not have; tests hold them to brute force, round trips or held-out accuracy.
@@ -51,4 +52,25 @@ reach(vec_id, r) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT reach.ve
 comp AS (SELECT vec_id, min(r) AS component_id FROM reach GROUP BY vec_id),
 deg AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
 SELECT comp.vec_id, coalesce(n, 0) AS n_links, component_id, comp.vec_id = component_id AS kept FROM comp LEFT JOIN deg USING (vec_id)""",
+    "op12_prefix_trie": r"""
+WITH t AS (SELECT conv_id, {'role': coalesce(role, ''), 'text': coalesce(text, '')} AS turn,
+  row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, CAST(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT))),
+    lambda crc, byte: list_reduce(list_prepend(xor(crc, byte), range(8)), lambda x, i: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) AS BIGINT) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)),
+k AS (SELECT c.*, least(h, (SELECT count(*) FROM t WHERE t.conv_id = c.base)) AS had FROM c),
+r AS (SELECT k.conv_id, place AS depth, turn FROM k JOIN t ON t.conv_id = k.base AND place <= h
+  UNION ALL SELECT k.conv_id, place - h + had, turn FROM k JOIN t ON t.conv_id = k.conv_id AND place > h),
+p AS (SELECT conv_id, depth, sha256(CAST(list(turn) OVER (PARTITION BY conv_id ORDER BY depth) AS VARCHAR)) AS node, length(turn.text) AS chars FROM r
+  UNION ALL SELECT conv_id, 0, 'root', 0 FROM k),
+e AS (SELECT conv_id, arg_max(node, depth) AS node FROM p GROUP BY conv_id),
+n AS (SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, count(*) AS n_convs, any_value(chars) AS chars FROM p GROUP BY node),
+u AS (SELECT n.*, p.node AS parent FROM n LEFT JOIN p ON p.conv_id = n.conv_id AND p.depth = n.depth - 1),
+kids AS (SELECT parent AS node, count(*) AS n_children FROM u WHERE parent IS NOT NULL GROUP BY parent),
+sums AS (SELECT p.node, sum(CASE WHEN n_children IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n.n_convs - 1) * n.chars) AS saved_tokens
+  FROM n LEFT JOIN kids USING (node) JOIN p ON p.conv_id = n.conv_id AND p.depth <= n.depth GROUP BY p.node),
+ended AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM e GROUP BY node)
+SELECT u.conv_id, u.depth, v.conv_id AS parent_conv_id, u.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM u LEFT JOIN n v ON v.node = u.parent LEFT JOIN kids ON kids.node = u.node JOIN sums ON sums.node = u.node LEFT JOIN ended ON ended.node = u.node""",
 }
