@@ -12,12 +12,13 @@ from .prefix_trie import op12_prefix_trie
 from .quality import op2_quality_rules
 from .substring_dedup import op5_substring_dedup
 from .token_alignment import op11_token_alignment
+from .topk_search import op13_exact_topk
 from .toxicity import op6_toxicity
 from .url_filter import op7_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_mixing_sources, op4_class_lm, op5_substring_dedup, op6_toxicity, op7_url_filters, op8_minhash_near_dedup, op9_embedding_near_dedup, op10_best_fit_packing, op11_token_alignment, op12_prefix_trie)}
+QUERIES = {f.__name__: f for f in (op1_html_extraction, op2_quality_rules, op3_mixing_sources, op4_class_lm, op5_substring_dedup, op6_toxicity, op7_url_filters, op8_minhash_near_dedup, op9_embedding_near_dedup, op10_best_fit_packing, op11_token_alignment, op12_prefix_trie, op13_exact_topk)}
 
-#: op5, op8 and op9 are fixed by what they return. The others hang on a model, a template, a permutation or a plan, which
+#: op5, op8, op9, op12 and op13 are fixed by what they return. The others hang on a model, a template, a permutation or a plan, which
 #: SQL does not have; tests hold them to brute force, round trips or held-out accuracy.
 ORACLES = {
     "op5_substring_dedup": r"""
@@ -73,4 +74,11 @@ sums AS (SELECT p.node, sum(CASE WHEN n_children IS NULL THEN 1 ELSE 0 END) AS n
 ended AS (SELECT node, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM e GROUP BY node)
 SELECT u.conv_id, u.depth, v.conv_id AS parent_conv_id, u.n_convs, coalesce(n_children, 0) AS n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
 FROM u LEFT JOIN n v ON v.node = u.parent LEFT JOIN kids ON kids.node = u.node JOIN sums ON sums.node = u.node LEFT JOIN ended ON ended.node = u.node""",
+    "op13_exact_topk": r"""
+WITH v AS (SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (SELECT q.own, q.vec_id AS query_id, p.vec_id, CAST(list_dot_product(q.e, p.e) AS BIGINT) AS score, p.own AS other
+  FROM v q JOIN v p ON q.own <> p.own AND len(q.e) = len(p.e) WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY own ORDER BY score DESC, vec_id, other) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10""",
 }
