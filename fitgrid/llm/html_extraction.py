@@ -17,17 +17,17 @@ slots decide what is extracted: on each page the one with the most words (over t
 that have it, links' words and template words not counted) is the article's, and the
 article reaches from there to the nearest element above that holds a heading, unless that
 element is the whole page or holds a slot of links or an element that is never an article.
-Menus, adverts and footers thereby go without being named. Names break ties only: an element
-of ``OUTSIDE``, or a container all of whose class, id or role is made of ``NAMES``, is never
-the article; of the rest, inside an article, nothing goes for its name but such elements.
-Template words outside an article element go; inside, a class must be on ``ARTICLE_SUPPORT``
-of the pages, which must be ``ARTICLE_PAGES`` at least, and all classes together may be
-``ARTICLE_SHARE`` of the articles' words at most: so copies of an article on one host, or a passage
-common to many of its pages, stay whole. A line of an article loses its template words if
-they are ``LEAST_TOKENS`` at least or the whole line.
-
-A page that no class covers, as in a block of fewer than ``LEAST_PAGES`` distinct pages, has
-its own elements for frames. Blocks of text: see ``BREAKS``; a br is white space.
+Menus, adverts and footers thereby go without being named. Names only label frames that the
+classes have found: a frame of ``OUTSIDE``, or a container all of whose class, id or role is made
+of ``NAMES``, is never the article's, nor what is in it. What no class frames stays where it is:
+a page with a layout of its own is one slot. Template words outside an article element go. Inside
+one whole lines go, if all their words are of classes (found among the articles alone) on
+``ARTICLE_SUPPORT`` of the articles, unless such classes are more than ``ARTICLE_SHARE`` of the
+articles' words: so copies of an article on one host, or a passage common to many of its pages,
+stay whole. The least number of pages of any class is ``LEAST_PAGES``.
+
+A block of fewer than ``LEAST_PAGES`` distinct pages has no classes. There, and there only, every
+element of its pages is a frame. Blocks of text: see ``BREAKS``; a br is white space.
 """
 
 from __future__ import annotations
@@ -47,7 +47,9 @@ from pyspark.sql import functions as F
 from .common import saved, table
 
 BLOCK, LEAST_PAGES, LEAST_TOKENS = 64, 3, 3
-ARTICLE_PAGES, ARTICLE_SUPPORT, ARTICLE_SHARE, SUPPORT = 8, 0.8, 0.25, 0.5
+#: Rows given back at once.
+SENT = 500
+SUPPORT, ARTICLE_SUPPORT, ARTICLE_SHARE = 0.5, 0.8, 0.25
 #: Hosts of more than BLOCK pages whose sizes are broadcast at most; beyond that they are joined by host.
 MOST_BROADCAST = 100_000
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*+)")
@@ -58,7 +60,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 FLOW = frozenset("blockquote dd dl dt figure figcaption h1 h2 h3 h4 h5 h6 li ol p pre table tbody td tfoot th thead tr ul a abbr b cite code em i mark q s small span strong sub sup u".split())
 HEADINGS = frozenset("h1 h2 h3".split())
 BREAKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
-#: Elements that are never an article's text.
+#: Elements that no browser shows as text.
+UNSHOWN = frozenset("head title".split())
+#: Elements that are never an article's text, if they are the template's.
 OUTSIDE = frozenset("head nav footer aside form button select menu dialog title label input canvas audio video".split())
 #: Words that say the same of a container if its class, id or role is made of them and of ``PLAIN`` alone.
 NAMES = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus footer form gdpr menu modal nav navbar navigation navigator newsletter notice notices pager pagination popup promo promoted promotion related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription toolbar widget widgets header masthead topbar".split())
@@ -88,13 +92,13 @@ def _named_outside(name: str, named: str) -> bool:
 
 
 class Roles:
-    """The paths of a block's pages: element above, name, what its attributes say, and whether it is outside."""
+    """The paths of a block's pages: element above, name, and whether it is named as none of an article's."""
 
     def __init__(self):
         self.of: dict[tuple[int, str], int] = {}
         self.above: dict[int, int] = {0: 0}
         self.name: dict[int, str] = {0: ""}
-        self.out: dict[int, bool] = {0: False}
+        self.named: dict[int, bool] = {0: False}
         self.article: dict[int, bool] = {0: False}
         self.link: dict[int, bool] = {0: False}
         self.within: dict[int, list[int]] = defaultdict(list)
@@ -108,11 +112,8 @@ class Roles:
             if role not in self.above:
                 self.above[role], self.name[role] = above, name
                 article = self.article[above] or name in ("article", "main") or "main" in named.split()
-                out = name not in _PAGE and _named_outside(name, named)
-                if name == "header":
-                    out = not article
-                self.out[role] = self.out[above] or out
-                self.article[role] = article and not self.out[role]
+                self.named[role] = not article if name == "header" else name not in _PAGE and _named_outside(name, named)
+                self.article[role] = article
                 self.link[role] = self.link[above] or name == "a"
                 self.within[above].append(role)
         return role
@@ -339,7 +340,9 @@ class Template:
     """What a block's pages share, and where their articles are.
 
     For each page ``general`` marks its tokens (as ``_keys`` gives them) that are template, ``strict`` those that go
-    inside articles too. ``frames`` are roles, ``score`` the words of a page's slot of each, ``links`` frames of links.
+    inside articles too. ``frames`` are roles, ``out``
+    whether a role is in a frame that is named as none of an article's, ``score`` the words of a page's slot of each
+    frame, ``links`` frames of links.
     """
 
     def __init__(self, roles: Roles, pages: list[list[tuple]]):
@@ -352,16 +355,16 @@ class Template:
         every = list(roles.above)
         at_role = {r: i for i, r in enumerate(every)}
         of = np.array([at_role[r] for r, _ in keys], np.int64)
-        article = np.array([roles.article[r] for r in every], bool)[of]
         found, tags = (np.zeros(n, bool), np.zeros(0, np.int64)), set()
-        if len(distinct) >= LEAST_PAGES:
+        if deduced := len(distinct) >= LEAST_PAGES:
             found = deduce(distinct, max(LEAST_PAGES, SUPPORT * len(distinct)), n)
             tags = classes([s[tag[s]] for s in distinct], LEAST_PAGES)
         self.general = [marks(s, found) for s in sequences]
         self.strict = [np.zeros(len(s), bool) for s in sequences]
+        article = np.array([roles.article[r] for r in every], bool)[of]
         articles = [x for x in (s[article[s]] for s in distinct) if not tag[x].all()]
-        if len(articles) >= ARTICLE_PAGES:
-            inside = deduce(articles, ARTICLE_SUPPORT * len(articles), n)
+        if len(articles) >= LEAST_PAGES:
+            inside = deduce(articles, max(LEAST_PAGES, ARTICLE_SUPPORT * len(articles)), n)
             gone = sum(int((marks(x, inside) & ~tag[x]).sum()) for x in articles)
             if gone <= ARTICLE_SHARE * sum(int((~tag[x]).sum()) for x in articles):
                 for s, out in zip(sequences, self.strict, strict=True):
@@ -369,15 +372,15 @@ class Template:
                     out[at] = marks(s[at], inside)
         self.tokens = {keys[i] for i in (*np.flatnonzero(found[0]).tolist(), *tags)}
         self.frames = {0} | {r for r, t in self.tokens if t == "<" + roles.name[r]}
+        if not deduced:
+            self.frames.update(r for r in every if roles.name[r] in BREAKS)
         self.framed: dict[int, int] = {}
-        unframed = np.array([roles.name[self.frame(r)] in _PAGE or roles.out[r] for r in every], bool)[of] | tag
-        for s in distinct:
-            if unframed[s].all():  # a page of a layout of its own
-                self.frames.update(r for r in (every[i] for i in np.unique(of[s]).tolist()) if roles.name[r] in BREAKS)
-        self.framed.clear()
+        self.out: dict[int, bool] = {}
+        for r in every:  # those above come first
+            self.out[r] = self.out.get(roles.above[r], False) or roles.name[r] in UNSHOWN or (r in self.frames and roles.named[r])
         self.headed: set[int] = set()  # elements that hold a heading, at any depth
         for r, name in roles.name.items():
-            while name in HEADINGS and not roles.out[r] and r not in self.headed:
+            while name in HEADINGS and not self.out[r] and r not in self.headed:
                 self.headed.add(r)
                 r = roles.above[r]
         self._weigh(every, [of[s[~tag[s] & ~m]] for s, m in zip(sequences, self.general, strict=True)])
@@ -405,13 +408,13 @@ class Template:
             for i, n in zip(*(x.tolist() for x in np.unique(page, return_counts=True)), strict=True):
                 role = every[i]
                 f = self.frame(role)
-                if roles.out[role] and not roles.out[f]:
+                if self.out[role] and not self.out[f]:
                     continue
                 seen.add(f)
                 (linked if roles.link[role] else words)[f] += n
             on.update(seen)
         self.links = {f for f, n in linked.items() if n > words[f]}
-        self.score = {f: words[f] / on[f] for f in on if f not in self.links and not roles.out[f]}
+        self.score = {f: words[f] / on[f] for f in on if f not in self.links and not self.out[f]}
 
     def region(self, frame: int) -> int:
         """The element that the article of a slot reaches up to."""
@@ -426,13 +429,13 @@ class Template:
         return up
 
     def _mixed(self, role: int) -> bool:
-        return any(self.roles.out[r] or r in self.links for r in self.roles.within.get(role, ()))
+        return any(self.out[r] or r in self.links for r in self.roles.within.get(role, ()))
 
 
 def slots_text(tokens: list[tuple], template: Template, page: int) -> str:
     """The article in the slots of a page, the block's ``page``-th."""
     roles = template.roles
-    frames = {template.frame(role) for role, _, text, _ in tokens if text is not None and not roles.out[role] and not text.isspace()}
+    frames = {template.frame(role) for role, _, text, _ in tokens if text is not None and not template.out[role] and not text.isspace()}
     ranked = sorted((f for f in frames if f in template.score), key=lambda f: (-template.score[f], f))
     for f in ranked or sorted(frames):  # where all is template words or links, whatever there is
         text = _text_in(tokens, template, page, template.region(f))
@@ -450,7 +453,7 @@ def _text_in(tokens: list[tuple], template: Template, page: int, region: int) ->
         path = []
         while role not in wanted:
             path.append(role)
-            if role == roles.above[role] or roles.out[role] or (role in template.links and roles.name[role] not in FLOW):
+            if role == roles.above[role] or template.out[role] or (role in template.links and roles.name[role] not in FLOW):
                 wanted[role] = False
             role = roles.above[role]
         found = wanted[role]
@@ -460,18 +463,15 @@ def _text_in(tokens: list[tuple], template: Template, page: int, region: int) ->
         return found
 
     blocks: list[str] = []
-    run: list[str] = []  # of a line: its text without template words
-    whole: list[str] = []  # and with those of an article
-    count = [0, 0]  # words of an article's line, and those of the template
+    run: list[str] = []
+    count = [0, 0]  # words of a line, and those that are an article's template
     general, strict, at = template.general[page], template.strict[page], 0
 
     def close() -> None:
-        kept = run if count[1] >= LEAST_TOKENS or count[0] == count[1] else whole
-        line = " ".join(html.unescape("".join(kept)).split())
-        if line:
+        line = " ".join(html.unescape("".join(run)).split())
+        if line and count[1] < count[0]:
             blocks.append(line)
         run.clear()
-        whole.clear()
         count[:] = 0, 0
 
     for role, tag, text, breaks in tokens:
@@ -481,23 +481,17 @@ def _text_in(tokens: list[tuple], template: Template, page: int, region: int) ->
                 close()
             elif breaks or tag in ("td", "th", "/td", "/th"):
                 run.append(" ")
-                whole.append(" ")
             continue
-        words = text.split()
-        start, at = at, at + len(words)
+        start, at = at, at + len(text.split())
         if want(role):
-            article = roles.article[role] or roles.name[role] in FLOW
-            gone = (strict if article else general)[start:at]
-            kept = text
-            n_gone = int(gone.sum())
-            if n_gone:
+            gone = general[start:at]
+            count[0] += at - start
+            if roles.article[role] or roles.name[role] in FLOW:
+                count[1] += int(strict[start:at].sum())
+            elif gone.any():
                 left = iter(gone.tolist())
-                kept = "".join(w for w in re.split(r"(\s+)", text) if not w or w.isspace() or not next(left))
-            if article:
-                count[0] += len(words)
-                count[1] += n_gone
-            run.append(kept)
-            whole.append(text if article else kept)
+                text = "".join(w for w in re.split(r"(\s+)", text) if not w or w.isspace() or not next(left))
+            run.append(text)
     close()
     return "\n".join(blocks)
 
@@ -511,33 +505,46 @@ def extract(pages: list[str | None]) -> list[str]:
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: list[tuple] = []
+    held: list[list] = []  # page_id, url, html and the rows that hold just these
     kinds, now = [], None
 
-    def done(rows: list[tuple]) -> pa.RecordBatch:
-        texts = extract([page for *_, page in rows])
-        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], kinds[0]), pa.array([r[1] for r in rows], pa.string()), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+    def done() -> Iterator[pa.RecordBatch]:
+        texts = extract([page for *_, page, _ in held])
+        rows: list[tuple] = []
+        for (page_id, url, _, n), text in zip(held, texts, strict=True):
+            for at in range(0, n, SENT):
+                rows += [(page_id, url, text, len(text))] * min(SENT, n - at)
+                if len(rows) >= SENT:
+                    yield sent(rows)
+                    rows = []
+        yield sent(rows)
+
+    def sent(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((kinds[0], pa.string(), pa.string(), pa.int64()))], ["page_id", "url", "text", "n_chars"])
 
     for b in batches:
         kinds = [b["page_id"].type]
         host, block = b["host"], b["block"].to_pylist()
         for i in range(b.num_rows):
-            key = (host[i].as_py(), block[i])
-            # repeated rows share a block, however many: it is cut where a whole one is left over
-            if held and (key != now or len(held) == 4 * BLOCK):
-                yield done(held[: 2 * BLOCK] if key == now else held)
-                held = held[2 * BLOCK :] if key == now else []
+            key, row = (host[i].as_py(), block[i]), [b[c][i].as_py() for c in ("page_id", "url", "html")]
+            if held and key != now:
+                yield from done()
+                held.clear()
             now = key
-            held.append((b["page_id"][i].as_py(), b["url"][i].as_py(), b["html"][i].as_py()))
+            if held and held[-1][:3] == row:  # repeated rows stand side by side
+                held[-1][3] += 1
+            else:
+                held.append([*row, 1])
     if held:
-        yield done(held)
+        yield from done()
 
 
 def extract_main_text(pages: DataFrame) -> DataFrame:
     """One row per row of ``pages`` (page_id, url, html): page_id, url, text, n_chars (code points).
 
     Null or empty html gives an empty text; null urls are one host; repeated rows are
-    pages of their own with equal texts, and count once for the template; pages of any length are
+    pages of their own with equal texts, and count once for the template; a block of fewer than LEAST_PAGES distinct
+    pages is read by its own elements; pages of any length are
     taken whole, in time linear in it; ties between slots go to the smaller path number; other
     columns, whatever their names, are not read; an empty table gives an empty result.
     """
@@ -545,7 +552,7 @@ def extract_main_text(pages: DataFrame) -> DataFrame:
     kind = pages.schema["page_id"].dataType.simpleString()
     sizes = saved(pages.groupBy(host.alias("host")).count().filter(F.col("count") > BLOCK).select("host", F.ceil(F.col("count") / BLOCK).alias("blocks")), "hosts")
     few = sizes.count() <= MOST_BROADCAST
-    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"), F.xxhash64("page_id", "url").alias("deal"))
+    rows = pages.select("page_id", F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"), F.xxhash64("page_id", "url", "html").alias("deal"))
     rows = rows.join(F.broadcast(sizes) if few else sizes.hint("merge"), "host", "left")
     rows = rows.withColumn("block", F.pmod("deal", F.coalesce("blocks", F.lit(1))))
     rows = rows.repartition("host", "block").sortWithinPartitions("host", "block", "deal")

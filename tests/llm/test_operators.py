@@ -407,6 +407,93 @@ def test_classes_decide_where_names_say_nothing():
     assert html_extraction.extract(pages[:1])[0].startswith("rule0 says") and html_extraction.extract(pages[:3]) == texts[:3]
 
 
+def test_without_classes_the_texts_are_others(spark, monkeypatch):
+    blocks = collections.defaultdict(list)
+    for r in spark.read.parquet(f"{DATA.replace('sf0.001', 'sf0.01')}/pages.parquet").orderBy("page_id").collect():
+        blocks[r["url"].split("/")[2]].append(r["html"])
+    blocks = [b for b in blocks.values() if len(set(b)) >= 3]
+    got = [t for b in blocks for t in html_extraction.extract(b)]
+    assert len(got) > 100
+    with monkeypatch.context() as m:  # the names alone choose nothing
+        m.setattr(html_extraction, "NAMES", frozenset())
+        m.setattr(html_extraction, "OUTSIDE", frozenset())
+        assert [t for b in blocks for t in html_extraction.extract(b)] == got
+    monkeypatch.setattr(html_extraction, "classes", lambda *_: set())
+    other = [t for b in blocks for t in html_extraction.extract(b)]
+    assert sum(a != b for a, b in zip(got, other, strict=True)) > 0.9 * len(got)
+
+
+def brute_extract(pages):
+    """The text in the slot of most words, by plain loops: an element is a frame if its start tag, with the path above it, is
+    of a class of three tokens or more (equal counts on every page); words of such classes are template."""
+    from html.parser import HTMLParser
+
+    class Reader(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.path, self.found = (), []
+
+        def handle_starttag(self, tag, attrs):
+            self.path += ((tag, *(v for _, v in attrs)),)
+            self.found.append((self.path, "<", None))
+
+        def handle_endtag(self, tag):
+            self.found.append((self.path, ">", None))
+            self.path = self.path[:-1]
+
+        def handle_data(self, data):
+            self.found += [(self.path, w, w) for w in data.split()]
+
+    read = []
+    for page in pages:
+        reader = Reader()
+        reader.feed(page)
+        read.append(reader.found)
+    vectors = collections.defaultdict(set)
+    for token in {t[:2] for found in read for t in found}:
+        vectors[tuple(sum(t[:2] == token for t in found) for found in read)].add(token)
+    shared = {t for v, ts in vectors.items() for t in ts if min(v) > 0 and len(ts) >= 3}
+    frames = {t[0] for t in shared if t[1] == "<"}
+
+    def frame(path):
+        while path and path not in frames:
+            path = path[:-1]
+        return path
+
+    texts = []
+    for found in read:
+        words = collections.Counter(frame(path) for path, token, w in found if w and (path, token) not in shared and "a" not in {e[0] for e in path})
+        best = max(words, key=words.get)
+        while best[-1][0] in ("p", "b"):
+            best = best[:-1]
+        lines, last = [], None
+        for path, token, w in found:
+            if path[: len(best)] == best:
+                if w and (path, token) not in shared:
+                    if last is None:
+                        lines.append([])
+                    lines[-1].append(w)
+                    last = path
+                elif w is None and path[-1][0] in ("div", "p", "h1"):
+                    last = None
+        texts.append("\n".join(map(" ".join, lines)))
+    return texts
+
+
+def test_extraction_against_plain_loops():
+    rng = np.random.default_rng(11)
+    for host in range(6):
+        pages, n = [], int(rng.integers(3, 9))
+        for i in range(n):
+            def own(k, i=i):
+                return " ".join(f"h{host}p{i}w{int(w)}" for w in rng.integers(0, 10**6, k))
+
+            links = "".join(f"<a>{own(2)}</a>" for _ in range(4))
+            body = "".join(f"<p>{own(int(rng.integers(30, 60)))} <b>{own(2)}</b></p>" for _ in range(int(rng.integers(1, 4))))
+            pages.append(f"<body><div class=q1>{links}</div><div class=q2>fixed words on all pages {own(1)}</div><div class=q3>{body}</div><div class=q4>{own(3)} made by us</div></body>")
+        assert html_extraction.extract(pages) == brute_extract(pages)
+
+
 def brute_classes(sequences, least):
     """Tokens once on a page with equal occurrences, in the order that most of them keep, by trying subsets."""
     import itertools
@@ -466,20 +553,21 @@ def test_pages_do_not_depend_on_partitions(spark):
         assert sorted(got) == sorted((i, texts[i]) for i, *_ in rows)
 
 
-def test_template_words_go_inside_articles_and_copies_stay():
+def test_template_lines_go_inside_articles_and_copies_stay():
     def texts(articles):
         return html_extraction.extract([f"<body><div>Site</div><article>{a}</article></body>" for a in articles])
 
     body = [" ".join(f"w{i}x{j}" for j in range(60)) for i in range(12)]
     row = '<div class="tools">Share this story now</div><div class="by">Written by A{i} on day D{i}</div>'
     got = texts([f"<h1>Review {i}</h1>{row.replace('{i}', str(i))}<p>{b}</p>" for i, b in enumerate(body)])
-    assert got == [f"Review {i}\nA{i} D{i}\n{b}" for i, b in enumerate(body)]
+    assert got == [f"Review {i}\nWritten by A{i} on day D{i}\n{b}" for i, b in enumerate(body)]
     # copies of one article, a passage on fewer pages than a template's, and few pages
     assert texts([f"<p>{body[0]}</p>"] * 12) == [body[0]] * 12
     shared = [f"<p>{b}</p>" + ("<p>One passage that many share</p>" if i < 8 else "") for i, b in enumerate(body)]
     assert texts(shared) == [s.replace("<p>", "").replace("</p>", "\n").strip() for s in shared]
-    few = [f"<p>{b}</p><p>Share this story now</p>" for b in body[:5]]
-    assert texts(few) == [f"{b}\nShare this story now" for b in body[:5]]
+    for n in range(1, 13):  # one rule for blocks of any size, none for those too small for classes
+        few = [f"<p>{b}</p><p>Share this story now</p>" for b in body[:n]]
+        assert texts(few) == [b if n >= 3 else f"{b}\nShare this story now" for b in body[:n]]
 
 
 def test_mixing_budgets(spark):
