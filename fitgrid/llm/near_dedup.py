@@ -7,6 +7,9 @@ many rounds; a long text stops after one or two. The sketch is cut into bands.
 Documents that agree on a band meet in a bucket, and every link is confirmed on the
 full shingle sets.
 
+A document is a doc_id: one that stands with several texts is linked by each of them. What is
+compared are classes of equal shingle sets, named by the least row key (a hash of id and text) in them.
+
 Hot groups. Equal shingle sets are collapsed first. In a bucket the members are
 compared with a centre only (a star), a few times with other centres. Links inside a
 component add nothing, so what remains are the documents of buckets that still hold
@@ -37,6 +40,8 @@ from .kernels import mix, shingle_sets
 COORDS, ROWS = 96, 4
 #: Rounds of stars before the rest is compared pair by pair.
 STARS = 3
+#: Pairs of a star that one task confirms, about; it gets the centre's text once.
+MEETS = 2000
 #: 64-bit words of a set's parity bitmap.
 WORDS = 8
 
@@ -88,36 +93,40 @@ def _sketched(k: int):
                 digest.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
                 band.append(bands(sketch(u)) if len(u) else None)
                 bits.append(parities(u) if len(u) else None)
-            yield pa.RecordBatch.from_arrays([b["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "bands", "bits"])
+            yield pa.RecordBatch.from_arrays([b["key"], b["doc_id"], pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(band, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["key", "doc_id", "n_shingles", "digest", "bands", "bits"])
 
     return run
 
 
 def _overlaps(k: int):
+    """Sorted (a, part, b, text): the text of a centre, without b, comes before those that meet it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a = b["a"].to_numpy(zero_copy_only=False)
-            new = np.flatnonzero(np.concatenate([[True], a[1:] != a[:-1]])) if len(a) else []
-            centres = shingle_sets(b["text_a"].take(pa.array(new, pa.int64())), k)
-            starts, out, u = set(map(int, new)), [], None
-            for i, v in enumerate(shingle_sets(b["text_b"], k)):
-                if i in starts:
-                    u = next(centres)
+        u = None
+        for batch in batches:
+            a, b, out = batch["a"].to_pylist(), batch["b"].to_pylist(), []
+            for i, v in enumerate(shingle_sets(batch["text"], k)):
+                if b[i] is None:
+                    u = v
+                    continue
                 big, small = (u, v) if len(u) >= len(v) else (v, u)
                 at = np.minimum(np.searchsorted(big, small), max(len(big) - 1, 0))
-                out.append((len(u), len(v), int((big[at] == small).sum()) if len(small) else 0))
-            cols = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays([b["a"], b["b"], *(pa.array(c, pa.int64()) for c in cols)], ["a", "b", "n_a", "n_b", "common"])
+                out.append((a[i], b[i], len(u), len(v), int((big[at] == small).sum()) if len(small) else 0))
+            cols = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["a", "b", "n_a", "n_b", "common"])
 
     return run
 
 
 def verify(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b, d, linked) of pairs (a, b) from the full shingle sets; d the Jaccard distance."""
-    t = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    c = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    both = pairs.join(t, "b").join(c, "a").sortWithinPartitions("a")
-    got = both.select("a", "b", "text_a", "text_b").mapInArrow(_overlaps(k), "a long, b long, n_a long, n_b long, common long")
+    """(a, b, d, linked) of pairs (a, b) of keys of ``texts`` (key, text) from the full shingle sets; d the Jaccard distance.
+    A centre with more than MEETS pairs is dealt to several tasks."""
+    hot = pairs.groupBy("a").agg(F.count("*").alias("m")).filter(F.col("m") > MEETS).select("a", F.ceil(F.col("m") / MEETS).alias("parts"))
+    dealt = pairs.select("a", "b").join(hot, "a", "left").select("a", "b", F.pmod(F.xxhash64("b"), F.coalesce("parts", F.lit(1))).alias("part"))
+    members = dealt.join(texts.select(F.col("key").alias("b"), "text"), "b").select("a", "part", "b", "text")
+    centres = dealt.select("a", "part").distinct().join(texts.select(F.col("key").alias("a"), "text"), "a").select("a", "part", F.lit(None).cast("long").alias("b"), "text")
+    both = members.unionByName(centres).repartition("a", "part").sortWithinPartitions("a", "part", F.col("b").asc_nulls_first())
+    got = both.select("a", "b", "text").mapInArrow(_overlaps(k), "a long, b long, n_a long, n_b long, common long")
     union = F.col("n_a") + F.col("n_b") - F.col("common")
     return got.select("a", "b", (1 - F.col("common") / union).alias("d"), (100 * F.col("common") >= percent * union).alias("linked"))
 
@@ -128,7 +137,7 @@ def _shingled(k: int):
             sets = list(shingle_sets(b["text"], k))
             rows = np.repeat(np.arange(len(sets)), [len(u) for u in sets])
             flat = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(rows, pa.int64())), pa.array(flat.view(np.int64), pa.int64())], ["rep", "shingle"])
+            yield pa.RecordBatch.from_arrays([b["key"].take(pa.array(rows, pa.int64())), pa.array(flat.view(np.int64), pa.int64())], ["rep", "shingle"])
 
     return run
 
@@ -136,7 +145,7 @@ def _shingled(k: int):
 def _prefix_pairs(left: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) of rows (rep, n, component, bits) of different components that share a prefix shingle and may link."""
     left = saved(left, "left")
-    every = saved(texts.join(left.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text").mapInArrow(_shingled(k), "rep long, shingle long"), "shingles")
+    every = saved(texts.join(left.select(F.col("rep").alias("key")), "key", "left_semi").select("key", "text").mapInArrow(_shingled(k), "rep long, shingle long"), "shingles")
     common = every.groupBy("shingle").agg(F.count("*").alias("m")).filter("m > 1")
     shared = every.join(common, "shingle").join(left.drop("bits"), "rep")
     # shingles of one document alone come first in its order and meet nothing
@@ -160,22 +169,30 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     Two documents link when 100 * |A and B| >= percent * |A or B| for their sets of
     k-word shingles. Null or empty texts have empty sets and link with nothing; a null
     doc_id links with nothing and is kept, with a null component. Repeated rows get the
-    same result; an empty table gives an empty result; other columns are ignored.
+    same result; a doc_id with several texts is one document, linked by each of them, with the
+    n_shingles of each row's own text. Texts of any length count whole; ties at the threshold link;
+    an empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sk = saved(docs.mapInArrow(_sketched(k), "doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "sketches")
+    docs = docs.withColumn("key", F.xxhash64("doc_id", "text"))
+    sk = saved(docs.mapInArrow(_sketched(k), "key long, doc_id long, n_shingles long, digest binary, bands array<long>, bits array<long>"), "sketches")
     full = sk.filter("doc_id IS NOT NULL AND n_shingles > 0")
-    reps = saved(full.groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    heads = full.join(reps, (full.digest == reps.digest) & (full.doc_id == reps.rep), "left_semi")
-    rows = heads.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "bits", F.explode("bands").alias("key")).dropDuplicates(["rep", "key"])
+    reps = saved(full.groupBy("digest").agg(F.min("key").alias("rep"), F.min("doc_id").alias("low")), "classes")
+    several = full.groupBy("doc_id").agg(F.min("digest").alias("digest"), F.max("digest").alias("other")).filter("digest <> other").select("doc_id")
+    same = full.select("doc_id", "digest").join(several, "doc_id").join(reps, "digest").select("doc_id", "rep").distinct()
+    same = saved(same.join(same.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").filter("a <> rep").select("a", F.col("rep").alias("b")), "same")
+    heads = full.join(reps, (full.digest == reps.digest) & (full.key == reps.rep), "left_semi")
+    rows = heads.select(F.col("key").alias("rep"), F.col("n_shingles").alias("n"), "bits", F.explode("bands").alias("key")).dropDuplicates(["rep", "key"])
     shared = rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1").select("key")
     members = saved(rows.join(shared, "key"), "members")
-    ids = members.select(F.col("rep").alias("doc_id")).distinct()
-    # the same id may come with several texts: the one of its class's head is enough, as all rows of an id are one document
-    texts = saved(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "candidates")
+    texts = saved(docs.join(members.select(F.col("rep").alias("key")).distinct(), "key", "left_semi").select("key", "text").dropDuplicates(["key"]), "candidates")
+    nodes = members.select(F.col("rep").alias("id")).union(same.select("a")).union(same.select("b")).distinct()
+
+    def labelled(links: DataFrame) -> DataFrame:
+        found = components(links)
+        return saved(nodes.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "labels")
 
-    tried, labels = None, saved(members.select(F.col("rep").alias("id"), F.col("rep").alias("component")).distinct(), "labels")
+    tried, labels = None, labelled(same) if same.limit(1).count() else saved(nodes.withColumn("component", F.col("id")), "labels")
     for turn in range(STARS + 1):
         m = members.join(labels.withColumnRenamed("id", "rep"), "rep")
         mixed = m.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min_by("rep", F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("centre"), F.min_by(F.struct("n", "bits"), F.struct(F.xxhash64("rep", F.lit(turn)), "rep")).alias("of")).filter("lo < hi")
@@ -197,12 +214,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
             break
         new = saved(verify(pairs, texts, k, percent), "checked")
         tried = new if tried is None else tried.union(new)
-        labels = members.select(F.col("rep").alias("id")).distinct().join(components(tried.filter("linked")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-        labels = saved(labels, "labels")
+        labels = labelled(tried.filter("linked").select("a", "b").union(same))
 
+    # components are named by keys; their documents' least id is theirs
+    named = labels.select(F.col("id").alias("rep"), "component").join(reps.select("rep", "low"), "rep")
+    least = named.groupBy("component").agg(F.min("low").alias("linked"))
+    named = named.select("rep", "component").join(least, "component").select("rep", "linked")
     discard(members, texts)
-    out = sk.join(reps, "digest", "left").join(labels.select(F.col("id").alias("rep"), F.col("component").alias("linked")), "rep", "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("linked", "rep", "doc_id"))
+    out = sk.join(reps, "digest", "left").join(named, "rep", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("linked", "low", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
 

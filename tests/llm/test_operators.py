@@ -85,6 +85,24 @@ def test_stars_and_prefixes_lose_no_link(spark):
     assert got == components(list(sets), links)
 
 
+def test_an_id_with_several_texts_links_by_each_of_them(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "MEETS", 3)  # stars are dealt to several tasks
+    rng = np.random.default_rng(2)
+
+    def text():
+        return [f"w{int(x)}" for x in rng.integers(0, 10**9, 80)]
+
+    rows = []
+    for g in range(0, 2000, 100):
+        a, b = text(), text()
+        rows += [(g + 5, a), (g + 5, b), (g + 1, [*a[:-1], "end"]), (g + 2, [*b[:-1], "end"]), (g + 7, text()), (g + 9, a)]
+        rows += [(g + 20 + i, [*a[:-2], f"x{i}", "y"]) for i in range(12)]
+    got = near_dedup.near_duplicates(frame(spark, [(d, " ".join(t)) for d, t in rows]), 4, 80).collect()
+    assert len(got) == len(rows)
+    assert {(r["doc_id"], r["component_id"]) for r in got} == {(d, d if d % 100 == 7 else d - d % 100 + 1) for d, _ in rows}
+    assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
 def brute_repeats(rows, width):
     seen = collections.Counter(tuple(words(t)[i : i + width]) for _, t in rows for i in range(len(words(t)) - width + 1))
     out = []
