@@ -172,16 +172,38 @@ def _best_of_labels(queries: pa.Table):
     return run
 
 
+#: Queries and vectors that one task multiplies: their blocks hold about so many bytes of components.
+QUERY_BYTES, VECTOR_BYTES = 4 << 20, 32 << 20
+
+
+def _blocks(df: DataFrame, vector: str, most: int) -> int:
+    """In how many blocks of about ``most`` bytes the vectors go."""
+    held = df.agg(F.coalesce(F.sum(16 + 8 * F.size(vector).cast("long")), F.lit(0))).first()[0]
+    return 1 + held // most
+
+
 def best_of_labels(vectors: DataFrame, queries: DataFrame) -> DataFrame:
     """The largest product of each query (query, expected, q) with a vector (vec_id, label, v) of each label, itself left
     out: query, expected, label, s. Every pair counts. Products are NULL where a vector or a component is, or where
-    dimensions differ. Queries go to every executor.
+    dimensions differ. Queries and vectors are dealt to blocks of bounded bytes, and each pair of blocks is a task that keeps the
+    largest product a query and label: neither side is collected or broadcast, whatever its size.
     """
-    schema = queries.schema
-    kind = {f.name: f.dataType.simpleString() for f in [*schema, *vectors.schema]}
-    found = queries.select("query", "expected", F.col("q").cast("array<double>")).filter("query IS NOT NULL").toArrow()
-    vectors = vectors.select("vec_id", "label", F.col("v").cast("array<double>")).filter("vec_id IS NOT NULL").repartition(2 * vectors.sparkSession.sparkContext.defaultParallelism)
-    best = vectors.mapInArrow(_best_of_labels(found), f"query {kind['query']}, expected {kind['expected']}, label {kind['label']}, s double")
+    kind = {f.name: f.dataType.simpleString() for f in [*queries.schema, *vectors.schema]}
+    asked = queries.select("query", "expected", F.col("q").cast("array<double>")).filter("query IS NOT NULL")
+    known = vectors.select("vec_id", "label", F.col("v").cast("array<double>")).filter("vec_id IS NOT NULL")
+    n_q, n_v = _blocks(asked, "q", QUERY_BYTES), _blocks(known, "v", VECTOR_BYTES)
+    n_v = max(n_v, vectors.sparkSession.sparkContext.defaultParallelism // n_q)
+    # by all columns, so that rows of one id spread too
+    asked = asked.withColumns({"__q": F.pmod(F.xxhash64(*asked.columns), F.lit(n_q)), "__v": F.explode(F.sequence(F.lit(0), F.lit(n_v - 1)).cast("array<bigint>"))})
+    known = known.withColumns({"__v": F.pmod(F.xxhash64(*known.columns), F.lit(n_v)), "__q": F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>"))})
+
+    def met(key, mine, theirs):
+        found = list(_best_of_labels(mine)(iter(theirs.combine_chunks().to_batches())))
+        if found:
+            return pa.Table.from_batches(found)
+        return pa.table([pa.array([], mine["query"].type), pa.array([], mine["expected"].type), pa.array([], theirs["label"].type), pa.array([], pa.float64())], names=["query", "expected", "label", "s"])
+
+    best = asked.groupBy("__q", "__v").cogroup(known.groupBy("__q", "__v")).applyInArrow(met, f"query {kind['query']}, expected {kind['expected']}, label {kind['label']}, s double")
     return best.groupBy("query", "expected", "label").agg(F.max("s").alias("s"))
 
 

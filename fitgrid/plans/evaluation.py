@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import evaluate as E
-from ..operators import scoring as S
+from ..operators.matching import best_of_labels
 from .ranking import _t
 
 
@@ -67,11 +67,8 @@ def value_histogram(spark, sf_dir):
 def nearest_concepts(spark, sf_dir):
     """For every vector whose id is divisible by 20, the five nearest concepts (labels) by their best vector, its own left out."""
     v = _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("v").alias("q"))
-    n, dims = q.agg(F.count("*"), F.coalesce(F.max(F.size("q")), F.lit(0))).collect()[0]
-    few = n * (16 + 8 * dims) <= 64 << 20  # bytes of the queries
-    d = v.join(F.broadcast(q) if few else q, F.col("vec_id") != F.col("query")).select("query", "label", "vec_id", S.dot(F.col("v"), F.col("q")).alias("s"))
-    best = d.groupBy("query", "label").agg(F.max("s").alias("s"))
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query"), F.col("label").alias("expected"), F.col("v").alias("q"))
+    best = best_of_labels(v, q)
     w = Window.partitionBy("query").orderBy(F.desc(F.round("s", 9)), "label")
     return best.withColumn("place", F.row_number().over(w)).filter("place <= 5").select("query", "place", "label", F.round("s", 6).alias("similarity"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import blocks as B
 from ..operators import matching as M
 from ..operators import ranking as R
-from ..operators.scoring import band_name, dot
+from ..operators.scoring import band_name
 from . import ranking
 from .ranking import _t
 
@@ -23,10 +23,10 @@ def _aliases(spark, sf_dir):
 def _nearest(spark, sf_dir):
     """The distance of each name to the concepts (labels): the least of their vectors to the vector that the name's first part has."""
     v = _t(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("v"))
-    n = _t(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("norm")).agg((F.min("p_partkey") % 100).alias("vec_id"))
-    q = n.join(v.select("vec_id", F.col("v").alias("q")), "vec_id").select("norm", "q", F.col("vec_id").alias("own"))
-    d = v.crossJoin(F.broadcast(q)).filter("vec_id <> own AND own % 7 > 0").groupBy("norm", F.concat(F.lit("c"), "label").alias("canonical_id")).agg(F.round(1 - F.max(dot(F.col("v"), F.col("q"))), 9).alias("distance"))
-    return d
+    n = _t(spark, sf_dir, "part").groupBy(F.lower("p_name").alias("norm")).agg((F.min("p_partkey") % 100).alias("query")).filter("query % 7 > 0")
+    q = v.join(n.select(F.col("query").alias("vec_id")).distinct(), "vec_id").select(F.col("vec_id").alias("query"), F.col("label").alias("expected"), F.col("v").alias("q"))
+    best = M.best_of_labels(v, q).select("query", F.concat(F.lit("c"), "label").alias("canonical_id"), F.round(1 - F.col("s"), 9).alias("distance"))
+    return n.join(best, "query").select("norm", "canonical_id", "distance")
 
 
 def _asked(spark, sf_dir):

@@ -3,12 +3,13 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import DATA
 from fitgrid.functions import lines as L
 from fitgrid.operators import matching as M
-from fitgrid.plans import checks
+from fitgrid.plans import checks, evaluation
 from fitgrid.plans import matching as plans
 
 
@@ -17,11 +18,15 @@ def plan_of(df):
 
 
 def test_recall_meets_no_pairs_in_a_join(spark):
-    df = plans.recall_of_labels(spark, DATA)
-    assert "Join Cross" not in plan_of(df) and "Join Inner" not in plan_of(df)
+    for query in (plans.recall_of_labels, evaluation.nearest_concepts, plans._nearest):
+        plan = plan_of(query(spark, DATA))
+        assert "Join Cross" not in plan and "FlatMapCoGroupsInArrow" in plan
 
 
-def test_best_of_labels_on_odd_vectors(spark):
+@pytest.mark.parametrize("block", [1 << 20, 300])
+def test_best_of_labels_on_odd_vectors(spark, monkeypatch, block):
+    monkeypatch.setattr(M, "QUERY_BYTES", block)  # some hundred bytes: many blocks of both
+    monkeypatch.setattr(M, "VECTOR_BYTES", 2 * block)
     rng = np.random.default_rng(3)
     rows = [(i, int(rng.integers(3)), rng.normal(size=4).tolist()) for i in range(60)]
     rows += [(100, 1, None), (101, 1, [1.0, None, 0.0, 2.0]), (102, None, [1.0, 2.0, 3.0, 4.0]), (103, 7, [1.0, 2.0]), (104, 8, []), (105, 9, [math.nan, 0.0, 0.0, 1.0]), (106, 10, [math.inf, 0.0, 0.0, 1.0]), (None, 2, [9.0, 9.0, 9.0, 9.0]), (107, 11, [1e200, -1e200, 3.0, 1.0])]
