@@ -6,18 +6,24 @@ months, home, avoid, embedding).
 
 Skills are compared as bits. The candidates' keys are numbered, vacancies' skills are joined
 to those numbers once per vacancy (an equi-join, whatever the number of candidates), and a pair
-then tests a few bits of the candidate's bitmap. Candidates are broadcast if their rows take
-``MOST_BYTES`` at most; a larger set is dealt in as many rounds of pairs as the product gives.
+then tests a few bits of the candidate's bitmap. Candidates are broadcast if their rows, bitmaps
+included, take ``MOST_BYTES`` at most; a larger set is dealt to blocks of that size, and every part of
+the vacancies meets every block by an equi-join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
+
+from fitgrid.shared import saved
 
 from . import scoring as S
+from .running import numbered
 
-MOST_BYTES = 256 << 20
+#: Bytes of candidates that are broadcast or meet a part of the vacancies at once, and the parts.
+MOST_BYTES, PARTS = 256 << 20, 64
 TOP, REACH, LEARN, DEMAND = 50, 3, 4, 5
 REASONS = ("on_site_abroad", "remote_outside_region", "experience_short", "risky_niche")
 OVERLAP_WARNINGS = ("empty_skill", "duplicate_requirement", "no_vacancy_skills", "no_candidate_skills")
@@ -42,39 +48,52 @@ def cleaned(vacancies: DataFrame, empty: str | None = None) -> DataFrame:
 
 def _numbered(candidates: DataFrame) -> DataFrame:
     """The candidates' distinct keys (key, bit), bit from 0 without gaps."""
-    every = candidates.select(F.explode("keys").alias("key")).distinct().agg(F.array_sort(F.collect_list("key")).alias("all"))
-    return every.select(F.posexplode("all").alias("bit", "key"))
+    every = candidates.select(F.explode("keys").alias("key")).distinct()
+    return numbered(every, [], ["key"], "bit").select("key", (F.col("bit") - 1).cast("int").alias("bit"))
 
 
-def _with_bits(candidates: DataFrame, numbers: DataFrame) -> DataFrame:
-    """``bits``: 64 keys of a candidate to a number."""
-    words = numbers.select(F.shiftright("bit", 6).alias("word")).distinct()
-    own = candidates.select("candidate_id", F.explode(F.array_distinct("keys")).alias("key")).join(F.broadcast(numbers), "key")
-    own = own.select("candidate_id", F.shiftright("bit", 6).alias("word"), F.expr("shiftleft(1L, bit & 63)").alias("b"))
-    all_ = candidates.select("candidate_id").crossJoin(F.broadcast(words)).withColumn("b", F.lit(0).cast("long"))
-    dense = own.unionByName(all_).groupBy("candidate_id", "word").agg(F.bit_or("b").alias("b"))
-    bits = dense.groupBy("candidate_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "b"))), lambda x: x["b"]).alias("bits"))
-    return candidates.join(bits, "candidate_id", "left").withColumn("bits", F.coalesce("bits", F.array().cast("array<bigint>")))
+def _with_bits(candidates: DataFrame, numbers: DataFrame, words: int) -> DataFrame:
+    """``bits``: 64 keys of a candidate to a number, ``words`` numbers in all."""
+    own = candidates.select("candidate_id", F.explode(F.array_distinct("keys")).alias("key")).join(numbers, "key")
+    own = own.groupBy("candidate_id", F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, bit & 63)")).alias("b"))
+    own = own.groupBy("candidate_id").agg(F.map_from_entries(F.collect_list(F.struct("word", "b"))).alias("__of"))
+    at = F.sequence(F.lit(0), F.lit(words - 1)) if words else F.array().cast("array<int>")
+    bits = F.transform(at, lambda w: F.coalesce(F.try_element_at("__of", w), F.lit(0).cast("long")))
+    return candidates.join(own, "candidate_id", "left").withColumn("bits", bits).drop("__of")
 
 
 def _with_numbers(vacancies: DataFrame, numbers: DataFrame) -> DataFrame:
     """``required_bits`` and ``preferred_bits``: the numbers of those skills that any candidate has."""
     skills = vacancies.select("vacancy_id", F.explode(F.concat(F.transform("required", lambda k: F.struct(k.alias("key"), F.lit(True).alias("must"))), F.transform("preferred", lambda k: F.struct(k.alias("key"), F.lit(False).alias("must"))))).alias("s")).select("vacancy_id", "s.*")
-    found = skills.join(F.broadcast(numbers), "key").groupBy("vacancy_id").agg(F.collect_list(F.when(F.col("must"), F.col("bit"))).alias("required_bits"), F.collect_list(F.when(~F.col("must"), F.col("bit"))).alias("preferred_bits"))
+    found = skills.join(numbers, "key").groupBy("vacancy_id").agg(F.collect_list(F.when(F.col("must"), F.col("bit"))).alias("required_bits"), F.collect_list(F.when(~F.col("must"), F.col("bit"))).alias("preferred_bits"))
     none = F.array().cast("array<int>")
     return vacancies.join(found, "vacancy_id", "left").withColumns({c: F.coalesce(c, none) for c in ("required_bits", "preferred_bits")})
 
 
+def bytes_of(candidates: DataFrame) -> tuple[int, int]:
+    """What the candidates' rows take with their bitmaps, and the bitmaps' words. The distinct keys are the words' number,
+    so they are counted; a broadcast of the keys themselves is less than one of the candidates."""
+    vectors = F.coalesce(F.max(F.size("c_embedding")), F.lit(0)) if "c_embedding" in candidates.columns else F.lit(0)
+    n, keys, dims = candidates.agg(F.count("*"), F.coalesce(F.sum(F.size("keys")), F.lit(0)), vectors).collect()[0]
+    words = -(-candidates.select(F.explode("keys").alias("key")).distinct().count() // 64)
+    return n * (200 + 8 * max(dims, 0) + 8 * words) + 24 * keys, words
+
+
 def pairs(vacancies: DataFrame, candidates: DataFrame) -> DataFrame:
     """Every candidate with every vacancy: that is the operator, so no key can narrow it. The candidates are broadcast
-    only after the bytes of their rows are checked; beyond that the product runs partition by partition."""
-    vacancies = cleaned(vacancies)
+    only after the bytes of their rows are checked; beyond that they are dealt to blocks of MOST_BYTES, and each part of
+    the vacancies (PARTS of them) meets each block by an equi-join, so that a task holds one block at a time."""
+    size, words = bytes_of(candidates)
+    few = size <= MOST_BYTES
     numbers = _numbered(candidates)
-    vectors = F.coalesce(F.max(F.size("c_embedding")), F.lit(0)) if "c_embedding" in candidates.columns else F.lit(0)
-    n, keys, dims = candidates.agg(F.count("*"), F.coalesce(F.sum(F.size("keys")), F.lit(0)), vectors).collect()[0]
-    few = n * (200 + 8 * dims) + 24 * keys <= MOST_BYTES
-    candidates = _with_bits(candidates, numbers)
-    return _with_numbers(vacancies, numbers).crossJoin(F.broadcast(candidates) if few else candidates)
+    numbers = F.broadcast(numbers) if few else numbers
+    vacancies, candidates = _with_numbers(cleaned(vacancies), numbers), _with_bits(candidates, numbers, words)
+    if few:
+        return vacancies.crossJoin(F.broadcast(candidates))
+    blocks = 1 + size // MOST_BYTES
+    vacancies = vacancies.withColumns({"__part": F.pmod(F.xxhash64("vacancy_id"), F.lit(PARTS)), "__block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<bigint>"))})
+    candidates = candidates.withColumns({"__block": F.pmod(F.xxhash64("candidate_id"), F.lit(blocks)), "__part": F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1)).cast("array<bigint>"))})
+    return vacancies.join(candidates, ["__block", "__part"]).drop("__block", "__part")
 
 
 def _matched(bits: str) -> Column:
@@ -108,9 +127,11 @@ def _order() -> list[Column]:
 
 
 def ranked(df: DataFrame) -> DataFrame:
-    """``rank`` among the visible pairs of a candidate: band, fit, newest, id; unknown last."""
-    order = Window.partitionBy("candidate_id", "hidden").orderBy(*_order())
-    return df.withColumn("rank", F.when(~F.col("hidden"), F.row_number().over(order)))
+    """``rank`` among the visible pairs of a candidate: band, fit, newest, id; unknown last. The pairs are kept once scored,
+    without skills and vectors, and numbered by ranges of the order: a candidate has as many pairs as there are vacancies."""
+    plain = [f.name for f in df.schema if f.name == "reasons" or not isinstance(f.dataType, ArrayType)]
+    place = numbered(saved(df.select(*plain), "scored"), ["candidate_id", "hidden"], _order(), "rank")
+    return place.withColumn("rank", F.when(~F.col("hidden"), F.col("rank")))
 
 
 def band_counts(df: DataFrame) -> DataFrame:
@@ -126,6 +147,13 @@ def working_set(df: DataFrame, top: int = TOP) -> DataFrame:
     return visible.withColumn("rank", F.row_number().over(Window.partitionBy("candidate_id").orderBy(*_order()))).filter(F.col("rank") <= top)
 
 
+def first_ranked(df: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` visible pairs of each candidate with their ``rank``, from scored pairs: each task keeps so many of a
+    candidate before any are shuffled."""
+    order = Window.partitionBy("candidate_id").orderBy(*_order())
+    return df.filter(~F.col("hidden")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
+
+
 def page(df: DataFrame, number: int, size: int | None = None) -> DataFrame:
     """A page of the ranking, from 1; all of it without a size, nothing past its end."""
     if number < 1 or (size is not None and size < 1):

@@ -87,7 +87,7 @@ def hidden_reasons(spark, sf_dir):
 
 def ranking_page(spark, sf_dir):
     """The third page of ten of each candidate's ranking."""
-    df = R.page(ranking(spark, sf_dir), 3, 10)
+    df = R.page(R.first_ranked(scored(spark, sf_dir), 30), 3, 10)
     return df.select("candidate_id", "rank", "vacancy_id", F.round("fit", 6).alias("fit"))
 
 

@@ -23,3 +23,21 @@ def test_ties_and_empty_tables(spark):
     assert sorted((r["k"], r["place"]) for r in numbered(df, ["k"], ["v"]).collect()) == [("a", i) for i in range(1, 51)] + [("b", 1)]
     assert numbered(df.limit(0), ["k"], ["v"]).columns == ["k", "v", "place"]
     assert numbered(df.limit(0), ["k"], ["v"]).count() == 0
+
+
+def test_many_candidates_meet_vacancies_block_by_block(spark, monkeypatch):
+    from conftest import DATA
+    from fitgrid.operators import ranking as R
+    from fitgrid.plans import ranking as plans
+
+    columns = ["candidate_id", "vacancy_id", "required_matched", "preferred_matched", "band_rank", "hidden"]
+    want = sorted(map(tuple, plans.scored(spark, DATA).select(*columns).collect()))
+    size, words = R.bytes_of(plans.candidates(spark, DATA))
+    keys = plans.candidates(spark, DATA).select(F.explode("keys").alias("k")).distinct().count()
+    assert words == -(-keys // 64) and size >= 25 * 8 * words
+    monkeypatch.setattr(R, "MOST_BYTES", size // 5)
+    monkeypatch.setattr(R, "PARTS", 3)
+    df = plans.scored(spark, DATA).select(*columns)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join Cross" not in plan and "(__block" in plan
+    assert sorted(map(tuple, df.collect())) == want
