@@ -1,52 +1,66 @@
 """Reading order of the text blocks of pages: the widest gutter between columns, and the bands that wide blocks cut.
 
-Blocks are rows (page, pos, x0, y0, x1, y1), ``pos`` telling blocks of a page apart. A gutter's place is looked for point
-by point in the middle of the page; whether a point is one can only change next to the edge of a block, so those points alone
-are tried, whatever the width of the page. A page's blocks meet in one task: it is a page of text.
+Blocks are rows (page, pos, x0, y0, x1, y1), ``pos`` telling blocks of a page apart. A gutter is looked for point by point
+in the middle of the page, all points and blocks of a page at once, in one pass over pages. A page's blocks meet in
+one task: it is a page of text. Bands and order are windows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fitgrid.shared import saved
+
 # Shares of the page's width, points of the page.
 FULL_WIDTH, SEARCH_FROM, SEARCH_TO = 0.6, 0.25, 0.75
 LEAST_GUTTER, STEP = 4.0, 1.0
 
 
-def _meet(a: Column, b: Column) -> Column:
-    """Whether two extents (lo, hi) share some height."""
-    return (a["lo"] < b["hi"]) & (b["lo"] < a["hi"])
-
-
-def gutters(blocks: DataFrame, width: float) -> DataFrame:
-    """The x of the widest gutter of each page that has one: page, gutter.
+def gutter(x0: np.ndarray, y0: np.ndarray, x1: np.ndarray, y1: np.ndarray, width: float) -> float | None:
+    """The x of a page's widest gutter.
 
     A point is in a gutter if blocks lie wholly on either side of it, at the same height somewhere, and no narrow
     block across it shares a height with one that is beside it. The first of equally wide runs of points is taken, in its middle;
-    runs under LEAST_GUTTER are gaps between words. Blocks with a null edge are on no side.
+    runs under LEAST_GUTTER are gaps between words.
     """
-    lo, steps = width * SEARCH_FROM, int((width * SEARCH_TO - width * SEARCH_FROM) / STEP) + 1
-    blocks = blocks.select("page", "x0", "x1", F.struct(F.col("y0").alias("lo"), F.col("y1").alias("hi")).alias("y")).filter("x0 + x1 + y.lo + y.hi IS NOT NULL")
-    near = F.flatten(F.transform(F.array("x0", "x1"), lambda e: F.transform(F.array(*map(F.lit, (-1, 0, 1, 2))), lambda k: F.floor((e - lo) / STEP).cast("int") + k)))
-    points = blocks.select("page", F.explode(F.array_union(F.filter(near, lambda i: (i >= 0) & (i < steps)), F.array(F.lit(0)))).alias("i")).distinct()
-    x = F.col("i") * STEP + lo
-    met = points.join(blocks, "page").withColumns({"left": F.col("x1") <= x, "right": F.col("x0") >= x})
-    across = (F.col("x0") < x) & (x < F.col("x1")) & (F.col("x1") - F.col("x0") <= FULL_WIDTH * width)
-
-    def extent(side: str) -> Column:
-        return F.struct(F.min(F.when(F.col(side), F.col("y.lo"))).alias("lo"), F.max(F.when(F.col(side), F.col("y.hi"))).alias("hi"))
-
-    found = met.groupBy("page", "i").agg(extent("left").alias("l"), extent("right").alias("r"), F.collect_list(F.when(F.col("left") | F.col("right"), F.col("y"))).alias("beside"), F.collect_list(F.when(across, F.col("y"))).alias("across"))
-    blocked = F.exists("across", lambda a: F.exists("beside", lambda b: _meet(a, b)))
-    w = Window.partitionBy("page").orderBy("i")
-    found = found.select("page", "i", (F.coalesce(_meet(F.col("l"), F.col("r")), F.lit(False)) & ~blocked).alias("fine"), (F.lead("i", 1, steps).over(w) - 1).alias("to"))
-    # runs of points that are gutters: those since as many points that are not
-    runs = found.withColumn("run", F.count_if(~F.col("fine")).over(w)).filter("fine").groupBy("page", "run").agg(F.min("i").alias("i"), F.max("to").alias("to"))
-    wide = runs.withColumn("wide", (F.col("to") - F.col("i")) * STEP).filter(F.col("wide") >= LEAST_GUTTER)
-    best = wide.groupBy("page").agg(F.max_by(F.struct("i", "to"), F.struct("wide", (-F.col("i")).alias("first"))).alias("best"))
-    return best.select("page", ((F.col("best.i") * STEP + lo + F.col("best.to") * STEP + lo) / 2).alias("gutter"))
+    lo, hi = width * SEARCH_FROM, width * SEARCH_TO
+    x = (lo + STEP * np.arange(int((hi - lo) / STEP) + 1))[:, None]
+    left, right = x1 <= x, x0 >= x
+    high, low = (np.where(side, y0, np.inf).min(1) for side in (left, right)), (np.where(side, y1, -np.inf).max(1) for side in (left, right))
+    (l_top, r_top), (l_end, r_end) = high, low
+    fine = (l_top < r_end) & (r_top < l_end)
+    if fine.any():
+        meet = (y0[:, None] < y1) & (y0 < y1[:, None])
+        across = (x0 < x) & (x < x1) & (x1 - x0 <= FULL_WIDTH * width)
+        at = np.flatnonzero(fine)
+        fine[at] = ~(across[at] & ((left | right)[at].astype(np.float32) @ meet.astype(np.float32) > 0)).any(1)
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], fine, [0]])))
+    first, last = edge[::2], edge[1::2] - 1
+    wide = (last - first) * STEP
+    if not len(wide) or wide.max() < LEAST_GUTTER:
+        return None
+    best = int(np.argmax(wide))
+    return float((x[first[best], 0] + x[last[best], 0]) / 2)
+
+
+def gutters(blocks: DataFrame, width: float) -> DataFrame:
+    """The gutter of each page that has one: page, gutter. Blocks with a null edge are on no side."""
+    pages = blocks.filter("x0 + x1 + y0 + y1 IS NOT NULL").groupBy("page").agg(F.flatten(F.collect_list(F.array(*(F.col(c).cast("double") for c in ("x0", "y0", "x1", "y1"))))).alias("edges"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            off, flat = b["edges"].offsets.to_numpy(), b["edges"].values.to_numpy()
+            found = [gutter(*flat[s:e].reshape(-1, 4).T, width) for s, e in zip(off[:-1], off[1:], strict=True)]
+            has = pa.array([i for i, g in enumerate(found) if g is not None], pa.int64())
+            yield pa.RecordBatch.from_arrays([b["page"].take(has), pa.array([g for g in found if g is not None], pa.float64())], ["page", "gutter"])
+
+    kind = blocks.schema["page"].dataType.simpleString()
+    return pages.mapInArrow(run, f"page {kind}, gutter double")
 
 
 def reading_order(blocks: DataFrame, width: float) -> DataFrame:
@@ -60,7 +74,7 @@ def reading_order(blocks: DataFrame, width: float) -> DataFrame:
     top, middle = F.bround("y0", 1), (F.col("y0") + F.col("y1")) / 2
     df = blocks.join(gutters(blocks, width), "page", "left")
     side = F.when(F.col("gutter").isNull() | (F.col("x1") <= F.col("gutter")), 0).when(F.col("x0") >= F.col("gutter"), 1).otherwise(2)
-    df = df.withColumns({"__side": side, "__top": top, "__middle": middle})
+    df = saved(df.withColumns({"__side": side, "__top": top, "__middle": middle}), "sides")  # read for the bands and for what is in them
     across = df.filter("__side = 2").select("page", "__top", "x0", "pos", F.col("__middle").alias("__to"))
     w = Window.partitionBy("page").orderBy("__top", "x0", "pos")
     low, high = F.lit(float("-inf")), F.lit(float("inf"))
