@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.blocks import assembled
 from ..operators import fuzzy_pairs as P
 from ..operators import grounding as G
+from ..operators import sections as S
 from .ranking import _t
 
 
@@ -45,10 +47,42 @@ def name_pairs(spark, sf_dir):
     return P.pair_counts(gold, predicted, "grp")
 
 
-QUERIES = {f.__name__: f for f in (grounded_quotes, exact_quotes, name_pairs)}
-#: grounded_quotes and name_pairs hang on likeness by common subsequences; tests hold them to plain loops.
+HEADINGS = ("Experience", "EDUCATION", "Skills: SQL and more", "Languages", "My Journey", "Work Expirience", "Education & Volunteering", "Certificates", "me@mail.example", "Tools:", "04. Projects", "ДОСВІД РОБОТИ")
+
+
+def _lines(spark, sf_dir):
+    """Lines of documents as blocks; each sixth is a heading or an address. Sizes and weight follow from place and length."""
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).filter(F.trim("line") != "")
+    place = (F.col("doc_id") + F.col("i")) % len(HEADINGS)
+    headed = (F.col("i") + F.col("doc_id")) % 6 == 0
+    text = F.when(headed, F.element_at(F.array(*map(F.lit, HEADINGS)), (place + 1).cast("int"))).otherwise(F.col("line"))
+    size = F.when(headed, 13.0 + F.col("doc_id") % 3).otherwise(9.0 + F.char_length("line") % 4 * 0.5)
+    return assembled(d.select("doc_id", "i", text.alias("text"), size.alias("size"), (headed & (F.col("doc_id") % 4 > 0)).alias("bold")), "doc_id", "i")
+
+
+def document_sections(spark, sf_dir):
+    df = S.sections(_lines(spark, sf_dir))
+    return df.select("doc_id", "n", F.array_join("types", ",").alias("types"), "heading", "content_start", "end", "confidence", "source", F.size("blocks").alias("n_blocks"))
+
+
+def section_warnings(spark, sf_dir):
+    return S.section_warnings(_lines(spark, sf_dir)).groupBy("warning").agg(F.count("*").alias("documents"))
+
+
+def body_sizes(spark, sf_dir):
+    return S.body_size(_lines(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (grounded_quotes, exact_quotes, name_pairs, document_sections, section_warnings, body_sizes)}
+#: grounded_quotes, name_pairs and sections hang on likeness by common subsequences; tests hold them to plain loops.
 ORACLES = {
     "exact_quotes": """WITH q AS (SELECT doc_id, text, regexp_extract(text, '[A-Za-z]{3,} [A-Za-z]{3,}') AS q FROM documents),
 p AS (SELECT *, instr(text, q) AS place FROM q WHERE q <> '')
 SELECT doc_id, 'exact' AS status, place - 1 AS start, place - 1 + length(q) AS "end", q AS matched, instr(substr(text, place + 1), q) > 0 AS ambiguous FROM p""",
+    "body_sizes": """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM documents),
+b AS (SELECT doc_id, CASE WHEN (i + doc_id) % 6 = 0 THEN 13.0::DOUBLE + doc_id % 3 ELSE 9.0::DOUBLE + length(line) % 4 * 0.5::DOUBLE END AS size,
+  length(CASE WHEN (i + doc_id) % 6 = 0 THEN ['""" + "', '".join(HEADINGS) + """'][(doc_id + i) % 12 + 1] ELSE line END) AS n FROM l WHERE trim(line) <> ''),
+s AS (SELECT doc_id, size, sum(n) AS n FROM b GROUP BY 1, 2),
+r AS (SELECT doc_id, size, 2 * sum(n) OVER (PARTITION BY doc_id ORDER BY size) >= sum(n) OVER (PARTITION BY doc_id) AS half FROM s)
+SELECT doc_id, min(size) AS body FROM r WHERE half GROUP BY 1""",
 }
