@@ -3,19 +3,25 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fitgrid.shared import discard, saved
+
+from .alerts import bootstrap_mean
 from .evaluate import ndcg, spearman
-from .scoring import W_SEMANTIC, W_SKILL
+from .learned import weights_of
+from .running import numbered
+from .scoring import W_SEMANTIC, W_SKILL, linear_fit
 
 # Fixed values of the rubric, of fitting and of verdicts.
 STRONG_SHARE, PARTIAL_SHARE, WEAK_SHARE = 0.8, 0.5, 0.25
 PRIOR_SKILL, PRIOR_STRENGTH, MIN_ROWS, MIN_PER_LABEL, RIDGE = round(W_SKILL / (W_SKILL + W_SEMANTIC), 2), 20.0, 30, 5, 1e-3
-MIN_SESSIONS = 20
+MIN_SESSIONS, TIE = 20, 1e-9
 
 
 def grade(relation: Column, share: Column) -> Column:
@@ -72,42 +78,118 @@ def session_ranks(rows: DataFrame, fit: Column) -> DataFrame:
     return df.join(useful, "session", "left_semi").withColumn("place", F.row_number().over(order)).drop("__fit")
 
 
-def _fit(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope, never below 0, and summed log loss of a logistic fit with a small ridge on the slope."""
-    base = math.log(y.mean() / (1 - y.mean()))
-    at = np.array([base, 0.0])
-    design = np.stack([np.ones_like(x), x], 1)
-    ridge = np.diag([0.0, RIDGE])
-    for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(design @ at, -700, 700)))
-        gradient = design.T @ (p - y) + ridge @ at
-        move = np.linalg.solve(design.T @ (design * (p * (1 - p))[:, None]) + ridge + 1e-12 * np.eye(2), gradient)
-        at = at - np.clip(move, -5, 5)
-        if np.abs(move).max() < 1e-9:
+WEIGHTS = np.arange(101) / 100
+_SUMS = ("g0", "g1", "h00", "h01", "h11", "loss")
+
+
+def _sums_at(at: dict[int, np.ndarray]):
+    """Gradients, Hessians and log loss of a task's rows for every model and weight, ``at`` being intercepts and slopes of each
+    weight. A model is named by the fold that it does not see."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = {k: np.zeros((len(_SUMS), len(WEIGHTS))) for k in at}
+        for b in batches:
+            fold, skill, semantic, y = (b[c].to_numpy() for c in ("fold", "skill", "semantic", "label"))
+            for s in range(0, len(y), 4096):
+                part = slice(s, s + 4096)
+                for k, ab in at.items():
+                    seen = fold[part] != k
+                    x = skill[part][seen, None] * WEIGHTS + semantic[part][seen, None] * (1 - WEIGHTS)
+                    z, label = ab[:, 0] + ab[:, 1] * x, y[part][seen, None]
+                    p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+                    r, q = p - label, p * (1 - p)
+                    total[k] += np.stack([r.sum(0), (r * x).sum(0), q.sum(0), (q * x).sum(0), (q * x * x).sum(0), (np.logaddexp(0, z) - label * z).sum(0)])
+        for k, sums in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([k] * len(WEIGHTS), pa.int32()), pa.array(range(len(WEIGHTS)), pa.int32()), *map(pa.array, sums)], ["model", "at", *_SUMS])
+
+    return run
+
+
+def _fits(used: DataFrame, models: dict[int, float]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Slopes, never below 0, and log losses of each model (with its share of good labels) for each weight: Newton's method on sums,
+    a row of six numbers a model and weight each round, whatever the number of rows. A small ridge holds the slope."""
+    base = {k: math.log(share / (1 - share)) for k, share in models.items()}
+    at = {k: np.column_stack([np.full(len(WEIGHTS), b), np.zeros(len(WEIGHTS))]) for k, b in base.items()}
+
+    def sums() -> dict[int, np.ndarray]:
+        rows = used.mapInArrow(_sums_at(at), "model int, at int, " + ", ".join(f"{c} double" for c in _SUMS)).groupBy("model", "at").agg(*(F.sum(c).alias(c) for c in _SUMS)).collect()
+        out = {k: np.zeros((len(_SUMS), len(WEIGHTS))) for k in at}
+        for r in rows:
+            out[r["model"]][:, r["at"]] = [r[c] for c in _SUMS]
+        return out
+
+    for _ in range(50 if models else 0):
+        found, most = sums(), 0.0
+        for k, (g0, g1, h00, h01, h11, _) in found.items():
+            g1, h00, h11 = g1 + RIDGE * at[k][:, 1], h00 + 1e-12, h11 + RIDGE + 1e-12
+            det = h00 * h11 - h01 * h01
+            move = np.column_stack([(h11 * g0 - h01 * g1) / det, (h00 * g1 - h01 * g0) / det])
+            at[k] = at[k] - np.clip(move, -5, 5)
+            most = max(most, float(np.abs(move).max()))
+        if most < 1e-9:
             break
-    if at[1] < 0:
-        at = np.array([base, 0.0])
-    z = design @ at
-    return float(at[1]), float((np.logaddexp(0, z) - y * z).sum())
+    for k in at:
+        at[k][at[k][:, 1] < 0] = base[k], 0.0
+    found = sums() if models else {}
+    return {k: (at[k][:, 1], found[k][-1]) for k in at}
+
+
+def skill_weights(rows: DataFrame, prior: float = PRIOR_SKILL, strength: float = PRIOR_STRENGTH, folds: int = 0) -> dict[int, tuple[float, float, float]]:
+    """By model: the weight of skill against semantic, on a grid of hundredths, that explains labels best (skill, semantic, label,
+    and ``fold`` if there are folds), its slope and its objective: log loss and ``strength`` times the squared distance from
+    the prior. Rows without one of the three do not count. Model k is fitted on the rows that are not of fold k, model -1 on all; those
+    with too few rows, or of one label, are left out."""
+    fold = F.col("fold").cast("int") if folds else F.lit(-2)
+    used = rows.select(fold.alias("fold"), *(F.col(c).cast("double").alias(c) for c in ("skill", "semantic", "label"))).dropna()
+    used = saved(used, "rated")  # read once a round
+    counts = {r["fold"]: (r["n"], r["good"]) for r in used.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()}
+    models = {}
+    for k in range(folds) if folds else (-1,):
+        n, good = (sum(c[i] for f, c in counts.items() if f != k) for i in (0, 1))
+        if n >= MIN_ROWS and min(good, n - good) >= MIN_PER_LABEL:
+            models[k] = good / n
+    out = {}
+    for k, (slopes, losses) in _fits(used, models).items():
+        objective = losses + strength * (WEIGHTS - prior) ** 2
+        best = min(range(len(WEIGHTS)), key=lambda i: (round(objective[i], 9), abs(WEIGHTS[i] - prior)))
+        out[k] = float(WEIGHTS[best]), float(slopes[best]), float(objective[best])
+    discard(used)
+    return out
 
 
 def skill_weight(rows: DataFrame, prior: float = PRIOR_SKILL, strength: float = PRIOR_STRENGTH) -> DataFrame:
-    """The weight of skill against semantic, on a grid of hundredths, that explains labels best (skill, semantic, label;
-    rows without one of them do not count): log loss and ``strength`` times the squared distance from the prior.
+    """The weight (w, slope, objective) that ``skill_weights`` finds on all rows; no row where there are too few."""
+    return rows.sparkSession.createDataFrame(list(skill_weights(rows, prior, strength).values()), "w double, slope double, objective double")
+
+
+def compared_scorers(cards: DataFrame, folds: int = 5, k: int = 10, strength: float = PRIOR_STRENGTH, seed: int = 0) -> DataFrame:
+    """The fixed weights against fitted ones on rated cards (session, vacancy_id, band_rank, label, skill, semantic), one row.
 
-    One grid value is one group, so the rated cards must fit into a task, as they do: people rate them by hand. Too few
-    rows, or of one label, give no row.
+    Sessions are dealt to folds by a hash, as many to each; the cards of a fold are ranked with weights fitted on all others. NDCG
+    and Spearman of a session are taken by either; sessions without a useful card are skipped, and so are folds whose
+    training cards are too few. The verdict needs MIN_SESSIONS and a 95 % bootstrap interval of the mean difference that excludes 0.
     """
-    used = rows.filter("skill IS NOT NULL AND semantic IS NOT NULL AND label IS NOT NULL")
-    n, good = used.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).collect()[0]
-    enough = n >= MIN_ROWS and min(good, n - good) >= MIN_PER_LABEL
-    grid = rows.sparkSession.range(101).select((F.col("id") / 100).alias("w"))
-
-    def one(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        w = float(key[0])
-        slope, loss = _fit((w * part["skill"] + (1 - w) * part["semantic"]).to_numpy(float), part["label"].to_numpy(float))
-        return pd.DataFrame({"w": [w], "slope": [slope], "objective": [loss + strength * (w - prior) ** 2]})
-
-    pairs = used.select("skill", "semantic", "label").filter(F.lit(enough)).crossJoin(F.broadcast(grid))
-    fits = pairs.groupBy("w").applyInPandas(one, "w double, slope double, objective double")
-    return fits.orderBy(F.round("objective", 9), F.abs(F.col("w") - prior)).limit(1)
+    sessions = cards.select("session").distinct()
+    n = sessions.count()
+    folds = max(2, min(folds, n))
+    dealt = numbered(sessions, [], [F.xxhash64("session", F.lit(seed)), "session"]).select("session", ((F.col("place") - 1) % folds).cast("int").alias("fold"))
+    cards = saved(cards.join(dealt, "session"), "cards")
+    found = skill_weights(cards, strength=strength, folds=folds)
+    none = F.lit(None).cast("double")
+    fixed = linear_fit(F.col("skill"), F.col("semantic"), none)
+    learned = none
+    for f, (w, *_) in found.items():
+        learned = F.when(F.col("fold") == f, linear_fit(F.col("skill"), F.col("semantic"), none, weights_of(w))).otherwise(learned)
+    cards = cards.filter(F.col("fold").isin(list(found)))
+
+    def of(fit: Column, name: str) -> DataFrame:
+        df = session_ranks(cards, fit)
+        both = ndcg(df, "session", [F.asc("place")], "label", k).join(spearman(df.withColumn("__up", -F.col("place")), "session", "__up", "label"), "session")
+        return both.select("session", F.col("ndcg").alias(name), F.col("spearman").alias(f"{name}_spearman"))
+
+    both = saved(of(fixed, "linear").join(of(learned, "learned"), "session").select("*", (F.col("learned") - F.col("linear")).alias("d"), F.lit(0).alias("all")), "scored")
+    interval = bootstrap_mean(both, "all", "session", "d", seed=seed)
+    means = [F.avg(c).alias(c) for c in ("linear", "learned", "linear_spearman", "learned_spearman")]
+    df = both.agg(F.count("*").alias("sessions"), *means, F.avg("d").alias("difference"), F.count_if(F.col("d") > TIE).alias("wins"), F.count_if(F.abs("d") <= TIE).alias("ties"), F.count_if(F.col("d") < -TIE).alias("losses"))
+    df = df.join(interval.select("low", "high"), how="left").withColumns({"folds": F.lit(folds), "skipped_folds": F.lit(folds - len(found)), "skipped_sessions": F.lit(n) - F.col("sessions")})
+    return df.withColumns({"verdict": verdict(F.col("low"), F.col("high"), F.col("sessions")), "weights": F.array(*(F.lit(w) for w, *_ in found.values())).cast("array<double>")})

@@ -101,7 +101,13 @@ def learned_weight(spark, sf_dir):
     return C.skill_weight(c).select("w", F.round("objective", 4).alias("objective"))
 
 
-QUERIES = {f.__name__: f for f in (semantic_matches, semantic_of_two, unit_vectors, similarity_calibration, grades, variant_results, fold_choices, variant_differences, session_precision, learned_weight)}
+def compared_scorers(spark, sf_dir):
+    """Fixed weights against fitted ones, over folds of suppliers as sessions."""
+    df = C.compared_scorers(_cards(spark, sf_dir).dropDuplicates(["session", "vacancy_id"]))
+    return df.select("sessions", "folds", "skipped_folds", "skipped_sessions", F.round("linear", 6).alias("linear"), F.round("learned", 6).alias("learned"), "wins", "ties", "losses", "verdict")
+
+
+QUERIES = {f.__name__: f for f in (compared_scorers, semantic_matches, semantic_of_two, unit_vectors, similarity_calibration, grades, variant_results, fold_choices, variant_differences, session_precision, learned_weight)}
 
 _SEM = """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
 i AS (SELECT vec_id % 25 AS candidate_id, vec_id // 25 AS item, v AS iv FROM v WHERE vec_id < 75 AND (vec_id % 25) % 6 <> 5),
@@ -116,7 +122,7 @@ x AS (SELECT g.*, place, variant, round(a * skill + w * semantic + share / 10, 9
 y AS (SELECT *, rank() OVER (PARTITION BY variant, candidate_id ORDER BY score) + (count(*) OVER (PARTITION BY variant, candidate_id, score) - 1) / 2.0 AS rs, rank() OVER (PARTITION BY variant, candidate_id ORDER BY grade) + (count(*) OVER (PARTITION BY variant, candidate_id, grade) - 1) / 2.0 AS rg FROM x),
 r AS (SELECT place, variant, candidate_id, corr(rs, rg) AS spearman, count(*) AS n FROM y GROUP BY 1, 2, 3)
 """
-#: learned_weight is a fit by iteration; a test holds it to a plain one.
+#: learned_weight and compared_scorers fit by iteration; tests hold them to plain fits.
 ORACLES = {
     "semantic_matches": _SEM + """, m AS (SELECT candidate_id, vacancy_id, max(s) AS raw, arg_max(item, (s, -item)) AS best FROM s GROUP BY 1, 2)
 SELECT p.candidate_id, p.vacancy_id, round(raw, 6) AS raw, CASE WHEN raw IS NOT NULL THEN round(greatest(0, least(1, (raw + 0.15::DOUBLE) / 0.55::DOUBLE)), 6) END AS semantic, best, why AS semantic_warning FROM p LEFT JOIN m USING (candidate_id, vacancy_id)""",

@@ -2,6 +2,7 @@
 
 import io
 import json
+import math
 import zipfile
 
 import numpy as np
@@ -9,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fitgrid.functions import embedding as V
+from fitgrid.operators import comparison as C
 from fitgrid.operators import learned as W
 from fitgrid.operators import taxonomy as X
 from fitgrid.operators.scoring import Weights
@@ -85,3 +87,59 @@ def test_texts_are_embedded(spark):
     got = {r["i"]: r["v"] for r in df.select("i", V.embedded(F.col("t"), lambda: V.hashed(16)).alias("v")).collect()}
     assert got[3] is None and got[0] == got[2] != got[1] and np.linalg.norm(got[0]) == pytest.approx(1, abs=1e-5)
     assert V.unit_rows(np.zeros((1, 3))).tolist() == [[0, 0, 0]]
+
+
+def plain_fit(x, y, ridge=1e-3):
+    """Slope and loss of a logistic fit by many small steps of Newton's method on the rows themselves."""
+    base = math.log(y.mean() / (1 - y.mean()))
+    a, b = base, 0.0
+    for _ in range(60):
+        p = 1 / (1 + np.exp(-(a + b * x)))
+        g = np.array([(p - y).sum(), ((p - y) * x).sum() + ridge * b])
+        q = p * (1 - p)
+        step = np.linalg.solve(np.array([[q.sum(), (q * x).sum()], [(q * x).sum(), (q * x * x).sum() + ridge]]), g)
+        a, b = a - np.clip(step[0], -5, 5), b - np.clip(step[1], -5, 5)
+    if b < 0:
+        a, b = base, 0.0
+    z = a + b * x
+    return b, float((np.logaddexp(0, z) - y * z).sum())
+
+
+@pytest.mark.parametrize("folds", [0, 3])
+def test_weights_by_sums_are_those_of_the_rows(spark, folds):
+    rng = np.random.default_rng(4)
+    n = 300
+    skill, semantic, fold = rng.random(n), rng.random(n), rng.integers(0, 3, n)
+    y = (rng.random(n) < 1 / (1 + np.exp(-6 * (0.7 * skill + 0.3 * semantic - 0.5)))).astype(int)
+    rows = [(int(f), float(a), float(b), int(c)) for f, a, b, c in zip(fold, skill, semantic, y, strict=True)] + [(0, None, 0.5, 1), (1, 0.5, 0.5, None)]
+    df = spark.createDataFrame(rows, "fold int, skill double, semantic double, label int").repartition(5)
+    got = C.skill_weights(df, folds=folds)
+    assert set(got) == (set(range(3)) if folds else {-1})
+    for k, (w, slope, objective) in got.items():
+        seen = fold != k
+        fits = [plain_fit(v / 100 * skill[seen] + (1 - v / 100) * semantic[seen], y[seen]) for v in range(101)]
+        objectives = [loss + C.PRIOR_STRENGTH * (v / 100 - C.PRIOR_SKILL) ** 2 for v, (_, loss) in enumerate(fits)]
+        assert objective == pytest.approx(min(objectives), abs=1e-6) and objectives[round(w * 100)] == pytest.approx(min(objectives), abs=1e-6)
+        assert slope == pytest.approx(fits[round(w * 100)][0], abs=1e-5)
+
+
+def cards_of(spark, sessions, truth, seed=1):
+    rng = np.random.default_rng(seed)
+    rows = []
+    for s in range(sessions):
+        for v in range(12):
+            a, b = float(rng.random()), float(rng.random())
+            rows.append((f"s{s}", v, None, int(truth(a, b) > 0.6), a, b))
+    return spark.createDataFrame(rows, "session string, vacancy_id long, band_rank int, label int, skill double, semantic double")
+
+
+def test_scorers_are_compared_over_folds(spark):
+    got = C.compared_scorers(cards_of(spark, 60, lambda a, b: b)).first()
+    assert got["verdict"] == "learned_better" and got["low"] > 0 and got["learned"] > got["linear"] and got["wins"] > got["losses"]
+    assert got["folds"] == 5 and len(got["weights"]) == 5 and max(got["weights"]) < 0.3 and got["learned_spearman"] > got["linear_spearman"]
+    few = C.compared_scorers(cards_of(spark, 19, lambda a, b: b)).first()
+    assert few["sessions"] <= 19 and few["verdict"] == "inconclusive" and few["low"] is not None
+    fixed = C.compared_scorers(cards_of(spark, 40, lambda a, b: C.PRIOR_SKILL * a + (1 - C.PRIOR_SKILL) * b), strength=1e6).first()
+    assert (fixed["wins"], fixed["losses"], fixed["verdict"]) == (0, 0, "inconclusive") and fixed["ties"] == fixed["sessions"]
+    none = C.compared_scorers(cards_of(spark, 30, lambda a, b: 0)).first()  # no useful card: no fold can be fitted
+    assert (none["sessions"], none["skipped_folds"], none["skipped_sessions"], none["verdict"]) == (0, 5, 30, "inconclusive")
