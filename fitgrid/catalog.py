@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import checks, comparison, evaluation, extraction, feeds, layout, matching, profiles, ranking, records, taxonomy, texts, understanding
+from .plans import checks, comparison, evaluation, extraction, feeds, layout, matching, profiles, ranking, records, search, taxonomy, texts, understanding
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-for _area in (ranking, records, evaluation, texts, understanding, taxonomy, profiles, comparison, checks, matching, feeds, layout, extraction):
+for _area in (ranking, records, evaluation, texts, understanding, taxonomy, profiles, comparison, checks, matching, feeds, layout, extraction, search):
     QUERIES |= _area.QUERIES
     ORACLES |= _area.ORACLES
 FLAGSHIP = "fit_ranking"

@@ -22,6 +22,7 @@ BLOCKS = frozenset("p div br li ul ol tr table section article header footer blo
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 BOLD, SKIPPED = frozenset(("b", "strong")), frozenset(("script", "style", "noscript", "template"))
 SOFT_HYPHEN = "­"
+GENERIC = ("data", "support", "management", "development", "software", "engineering", "work", "team", "business", "product", "service", "services", "it", "web", "tools", "tool", "technology", "technologies", "systems", "system", "solutions", "experience", "knowledge", "skills", "skill", "office", "computer", "internet", "email", "online", "digital", "platform", "process", "processes", "quality", "project", "projects", "technical skills", "soft skills", "lead", "plan", "design", "call", "source", "clean", "discipline", "schedule", "feedback", "reporting", "activity", "interaction", "craft", "history", "purchase", "rights", "brands", "fuel", "did", "scratch", "reserve", "innovation", "innovate", "processor", "credibility", "judgment", "commitment", "dedication", "loyalty", "confidence", "hybrid model", "remote")
 TOKEN = r"(?U)[\w][\w+#./\-']*[\w+#]|[\w][+#]*|\.[\w]+"
 MAX_ALIAS_WORDS = 5
 #: Bytes of a vocabulary up to which it goes to every executor.
@@ -124,25 +125,44 @@ def tokens(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.regexp_replace(t, r"(?<=.)[.\-/']+$", ""))
 
 
+def telling(vocabulary: DataFrame) -> DataFrame:
+    """The aliases (alias_norm) that say something by themselves."""
+    return vocabulary.filter(~F.col("alias_norm").isin(*GENERIC))
+
+
 def skill_hits(lines: DataFrame, keys: list[str], vocabulary: DataFrame, most_words: int = MAX_ALIAS_WORDS) -> DataFrame:
     """The skills (vocabulary: alias_norm, weak) that texts name: from the left the longest run of words that is one,
-    no word in two. Rows of ``keys``, place (word, from 1), skill as written, norm, weak.
+    no word in two; of a word with slashes that begins none, the parts that are. Rows of ``keys``, place (word, from 1), skill
+    as written, norm, weak; parts of a word share its place.
 
-    Runs of up to ``most_words`` words meet the vocabulary in an equi-join, without a shuffle where it is small; the choice among overlapping ones is made in one
-    pass over a text's hits.
+    Only words that begin an alias, or have a slash, become runs. Runs of up to ``most_words`` words meet the vocabulary in an
+    equi-join, without a shuffle where it is small; the choice among overlapping ones is made in one pass over a text's hits.
     """
-    words = lines.select(*keys, tokens(F.col("text")).alias("w"))
-    runs = words.select(*keys, "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))).alias("__at")).filter(F.size("w") > 0)
-    runs = runs.select(*keys, "__at", F.explode(F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda k: F.struct(k.alias("k"), F.slice("w", F.col("__at"), k).alias("run")))).alias("r")).filter("size(r.run) = r.k")
-    runs = runs.select(*keys, "__at", F.col("r.k").alias("k"), F.array_join("r.run", " ").alias("skill")).withColumn("norm", normalize(F.col("skill")))
     known = vocabulary.select(F.col("alias_norm").alias("norm"), "weak").dropDuplicates(["norm"])
     n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("norm")), F.lit(0))).collect()[0]
+    small = 200 * n + size <= MOST_BYTES
+    words = lines.select(*keys, tokens(F.col("text")).alias("w"))
+    runs = words.select(*keys, "w", F.posexplode("w").alias("__at", "word")).withColumn("__at", F.col("__at") + 1)
+    if small:
+        first = known.select(F.substring_index("norm", " ", 1).alias("first")).distinct().select("first", F.lit(True).alias("begins"))
+        runs = runs.withColumn("first", F.substring_index(normalize(F.col("word")), " ", 1)).join(F.broadcast(first), "first", "left").filter("begins OR contains(word, '/')")
+    whole = F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda k: F.struct((-k).alias("less"), F.lit(0).alias("part"), F.when(F.size("w") >= F.col("__at") + k - 1, F.array_join(F.slice("w", F.col("__at"), k), " ")).alias("skill")))
+    parts = F.when(F.col("word").contains("/"), F.transform(F.split("word", "/"), lambda x, i: F.struct(F.lit(0).alias("less"), i.alias("part"), x.alias("skill"))))
+    runs = runs.select(*keys, "__at", F.explode(F.concat(whole, F.coalesce(parts, F.array().cast("array<struct<less:int,part:int,skill:string>>")))).alias("r")).filter("r.skill <> ''")
+    runs = runs.select(*keys, "__at", "r.*").withColumn("norm", normalize(F.col("skill")))
     # by their size at the source, which knows nothing of the runs, the planner would take these for the smaller side
-    met = runs.join(F.broadcast(known), "norm") if 200 * n + size <= MOST_BYTES else runs.hint("merge").join(known, "norm")
-    hit = F.struct("__at", (-F.col("k")).alias("less"), "skill", "norm", "weak")
-    per = met.groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("hits"))  # of a place the longest first
-    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<int>").alias("taken"))
-    chosen = F.aggregate(F.transform("hits", lambda x, i: F.struct(x["__at"], x["less"], i.alias("i"))), start, lambda acc, x: F.when(x["__at"] >= acc["next"], F.struct((x["__at"] - x["less"]).alias("next"), F.concat(acc["taken"], F.array(x["i"])).alias("taken"))).otherwise(acc))["taken"]
+    met = runs.join(F.broadcast(known), "norm") if small else runs.hint("merge").join(known, "norm")
+    hit = F.struct("__at", "less", "part", "skill", "norm", "weak")
+    per = met.groupBy(*keys).agg(F.array_sort(F.collect_list(hit)).alias("hits"))  # of a place the longest first, parts last
+    start = F.struct(F.lit(1).alias("next"), F.lit(0).alias("split"), F.array().cast("array<int>").alias("taken"))
+
+    def choose(acc: Column, x: Column) -> Column:
+        free = (x["__at"] >= acc["next"]) | ((x["less"] == 0) & (acc["split"] == x["__at"]))
+        taken = F.concat(acc["taken"], F.array(x["i"]))
+        split = F.when(x["less"] == 0, x["__at"]).otherwise(0)
+        return F.when(free, F.struct((x["__at"] + F.greatest(-x["less"], F.lit(1))).alias("next"), split.alias("split"), taken.alias("taken"))).otherwise(acc)
+
+    chosen = F.aggregate(F.transform("hits", lambda x, i: F.struct(x["__at"], x["less"], i.alias("i"))), start, choose)["taken"]
     kept = per.select(*keys, F.explode(F.transform(chosen, lambda i: F.get("hits", i))).alias("x"))
     return kept.select(*keys, F.col("x.__at").alias("place"), "x.skill", "x.norm", "x.weak")
 

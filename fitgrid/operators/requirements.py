@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fitgrid.shared import saved
+
 from ..functions import lines as L
 from ..functions import requirements as Q
+from ..functions.options import option_lists
 from ..functions.text import normalize
 
 # Skills that are everyday words too, words that are no skills, tags that are no skills, and limits.
@@ -26,7 +29,7 @@ def section_lines(postings: DataFrame) -> DataFrame:
 def sentence_rows(lines: DataFrame) -> DataFrame:
     """Sentences (id, at, s, text, section) that are no boilerplate, with where a preference starts in them."""
     rows = lines.select("id", "at", "section", F.posexplode(Q.sentences(F.col("text"))).alias("s", "text"))
-    return rows.filter(~Q.is_boilerplate(F.col("text"))).withColumn("from", Q.preferred_from(F.col("text")))
+    return rows.filter(~Q.is_boilerplate(F.col("text"))).withColumns({"from": Q.preferred_from(F.col("text")), "lists": option_lists(F.col("text"))})
 
 
 def _languages() -> list[str]:
@@ -36,12 +39,17 @@ def _languages() -> list[str]:
 def skills(sentences: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """Skills (id, norm, skill, preferred) that sentences name, each once: required if it is so anywhere.
 
-    A skill is preferred in a section of such, in a sentence that states a preference, and behind a cue that counts for
-    what follows. An everyday word needs a capital and another skill in its line; a weak alias needs a section that asks, a
+    A skill is preferred in a section of such, in a sentence that states a preference, behind a cue that counts for what follows,
+    and as one of several examples or alternatives (see ``option_lists``). ``quote`` is the sentence it is taken from. An everyday word needs a capital and another skill in its line; a weak alias needs a section that asks, a
     posting without sections, or a sentence that asks. Names of languages are no skills.
     """
     keys = ["id", "at", "s"]
-    hits = L.skill_hits(sentences.select(*keys, "text"), keys, vocabulary).join(sentences, keys)
+    hits = L.skill_hits(sentences.select(*keys, "text"), keys, L.telling(vocabulary)).join(sentences, keys)
+    # lists by words: those that begin before a place in the text
+    upto = lambda at: F.size(L.tokens(F.substring(F.col("text"), F.lit(1), at)))
+    hits = hits.withColumn("lists", F.transform("lists", lambda x: F.struct(upto(x["start"]).alias("lo"), upto(x["end"]).alias("hi"), x["sure"].alias("sure"))))
+    places = F.collect_list("place").over(Window.partitionBy(*keys))
+    hits = hits.withColumn("places", places).withColumn("option", F.exists("lists", lambda x: (F.col("place") > x["lo"]) & (F.col("place") <= x["hi"]) & (x["sure"] | (F.size(F.filter("places", lambda p: (p > x["lo"]) & (p <= x["hi"]))) >= 2))))
     unsure = (F.length("norm") <= SHORT) | F.col("norm").isin(*AMBIGUOUS)
     line = Window.partitionBy("id", "at")
     known = sentences.groupBy("id").agg(F.bool_or(F.col("section").isin(*SECTIONED)).alias("structured"))
@@ -51,24 +59,27 @@ def skills(sentences: DataFrame, vocabulary: DataFrame) -> DataFrame:
     hits = hits.filter(~F.col("weak") | F.col("section").isin(*ASKING) | ~F.col("structured") | Q.asks(F.col("text")))
     before = F.size(L.tokens(F.substring(F.col("text"), F.lit(1), F.col("from"))))
     behind = F.when(F.col("from") == 0, True).otherwise(F.col("place") > before)
-    hits = hits.withColumn("preferred", (F.col("section") == "nice_to_have") | F.coalesce(F.col("from").isNotNull() & behind, F.lit(False)))
+    hits = hits.withColumn("preferred", (F.col("section") == "nice_to_have") | F.coalesce(F.col("from").isNotNull() & behind, F.lit(False)) | F.col("option"))
     place = F.struct("at", "s", "place")
-    found = hits.groupBy("id", "norm").agg(F.bool_and("preferred").alias("preferred"), F.min_by("skill", F.struct("preferred", place)).alias("skill"), F.min(F.struct("preferred", place)).alias("__at"))
-    return found.select("id", "norm", "skill", "preferred", F.col("__at").alias("order"))
+    found = hits.groupBy("id", "norm").agg(F.bool_and("preferred").alias("preferred"), F.min_by("skill", F.struct("preferred", place)).alias("skill"), F.min(F.struct("preferred", place)).alias("__at"), F.min_by("text", F.struct("preferred", place)).alias("quote"))
+    return found.select("id", "norm", "skill", "preferred", F.col("__at").alias("order"), "quote")
 
 
 def _in_order(when: Column, what: str = "skill") -> Column:
     return F.slice(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("order", what)))), lambda x: x[what]), 1, MAX_SKILLS)
 
 
-def extracted(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """One row a posting (id, description, tags): required, preferred, responsibilities, min_years, education, languages
-    (NULL where there is no text), warnings. Where the text names few skills, tags that the vocabulary knows are added."""
+def extracted(postings: DataFrame, vocabulary: DataFrame, complete: bool = True) -> DataFrame:
+    """One row a posting (id, description, tags): required, preferred, the quotes of both, responsibilities, min_years, education,
+    languages (NULL where there is no text), warnings. Where the text names few skills, tags that the vocabulary knows are added.
+    ``complete`` says that the vocabulary is the whole taxonomy. Texts are parsed once and kept, as five branches read them."""
     none = F.array().cast("array<string>")
-    lines = section_lines(postings)
-    sentences = sentence_rows(lines)
-    found = skills(sentences, vocabulary)
-    named = found.groupBy("id").agg(_in_order(~F.col("preferred")).alias("required"), _in_order(F.col("preferred")).alias("preferred"))
+    vocabulary = L.telling(vocabulary)
+    lines = saved(section_lines(postings), "lines")
+    sentences = saved(sentence_rows(lines), "sentences")
+    found = saved(skills(sentences, vocabulary), "skills")
+    wanted, wished = ~F.col("preferred"), F.col("preferred")
+    named = found.groupBy("id").agg(_in_order(wanted).alias("required"), _in_order(wished).alias("preferred"), _in_order(wanted, "quote").alias("required_quotes"), _in_order(wished, "quote").alias("preferred_quotes"))
     asked = sentences.filter("section IN ('requirements', 'general')").withColumn("part", F.when(F.col("from").isNull(), F.col("text")).otherwise(F.substring(F.col("text"), F.lit(1), F.col("from"))))
     at = F.struct("at", "s")
     facts = asked.withColumns({"years": F.array_max(Q.years_in(F.col("part"))), "level": Q.education_in(F.col("part")), "spoken": Q.languages_in(F.col("text"))})
@@ -87,5 +98,5 @@ def extracted(postings: DataFrame, vocabulary: DataFrame) -> DataFrame:
     added = F.when(few, F.coalesce("known", none)).otherwise(none)
     whole = F.when(read, F.slice(F.concat(required, added), 1, MAX_SKILLS)).otherwise(F.col("tags"))
     empty = (F.size(whole) == 0) & (F.size(preferred) == 0)
-    codes = F.array_compact(F.array(F.when(~read, "tags_fallback"), F.when(read & (F.size(added) > 0), "tags_added"), F.when(empty, "no_requirements")))
-    return df.select("id", whole.alias("required"), F.when(read, preferred).otherwise(none).alias("preferred"), F.coalesce("responsibilities", none).alias("responsibilities"), "min_years", "education", F.when(read, F.coalesce("languages", none)).alias("languages"), codes.alias("warnings"))
+    codes = F.array_compact(F.array(F.when(~read, "tags_fallback"), F.when(read & (F.size(added) > 0), "tags_added"), F.when(read & F.lit(not complete), "partial_vocabulary"), F.when(empty, "no_requirements")))
+    return df.select("id", whole.alias("required"), F.when(read, preferred).otherwise(none).alias("preferred"), *(F.when(read, F.coalesce(q, none)).otherwise(none).alias(q) for q in ("required_quotes", "preferred_quotes")), F.coalesce("responsibilities", none).alias("responsibilities"), "min_years", "education", F.when(read, F.coalesce("languages", none)).alias("languages"), codes.alias("warnings"))
