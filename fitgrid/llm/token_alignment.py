@@ -31,7 +31,7 @@ from .packing import _PLAIN
 #: Stripes of B ids: a matrix has 1 / STRIPES of the B ids as rows (100 MB for 32,000 and 50,257 ids).
 STRIPES = 128
 #: Links of a stripe that one task scores, about.
-TASK_LINKS = 40_000_000
+TASK_LINKS = 4_000_000
 #: Bytes of text encoded at once (a longer text alone), and distinct pairs or links that a task gathers before it passes them on.
 CHUNK_BYTES, GATHERED = 1 << 20, 1 << 20
 
