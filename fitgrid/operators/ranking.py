@@ -206,6 +206,66 @@ def in_demand(work: DataFrame, most: int = DEMAND) -> DataFrame:
     return df.withColumn("place", F.row_number().over(Window.partitionBy("candidate_id").orderBy(F.desc("n"), "key"))).filter(F.col("place") <= most)
 
 
+def _with_key_weights(work: DataFrame, key_weights: DataFrame) -> DataFrame:
+    """The working set with ``all_w`` and ``hit_w`` (weights of all skills of a pair, and of those the candidate has) and ``missing``:
+    required skills the candidate lacks, in the vacancy's order, with their weights. ``key_weights`` are (key, w), 1 where a key has none."""
+    w = F.coalesce("w", F.lit(1.0))
+    checked = F.when((w > 0) & (w < float("inf")), w).otherwise(F.raise_error(F.lit("weights must be positive and finite")).cast("double"))
+
+    def each(skills: str, must: bool) -> DataFrame:
+        return work.select("candidate_id", "vacancy_id", "keys", F.posexplode(skills).alias("pos", "key"), F.lit(must).alias("must"))
+
+    df = each("required", True).unionByName(each("preferred", False)).join(key_weights.select("key", "w"), "key", "left")
+    df = df.withColumns({"own": checked * F.when(F.col("must"), S.REQUIRED).otherwise(S.PREFERRED), "has": F.array_contains("keys", F.col("key"))})
+    lacks = F.when(F.col("must") & ~F.col("has"), F.struct("pos", "key", "own"))
+    sums = df.groupBy("candidate_id", "vacancy_id").agg(F.sum("own").alias("all_w"), F.sum(F.when(F.col("has"), F.col("own")).otherwise(0.0)).alias("hit_w"), F.array_sort(F.collect_list(lacks)).alias("missing"))
+    return work.join(sums, ["candidate_id", "vacancy_id"])
+
+
+def _after(more: Column, count: Column, weights: S.Weights) -> tuple[Column, Column]:
+    """Fit and band of a pair whose candidate had ``count`` more of the required skills, ``more`` by weight."""
+    skill = F.least(F.lit(1.0), (F.col("hit_w") + more) / F.col("all_w"))
+    fit = S.linear_fit(skill, F.col("semantic"), F.col("experience"), weights)
+    cap = F.when(F.array_contains("reasons", "experience_short"), 1)
+    return fit, S.capped(S.band_rank(fit, F.coalesce(S.coverage(F.col("required_matched") + count, F.col("n_required")), skill)), cap)
+
+
+def weighted_reach(work: DataFrame, key_weights: DataFrame, most: int = REACH, weights: S.Weights = S.Weights()) -> DataFrame:
+    """``within_reach`` where skills have weights: the one missing skill, or else the two, that make a partial match strong with the
+    greatest fit, the first in the vacancy's order of equals. Fit grows with the weight that is added and nothing else, so
+    the heaviest skills are the best subset of their size and no other has to be tried."""
+    df = _with_key_weights(work.filter("band_rank = 1"), key_weights)
+    heavy = F.transform("missing", lambda x: F.struct((-x["own"] if weights.skill else F.lit(0.0)).alias("less"), x["pos"].alias("pos"), x["key"].alias("key"), x["own"].alias("own")))
+    df = df.withColumn("heavy", F.array_sort(heavy))
+    one, two = F.get("heavy", 0), F.get("heavy", 1)
+    (f1, b1), (f2, b2) = _after(one["own"], F.lit(1), weights), _after(one["own"] + two["own"], F.lit(2), weights)
+    df = df.withColumn("n_added", F.when(one.isNotNull() & (b1 == 0), 1).when(two.isNotNull() & (b2 == 0), 2)).filter("n_added IS NOT NULL")
+    added = F.transform(F.array_sort(F.transform(F.slice("heavy", 1, F.col("n_added")), lambda x: F.struct(x["pos"], x["key"]))), lambda x: x["key"])
+    df = df.withColumns({"fit_after": F.when(F.col("n_added") == 1, f1).otherwise(f2), "added": added})
+    order = Window.partitionBy("candidate_id").orderBy("n_added", F.desc_nulls_last("fit"), "vacancy_id")
+    return df.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= most)
+
+
+def _by_label(df: DataFrame, labels: DataFrame | None) -> tuple[DataFrame, list[Column]]:
+    """``df`` with the keys' labels (key, label), and an order by label without case, then key."""
+    if labels is None:
+        return df.withColumn("label", F.col("key").cast("string")), [F.col("key")]
+    df = df.join(labels.select("key", "label"), "key", "left").withColumn("label", F.coalesce("label", F.col("key").cast("string")))
+    return df, [F.lower("label"), F.col("label"), F.col("key")]
+
+
+def weighted_learning(work: DataFrame, key_weights: DataFrame, labels: DataFrame | None = None, most: int = LEARN, weights: S.Weights = S.Weights()) -> DataFrame:
+    """``worth_learning`` where skills have weights, with the vacancies (in their ranking's order) that each skill makes strong;
+    gain, then frequency, then label."""
+    df = _with_key_weights(work, key_weights).select("*", F.explode("missing").alias("x"))
+    _, band = _after(F.col("x.own"), F.lit(1), weights)
+    unlocked = F.when((F.col("band_rank") != 0) & (band == 0), F.struct("rank", "vacancy_id"))
+    df = df.withColumns({"key": F.col("x.key"), "u": unlocked}).groupBy("candidate_id", "key").agg(F.count("u").alias("gain"), F.count("*").alias("frequency"), F.transform(F.array_sort(F.collect_list("u")), lambda x: x["vacancy_id"]).alias("vacancies"))
+    df, order = _by_label(df.filter("gain > 0"), labels)
+    w = Window.partitionBy("candidate_id").orderBy(F.desc("gain"), F.desc("frequency"), *order)
+    return df.withColumn("place", F.row_number().over(w)).filter(F.col("place") <= most)
+
+
 def weighted_overlap(skills: DataFrame, keys: DataFrame, weights: DataFrame) -> DataFrame:
     """Overlap of the pairs that share a skill, with a weight a key: skills (vacancy_id, key, must), keys (candidate_id,
     key), weights (key, w; 1 where a key has none). All other pairs overlap by nothing. A weight that is no positive

@@ -177,4 +177,19 @@ o AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY gain DESC,
     "in_demand": _BASE + """, d AS (SELECT w.candidate_id, sk.key, count(*) AS n FROM w JOIN sk ON sk.vacancy_id = w.vacancy_id AND must JOIN ck ON ck.candidate_id = w.candidate_id AND ck.key = sk.key GROUP BY 1, 2),
 o AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY n DESC, key) AS place FROM d) SELECT candidate_id, key, n, place FROM o WHERE place <= 5""",
 }
-QUERIES = {f.__name__: f for f in (fit_ranking, skill_overlap, semantic_scores, band_counts, hidden_reasons, ranking_page, unexplained_hidden, overlap_warnings, missing_skills, within_reach, worth_learning, in_demand)}
+def _key_weights(spark):
+    return spark.range(1000).filter("id % 10 < 5").select(F.col("id").alias("key"), (F.lit(1.0) + F.col("id") % 10 / 4).alias("w"))
+
+
+def weighted_reach(spark, sf_dir):
+    """What one or two more skills make strong where half of the skills have weights."""
+    df = R.weighted_reach(R.working_set(scored(spark, sf_dir)), _key_weights(spark))
+    return df.select("candidate_id", "place", "vacancy_id", F.array_join(F.transform("added", lambda x: x.cast("string")), ",").alias("added"), F.round("fit_after", 6).alias("fit_after"))
+
+
+def weighted_learning(spark, sf_dir):
+    df = R.weighted_learning(R.working_set(scored(spark, sf_dir)), _key_weights(spark))
+    return df.select("candidate_id", "place", "key", "gain", "frequency", F.array_join(F.transform("vacancies", lambda x: x.cast("string")), ",").alias("vacancies"))
+
+
+QUERIES = {f.__name__: f for f in (weighted_reach, weighted_learning, fit_ranking, skill_overlap, semantic_scores, band_counts, hidden_reasons, ranking_page, unexplained_hidden, overlap_warnings, missing_skills, within_reach, worth_learning, in_demand)}
