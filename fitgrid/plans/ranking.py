@@ -154,7 +154,24 @@ after AS (SELECT *, (0.40::DOUBLE * skill2 + coalesce(0.45::DOUBLE * semantic, 0
 strong AS (SELECT candidate_id, vacancy_id, more, fit2, (fit2 >= 0.7 AND coalesce(cover2, skill2) >= 0.8 AND NOT short) AS ok FROM after)
 """
 
+_WEIGHTED = _BASE + """, kw AS (SELECT i AS key, CASE WHEN i % 10 < 5 THEN 1 + i % 10 / 4.0::DOUBLE ELSE 1.0::DOUBLE END AS kw FROM range(1000) t(i)),
+x AS (SELECT w.candidate_id, w.vacancy_id, sum(kw * CASE WHEN must THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) AS all_w, coalesce(sum(kw * CASE WHEN must THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END) FILTER (ck.key IS NOT NULL), 0) AS hit_w
+  FROM w JOIN sk ON sk.vacancy_id = w.vacancy_id JOIN kw ON kw.key = sk.key LEFT JOIN ck ON ck.candidate_id = w.candidate_id AND ck.key = sk.key GROUP BY 1, 2),
+mw AS (SELECT ms.candidate_id, ms.vacancy_id, ms.key, kw FROM ms JOIN kw ON kw.key = ms.key),
+opt AS (SELECT candidate_id, vacancy_id, 1 AS n, key AS k1, -1 AS k2, kw AS more FROM mw
+  UNION ALL SELECT a.candidate_id, a.vacancy_id, 2, a.key, b.key, a.kw + b.kw FROM mw a JOIN mw b ON a.candidate_id = b.candidate_id AND a.vacancy_id = b.vacancy_id AND a.key < b.key),
+skw AS (SELECT w.*, n, k1, k2, least(1, (hit_w + more) / all_w) AS skill2, CAST(required_matched + n AS DOUBLE) / nullif(n_required, 0) AS cover2 FROM opt JOIN w USING (candidate_id, vacancy_id) JOIN x USING (candidate_id, vacancy_id)),
+fw AS (SELECT *, (0.40::DOUBLE * skill2 + coalesce(0.45::DOUBLE * semantic, 0) + coalesce(0.15::DOUBLE * experience, 0)) / (0.40::DOUBLE + (CASE WHEN semantic IS NOT NULL THEN 0.45::DOUBLE ELSE 0 END) + (CASE WHEN experience IS NOT NULL THEN 0.15::DOUBLE ELSE 0 END)) AS fit2 FROM skw),
+ow AS (SELECT *, fit2 >= 0.7 AND coalesce(cover2, skill2) >= 0.8 AND NOT short AS ok FROM fw)
+"""
+
 ORACLES = {
+    "weighted_reach": _WEIGHTED + """, bw AS (SELECT *, row_number() OVER (PARTITION BY candidate_id, vacancy_id ORDER BY n, round(fit2, 12) DESC, k1, k2) AS b FROM ow WHERE ok AND band_rank = 1),
+pw AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY n, fit DESC NULLS LAST, vacancy_id) AS place FROM bw WHERE b = 1)
+SELECT candidate_id, place, vacancy_id, CASE n WHEN 1 THEN CAST(k1 AS VARCHAR) ELSE k1 || ',' || k2 END AS added, round(fit2, 6) AS fit_after FROM pw WHERE place <= 3""",
+    "weighted_learning": _WEIGHTED + """, lw AS (SELECT candidate_id, k1 AS key, count(*) FILTER (band_rank <> 0 AND ok) AS gain, count(*) AS frequency, string_agg(CAST(vacancy_id AS VARCHAR), ',' ORDER BY rank) FILTER (band_rank <> 0 AND ok) AS vacancies FROM ow WHERE n = 1 GROUP BY 1, 2),
+pw AS (SELECT *, row_number() OVER (PARTITION BY candidate_id ORDER BY gain DESC, frequency DESC, key) AS place FROM lw WHERE gain > 0)
+SELECT candidate_id, place, key, gain, frequency, vacancies FROM pw WHERE place <= 4""",
     "fit_ranking": _BASE + "SELECT candidate_id, vacancy_id, round(fit, 6) AS fit, CASE band_rank WHEN 0 THEN 'strong' WHEN 1 THEN 'partial' WHEN 2 THEN 'weak' ELSE 'unscored' END AS band, hidden, rank FROM r",
     "skill_overlap": _BASE + "SELECT candidate_id, vacancy_id, required_matched, n_required, preferred_matched, n_preferred, round(skill, 6) AS skill, round(required_coverage, 6) AS required_coverage FROM r",
     "semantic_scores": _BASE + "SELECT candidate_id, round(min(semantic_raw), 6) AS lowest, round(max(semantic_raw), 6) AS highest, round(avg(semantic), 6) AS mean_calibrated, count(semantic) AS n FROM r GROUP BY candidate_id",
