@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import running
+
 
 def ndcg(df: DataFrame, by: str, order: list[Column], grade: str, k: int = 10) -> DataFrame:
     """NDCG@k with gains 2**grade - 1; NULL where no item has a gain."""
@@ -18,14 +20,16 @@ def ndcg(df: DataFrame, by: str, order: list[Column], grade: str, k: int = 10) -
     return df.groupBy(by).agg(F.try_divide(dcg("__at"), dcg("__best")).alias("ndcg"))
 
 
-def average_rank(value: str, by: str) -> Column:
-    """Rank with ties averaged, from 1."""
-    w = Window.partitionBy(by).orderBy(value)
-    return F.rank().over(w) + (F.count("*").over(Window.partitionBy(by, value)) - 1) / 2
+def average_ranks(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
+    """``df`` with the rank of ``value`` within ``by``, from 1, ties averaged. A group may be larger than a task: equal values are
+    counted first, and their counts summed by ranges; nulls rank first and are equal."""
+    per = df.groupBy(by, value).agg(F.count("*").alias("__n"))
+    ranks = running(per, [by], [value], {"__upto": F.col("__n")}).select(F.col(by).alias("__by"), F.col(value).alias("__value"), (F.col("__upto") - (F.col("__n") - 1) / 2).alias(name))
+    return df.join(ranks, F.col(by).eqNullSafe(F.col("__by")) & F.col(value).eqNullSafe(F.col("__value"))).drop("__by", "__value")
 
 
 def spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    df = df.withColumns({"__x": average_rank(x, by), "__y": average_rank(y, by)})
+    df = average_ranks(average_ranks(df.select(by, x, y), by, x, "__x"), by, y, "__y")
     constant = (F.min("__x") == F.max("__x")) | (F.min("__y") == F.max("__y"))
     return df.groupBy(by).agg(F.when(~constant, F.corr("__x", "__y")).alias("spearman"), F.count("*").alias("n"))
 
@@ -39,7 +43,7 @@ def kendall(df: DataFrame, by: str, key: str, x: str, y: str) -> DataFrame:
 
 def auc(df: DataFrame, by: str, score: str, label: str) -> DataFrame:
     """ROC AUC from rank sums, ties a half; NULL without both labels."""
-    df = df.withColumn("__r", average_rank(score, by))
+    df = average_ranks(df.select(by, score, label), by, score, "__r")
     pos, neg = F.count_if(F.col(label) == 1), F.count_if(F.col(label) == 0)
     top = F.sum(F.when(F.col(label) == 1, F.col("__r")).otherwise(0.0)) - pos * (pos + 1) / 2
     return df.groupBy(by).agg(F.try_divide(top, (pos * neg).cast("double")).alias("auc"), pos.alias("positive"), neg.alias("negative"))
@@ -56,9 +60,8 @@ def precision_recall(df: DataFrame, by: str, predicted: Column, actual: Column)
 
 def threshold(df: DataFrame, distance: str, correct: Column, least: float, samples: int) -> DataFrame:
     """The largest distance up to which precision is ``least`` over ``samples`` or more; ties are cut together.
-    One row per distinct distance is summed first, so the running sum is over those."""
-    per = df.groupBy(distance).agg(F.count("*").alias("n"), F.count_if(correct).alias("good"))
-    w = Window.orderBy(distance).rowsBetween(Window.unboundedPreceding, 0)
-    run = per.select(F.col(distance).alias("d"), F.sum("n").over(w).alias("n"), F.sum("good").over(w).alias("good"))
+    Equal distances are counted first, and the counts summed by ranges of distance."""
+    per = df.groupBy(F.col(distance).alias("d")).agg(F.count("*").alias("__all"), F.count_if(correct).alias("__right"))
+    run = running(per, [], ["d"], {"n": F.col("__all"), "good": F.col("__right")})
     ok = (F.col("n") >= samples) & (F.col("good") / F.col("n") >= least)
     return run.agg(F.max(F.when(ok, F.col("d"))).alias("threshold"), F.count_if(ok).alias("n_ok"))

@@ -33,3 +33,21 @@ def numbered(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
         same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
     number = (F.col("__at") - F.col("__first") + F.col("__before") + 1).alias(name)
     return dealt.join(parts, same).select(*df.columns, number, *([F.col("__total").alias(total)] if total else []))
+
+
+def running(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], sums: dict[str, Column]) -> DataFrame:
+    """``df`` with running sums (name: what is summed), each row's own included, among the rows of its ``keys`` in ``order``. As
+    ``numbered``, a group may be larger than a task: a range is summed by itself, and what the ranges before it hold is added.
+    Rows that tie come in any order; nulls add nothing."""
+    cut = df.withColumns({f"__{k}": F.coalesce(v, F.lit(0)) for k, v in sums.items()}).repartitionByRange(*[*keys, *order]).sortWithinPartitions(*keys, *order)
+    dealt = saved(cut.withColumn("__at", F.monotonically_increasing_id()), "ranges")
+    dealt = dealt.withColumn("__part", F.shiftright("__at", _WITHIN))
+    parts = dealt.groupBy(*keys, "__part").agg(*(F.sum(f"__{k}").alias(f"__n_{k}") for k in sums))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.col("__part").alias("__of"), *(F.coalesce(F.sum(f"__n_{k}").over(before), F.lit(0)).alias(f"__before_{k}") for k in sums))
+    same = F.col("__part") == F.col("__of")
+    for i, k in enumerate(keys):
+        same &= F.col(k).eqNullSafe(F.col(f"__k{i}"))
+    within = Window.partitionBy(*keys, "__part").orderBy("__at").rowsBetween(Window.unboundedPreceding, 0)
+    own = dealt.withColumns({k: F.sum(f"__{k}").over(within) for k in sums})
+    return own.join(parts, same).select(*df.columns, *((F.col(k) + F.col(f"__before_{k}")).alias(k) for k in sums))

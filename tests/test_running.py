@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from fitgrid.operators.running import numbered
+from fitgrid.operators import evaluate
+from fitgrid.operators.running import numbered, running
 
 
 def test_numbers_within_groups_of_any_size(spark):
@@ -18,6 +19,27 @@ def test_numbers_within_groups_of_any_size(spark):
     assert got == want
 
 
+def test_running_sums_of_groups_of_any_size(spark):
+    rng = np.random.default_rng(6)
+    rows = [(None if rng.random() < 0.1 else "hot" if rng.random() < 0.8 else "cold", int(v), int(rng.integers(0, 9)) if rng.random() < 0.9 else None) for v in rng.permutation(2000)]
+    df = spark.createDataFrame(rows, "k string, v int, x int").repartition(6)
+    got = {(r["k"], r["v"]): (r["n"], r["s"]) for r in running(df, ["k"], ["v"], {"n": F.lit(1), "s": F.col("x")}).collect()}
+    want = {}
+    for k in {k for k, *_ in rows}:
+        total = 0
+        for i, (v, x) in enumerate(sorted(((v, x) for j, v, x in rows if j == k), key=lambda t: t[0]), 1):
+            total += x or 0
+            want[k, v] = (i, total)
+    assert got == want
+    assert running(df.limit(0), [], ["v"], {"n": F.lit(1)}).count() == 0
+
+
+def test_average_ranks(spark):
+    df = spark.createDataFrame([("a", v) for v in (3, 1, 3, 3, None, 2)] + [(None, 5)], "k string, v int")
+    got = sorted((str(r["k"]), str(r["v"]), r["r"]) for r in evaluate.average_ranks(df, "k", "v", "r").collect())
+    assert got == [("None", "5", 1.0), ("a", "1", 2.0), ("a", "2", 3.0), ("a", "3", 5.0), ("a", "3", 5.0), ("a", "3", 5.0), ("a", "None", 1.0)]
+
+
 def test_ties_and_empty_tables(spark):
     df = spark.createDataFrame([("a", 1)] * 50 + [("b", 2)], "k string, v int")
     assert sorted((r["k"], r["place"]) for r in numbered(df, ["k"], ["v"]).collect()) == [("a", i) for i in range(1, 51)] + [("b", 1)]
