@@ -459,7 +459,9 @@ def class_lm_scores(docs: DataFrame, folds: int = 10) -> DataFrame:
 
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score
     (log10). A null or empty text is one end token; repeated rows each get the same
-    result; without training texts every token is unknown and both scores stay finite.
+    result; without training texts every token is unknown and both scores stay finite. Texts of any
+    length are scored whole; other columns, whatever their names, are not read; words of equal counts
+    are ordered by their hash; an empty table gives an empty result.
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()

@@ -149,7 +149,9 @@ def embedding_duplicates(vectors: DataFrame, limit: float = 0.93, tile: int = TI
     Vectors are compared within equal labels of equal dimension. Null labels, null or
     zero vectors, null or non-finite components and null ids link with nothing; a null
     id has a null component and is kept. Rows of equal vectors link with each other.
-    An empty table gives an empty result.
+    Pairs at the threshold link. The rows of an id with several vectors get the most links and the smallest
+    component that one of these has; components are not joined by an id. Other columns, whatever their
+    names, are not read. An empty table gives an empty result.
     """
     spark = vectors.sparkSession
     vectors = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", F.col("embedding").cast("array<double>").alias("embedding"))

@@ -202,7 +202,12 @@ def remove_repeats(docs: DataFrame, width: int = WIDTH) -> DataFrame:
 
 
 def repeats_digest(docs: DataFrame, width: int = WIDTH) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_sha256 of every row; null and empty texts have no words."""
+    """doc_id, n_words, n_removed, kept_sha256 of every row; null and empty texts have no words.
+
+    Texts of any length count whole; a window that stands twice, in one document or two, goes at all of its places, so there
+    are no ties to break; rows that stand twice are two documents and remove each other's windows; null ids are documents of their
+    own; other columns, whatever their names, are not read; an empty table gives an empty result.
+    """
     plain, cut = _cleaned(docs, width)
     cut = cut.select("row", "n_removed", F.col("sha").alias("cut_sha"))
     return plain.join(cut, "row", "left").select("doc_id", "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("cut_sha", "sha").alias("kept_sha256"))

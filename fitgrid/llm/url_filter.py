@@ -155,7 +155,9 @@ def filter_urls(pages: DataFrame, model: dict, rules=RULES) -> DataFrame:
     """One row per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict, probability.
 
     The longest rule that fits decides, else the model. Null urls and those without
-    ``://`` have an empty host and path, fit no rule and are left to the model.
+    ``://`` have an empty host and path, fit no rule and are left to the model. Urls of any length are read whole; rules of
+    one length cannot both fit, as a rule stands once; repeated rows get equal verdicts, null ids too; other columns, whatever their
+    names, are not read; an empty table gives an empty result.
     """
     host, path = host_and_path(F.col("url"))
     df = pages.select("page_id", F.col("url").cast("string").alias("url")).withColumns({"host": host, "path": path})

@@ -648,6 +648,106 @@ def test_pipeline(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
 
 
+def test_pipeline_against_plain_loops(spark):
+    """Stage by stage, each on what the one before it kept."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    before = [tuple(r) for r in docs.collect()]
+    kept = stages["toxicity"](spark, docs, DATA)
+    low = {r["doc_id"] for r in toxicity.scored(docs, toxicity.train(docs, labels)).filter("score < 0.5").collect()}
+    clean = [r for r in before if r[0] in low]
+    assert collections.Counter(map(tuple, kept.collect())) == collections.Counter(clean) and len(clean) < len(before)
+
+    near = stages["minhash_near_dedup"](spark, kept, DATA)
+    sets = {}
+    for d, t, *_ in clean:
+        w = words(t, True)
+        sets[d] = {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
+    links = [(a, b) for a in sets for b in sets if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    heads = components(list(sets), links)
+    alone = [r for r in clean if heads[r[0]] == r[0]]
+    assert links and sorted(map(tuple, near.collect())) == sorted(alone)
+
+    cut = stages["substring_dedup"](spark, near, DATA)
+    want = {d: (n, gone, sha) for d, n, gone, sha in brute_repeats([(r[0], r[1]) for r in alone], 35)}
+    got = {r["doc_id"]: r["text"] for r in cut.collect()}
+    assert set(got) == set(want) and any(gone for _, gone, _ in want.values())
+    assert all(hashlib.sha256(b" ".join(words(got[d]))).hexdigest() == sha for d, (_, _, sha) in want.items())
+
+    drawn = stages["mixing"](spark, cut, DATA)
+    times = collections.Counter(r["doc_id"] for r in drawn.collect())
+    assert set(times) == set(got) and set(times.values()) <= {1, 2}
+    assert all(r["text"] == got[r["doc_id"]] for r in drawn.collect())
+
+    from fitgrid.llm.packing import _encoder
+
+    encode = _encoder("byte_bpe_50k.json", None)
+    rows = stages["packing"](spark, drawn, DATA).collect()
+    pieces, places = collections.defaultdict(int), collections.defaultdict(list)
+    for r in rows:
+        pieces[r["doc_id"]] += r["length"]
+        places[r["sequence_id"]].append((r["offset"], r["length"]))
+    assert pieces == {d: n * (len(encode(got[d] or "")) + 1) for d, n in times.items()}
+    for held in places.values():
+        ends = np.cumsum([n for _, n in sorted(held)])
+        assert ends[-1] <= 2048 and [o for o, _ in sorted(held)] == [0, *ends[:-1]]
+
+
+def plain_toxicity(rows, rounds=120, penalty=1.0):
+    """Log-count ratios and weights from (label, features), by loops over rows and features."""
+    n1, n = sum(y for y, _ in rows), len(rows)
+    pos, both = collections.Counter(), collections.Counter()
+    for y, features in rows:
+        both.update(features)
+        if y:
+            pos.update(features)
+    ratio = {}
+    for f, m in both.items():
+        a, b = pos[f], m - pos[f]
+        r = math.log((a + 1) / (n1 + 2)) - math.log((b + 1) / (n - n1 + 2))
+        if m >= 3 and abs(r) > 2.5 * math.sqrt(1 / (a + 1) + 1 / (b + 1)):
+            ratio[f] = r
+    w, bias, moved = dict.fromkeys(ratio, 0.0), math.log(n1 / (n - n1)), collections.defaultdict(lambda: [0.0, 0.0])
+    for t in range(1, rounds + 1):
+        g, g0 = {f: penalty * w[f] for f in w}, 0.0
+        for y, features in rows:
+            mine = [f for f in features if f in w]
+            e = 1 / (1 + math.exp(-(bias + sum(w[f] * ratio[f] for f in mine)))) - y
+            g0 += e
+            for f in mine:
+                g[f] += e * ratio[f]
+        for f, x in [*g.items(), (None, g0)]:
+            m = moved[f]
+            m[0], m[1] = 0.9 * m[0] + 0.1 * x, 0.99 * m[1] + 0.01 * x * x
+            step = 0.03 * (m[0] / (1 - 0.9**t)) / (math.sqrt(m[1] / (1 - 0.99**t)) + 1e-8)
+            if f is None:
+                bias -= step
+            else:
+                w[f] -= step
+    return {f: w[f] * ratio[f] for f in w}, bias
+
+
+def test_toxicity_against_plain_loops(spark):
+    rng = np.random.default_rng(5)
+    good, bad = ["kind", "warm", "river", "stone", "walk"], ["foul", "rotten", "scum", "river", "stone"]
+    texts = [(i, " ".join(rng.choice(bad if i % 3 == 0 else good, 6)), int(i % 3 == 0)) for i in range(60)]
+    docs, labels = frame(spark, [(i, t) for i, t, _ in texts]), spark.createDataFrame([(i, y) for i, _, y in texts], "doc_id long, toxic int")
+
+    def features(t):
+        return {int(f) for _, part in toxicity._grams([t]) for f in part}
+
+    weights, bias = plain_toxicity([(y, features(t)) for _, t, y in texts])
+    model = toxicity.train(docs, labels)
+    assert dict(zip(model[0].tolist(), model[1].tolist(), strict=True)) == pytest.approx(weights, abs=1e-6) and model[2] == pytest.approx(bias, abs=1e-6) and len(weights) > 20
+    got = {r["doc_id"]: r["score"] for r in toxicity.scored(docs, model).collect()}
+    for i, t, y in texts:
+        score = 1 / (1 + math.exp(-(bias + sum(weights.get(f, 0.0) for f in features(t)))))
+        assert got[i] == pytest.approx(score, abs=1e-6) and (score >= 0.5) == bool(y)
+
+
 def doubled(spark):
     """Odd rows, each twice, with columns whose names clash with those inside the operators."""
     extra = "__tokens long, score double, component long, bucket int, host string, lo long, pattern int, tile int"
