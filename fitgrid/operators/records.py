@@ -5,6 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .running import numbered
+
+
+def _loader() -> list[Column]:
+    return [F.desc_nulls_last("posted_at"), F.col("source_id")]
+
+
+def loader_order(postings: DataFrame) -> DataFrame:
+    """``place`` of each posting (source, source_id, posted_at) in the loader's order: the newest of its source first. A source
+    may hold most of the postings: they are numbered by ranges."""
+    return numbered(postings, ["source"], _loader(), "place")
+
+
+def ingest_split(changed: DataFrame, most: int = 200) -> tuple[DataFrame, DataFrame]:
+    """The first ``most`` changed postings of each source, of which a task keeps no more before any are shuffled; and by source how many
+    are processed and how many are deferred to the next run."""
+    place = F.row_number().over(Window.partitionBy("source").orderBy(*_loader()))
+    chosen = changed.withColumn("__n", place).filter(F.col("__n") <= most).drop("__n")
+    n = F.count("*")
+    return chosen, changed.groupBy("source").agg(F.least(n, F.lit(most)).alias("processed"), F.greatest(n - most, F.lit(0)).alias("deferred"))
+
 
 def first_wins(df: DataFrame, keys: list[str], position: str) -> DataFrame:
     """One row per key: the first by position."""

@@ -10,6 +10,7 @@ from ..functions import requirements as Q
 from ..operators import comparison as C
 from ..operators import evaluate as E
 from ..operators import ranking as R
+from ..operators.records import loader_order
 from ..sources import postings as G
 from . import ranking, understanding
 from .comparison import _cards
@@ -51,8 +52,8 @@ def jooble_ids(spark, sf_dir):
 def loaded_since(spark, sf_dir):
     """Postings of urgent sources seen since a day, as the loader orders them."""
     o = _t(spark, sf_dir, "orders").filter((F.col("o_orderpriority") <= "2-HIGH") & (F.col("o_orderdate") >= F.lit(SEEN).cast("timestamp")))
-    w = Window.partitionBy("o_orderpriority").orderBy(F.desc_nulls_last("o_orderdate"), "o_orderkey")
-    return o.select(F.col("o_orderpriority").alias("source"), F.col("o_orderkey").alias("source_id"), F.row_number().over(w).alias("place"))
+    o = o.select(F.col("o_orderpriority").alias("source"), F.col("o_orderkey").alias("source_id"), F.col("o_orderdate").alias("posted_at"))
+    return loader_order(o).select("source", "source_id", "place")
 
 
 def section_fill(spark, sf_dir):

@@ -57,16 +57,14 @@ def sources_summary(spark, sf_dir):
 
 def load_newest(spark, sf_dir):
     """Postings in the loader's order, newest first within a source, as a rank."""
-    p = _postings(spark, sf_dir)
-    w = Window.partitionBy("source").orderBy(F.desc_nulls_last("posted_at"), "source_id")
-    return p.select("source", "source_id", F.row_number().over(w).alias("place"))
+    p = _postings(spark, sf_dir).select("source", "source_id", "posted_at")
+    return R.loader_order(p).select("source", "source_id", "place")
 
 
 def ingest_plan(spark, sf_dir):
     """New and changed postings of a run: the newest 200 of each source go, the rest are deferred."""
     df = R.classify(_postings(spark, sf_dir), _stored(spark, sf_dir).select("source_id", "source", "content_hash", "version"), ["source", "source_id"], "v2").filter("status <> 'unchanged'")
-    w = Window.partitionBy("source").orderBy(F.desc_nulls_last("posted_at"), "source_id")
-    return df.withColumn("go", F.row_number().over(w) <= 200).groupBy("source").agg(F.count_if("go").alias("processed"), F.count_if(~F.col("go")).alias("deferred"))
+    return R.ingest_split(df)[1]
 
 
 def _hits(spark, sf_dir):

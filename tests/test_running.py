@@ -63,3 +63,15 @@ def test_many_candidates_meet_vacancies_block_by_block(spark, monkeypatch):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "Join Cross" not in plan and "(__block" in plan
     assert sorted(map(tuple, df.collect())) == want
+
+
+def test_the_loader_takes_the_newest_first(spark):
+    from fitgrid.operators import records
+
+    rows = [("a", i, None if i == 3 else 100 - i // 2) for i in range(7)] + [("b", 9, 1), (None, 1, 5)]
+    df = spark.createDataFrame(rows, "source string, source_id int, posted_at int")
+    order = [(r["source"], r["source_id"]) for r in records.loader_order(df).orderBy("source", "place").collect()]
+    assert order == [(None, 1), ("a", 0), ("a", 1), ("a", 2), ("a", 4), ("a", 5), ("a", 6), ("a", 3), ("b", 9)]
+    chosen, counts = records.ingest_split(df, 3)
+    assert {(r["source"], r["source_id"]) for r in chosen.collect()} == {(None, 1), ("a", 0), ("a", 1), ("a", 2), ("b", 9)}
+    assert {r["source"]: (r["processed"], r["deferred"]) for r in counts.collect()} == {None: (1, 0), "a": (3, 4), "b": (1, 0)}
