@@ -11,13 +11,14 @@ from .running import running
 def ndcg(df: DataFrame, by: str, order: list[Column], grade: str, k: int = 10) -> DataFrame:
     """NDCG@k with gains 2**grade - 1; NULL where no item has a gain."""
     gain = F.pow(F.lit(2.0), F.col(grade)) - 1
-    w = Window.partitionBy(by)
-    df = df.withColumns({"__at": F.row_number().over(w.orderBy(*order)), "__best": F.row_number().over(w.orderBy(F.desc(grade), *order)), "__gain": gain})
 
-    def dcg(place: str) -> Column:
-        return F.sum(F.when(F.col(place) <= k, F.col("__gain") / F.log2(F.col(place) + 1)).otherwise(0.0))
+    def dcg(places: list[Column], name: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(by).orderBy(*places))
+        top = df.withColumn("__at", place).filter(F.col("__at") <= k)  # each task keeps k of a group before any are shuffled
+        return top.groupBy(F.col(by).alias(f"__{name}")).agg(F.sum(F.coalesce(gain / F.log2(F.col("__at") + 1), F.lit(0.0))).alias(name))
 
-    return df.groupBy(by).agg(F.try_divide(dcg("__at"), dcg("__best")).alias("ndcg"))
+    both = dcg(order, "own").join(dcg([F.desc(grade), *order], "best"), F.col("__own").eqNullSafe(F.col("__best")))
+    return both.select(F.col("__own").alias(by), F.try_divide("own", "best").alias("ndcg"))
 
 
 def average_ranks(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
