@@ -82,8 +82,8 @@ WEIGHTS = np.arange(101) / 100
 _SUMS = ("g0", "g1", "h00", "h01", "h11", "loss")
 
 
-def _sums_at(at: dict[int, np.ndarray]):
-    """Gradients, Hessians and log loss of a task's rows for every model and weight, ``at`` being intercepts and slopes of each
+def _sums_at(at: dict[int, np.ndarray], last: bool):
+    """Gradients and Hessians, or at the end the log loss, of a task's rows for every model and weight, ``at`` being intercepts and slopes of each
     weight. A model is named by the fold that it does not see."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,9 +96,13 @@ def _sums_at(at: dict[int, np.ndarray]):
                     seen = fold[part] != k
                     x = skill[part][seen, None] * WEIGHTS + semantic[part][seen, None] * (1 - WEIGHTS)
                     z, label = ab[:, 0] + ab[:, 1] * x, y[part][seen, None]
+                    if last:
+                        total[k][-1] += (np.logaddexp(0, z) - label * z).sum(0)
+                        continue
                     p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
                     r, q = p - label, p * (1 - p)
-                    total[k] += np.stack([r.sum(0), (r * x).sum(0), q.sum(0), (q * x).sum(0), (q * x * x).sum(0), (np.logaddexp(0, z) - label * z).sum(0)])
+                    qx = q * x
+                    total[k][:-1] += np.stack([r.sum(0), np.einsum("ij,ij->j", r, x), q.sum(0), qx.sum(0), np.einsum("ij,ij->j", qx, x)])
         for k, sums in total.items():
             yield pa.RecordBatch.from_arrays([pa.array([k] * len(WEIGHTS), pa.int32()), pa.array(range(len(WEIGHTS)), pa.int32()), *map(pa.array, sums)], ["model", "at", *_SUMS])
 
@@ -111,8 +115,8 @@ def _fits(used: DataFrame, models: dict[int, float]) -> dict[int, tuple[np.ndarr
     base = {k: math.log(share / (1 - share)) for k, share in models.items()}
     at = {k: np.column_stack([np.full(len(WEIGHTS), b), np.zeros(len(WEIGHTS))]) for k, b in base.items()}
 
-    def sums() -> dict[int, np.ndarray]:
-        rows = used.mapInArrow(_sums_at(at), "model int, at int, " + ", ".join(f"{c} double" for c in _SUMS)).groupBy("model", "at").agg(*(F.sum(c).alias(c) for c in _SUMS)).collect()
+    def sums(last: bool = False) -> dict[int, np.ndarray]:
+        rows = used.mapInArrow(_sums_at(at, last), "model int, at int, " + ", ".join(f"{c} double" for c in _SUMS)).groupBy("model", "at").agg(*(F.sum(c).alias(c) for c in _SUMS)).collect()
         out = {k: np.zeros((len(_SUMS), len(WEIGHTS))) for k in at}
         for r in rows:
             out[r["model"]][:, r["at"]] = [r[c] for c in _SUMS]
@@ -130,7 +134,7 @@ def _fits(used: DataFrame, models: dict[int, float]) -> dict[int, tuple[np.ndarr
             break
     for k in at:
         at[k][at[k][:, 1] < 0] = base[k], 0.0
-    found = sums() if models else {}
+    found = sums(last=True) if models else {}
     return {k: (at[k][:, 1], found[k][-1]) for k in at}
 
 
