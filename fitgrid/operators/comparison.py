@@ -145,7 +145,7 @@ def skill_weights(rows: DataFrame, prior: float = PRIOR_SKILL, strength: float =
     with too few rows, or of one label, are left out."""
     fold = F.col("fold").cast("int") if folds else F.lit(-2)
     used = rows.select(fold.alias("fold"), *(F.col(c).cast("double").alias(c) for c in ("skill", "semantic", "label"))).dropna()
-    used = saved(used, "rated")  # read once a round
+    used = saved(used.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism), "rated")  # read once a round, by all cores
     counts = {r["fold"]: (r["n"], r["good"]) for r in used.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("good")).collect()}
     models = {}
     for k in range(folds) if folds else (-1,):
