@@ -314,6 +314,16 @@ def test_urls(spark):
     assert got[6][2:] == ("org/es/", "block") and got[7][2] is None and got[8][:2] == ("com", "")
 
 
+def test_url_rules_are_the_contracts(spark):
+    urls = {"com/en/": ("http://a.com/en/1", "block"), "example.com/en/7": ("http://example.com/en/7", "allow"), "net/de/": ("http://a.example.net/de/1", "allow"), "example.net/de/8": ("http://example.net/de/8", "block"), "org/es/": ("http://b.org/es/", "block")}
+    df = spark.createDataFrame([(i, u) for i, (u, _) in enumerate(urls.values())], "page_id long, url string")
+    # the model blocks nothing, then everything: a rule's own word stands either way
+    for bias in (-9.0, 9.0):
+        model = {"bias": bias, "trees": [], "suffixes": [], "prior": 0.5}
+        got = {r["rule"]: r["verdict"] for r in url_filter.filter_urls(df, model).collect()}
+        assert got == {rule: verdict for rule, (_, verdict) in urls.items()}
+
+
 def test_url_trees_learn(spark):
     rows = [(f"http://site{i}.example.com/a/{i}", 0) for i in range(300)] + [(f"http://win-{i}-cash-{i}-now.example.org/{'9' * 30}?a={i}&b=1&c=2", 1) for i in range(300)]
     model = url_filter.train_url_trees(spark.createDataFrame(rows, "url string, label int"))
