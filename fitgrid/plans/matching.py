@@ -81,7 +81,7 @@ def updated_ranking(spark, sf_dir):
     n = spark.range(30).select(F.col("id").alias("pos"), (F.col("id") * 31 % 1000).alias("key"))
     added = c.select("candidate_id").crossJoin(F.broadcast(n)).withColumn("key", (F.col("key") + F.col("candidate_id")) % 1000)
     removed = c.select("candidate_id", F.explode("keys").alias("key")).filter("key % 4 = 0")
-    df = R.scored(R.pairs(ranking.vacancies(spark, sf_dir), M.with_skills(c, added, removed)), floor=ranking.FLOOR, ceil=ranking.CEIL)
+    df = R.scored(R.pairs(ranking.vacancies(spark, sf_dir), M.with_skills(c, added, removed), ranking.vectors(spark, sf_dir)), floor=ranking.FLOOR, ceil=ranking.CEIL)
     return R.working_set(df, 5).select("candidate_id", "rank", "vacancy_id", band_name(F.col("band_rank")).alias("band"), F.round("fit", 6).alias("fit"))
 
 
