@@ -32,8 +32,8 @@ def grade(relation: Column, share: Column) -> Column:
 
 def by_variant(pairs: DataFrame, variants: DataFrame, score: Column, grade_: str) -> DataFrame:
     """NDCG and Spearman of each variant for each candidate: pairs (candidate_id, vacancy_id, grade) scored once a variant
-    (a small table: variant and its parameters), by one plan."""
-    df = pairs.crossJoin(F.broadcast(variants)).withColumns({"__score": score, "__key": F.concat_ws("|", "variant", "candidate_id")})
+    (a small table: variant and its parameters), by one plan. The pairs are kept once, as four branches read them."""
+    df = saved(pairs, "pairs").crossJoin(F.broadcast(variants)).withColumns({"__score": score, "__key": F.concat_ws("|", "variant", "candidate_id")})
     gains = ndcg(df, "__key", [F.desc_nulls_last("__score"), F.asc("vacancy_id")], grade_)
     ranks = spearman(df, "__key", "__score", grade_)
     keys = df.select("__key", "variant", "candidate_id").distinct()

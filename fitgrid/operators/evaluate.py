@@ -21,18 +21,24 @@ def ndcg(df: DataFrame, by: str, order: list[Column], grade: str, k: int = 10) -
     return both.select(F.col("__own").alias(by), F.try_divide("own", "best").alias("ndcg"))
 
 
-def average_ranks(df: DataFrame, by: str, value: str, name: str) -> DataFrame:
+def average_ranks(df: DataFrame, by: str, value: str, name: str, weight: str | None = None) -> DataFrame:
     """``df`` with the rank of ``value`` within ``by``, from 1, ties averaged. A group may be larger than a task: equal values are
-    counted first, and their counts summed by ranges; nulls rank first and are equal."""
-    per = df.groupBy(by, value).agg(F.count("*").alias("__n"))
+    counted first, and their counts summed by ranges; nulls rank first and are equal. A row stands for
+    ``weight`` equal ones, if that is given."""
+    per = df.groupBy(by, value).agg((F.sum(weight) if weight else F.count("*")).alias("__n"))
     ranks = running(per, [by], [value], {"__upto": F.col("__n")}).select(F.col(by).alias("__by"), F.col(value).alias("__value"), (F.col("__upto") - (F.col("__n") - 1) / 2).alias(name))
     return df.join(ranks, F.col(by).eqNullSafe(F.col("__by")) & F.col(value).eqNullSafe(F.col("__value"))).drop("__by", "__value")
 
 
 def spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
-    df = average_ranks(average_ranks(df.select(by, x, y), by, x, "__x"), by, y, "__y")
+    """Correlation of average ranks. Rows of equal values are counted first and weigh as many in every sum; the mean of ranks is
+    half of the rows and one."""
+    per = df.groupBy(by, F.col(x).alias("__xv"), F.col(y).alias("__yv")).agg(F.count("*").alias("__w"))
+    per = average_ranks(average_ranks(per, by, "__xv", "__x", "__w"), by, "__yv", "__y", "__w")
     constant = (F.min("__x") == F.max("__x")) | (F.min("__y") == F.max("__y"))
-    return df.groupBy(by).agg(F.when(~constant, F.corr("__x", "__y")).alias("spearman"), F.count("*").alias("n"))
+    n, mean = F.sum("__w"), (F.sum("__w") + 1) / 2
+    both, xx, yy = (F.sum(F.col("__w") * F.col(a) * F.col(b)) - n * mean * mean for a, b in (("__x", "__y"), ("__x", "__x"), ("__y", "__y")))
+    return per.groupBy(by).agg(F.when(~constant, both / F.sqrt(xx * yy)).alias("spearman"), n.alias("n"))
 
 
 def kendall(df: DataFrame, by: str, key: str, x: str, y: str) -> DataFrame:

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from fitgrid.operators import evaluate as E
 from fitgrid.operators import ranking as R
 
 DIMS = 3
@@ -57,3 +58,13 @@ def test_hidden_pairs_are_not_numbered(spark):
     assert got.count() == 240 and got.filter("hidden <> (rank IS NULL)").count() == 0
     n = {r[0]: (r[1], r[2]) for r in got.filter("rank IS NOT NULL").groupBy("candidate_id").agg(F.max("rank"), F.count_distinct("rank")).collect()}
     assert all(a == b for a, b in n.values())
+
+
+def test_spearman_of_repeated_rows(spark):
+    rows = [("a", x % 5, x % 3) for x in range(200)] + [("b", 1, x) for x in range(4)] + [("c", None if x == 0 else x, x * x % 7) for x in range(9)]
+    df = spark.createDataFrame(rows, "by string, x int, y int")
+    ranked = E.average_ranks(E.average_ranks(df, "by", "x", "rx"), "by", "y", "ry")
+    want = {r[0]: (r[1], r[2]) for r in ranked.filter("by <> 'b'").groupBy("by").agg(F.corr("rx", "ry"), F.count("*")).collect()}
+    got = {r["by"]: (r["spearman"], r["n"]) for r in E.spearman(df, "by", "x", "y").collect()}
+    assert got.pop("b") == (None, 4) and {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
+    assert all(abs(got[k][0] - want[k][0]) < 1e-12 for k in ("a", "c"))
