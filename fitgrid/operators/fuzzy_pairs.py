@@ -43,9 +43,12 @@ def alike(gold: DataFrame, predicted: DataFrame, by: str, least: float = LEAST)
     """(by, g, p, score) of the distinct keys (by, at, key) of a group that are ``least`` alike or more."""
     if least < 85:
         raise ValueError("keys are joined by what they share at a likeness of 85 or more")
-    g = gold.select(by, F.col("at").alias("g"), F.col("key").alias("gold"), F.explode(grams(F.col("key"))).alias("gram"))
-    p = predicted.select(by, F.col("at").alias("p"), F.col("key").alias("predicted"), F.explode(grams(F.col("key"))).alias("gram"))
-    pairs = g.join(p, [by, "gram"]).select(by, "g", "p", "gold", "predicted").distinct()
+    g = gold.select(by, F.col("at").alias("g"), F.explode(grams(F.col("key"))).alias("gram"))
+    p = predicted.select(by, F.col("at").alias("p"), F.explode(grams(F.col("key"))).alias("gram"))
+    # by merge: a kept table of keys is small on disk, what is made of it is not, and must not go through the driver
+    met = g.join(p.hint("merge"), [by, "gram"]).select(by, "g", "p").distinct()
+    pairs = met.join(gold.select(by, F.col("at").alias("g"), F.col("key").alias("gold")).hint("merge"), [by, "g"])
+    pairs = pairs.join(predicted.select(by, F.col("at").alias("p"), F.col("key").alias("predicted")).hint("merge"), [by, "p"])
     return pairs.withColumn("score", token_set_likeness("gold", "predicted")).filter(F.col("score") >= least).select(by, "g", "p", "score")
 
 
@@ -56,7 +59,7 @@ def one_to_one(pairs: DataFrame, by: str) -> DataFrame:
         order = (F.col("score").desc(), F.col("g"), F.col("p"))
         mine, theirs = (F.row_number().over(Window.partitionBy(by, c).orderBy(*order)) for c in ("g", "p"))
         taken.append(saved(left.withColumns({"__g": mine, "__p": theirs}).filter("__g = 1 AND __p = 1").select(*pairs.columns), "taken"))
-        rest = left.join(taken[-1].select(by, "g"), [by, "g"], "left_anti").join(taken[-1].select(by, "p"), [by, "p"], "left_anti")
+        rest = left.join(taken[-1].select(by, "g").hint("merge"), [by, "g"], "left_anti").join(taken[-1].select(by, "p").hint("merge"), [by, "p"], "left_anti")
         held, left = left, saved(rest.select(*pairs.columns), "pairs")
         discard(held)
     return reduce(DataFrame.unionByName, taken) if taken else left

@@ -5,6 +5,7 @@ import pytest
 
 from fitgrid.functions import fuzzy
 from fitgrid.operators import fuzzy_pairs, grounding
+from fitgrid.shared import saved
 
 
 def common(a, b):
@@ -151,3 +152,13 @@ def test_pairs_one_to_one(spark):
     assert {r["grp"]: (r["tp"], r["fp"], r["fn"]) for r in got.collect()} == want
     with pytest.raises(ValueError):
         fuzzy_pairs.alike(None, None, "grp", 60.0)
+
+
+def test_name_pairs_are_not_broadcast(spark, capsys):
+    rows = [("a", i, f"word{i} of text {i % 5}") for i in range(40)]
+    df = spark.createDataFrame(rows, "grp string, pos long, text string")
+    keys = saved(fuzzy_pairs.distinct_keys(df, "grp", "pos", "text"), "keys")
+    pairs = fuzzy_pairs.alike(keys, keys, "grp")
+    pairs.explain()
+    assert "BroadcastExchange" not in capsys.readouterr().out
+    assert pairs.filter("g = p AND score = 100").count() == 40 and pairs.count() == pairs.distinct().count()
