@@ -60,6 +60,16 @@ def test_hidden_pairs_are_not_numbered(spark):
     assert all(a == b for a, b in n.values())
 
 
+def test_weighted_overlap_by_many_tasks(spark, monkeypatch):
+    skills = spark.createDataFrame([(i, k, k < 3) for i in range(50) for k in range(i % 7)], "vacancy_id long, key long, must boolean")
+    keys = spark.createDataFrame([(c, k) for c in range(5) for k in range(c, 7, 2)], "candidate_id long, key long")
+    weights = spark.createDataFrame([(0, 2.0), (3, 0.5)], "key long, w double")
+    whole = sorted(map(tuple, R.weighted_overlap(skills, keys, weights).collect()))
+    monkeypatch.setattr(R, "LINKS", 20)
+    many = R.weighted_overlap(skills, keys, weights)
+    assert sorted(map(tuple, many.collect())) == whole and many.rdd.getNumPartitions() > 4
+
+
 def test_spearman_of_repeated_rows(spark):
     rows = [("a", x % 5, x % 3) for x in range(200)] + [("b", 1, x) for x in range(4)] + [("c", None if x == 0 else x, x * x % 7) for x in range(9)]
     df = spark.createDataFrame(rows, "by string, x int, y int")
