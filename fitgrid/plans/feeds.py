@@ -91,9 +91,10 @@ def weighted_overlaps(spark, sf_dir):
 def remote_reasons(spark, sf_dir):
     """Reasons of hidden pairs where remote orders are limited to some nations, with a caller's own adjustments."""
     v = ranking.vacancies(spark, sf_dir).withColumn("allowed", F.when(F.col("vacancy_id") % 3 > 0, F.array(F.col("vacancy_id") % 25, F.col("vacancy_id") % 7).cast("array<int>")))
-    df = R.scored(R.pairs(v, ranking.candidates(spark, sf_dir), ranking.vectors(spark, sf_dir)), floor=ranking.FLOOR, ceil=ranking.CEIL)
-    given = v.filter("vacancy_id % 50 = 0").select("vacancy_id", (F.col("vacancy_id") % 100 == 0).alias("hidden"), F.lit(2).alias("cap"), F.lit("asked_for").alias("reason"))
-    df = R.merged_adjustments(df, given, ["vacancy_id"])
+    given = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("vacancy_id")).filter("vacancy_id % 50 = 0")
+    given = given.select("vacancy_id", (F.col("vacancy_id") % 100 == 0).alias("hidden"), F.lit(2).alias("cap"), F.lit("asked_for").alias("reason"))
+    paired = R.pairs(R.adjusted(v, given, ["vacancy_id"]), ranking.candidates(spark, sf_dir), ranking.vectors(spark, sf_dir))
+    df = R.merged_adjustments(R.scored(paired, floor=ranking.FLOOR, ceil=ranking.CEIL))
     return df.groupBy("candidate_id", "hidden", F.array_join("reasons", ",").alias("reasons")).agg(F.count("*").alias("n"))
 
 

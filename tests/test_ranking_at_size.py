@@ -60,6 +60,14 @@ def test_hidden_pairs_are_not_numbered(spark):
     assert all(a == b for a, b in n.values())
 
 
+def test_adjustments_of_vacancies_before_pairs(spark):
+    v, c, vectors = tables(spark, 60)
+    given = spark.createDataFrame([(i, i % 2 == 0, 2, "asked") for i in range(0, 60, 5)], "vacancy_id long, hidden boolean, cap int, reason string")
+    after = R.merged_adjustments(R.scored(R.pairs(v, c, vectors)), given, ["vacancy_id"])
+    before = R.merged_adjustments(R.scored(R.pairs(R.adjusted(v, given, ["vacancy_id"]), c, vectors)))
+    assert lines(before) == lines(after)
+
+
 def test_weighted_overlap_by_many_tasks(spark, monkeypatch):
     skills = spark.createDataFrame([(i, k, k < 3) for i in range(50) for k in range(i % 7)], "vacancy_id long, key long, must boolean")
     keys = spark.createDataFrame([(c, k) for c in range(5) for k in range(c, 7, 2)], "candidate_id long, key long")
