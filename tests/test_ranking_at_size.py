@@ -86,3 +86,12 @@ def test_spearman_of_repeated_rows(spark):
     got = {r["by"]: (r["spearman"], r["n"]) for r in E.spearman(df, "by", "x", "y").collect()}
     assert got.pop("b") == (None, 4) and {k: v[1] for k, v in got.items()} == {k: v[1] for k, v in want.items()}
     assert all(abs(got[k][0] - want[k][0]) < 1e-12 for k in ("a", "c"))
+
+
+def test_insights_pair_vacancies_once(spark):
+    """The working set is read up to three times, and none of them works it out again."""
+    from fitgrid.plans import ranking as P
+
+    for query in (P.weighted_learning, P.weighted_reach, P.within_reach, P.worth_learning, P.in_demand):
+        plan = query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "l_orderkey" not in plan and "o_orderkey" not in plan, query.__name__
