@@ -8,11 +8,12 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
-from .text import normalize
+from .text import normal_words
 
 # Limits, and what makes a line.
 MAX_INPUT_CHARS, MIN_USABLE_CHARS, MAX_HEADING_CHARS, MAX_HEADING_WORDS = 50_000, 200, 80, 8
@@ -115,14 +116,28 @@ def lines_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield s.map(lambda t: [dict(zip(LINE.names, line, strict=True)) for line in posting_lines(t)])
 
 
+@F.arrow_udf(ArrayType(LINE))
+def usable_lines_of(texts: pa.Array) -> pa.Array:
+    """Lines of texts that have enough to read requirements from (see ``is_usable``), none of others."""
+    rows, ends = [], [0]
+    for t in texts.to_pylist():
+        found = posting_lines(t)
+        if sum(len(x[0]) for x in found) >= MIN_USABLE_CHARS:
+            rows += found
+        ends.append(len(rows))
+    kinds = (pa.string(), pa.bool_(), pa.bool_(), pa.bool_())
+    fields = [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)]
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(fields, LINE.names))
+
+
 def is_usable(lines: Column) -> Column:
     """Enough text to read requirements from."""
     return F.aggregate(lines, F.lit(0), lambda n, x: n + F.length(x["text"])) >= MIN_USABLE_CHARS
 
 
 def tokens(text: Column) -> Column:
-    """Words with the marks that skills have ("C++", ".NET", "Node.js"), without those that end a sentence."""
-    return F.transform(F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0)), lambda t: F.regexp_replace(t, r"(?<=.)[.\-/']+$", ""))
+    """Words with the marks that skills have ("C++", ".NET", "Node.js"); none ends in a mark that ends a sentence."""
+    return F.regexp_extract_all(text, F.lit(TOKEN), F.lit(0))
 
 
 def telling(vocabulary: DataFrame) -> DataFrame:
@@ -135,21 +150,27 @@ def skill_hits(lines: DataFrame, keys: list[str], vocabulary: DataFrame, most_wo
     no word in two; of a word with slashes that begins none, the parts that are. Rows of ``keys``, place (word, from 1), skill
     as written, norm, weak; parts of a word share its place.
 
-    Only words that begin an alias, or have a slash, become runs. Runs of up to ``most_words`` words meet the vocabulary in an
-    equi-join, without a shuffle where it is small; the choice among overlapping ones is made in one pass over a text's hits.
+    Only words that begin an alias, or have a slash, become runs. Words are brought to their normal form a text at a time; a
+    word goes on with those that may follow it in a run, never with its whole text. Runs of up to ``most_words`` words meet the
+    vocabulary in an equi-join, without a shuffle where it is small; the choice among overlapping ones is made in one pass over
+    a text's hits.
     """
     known = vocabulary.select(F.col("alias_norm").alias("norm"), "weak").dropDuplicates(["norm"])
     n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("norm")), F.lit(0))).collect()[0]
     small = 200 * n + size <= MOST_BYTES
-    words = lines.select(*keys, tokens(F.col("text")).alias("w"))
-    runs = words.select(*keys, "w", F.posexplode("w").alias("__at", "word")).withColumn("__at", F.col("__at") + 1)
+    words = lines.select(*keys, F.col("text").alias("__text"), tokens(F.col("text")).alias("w")).select(*keys, "w", normal_words(F.col("__text"), F.col("w")).alias("n"))
+    # outer, as the filter that the planner infers from an inner one would take all words from every text twice
+    runs = words.select(*keys, "w", "n", F.posexplode_outer("n").alias("__at", "norm")).filter("norm IS NOT NULL").withColumn("__at", F.col("__at") + 1)
     if small:
         first = known.select(F.substring_index("norm", " ", 1).alias("first")).distinct().select("first", F.lit(True).alias("begins"))
-        runs = runs.withColumn("first", F.substring_index(normalize(F.col("word")), " ", 1)).join(F.broadcast(first), "first", "left").filter("begins OR contains(word, '/')")
-    whole = F.transform(F.sequence(F.lit(1), F.lit(most_words)), lambda k: F.struct((-k).alias("less"), F.lit(0).alias("part"), F.when(F.size("w") >= F.col("__at") + k - 1, F.array_join(F.slice("w", F.col("__at"), k), " ")).alias("skill")))
-    parts = F.when(F.col("word").contains("/"), F.transform(F.split("word", "/"), lambda x, i: F.struct(F.lit(0).alias("less"), i.alias("part"), x.alias("skill"))))
-    runs = runs.select(*keys, "__at", F.explode(F.concat(whole, F.coalesce(parts, F.array().cast("array<struct<less:int,part:int,skill:string>>")))).alias("r")).filter("r.skill <> ''")
-    runs = runs.select(*keys, "__at", "r.*").withColumn("norm", normalize(F.col("skill")))
+        runs = runs.withColumn("first", F.substring_index("norm", " ", 1)).join(F.broadcast(first), "first", "left").filter("begins OR contains(norm, '/')")
+    runs = runs.select(*keys, "__at", *(F.slice(c, F.col("__at"), most_words).alias(c) for c in ("w", "n")))
+    word, norm = F.col("w")[0], F.col("n")[0]
+    joined = lambda c, k: F.array_join(F.slice(c, F.lit(1), k), " ")
+    whole = F.transform(F.sequence(F.lit(1), F.least(F.size("w"), F.lit(most_words))), lambda k: F.struct((-k).alias("less"), F.lit(0).alias("part"), joined("w", k).alias("skill"), joined("n", k).alias("norm")))
+    parts = F.when(word.contains("/"), F.zip_with(F.split(word, "/"), F.split(norm, "/"), lambda x, y: F.struct(x.alias("skill"), y.alias("norm"))))
+    parts = F.transform(parts, lambda x, i: F.struct(F.lit(0).alias("less"), i.alias("part"), x["skill"].alias("skill"), x["norm"].alias("norm")))
+    runs = runs.select(*keys, "__at", F.explode(F.concat(whole, F.coalesce(parts, F.array().cast("array<struct<less:int,part:int,skill:string,norm:string>>")))).alias("r")).filter("r.skill <> ''").select(*keys, "__at", "r.*")
     # by their size at the source, which knows nothing of the runs, the planner would take these for the smaller side
     met = runs.join(F.broadcast(known), "norm") if small else runs.hint("merge").join(known, "norm")
     hit = F.struct("__at", "less", "part", "skill", "norm", "weak")

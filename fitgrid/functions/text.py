@@ -30,6 +30,23 @@ def normalize(col: Column) -> Column:
     return F.when(col.rlike(r"^[\x00-\x7f]*$"), plain).otherwise(nfkc(col))
 
 
+@F.pandas_udf(StringType())
+def nfkc_lines(s: pd.Series) -> pd.Series:
+    """NFKC, lower case, each line with single spaces."""
+    low = s.str.normalize("NFKC").str.lower()
+    spaced = low.str.contains(" ", regex=False, na=False)
+    low[spaced] = low[spaced].map(lambda t: "\n".join(" ".join(line.split()) for line in t.split("\n")))
+    return low
+
+
+def normal_words(text: Column, words: Column) -> Column:
+    """The normal form (see ``normalize``) of each of a text's words, which hold no white space. Words of ASCII texts stay in the
+    JVM, those of others go through Arrow, a row a text and not a row a word."""
+    plain = text.rlike(r"^[\x00-\x7f]*$")
+    whole = F.array_join(words, "\n")
+    return F.when(F.size(words) == 0, words).otherwise(F.split(F.when(plain, F.lower(whole)).otherwise(nfkc_lines(F.when(~plain, whole))), "\n"))
+
+
 def niches(head: Column, text: Column) -> Column:
     """Codes of the industries that the head names, or the head and text together name twice or more."""
     both = F.concat_ws(" ", head, text)

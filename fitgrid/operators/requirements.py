@@ -20,16 +20,20 @@ ASKING, SECTIONED = ("requirements", "nice_to_have"), ("requirements", "nice_to_
 
 
 def section_lines(postings: DataFrame) -> DataFrame:
-    """Lines (id, at, text, bullet, section) of postings (id, description) with text enough to read, other sections left out."""
-    lines = postings.select("id", L.lines_of(F.col("description")).alias("l")).filter(L.is_usable(F.col("l")))
-    rows = lines.select("id", F.posexplode("l").alias("at", "x")).select("id", "at", "x.*")
+    """Lines (id, at, text, bullet, section) of postings (id, description) with text enough to read, other sections left out.
+
+    Postings are dealt by id before they are parsed, as a file of few row groups would be parsed by few tasks. A filter on what the
+    parser returns, also the one that the planner infers from an inner posexplode, would be pushed below it and parse every text
+    again."""
+    lines = postings.select("id", "description").repartition("id").select("id", L.usable_lines_of(F.col("description")).alias("l"))
+    rows = lines.select("id", F.posexplode_outer("l").alias("at", "x")).filter("x IS NOT NULL").select("id", "at", "x.*")
     return Q.sectioned(rows, "id", "at").filter("section <> 'other'")
 
 
 def sentence_rows(lines: DataFrame) -> DataFrame:
-    """Sentences (id, at, s, text, section) that are no boilerplate, with where a preference starts in them."""
-    rows = lines.select("id", "at", "section", F.posexplode(Q.sentences(F.col("text"))).alias("s", "text"))
-    return rows.filter(~Q.is_boilerplate(F.col("text"))).withColumns({"from": Q.preferred_from(F.col("text")), "lists": option_lists(F.col("text"))})
+    """Sentences (id, at, s, text, section) that are no boilerplate."""
+    rows = lines.select("id", "at", "section", F.posexplode_outer(Q.sentences(F.col("text"))).alias("s", "text"))
+    return rows.filter(F.col("text").isNotNull() & ~Q.is_boilerplate(F.col("text")))
 
 
 def _languages() -> list[str]:
@@ -45,6 +49,8 @@ def skills(sentences: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """
     keys = ["id", "at", "s"]
     hits = L.skill_hits(sentences.select(*keys, "text"), keys, L.telling(vocabulary)).join(sentences, keys)
+    # where a preference starts, and lists, only of sentences that name a skill
+    hits = hits.withColumns({"from": Q.preferred_from(F.col("text")), "lists": option_lists(F.col("text"))})
     # lists by words: those that begin before a place in the text
     upto = lambda at: F.size(L.tokens(F.substring(F.col("text"), F.lit(1), at)))
     hits = hits.withColumn("lists", F.transform("lists", lambda x: F.struct(upto(x["start"]).alias("lo"), upto(x["end"]).alias("hi"), x["sure"].alias("sure"))))
@@ -80,7 +86,7 @@ def extracted(postings: DataFrame, vocabulary: DataFrame, complete: bool = True)
     found = saved(skills(sentences, vocabulary), "skills")
     wanted, wished = ~F.col("preferred"), F.col("preferred")
     named = found.groupBy("id").agg(_in_order(wanted).alias("required"), _in_order(wished).alias("preferred"), _in_order(wanted, "quote").alias("required_quotes"), _in_order(wished, "quote").alias("preferred_quotes"))
-    asked = sentences.filter("section IN ('requirements', 'general')").withColumn("part", F.when(F.col("from").isNull(), F.col("text")).otherwise(F.substring(F.col("text"), F.lit(1), F.col("from"))))
+    asked = sentences.filter("section IN ('requirements', 'general')").withColumn("from", F.when(Q.may_state(F.col("text")), Q.preferred_from(F.col("text")))).withColumn("part", F.when(F.col("from").isNull(), F.col("text")).otherwise(F.substring(F.col("text"), F.lit(1), F.col("from"))))
     at = F.struct("at", "s")
     facts = asked.withColumns({"years": F.array_max(Q.years_in(F.col("part"))), "level": Q.education_in(F.col("part")), "spoken": Q.languages_in(F.col("text"))})
     facts = facts.groupBy("id").agg(F.max("years").alias("min_years"), F.min_by(F.col("level"), F.when(F.col("level").isNotNull(), at)).alias("education"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(at.alias("o"), "spoken"))), lambda x: x["spoken"]))).alias("languages"))
