@@ -16,7 +16,8 @@ def _quotes(spark, sf_dir):
     d = _t(spark, sf_dir, "documents").select("doc_id", "text")
     some = F.regexp_replace(F.regexp_extract("text", r"\S+(?:\s+\S+){3,6}", 0), r"\s+", " ")
     item = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("item"), F.substring("text", 1, 60).alias("begin"))
-    q = d.withColumn("item", F.col("doc_id") % 200).join(item, "item", "left")
+    q = d.select("doc_id", (F.col("doc_id") % 200).alias("item"), some.alias("some")).join(item, "item", "left")  # texts stay behind
+    some = F.col("some")
     one = F.overlay(some, F.lit(""), F.lit(10), F.lit(1))
     items = F.array(F.struct(F.lit("skills[0]").alias("path"), some.alias("quote")), F.struct(F.lit("skills[1]").alias("path"), one.alias("quote")), F.struct(F.lit("experience[0]").alias("path"), F.col("begin").alias("quote")))
     return q.select("doc_id", F.explode(items).alias("i")).select("doc_id", "i.*", F.lit("skills_list").alias("found_in")).filter("quote <> ''")
