@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +18,11 @@ SPELLING, SEPARATORS = r"[.'’]", r"[,;:()\[\]{}/\\|\-–—_\"“”]+"
 EXPERIENCE_CODES = (("no start date", "experience_no_start"), ("no end date", "experience_no_end"), ("ends before it starts", "experience_reversed"))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of a value that it names several times and that is worked out once."""
+    return F.transform(F.array(value), f)[0]
+
+
 def plain_blocks(text: Column) -> Column:
     """Array of (text, start, end): one block a line that is not blank, ``start`` and ``end`` in the text itself."""
     lines = F.split(text, "\n")
@@ -34,8 +41,7 @@ def assembled(blocks: DataFrame, by: str, order: str) -> DataFrame:
 def heading_key(text: Column) -> Column:
     """A heading in lower case without its marks; letters set apart are drawn together."""
     key = F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), LEADING, ""), TRAILING, "")
-    spaced = key.rlike(r"^\s*\S(?:\s+\S){2,}\s*$")
-    key = F.when(spaced, F.regexp_replace(key, r"\s+", "")).otherwise(key)
+    key = once(key, lambda k: F.when(k.rlike(r"^\s*\S(?:\s+\S){2,}\s*$"), F.regexp_replace(k, r"\s+", "")).otherwise(k))
     return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(key, APOSTROPHES, ""), HEADING_MARKS, " "), r"\s+", " "))
 
 

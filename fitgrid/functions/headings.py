@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from .blocks import heading_key
+from .blocks import heading_key, once
 from .fuzzy import Pattern
 
 # Words of headings by kind of section, the least likeness of a misspelled one and its least length, what parts
@@ -61,27 +62,38 @@ def kinds_of(key: str) -> tuple[list[str], str] | None:
     return list(dict.fromkeys(f[0] if f else "other" for f in found)), "fuzzy" if any(f and f[1] == "fuzzy" for f in found) else "keyword"
 
 
-@F.pandas_udf(StructType([StructField("types", ArrayType(StringType())), StructField("source", StringType())]))
-def _named(keys: pd.Series) -> pd.DataFrame:
-    known: dict[str, tuple[list[str], str] | None] = {None: None}
-    for k in keys[keys.notna()].unique():
-        known[k] = kinds_of(k)
-    rows = [known[k if isinstance(k, str) else None] or (None, None) for k in keys]
-    return pd.DataFrame(rows, columns=["types", "source"])
+@lru_cache(1 << 16)
+def _kinds_of(key: str) -> tuple[list[str], str] | None:
+    return kinds_of(key)
 
 
-def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+@F.arrow_udf(StructType([StructField("types", ArrayType(StringType())), StructField("source", StringType())]))
+def key_kinds(keys: pa.Array) -> pa.Array:
+    """Types and source of the keys of headings, each distinct key compared once; both NULL of a key that is none or names none."""
+    coded = keys.dictionary_encode()
+    found = [(k and _kinds_of(k)) or (None, None) for k in [*coded.dictionary.to_pylist(), None]]
+    types, source = pa.array([f[0] for f in found], pa.list_(pa.string())), pa.array([f[1] for f in found], pa.string())
+    return pa.StructArray.from_arrays([types, source], ["types", "source"]).take(coded.indices.fill_null(len(found) - 1))
+
+
+#: A text that is short enough and of one line, less the white space around it: most texts fail after a few characters.
+SHORT = rf"(?U)^\s*+(\S(?:[^\n]{{0,{CHARS - 2}}}\S)?)\s*+\z"
+
+
+def heading_of(text: Column) -> Column:
+    """The key of a text that may be a heading by its shape, else NULL: short, of one line, no sentence, no item of a list."""
+
+    def key_of(t: Column) -> Column:
+        shape = (t != "") & ~t.rlike(r"[.,]$") & ~F.substring(t, 1, 1).isin(*BULLETS)
+        return F.when(shape, once(heading_key(t), lambda k: F.when((k != "") & (F.size(F.split(k, " ")) <= WORDS), k)))
+
+    return once(F.regexp_extract(text, SHORT, 1), key_of)
 
 
 def may_be_heading(text: Column) -> Column:
-    """By its shape: short, of one line, no sentence, no item of a list."""
-    t = stripped(text)
-    shape = (t != "") & ~t.contains("\n") & (F.char_length(t) <= CHARS) & ~t.rlike(r"[.,]$") & ~F.substring(t, 1, 1).isin(*BULLETS)
-    key = heading_key(t)
-    return F.coalesce(shape & (key != "") & (F.size(F.split(key, " ")) <= WORDS), F.lit(False))
+    return heading_of(text).isNotNull()
 
 
 def heading_kinds(text: Column) -> Column:
     """Struct of types and source; both NULL where the text cannot be a heading or names no kind of section."""
-    return _named(F.when(may_be_heading(text), heading_key(stripped(text))))
+    return key_kinds(heading_of(text))

@@ -6,12 +6,14 @@ so documents spread over tasks; only words of headings are compared in Python.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitgrid.shared import saved
 
-from ..functions.headings import CHARS, heading_kinds, may_be_heading
+from ..functions.headings import CHARS, heading_of, key_kinds
 
 # How much larger than the body a large heading is, how many blocks may share the headings' style before it says
 # nothing, sizes that count as one, and the least digits of a telephone number.
@@ -22,8 +24,8 @@ NUMBER, YEARS = r"\+?\(?\d[\d\s().-]{6,}\d", r"^(?:19|20)\d\d$"
 
 
 def all_caps(text: Column) -> Column:
-    letters = F.regexp_replace(text, r"[^\p{L}]", "")
-    return (F.char_length(letters) >= 2) & ~letters.rlike(r"[^\p{Lu}]")
+    """Two letters or more, and capitals only; most texts end the search at their second letter."""
+    return ~text.rlike(r"[\p{L}&&[^\p{Lu}]]") & text.rlike(r"\p{L}[^\p{L}]*\p{L}")
 
 
 def style(size: Column, bold: Column, text: Column) -> Column:
@@ -59,15 +61,16 @@ def with_headings(blocks: DataFrame) -> DataFrame:
     """Blocks with what they are: ``kind`` (standalone, inline, first_line, style or NULL), heading, types, source, confidence, where the
     heading ends, and the rest of the block (``rest``, from ``rest_start``); ``guarded`` and ``n_known`` are the document's."""
     t = F.col("text")
-    inline, first = F.regexp_extract("text", INLINE, 1), F.substring_index("text", "\n", 1)
-    df = blocks.withColumns({"__style": style(F.col("size"), F.col("bold"), t), "__may": may_be_heading(t), "__inline": F.nullif(inline, F.lit("")), "__first": F.when(t.contains("\n"), first)})
-    df = df.withColumns({"__alone": heading_kinds(t), "__in": heading_kinds(F.col("__inline")), "__of_first": heading_kinds(F.col("__first"))})
+    marked = reduce(Column.__or__, (t.contains(c) for c in ":–—-"))  # few texts have what parts a heading from its text
+    inline, first = F.when(marked, F.regexp_extract("text", INLINE, 1)), F.substring_index("text", "\n", 1)
+    df = blocks.withColumns({"__style": style(F.col("size"), F.col("bold"), t), "__key": heading_of(t), "__inline": F.nullif(inline, F.lit("")), "__first": F.when(t.contains("\n"), first)})
+    df = df.withColumns({"__may": F.col("__key").isNotNull(), "__alone": key_kinds(F.col("__key")), "__in": key_kinds(heading_of(F.col("__inline"))), "__of_first": key_kinds(heading_of(F.col("__first")))}).drop("__key")
     df = saved(df, "blocks")  # words are compared once, styles are read three times
     known = df.filter("__alone.types IS NOT NULL").groupBy("doc_id", "__style").agg(F.count("*").alias("n"))
     rank = F.struct("n", F.coalesce("__style.size", F.lit(0)), "__style.bold", "__style.caps")
     level = known.groupBy("doc_id").agg(F.sum("n").alias("n_known"), F.max_by("__style", rank).alias("__level"))
     level = level.withColumn("__level", F.when(F.col("n_known") >= 2, F.col("__level")))
-    df = df.join(level, "doc_id", "left").join(body_size(blocks), "doc_id", "left")
+    df = df.join(level, "doc_id", "left").join(body_size(df), "doc_id", "left")
     own, lv = F.col("__style"), F.col("__level")
     alike = F.col("__may") & lv.isNotNull() & (own["size"].eqNullSafe(lv["size"]) & (own["bold"] == lv["bold"]) & (own["caps"] == lv["caps"]))
     doc = Window.partitionBy("doc_id")

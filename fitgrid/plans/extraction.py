@@ -53,7 +53,7 @@ HEADINGS = ("Experience", "EDUCATION", "Skills: SQL and more", "Languages", "My
 
 def _lines(spark, sf_dir):
     """Lines of documents as blocks; each sixth is a heading or an address. Sizes and weight follow from place and length."""
-    d = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("i", "line")).filter(F.trim("line") != "")
+    d = _t(spark, sf_dir, "documents").select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("i", "line")).filter(F.trim("line") != "")
     place = (F.col("doc_id") + F.col("i")) % len(HEADINGS)
     headed = (F.col("i") + F.col("doc_id")) % 6 == 0
     text = F.when(headed, F.element_at(F.array(*map(F.lit, HEADINGS)), (place + 1).cast("int"))).otherwise(F.col("line"))
