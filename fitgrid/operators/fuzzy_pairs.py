@@ -1,24 +1,33 @@
 """Gold and predicted texts paired one to one, the most alike first.
 
-Pairs are joined by what they must share to be alike enough: a word, or two characters next to each other (one, of short
-texts). The greedy order needs no single task: a pair that is the best both for its gold and for its predicted text is
-taken by any order from the best down, so rounds of mutual best pairs end in the same pairs.
+Texts of a group are shuffled once and paired in the task that reads the group, if all its pairs fit there. Larger groups are dealt
+to tiles of some gold by some predicted texts, and the greedy order needs no single task: a pair that is the best both for its gold
+and for its predicted text is taken by any order from the best down, so rounds of mutual best pairs end in the same pairs. No pair
+that is not alike is ever written or shuffled.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fitgrid.shared import discard, saved
 
 from ..functions.blocks import match_key
-from ..functions.fuzzy import token_set_likeness
+from ..functions.pairing import alike_pairs, matched
 
-# Fixed value: the least likeness of a pair.
+# The least likeness of a pair; the most pairs, texts and bytes of texts of a group that one task pairs; the most
+# texts and bytes of a tile's side; rows of a batch.
 LEAST = 85.0
+CELLS, ROWS, BYTES = 1 << 23, 1 << 16, 1 << 23
+TILE_ROWS, TILE_BYTES = 1 << 13, 1 << 22
+BATCH = 1 << 14
 
 
 def distinct_keys(df: DataFrame, by: str, pos: str, text: str) -> DataFrame:
@@ -27,29 +36,81 @@ def distinct_keys(df: DataFrame, by: str, pos: str, text: str) -> DataFrame:
     return keys.select(by, F.row_number().over(Window.partitionBy(by).orderBy("__pos", "key")).alias("at"), "key")
 
 
-def grams(key: Column) -> Column:
-    """What two keys must share to be alike by more than two thirds: a word, or else two neighbouring characters of their sorted
-    words. Of a and b characters with L in common, a - L take two of a's neighbours each and b - L part two, so that
-    3 L - a - b - 1 are left, which is none only where a + b is under four; such keys share a character."""
-    line = F.array_join(F.array_sort(F.array_distinct(F.split(key, " "))), " ")
-    n = F.char_length(line)
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(n - 1, F.lit(1))), lambda i: F.substring(line, i, 2))
-    singles = F.when(n <= 3, F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("\u0001"), F.substring(line, i, 1)))).otherwise(F.array().cast("array<string>"))
-    words = F.transform(F.split(key, " "), lambda w: F.concat(F.lit("\u0002"), w))
-    return F.array_distinct(F.concat(pairs, singles, words))
+def _sides(batches: Iterable[pa.RecordBatch], key: int) -> Iterator[tuple[tuple, tuple[list, list]]]:
+    """The first ``key`` columns of rows that are sorted by them, and what stands behind the next, which is 0 or 1: rows of either side."""
+    rows = (row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True))
+    for of, own in groupby(rows, key=itemgetter(*range(key)) if key > 1 else lambda row: row[:1]):
+        sides: tuple[list, list] = ([], [])
+        for row in own:
+            sides[row[key]].append(row[key + 1 :])
+        yield of, sides
+
+
+def _tiles(least: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(by, g, p, score) of tiles (by, tile, tile, side, at, key)."""
+
+    def run(batches):
+        batches = iter(batches)
+        first = next(batches, None)
+        if first is None:
+            return
+        kind = first.schema.field(0).type
+        for of, (gold, predicted) in _sides((b for part in ([first], batches) for b in part), 3):
+            g, p, score = alike_pairs([r[1] for r in gold], [r[1] for r in predicted], least)
+            at_g, at_p = pa.array([r[0] for r in gold], pa.int32()), pa.array([r[0] for r in predicted], pa.int32())
+            for lo in range(0, len(g), BATCH):
+                part = slice(lo, lo + BATCH)
+                n = len(g[part])
+                by = pa.array(of[:1], kind).take(pa.array([0] * n, pa.int32()))
+                yield pa.RecordBatch.from_arrays([by, at_g.take(pa.array(g[part])), at_p.take(pa.array(p[part])), pa.array(score[part])], ["by", "g", "p", "score"])
+
+    return run
+
+
+def _counted(least: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(by, tp, fp, fn) of whole groups (by, side, key), keys in order of appearance."""
+
+    def run(batches):
+        batches = iter(batches)
+        first = next(batches, None)
+        if first is None:
+            return
+        kind, out = first.schema.field(0).type, []
+
+        def batch():
+            by, *counts = zip(*out, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(by, kind), *(pa.array(c, pa.int64()) for c in counts)], ["by", "tp", "fp", "fn"])
+
+        for (by,), sides in _sides((b for part in ([first], batches) for b in part), 1):
+            gold, predicted = (list(dict.fromkeys(k for (k,) in side)) for side in sides)
+            tp = matched(gold, predicted, least)
+            out.append((by, tp, len(predicted) - tp, len(gold) - tp))
+            if len(out) == BATCH:
+                yield batch()
+                out.clear()
+        if out:
+            yield batch()
+
+    return run
 
 
 def alike(gold: DataFrame, predicted: DataFrame, by: str, least: float = LEAST) -> DataFrame:
     """(by, g, p, score) of the distinct keys (by, at, key) of a group that are ``least`` alike or more."""
     if least < 85:
-        raise ValueError("keys are joined by what they share at a likeness of 85 or more")
-    g = gold.select(by, F.col("at").alias("g"), F.explode(grams(F.col("key"))).alias("gram"))
-    p = predicted.select(by, F.col("at").alias("p"), F.explode(grams(F.col("key"))).alias("gram"))
+        raise ValueError("pairs are kept at a likeness of 85 or more")
+
+    def tiles(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(by).agg(F.greatest(F.ceil(F.count("*") / TILE_ROWS), F.ceil(F.sum(F.octet_length("key")) / TILE_BYTES)).cast("int").alias(name))
+
+    def dealt(df: DataFrame, side: int) -> DataFrame:
+        own, other = ("__g", "__p") if side == 0 else ("__p", "__g")
+        met = df.join(sizes.hint("merge"), by).withColumns({own: F.col("at") % F.col(own), other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))})
+        return met.select(by, "__g", "__p", F.lit(side).alias("__side"), "at", "key")
+
     # by merge: a kept table of keys is small on disk, what is made of it is not, and must not go through the driver
-    met = g.join(p.hint("merge"), [by, "gram"]).select(by, "g", "p").distinct()
-    pairs = met.join(gold.select(by, F.col("at").alias("g"), F.col("key").alias("gold")).hint("merge"), [by, "g"])
-    pairs = pairs.join(predicted.select(by, F.col("at").alias("p"), F.col("key").alias("predicted")).hint("merge"), [by, "p"])
-    return pairs.withColumn("score", token_set_likeness("gold", "predicted")).filter(F.col("score") >= least).select(by, "g", "p", "score")
+    sizes = tiles(gold, "__g").join(tiles(predicted, "__p").hint("merge"), by)
+    df = dealt(gold, 0).unionByName(dealt(predicted, 1)).repartition(by, "__g", "__p").sortWithinPartitions(by, "__g", "__p", "__side", "at")
+    return df.mapInArrow(_tiles(least), f"`{by}` {gold.schema[by].dataType.simpleString()}, g int, p int, score double")
 
 
 def one_to_one(pairs: DataFrame, by: str) -> DataFrame:
@@ -65,10 +126,31 @@ def one_to_one(pairs: DataFrame, by: str) -> DataFrame:
     return reduce(DataFrame.unionByName, taken) if taken else left
 
 
-def pair_counts(gold: DataFrame, predicted: DataFrame, by: str, least: float = LEAST) -> DataFrame:
-    """(by, tp, fp, fn) of gold and predicted texts (by, pos, text)."""
+def _in_rounds(gold: DataFrame, predicted: DataFrame, by: str, least: float) -> DataFrame:
+    """(by, tp, fp, fn) of groups of any size."""
     g, p = saved(distinct_keys(gold, by, "pos", "text"), "gold"), saved(distinct_keys(predicted, by, "pos", "text"), "predicted")
     hits = one_to_one(alike(g, p, by, least), by).groupBy(by).agg(F.count("*").alias("tp"))
     n_g, n_p = g.groupBy(by).agg(F.count("*").alias("__g")), p.groupBy(by).agg(F.count("*").alias("__p"))
     df = n_g.join(n_p, by, "full").join(hits, by, "left").na.fill(0, ["__g", "__p", "tp"])
     return df.select(by, "tp", (F.col("__p") - F.col("tp")).alias("fp"), (F.col("__g") - F.col("tp")).alias("fn"))
+
+
+def pair_counts(gold: DataFrame, predicted: DataFrame, by: str, least: float = LEAST) -> DataFrame:
+    """(by, tp, fp, fn) of gold and predicted texts (by, pos, text)."""
+    if least < 85:
+        raise ValueError("pairs are kept at a likeness of 85 or more")
+    sides = [df.select(by, F.lit(i).alias("__side"), "pos", "text") for i, df in enumerate((gold, predicted))]
+    rows = sides[0].unionByName(sides[1])
+    n_g, n_p = (F.count(F.when(F.col("__side") == i, 1)) for i in (0, 1))
+    # texts without a group are never paired, and go by joins, where NULL meets nothing
+    large = rows.groupBy(by).agg((F.col(by).isNull() | (n_g.cast("double") * n_p > CELLS) | (n_g + n_p > ROWS) | (F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) > BYTES)).alias("__large"))
+    large = saved(large.filter("__large").select(F.col(by).alias("__by")), "large")
+    rounds = None
+    if large.limit(1).count():
+        within = F.col(by).eqNullSafe(F.col("__by"))
+        rounds = _in_rounds(gold.join(large, within, "left_semi"), predicted.join(large, within, "left_semi"), by, least)
+        rows = rows.join(large, within, "left_anti")
+    keys = rows.select(by, "__side", "pos", match_key(F.col("text")).alias("key")).filter("key <> ''")
+    keys = keys.repartition(by).sortWithinPartitions(by, "__side", "pos", "key").select(by, "__side", "key")
+    df = keys.mapInArrow(_counted(least), f"`{by}` {gold.schema[by].dataType.simpleString()}, tp long, fp long, fn long")
+    return df if rounds is None else df.unionByName(rounds)
