@@ -23,10 +23,12 @@ from ..functions.blocks import match_key
 from ..functions.pairing import alike_pairs, matched
 
 # The least likeness of a pair; the most pairs, texts and bytes of texts of a group that one task pairs; the most
-# texts and bytes of a tile's side; rows of a batch.
+# texts and bytes of a tile's side; what a task does, in pairs, of which a text and a group cost as much as so many, and the most
+# tasks; rows of a batch.
 LEAST = 85.0
 CELLS, ROWS, BYTES = 1 << 23, 1 << 16, 1 << 23
 TILE_ROWS, TILE_BYTES = 1 << 13, 1 << 22
+TASK, TEXT, GROUP, MOST = 1 << 23, 64, 2048, 1 << 12
 BATCH = 1 << 14
 
 
@@ -82,7 +84,9 @@ def _counted(least: float) -> Callable[[Iterable[pa.RecordBatch]], Iterator[pa.R
             return pa.RecordBatch.from_arrays([pa.array(by, kind), *(pa.array(c, pa.int64()) for c in counts)], ["by", "tp", "fp", "fn"])
 
         for (by,), sides in _sides((b for part in ([first], batches) for b in part), 1):
-            gold, predicted = (list(dict.fromkeys(k for (k,) in side)) for side in sides)
+            gold, predicted = (list(dict.fromkeys(k for (k,) in side if k)) for side in sides)  # empty keys are none
+            if not gold and not predicted:
+                continue
             tp = matched(gold, predicted, least)
             out.append((by, tp, len(predicted) - tp, len(gold) - tp))
             if len(out) == BATCH:
@@ -109,7 +113,9 @@ def alike(gold: DataFrame, predicted: DataFrame, by: str, least: float = LEAST)
 
     # by merge: a kept table of keys is small on disk, what is made of it is not, and must not go through the driver
     sizes = tiles(gold, "__g").join(tiles(predicted, "__p").hint("merge"), by)
-    df = dealt(gold, 0).unionByName(dealt(predicted, 1)).repartition(by, "__g", "__p").sortWithinPartitions(by, "__g", "__p", "__side", "at")
+    # by number: tiles are work, not bytes, by which their tasks would be drawn together
+    n = sizes.agg(F.sum(F.col("__g").cast("long") * F.col("__p"))).first()[0] or 1
+    df = dealt(gold, 0).unionByName(dealt(predicted, 1)).repartition(min(n, MOST), by, "__g", "__p").sortWithinPartitions(by, "__g", "__p", "__side", "at")
     return df.mapInArrow(_tiles(least), f"`{by}` {gold.schema[by].dataType.simpleString()}, g int, p int, score double")
 
 
@@ -143,14 +149,16 @@ def pair_counts(gold: DataFrame, predicted: DataFrame, by: str, least: float = L
     rows = sides[0].unionByName(sides[1])
     n_g, n_p = (F.count(F.when(F.col("__side") == i, 1)) for i in (0, 1))
     # texts without a group are never paired, and go by joins, where NULL meets nothing
-    large = rows.groupBy(by).agg((F.col(by).isNull() | (n_g.cast("double") * n_p > CELLS) | (n_g + n_p > ROWS) | (F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) > BYTES)).alias("__large"))
-    large = saved(large.filter("__large").select(F.col(by).alias("__by")), "large")
+    large = F.col(by).isNull() | (n_g.cast("double") * n_p > CELLS) | (n_g + n_p > ROWS) | (F.coalesce(F.sum(F.octet_length("text")), F.lit(0)) > BYTES)
+    sizes = saved(rows.groupBy(by).agg(large.alias("__large"), (n_g.cast("double") * n_p + TEXT * (n_g + n_p) + GROUP).alias("__work")).withColumnRenamed(by, "__by"), "sizes")
+    work, any_large = sizes.agg(F.sum(F.when(~F.col("__large"), F.col("__work"))), F.max("__large")).first()
     rounds = None
-    if large.limit(1).count():
-        within = F.col(by).eqNullSafe(F.col("__by"))
+    if any_large:
+        large, within = sizes.filter("__large").select("__by"), F.col(by).eqNullSafe(F.col("__by"))
         rounds = _in_rounds(gold.join(large, within, "left_semi"), predicted.join(large, within, "left_semi"), by, least)
         rows = rows.join(large, within, "left_anti")
-    keys = rows.select(by, "__side", "pos", match_key(F.col("text")).alias("key")).filter("key <> ''")
-    keys = keys.repartition(by).sortWithinPartitions(by, "__side", "pos", "key").select(by, "__side", "key")
+    keys = rows.select(by, "__side", "pos", match_key(F.col("text")).alias("key"))
+    # by number: pairs are work, not bytes, by which the tasks of groups would be drawn together
+    keys = keys.repartition(min(1 + int((work or 0) // TASK), MOST), by).sortWithinPartitions(by, "__side", "pos", "key").select(by, "__side", "key")
     df = keys.mapInArrow(_counted(least), f"`{by}` {gold.schema[by].dataType.simpleString()}, tp long, fp long, fn long")
     return df if rounds is None else df.unionByName(rounds)

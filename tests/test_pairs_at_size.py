@@ -56,3 +56,12 @@ def shuffled(spark):
     sc._jsc.sc().listenerBus().waitUntilEmpty()
     stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
     return sum(stages.apply(i).shuffleWriteRecords() for i in range(stages.size()))
+
+
+def test_groups_go_to_as_many_tasks_as_their_pairs_need(spark, monkeypatch):
+    rows = [(f"g{i % 9}", i, f"name{i} of {i % 5}") for i in range(90)] + [("none", 0, " ... "), ("none", 1, None)]
+    df = spark.createDataFrame(rows, "grp string, pos long, text string")
+    monkeypatch.setattr(fuzzy_pairs, "TASK", 3000)
+    got = fuzzy_pairs.pair_counts(df, df, "grp")
+    assert got.rdd.getNumPartitions() == 1 + (9 * (100 + 64 * 20 + 2048) + (4 + 64 * 4 + 2048)) // 3000
+    assert sorted(map(tuple, got.collect())) == [(f"g{i}", 10, 0, 0) for i in range(9)]
